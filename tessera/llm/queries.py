@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import sharding, url_filter
+import public_tokenizers
+
+from tessera.llm import bpe, secrets, sharding, url_filter
 from tessera.llm.common import ship_code, table
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), outputs=("digests",))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8).drop("row_number", "position")
 
@@ -18,7 +29,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", F.round("rate", 6).alias("rate"), F.round("upper", 6).alias("upper"))
 
 
-QUERIES = {f.__name__: f for f in (op9_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op4_bpe, op8_secrets, op9_sharding, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
 
 
