@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import bpe, quality, secrets, sharding, url_filter
+from tessera.llm import bpe, quality, secrets, sharding, simhash, url_filter
 from tessera.llm.common import ship_code, table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=2).select("doc_id", "fingerprint", "component_id")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), outputs=("digests",))
 
@@ -33,7 +37,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", F.round("rate", 6).alias("rate"), F.round("upper", 6).alias("upper"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op5_quality, op8_secrets, op9_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_bpe, op5_quality, op8_secrets, op9_sharding, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
 
 
