@@ -12,7 +12,7 @@ from tessera.llm.common import ship_code, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=2).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.within(2), shingle=3).select("doc_id", "fingerprint", "component_id")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A text's fingerprint takes, for each of 64 bits, the majority over the XXH64 hashes of its word shingles. Two fingerprints
-that differ in at most d bits differ in at most d // 2 bits of the first 32-bit segment or in fewer than d - d // 2 of
-the second; these are the radii of the balls. Each distinct fingerprint is entered in a table under each of its segments and looks up the Hamming ball around them; what meets in a table is held against
-the complete distance. Of two neighbours only the one with fewer set bits looks up the other, so each ball is halved.
+A text's fingerprint takes, for each bit, the majority over the hashes of its word shingles. A fingerprint has one
+or more 64-bit words, cut into segments; it is entered in one table per segment and looks up the Hamming ball of a small
+radius around each. Whatever meets in a table is held against the complete distance. Of two neighbours inside a ball only the
+one with fewer set bits (or the smaller) looks up the other, which halves each ball.
+
+With one 64-bit word and two 32-bit segments, balls of radius d // 2 and d - d // 2 - 1 find every pair within d bits: a pair
+that exceeds both radii exceeds d. Similarity thresholds need wider fingerprints and many more differing bits, where
+balls of radius 1 over twelve 20-bit segments find pairs with the chances given at SIMILAR.
 
 Texts with equal fingerprints count as one (so a group of copies costs one entry). What meets under one key is linked
 inside the task as a forest, never as all pairs: only connections are needed. Keys with many entries are dealt
@@ -13,6 +17,8 @@ to blocks of bounded size, and whatever looks such a key up visits all its block
 from __future__ import annotations
 
 import itertools
+import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,113 +29,150 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fits, stash, unstash
 from tessera.llm.components import components
 
-SEED, BITS, SEGMENT = 42, 64, 32
+SEED = 42
 #: Entries of a key in one block; probes compared at once.
 BLOCK, CHUNK = 4096, 512
 #: Tables of keys with several blocks are broadcast up to so many rows; each stands for over BLOCK entries.
 BROADCAST_ROWS = 200_000
 BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # by byte, highest bit first
-LANES = np.arange(8, dtype=np.int64) * 256
 
 
-def shingle_fingerprint(text: str, words: int) -> int:
-    """SimHash over the shingles of so many words, as a signed long; 0 without words."""
+
+
+class Plan(NamedTuple):
+    """words of a fingerprint; its segments (word, first bit, bits, ball radius); the distance up to which it links."""
+
+    words: int
+    segments: tuple[tuple[int, int, int, int], ...]
+    distance: int
+
+
+def within(distance: int) -> Plan:
+    """All pairs of 64-bit fingerprints within a distance of 1 to 4 bits."""
+    if not 1 <= distance <= 4:
+        raise ValueError("balls are enumerated for distances of 1 to 4")
+    return Plan(1, ((0, 32, 32, distance // 2), (0, 0, 32, distance - distance // 2 - 1)), distance)
+
+
+def similar(similarity: float) -> Plan:
+    """256-bit fingerprints of shingle sets with this Jaccard similarity or more.
+
+    Sets of equal size with Jaccard similarity j have cosine 2j / (1 + j) and differ in arccos(cosine) / pi of the bits;
+    half a standard deviation of 256 bits is added (42 bits for 0.8), so that most pairs at the very threshold are in.
+    Twelve 20-bit segments with balls of radius 1 find a pair of similarity 0.8, 0.85, 0.9 or 0.95 with a chance of 0.89,
+    0.97, 0.99 or 1.00; a third text of the same group often links what a pair misses.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    spread = math.sqrt(share * (1 - share) / 256)
+    return Plan(4, tuple((w, 20 * i, 20, 1) for w in range(4) for i in range(3)), round(256 * (share + spread / 2)))
+
+
+def shingle_fingerprint(text: str, shingle: int, words: int = 1) -> tuple[int, ...]:
+    """SimHash over shingles of so many words, as signed longs; zeros for a text without words."""
     w = text.encode().lower().split()
     if not w:
-        return 0
-    parts = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) > words else [b" ".join(w)]
-    hashes = b"".join([xxhash.xxh64_digest(p, SEED) for p in parts])
-    n = len(hashes) // 8
-    counts = np.zeros(8 * 256, np.int64)
-    lanes = np.frombuffer(hashes, np.uint8).reshape(n, 8)
+        return (0,) * words
+    parts = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) > shingle else [b" ".join(w)]
+    if words == 1:
+        hashes = b"".join([xxhash.xxh64_digest(p, SEED) for p in parts])
+    else:
+        seeds = range(SEED, SEED + words // 2)
+        hashes = b"".join([xxhash.xxh3_128_digest(p, s) for p in parts for s in seeds])
+    width = 8 * words
+    n = len(hashes) // width
+    lanes, offsets, counts = np.frombuffer(hashes, np.uint8).reshape(n, width), np.arange(width) * 256, np.zeros(width * 256, np.int64)
     for i in range(0, n, 65_536):
-        counts += np.bincount((lanes[i : i + 65_536] + LANES).ravel(), minlength=8 * 256)
-    ones = (counts.reshape(8, 256) @ BIT_TABLE).ravel() * 2 > n
-    return int.from_bytes(np.packbits(ones).tobytes(), "big", signed=True)
+        counts += np.bincount((lanes[i : i + 65_536] + offsets).ravel(), minlength=width * 256)
+    ones = (counts.reshape(width, 256) @ BIT_TABLE).ravel() * 2 > n
+    return tuple(np.packbits(ones).view(">i8").tolist())
 
 
-def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id_col, fp (long) of every row; a null text has fingerprint 0, as one without words."""
+def fingerprints(docs: DataFrame, shingle: int, words: int, id_col: str, text_col: str) -> DataFrame:
+    """id_col and f0, f1, ... (long) of every row; a null text has zeros, as one without words."""
+    names = [f"f{i}" for i in range(words)]
 
     def run(batches):
         for batch in batches:
-            fps = [shingle_fingerprint(t, words) if t else 0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
+            fps = [shingle_fingerprint(t or "", shingle, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in fps], pa.int64()) for i in range(words))], [id_col, *names])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {id_type}, fp long")
-
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, {', '.join(f'{n} long' for n in names)}")
 
-def radii(distance: int) -> tuple[int, int]:
-    """Ball radii (r0, r1) of the two segments: r0 + r1 + 1 = distance, so who exceeds both exceeds distance."""
-    return distance // 2, distance - distance // 2 - 1
 
-
-def _lookups(distance: int):
-    """SQL array of (key, probe) structs of a fingerprint fp: its two entries, and the upward part of each ball."""
+def _lookups(plan: Plan) -> str:
+    """SQL array of (key, probe) structs of a fingerprint: its entries, and the upward part of each ball."""
     out = []
-    for segment, radius in enumerate(radii(distance)):
-        value = f"(shiftright(fp, {SEGMENT}) & 4294967295L)" if segment == 0 else "(fp & 4294967295L)"
-        key = f"({segment << 40}L | {value})"
+    for number, (word, first, bits, radius) in enumerate(plan.segments):
+        value = f"(shiftrightunsigned(f{word}, {first}) & {(1 << bits) - 1}L)"
+        key = f"({number << 40}L | {value})"
         out.append(f"array(named_struct('key', {key}, 'probe', 0))")
-        # Masks of up to radius bits; of two values that differ by a mask, the one with fewer set bits (or, where equal, the smaller) looks up.
         for size in range(1, radius + 1):
-            masks = "array(" + ", ".join(f"{sum(1 << b for b in c)}L" for c in itertools.combinations(range(SEGMENT), size)) + ")"
+            masks = "array(" + ", ".join(f"{sum(1 << b for b in c)}L" for c in itertools.combinations(range(bits), size)) + ")"
             up = f"(bit_count({value} ^ m) > bit_count({value}) or bit_count({value} ^ m) = bit_count({value}) and ({value} ^ m) > {value})"
             out.append(f"transform(filter({masks}, m -> {up}), m -> named_struct('key', {key} ^ m, 'probe', 1))")
     return f"concat({', '.join(out)})"
 
 
+def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Whether each row of a and each row of b differ in at most distance bits."""
+    apart = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.uint16)
+    for i in range(1, a.shape[1]):
+        apart += np.bitwise_count(a[:, None, i] ^ b[None, :, i])
+    return apart <= distance
+
+
 class _Bucket:
     """Links of one block of one key: entries first, then what looks them up, in any number of portions."""
 
     def __init__(self, distance: int):
-        self.distance, self.waiting, self.table, self.roots, self.links = distance, [], None, None, []
+        self.distance, self.waiting, self.nodes, self.links = distance, [], None, []
 
-    def entries(self, fps) -> None:
-        self.waiting.append(fps)
+    def entries(self, nodes, fps) -> None:
+        self.waiting.append((nodes, fps))
 
     def _close(self) -> None:
         """Group the entries: grow each group from its first entry until nothing near is left outside."""
-        table = np.unique(np.concatenate(self.waiting)) if self.waiting else np.zeros(0, np.uint64)
-        roots, left = np.zeros(len(table), np.uint64), np.arange(len(table))
+        self.nodes, self.fps = (np.concatenate(x) for x in zip(*self.waiting))
+        self.roots, left = self.nodes.copy(), np.arange(len(self.nodes))
         while len(left):
             root, front, left = left[0], left[:1], left[1:]
-            roots[root] = table[root]
             while len(front) and len(left):
                 near = np.zeros(len(left), bool)
                 for i in range(0, len(front), CHUNK):
-                    near |= (np.bitwise_count(table[left][None, :] ^ table[front[i : i + CHUNK]][:, None]) <= self.distance).any(axis=0)
+                    near |= _near(self.fps[front[i : i + CHUNK]], self.fps[left], self.distance).any(axis=0)
                 front, left = left[near], left[~near]
-                roots[front] = table[root]
-        self.table, self.roots = table, roots
-        away = roots != table
-        self.links.append(np.stack([table[away], roots[away]], axis=1))
-
-    def probes(self, fps) -> None:
-        if self.table is None:
+                self.roots[front] = self.nodes[root]
+        away = self.roots != self.nodes
+        self.links.append(np.stack([self.nodes[away], self.roots[away]], axis=1))
+
+    def probes(self, nodes, fps) -> None:
+        if not self.waiting:
+            return
+        if self.nodes is None:
             self._close()
-        for i in range(0, len(fps) if len(self.table) else 0, CHUNK):
-            some = fps[i : i + CHUNK]
-            p, t = np.nonzero(np.bitwise_count(some[:, None] ^ self.table[None, :]) <= self.distance)
+        for i in range(0, len(nodes), CHUNK):
+            p, t = np.nonzero(_near(fps[i : i + CHUNK], self.fps, self.distance))
             if len(p):
-                self.links.append(np.unique(np.stack([some[p], self.roots[t]], axis=1), axis=0))
+                self.links.append(np.unique(np.stack([nodes[i : i + CHUNK][p], self.roots[t]], axis=1), axis=0))
 
     def close(self) -> np.ndarray:
-        if self.table is None:
+        if self.waiting and self.nodes is None:
             self._close()
-        return np.concatenate(self.links)
+        return np.concatenate([np.zeros((0, 2), np.int64), *self.links])
+
 
+def _link(plan: Plan):
+    def batch_of(links):
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["u", "v"])
 
-def _link(distance: int):
     def run(batches):
-        bucket, at = None, None
+        bucket, at = _Bucket(plan.distance), None
         for batch in batches:
-            key, block, probe, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            fp = fp.view(np.uint64)  # bits of negative numbers are counted as those of their absolute value
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            out = []
+            key, block, probe, node, *fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4 + plan.words))
+            fp = np.stack(fp, axis=1).view(np.uint64)  # bits of negative numbers would be counted as those of their absolute value
             starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
             ends = np.append(starts[1:], len(key))
             # Alone inside a batch, or looking up what no one entered: nothing to link.
@@ -137,54 +180,69 @@ def _link(distance: int):
             busy[0] = busy[-1] = True
             for s, e in zip(starts[busy].tolist(), ends[busy].tolist()):
                 if at != (key[s], block[s]):
-                    if bucket:
-                        out.append(bucket.close())
-                    bucket, at = _Bucket(distance), (key[s], block[s])
+                    if len(links := bucket.close()):
+                        yield batch_of(links)
+                    bucket, at = _Bucket(plan.distance), (key[s], block[s])
                 cut = s + int(np.searchsorted(probe[s:e], 1))
                 if cut > s:
-                    bucket.entries(fp[s:cut])
+                    bucket.entries(node[s:cut], fp[s:cut])
                 if e > cut:
-                    bucket.probes(fp[cut:e])
-            if out:
-                links = np.concatenate(out).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["u", "v"])
-        if bucket:
-            links = bucket.close().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["u", "v"])
+                    bucket.probes(node[cut:e], fp[cut:e])
+        if len(links := bucket.close()):
+            yield batch_of(links)
 
     return run
 
 
-def fingerprint_links(distinct: DataFrame, distance: int) -> DataFrame:
-    """Links (u, v) that connect all fingerprints (column fp, distinct) within distance bits: a forest of each key's."""
-    met = distinct.select("fp", F.explode(F.expr(_lookups(distance))).alias("x")).select("fp", "x.key", "x.probe")
+def fingerprint_links(distinct: DataFrame, plan: Plan) -> DataFrame:
+    """Links (u, v) between nodes (columns node, f0, f1, ...; distinct) that connect what the plan links: a forest of each key's."""
+    fp = [f"f{i}" for i in range(plan.words)]
+    met = distinct.select("node", *fp, F.explode(F.expr(_lookups(plan))).alias("x")).select("node", *fp, "x.key", "x.probe")
     crowded = met.filter("probe = 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
     crowded = stash(crowded.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowded")
-    small = fits(crowded, BROADCAST_ROWS)
-    dealt = met.join(F.broadcast(crowded) if small else crowded, "key", "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    dealt = met.join(F.broadcast(crowded) if fits(crowded, BROADCAST_ROWS) else crowded, "key", "left")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # An entry of a crowded key lies in its own block and looks up the others; a probe looks up all.
     visits = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("block"), F.col("probe").alias("probe")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.when((b == own) & (F.col("probe") == 0), 0).otherwise(1).alias("probe")))
     )
-    rows = dealt.select("key", "fp", F.explode(visits).alias("x")).select("key", "x.block", "x.probe", "fp")
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "probe").mapInArrow(_link(distance), "u long, v long")
+    rows = dealt.select("key", "node", *fp, F.explode(visits).alias("x")).select("key", "x.block", "x.probe", "node", *fp)
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "probe").mapInArrow(_link(plan), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Component of every row under links between fingerprints that differ in at most distance bits.
+def near_duplicates(docs: DataFrame, plan: Plan | None = None, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Component of every row under the links of a plan, by default those of similarity 0.8 over five-word shingles.
 
-    Returns id_col, fp (long), fingerprint (16 hex digits), component_id (the smallest id of the component; null if all
-    its ids are null). Null and word-free texts have fingerprint 0 and are linked like any other; shorter texts are one
-    shingle; repeated rows share fingerprint and component; an empty table gives an empty result; other columns are ignored.
+    Returns id_col, f0, f1, ... (the fingerprint), fingerprint (its hex digits), component_id (the smallest id of the
+    component; null if all its ids are null). Null and word-free texts have the fingerprint zero and are linked like any
+    other; shorter texts are one shingle; repeated rows share fingerprint and component; an empty table gives an empty
+    result; other columns are ignored. Nodes of wide fingerprints are named by a 64-bit hash of them.
     """
-    if not 1 <= distance <= 4:
-        raise ValueError("balls are enumerated for distances of 1 to 4")
-    marked = stash(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = stash(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    roots = components(fingerprint_links(nodes.select("fp"), distance))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    plan = plan or similar(0.8)
+    fp = [f"f{i}" for i in range(plan.words)]
+    marked = stash(fingerprints(docs, shingle, plan.words, id_col, text_col), "fingerprints")
+    node = F.col("f0") if plan.words == 1 else F.xxhash64(*fp)
+    nodes = stash(marked.groupBy(*fp).agg(F.min(id_col).alias("least")).withColumn("node", node), "nodes")
+    roots = components(fingerprint_links(nodes.select("node", *fp), plan)).withColumnRenamed("node", "linked")
+    rooted = nodes.join(roots, F.col("node") == F.col("linked"), "left").select(*fp, "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = stash(rooted.join(named, "root").select("fp", "component_id"), "components")
+    final = stash(rooted.join(named, "root").select(*fp, "component_id"), "components")
     unstash(nodes)
-    return marked.join(final, "fp").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    digits = F.concat(*(F.lpad(F.lower(F.hex(x)), 16, "0") for x in fp))
+    return marked.join(final, fp).select(id_col, *fp, digits.alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, plan: Plan | None = None, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component: the one with the smallest id.
+
+    A document without id cannot be named as a copy and stays; of rows that share the smallest id one stays.
+    """
+    marked = near_duplicates(docs, plan, shingle, id_col, text_col)
+    copies = marked.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_copy")).distinct()
+    kept = docs.join(copies, F.col(id_col) == F.col("_copy"), "left_anti")
+    repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_repeated")).count().filter("count > 1").select("_repeated")
+    repeated = stash(repeated, "repeated")
+    if repeated.isEmpty():
+        return kept
+    again = F.col(id_col) == F.col("_repeated")
+    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([id_col]))
