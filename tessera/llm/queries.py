@@ -7,14 +7,26 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import bpe, quality, secrets, sharding, simhash, url_filter
+from tessera.llm import bpe, langid, quality, secrets, sharding, simhash, url_filter
 from tessera.llm.common import ship_code, table
 
 
+def fold(doc_id, n: int):
+    """crc32 of the id as text, modulo n; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.within(2), shingle=3).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    found = langid.identify(docs, docs.filter(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), outputs=("digests",))
 
@@ -37,7 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", F.round("rate", 6).alias("rate"), F.round("upper", 6).alias("upper"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_bpe, op5_quality, op8_secrets, op9_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_langid, op4_bpe, op5_quality, op8_secrets, op9_sharding, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
 
 
