@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import bpe, langid, quality, secrets, sharding, simhash, url_filter
+from tessera.llm import ann, bpe, langid, quality, secrets, sharding, simhash, url_filter
 from tessera.llm.common import ship_code, table
 
 
@@ -20,6 +20,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.within(2), shingle=3).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 0
@@ -49,7 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", F.round("rate", 6).alias("rate"), F.round("upper", 6).alias("upper"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_langid, op4_bpe, op5_quality, op8_secrets, op9_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_langid, op4_bpe, op5_quality, op8_secrets, op9_sharding, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
 
 
