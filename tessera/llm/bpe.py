@@ -138,11 +138,13 @@ def _digests(c: Codec, ids) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()
 
 
-OUTPUTS = {"ids": "ids array<int>", "text": "decoded string", "digests": "n_tokens long, ids_sha256 string, decoded_sha256 string"}
+OUTPUTS = {"count": "n_tokens long", "ids": "ids array<int>", "text": "decoded string", "digests": "n_tokens long, ids_sha256 string, decoded_sha256 string"}
 
 
 def _columns(c: Codec, outputs, rows: list) -> list[pa.Array]:
     out = []
+    if "count" in outputs:
+        out.append(pa.array([None if r is None else len(r) for r in rows], pa.int64()))
     if "ids" in outputs:
         out.append(pa.array(rows, pa.list_(pa.int32())))
     if "text" in outputs:
@@ -156,7 +158,7 @@ def _columns(c: Codec, outputs, rows: list) -> list[pa.Array]:
 def encode_decode(docs: DataFrame, path: str, outputs=("ids",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, without added special tokens, and decode the ids again.
 
-    outputs: of `ids`, `text` (decoded) and `digests` (n_tokens, SHA-256 of the comma-joined ids and of the decoded text).
+    outputs: of `count` (n_tokens), `ids`, `text` (decoded) and `digests` (n_tokens, SHA-256 of the comma-joined ids and of the decoded text).
     Strings of special tokens inside a text become those tokens, as in the tokenizers library. A null text counts as
     empty (no ids, empty decoded text); ids that are null or repeated give one result a row; other columns are ignored.
     """
