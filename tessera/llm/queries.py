@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import ann, bpe, langid, packing, quality, secrets, sharding, simhash, url_filter
+from tessera.llm import ann, bpe, langid, lm, packing, quality, secrets, sharding, simhash, url_filter
 from tessera.llm.common import ship_code, table
 
 
@@ -39,6 +39,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -57,7 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", F.round("rate", 6).alias("rate"), F.round("upper", 6).alias("upper"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_langid, op4_bpe, op5_quality, op7_packing, op8_secrets, op9_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_langid, op4_bpe, op5_quality, op6_lm, op7_packing, op8_secrets, op9_sharding, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
 
 
