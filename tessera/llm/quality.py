@@ -132,7 +132,7 @@ def apply_quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float
 
     Nulls, ties and repeated rows as in quality_report.
     """
-    packed = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.col(text_col).cast("string").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_rest"))
+    packed = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.col(text_col).cast("string").alias("_text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_rest"))
     passed = _judged(packed, ["_text"], min_docs, share).filter("kept")
 
     def strip(batches):

@@ -107,3 +107,23 @@ def redact(text: str, spans) -> str:
             out += [text[at:s], "[SECRET]"]
         at = max(at, e)
     return "".join(out) + text[at:]
+
+
+def without_secrets(docs: DataFrame, vocabulary_path: str, max_ratio: float = MAX_RATIO, text_col: str = "text") -> DataFrame:
+    """docs with each secret span replaced by `[SECRET]`; all columns, in their order; null texts stay null."""
+
+    def scan(batches):
+        encoding = vocabulary(vocabulary_path)
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                if text:
+                    base = base_spans(text)
+                    if spans := base + random_spans(text, base, encoding, max_ratio):
+                        text = redact(text, spans)
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], ["_text", "_rest"])
+
+    slim = docs.select(F.col(text_col).cast("string").alias("_text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_rest"))
+    done = slim.mapInArrow(scan, slim.schema)
+    return done.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_rest.`{c}`") for c in docs.columns])

@@ -12,6 +12,9 @@ balls of radius 1 over twelve 20-bit segments find pairs with the chances given
 Texts with equal fingerprints count as one (so a group of copies costs one entry). What meets under one key is linked
 inside the task as a forest, never as all pairs: only connections are needed. Keys with many entries are dealt
 to blocks of bounded size, and whatever looks such a key up visits all its blocks.
+
+For a similarity threshold the links are held against the exact Jaccard similarity of the shingle sets at last, so that
+only pairs that reach it connect documents. The forests are those of least distances, the likeliest to pass.
 """
 
 from __future__ import annotations
@@ -40,11 +43,12 @@ BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astyp
 
 
 class Plan(NamedTuple):
-    """words of a fingerprint; its segments (word, first bit, bits, ball radius); the distance up to which it links."""
+    """words of a fingerprint; its segments (word, first bit, bits, ball radius); the distance up to which it links; the similarity that links must have."""
 
     words: int
     segments: tuple[tuple[int, int, int, int], ...]
     distance: int
+    similarity: float | None = None
 
 
 def within(distance: int) -> Plan:
@@ -58,13 +62,13 @@ def similar(similarity: float) -> Plan:
     """256-bit fingerprints of shingle sets with this Jaccard similarity or more.
 
     Sets of equal size with Jaccard similarity j have cosine 2j / (1 + j) and differ in arccos(cosine) / pi of the bits;
-    half a standard deviation of 256 bits is added (42 bits for 0.8), so that most pairs at the very threshold are in.
+    a standard deviation of 256 bits is added (44 bits for 0.8), so that most pairs at the very threshold are looked at.
     Twelve 20-bit segments with balls of radius 1 find a pair of similarity 0.8, 0.85, 0.9 or 0.95 with a chance of 0.89,
     0.97, 0.99 or 1.00; a third text of the same group often links what a pair misses.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     spread = math.sqrt(share * (1 - share) / 256)
-    return Plan(4, tuple((w, 20 * i, 20, 1) for w in range(4) for i in range(3)), round(256 * (share + spread / 2)))
+    return Plan(4, tuple((w, 20 * i, 20, 1) for w in range(4) for i in range(3)), int(256 * (share + spread)), similarity)
 
 
 def shingle_fingerprint(text: str, shingle: int, words: int = 1) -> tuple[int, ...]:
@@ -87,17 +91,17 @@ def shingle_fingerprint(text: str, shingle: int, words: int = 1) -> tuple[int, .
     return tuple(np.packbits(ones).view(">i8").tolist())
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id_col and f0, f1, ... (long) of every row; a null text has zeros, as one without words."""
+def fingerprints(docs: DataFrame, shingle: int, words: int, id_col: str, text_col: str, text_key) -> DataFrame:
+    """id_col, text_key (a long column) and f0, f1, ... (long) of every row; a null text has zeros, as one without words."""
     names = [f"f{i}" for i in range(words)]
 
     def run(batches):
         for batch in batches:
             fps = [shingle_fingerprint(t or "", shingle, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in fps], pa.int64()) for i in range(words))], [id_col, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([f[i] for f in fps], pa.int64()) for i in range(words))], [id_col, "text_key", *names])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, {', '.join(f'{n} long' for n in names)}")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string"), text_key).mapInArrow(run, f"`{id_col}` {id_type}, text_key long, {', '.join(f'{n} long' for n in names)}")
 
 
 def _lookups(plan: Plan) -> str:
@@ -114,12 +118,12 @@ def _lookups(plan: Plan) -> str:
     return f"concat({', '.join(out)})"
 
 
-def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    """Whether each row of a and each row of b differ in at most distance bits."""
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of a and each row of b."""
     apart = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.uint16)
     for i in range(1, a.shape[1]):
         apart += np.bitwise_count(a[:, None, i] ^ b[None, :, i])
-    return apart <= distance
+    return apart
 
 
 class _Bucket:
@@ -132,29 +136,37 @@ class _Bucket:
         self.waiting.append((nodes, fps))
 
     def _close(self) -> None:
-        """Group the entries: grow each group from its first entry until nothing near is left outside."""
+        """Link the entries by forests of least distances: each group grows by the entry nearest to any of its own."""
         self.nodes, self.fps = (np.concatenate(x) for x in zip(*self.waiting))
-        self.roots, left = self.nodes.copy(), np.arange(len(self.nodes))
-        while len(left):
-            root, front, left = left[0], left[:1], left[1:]
-            while len(front) and len(left):
-                near = np.zeros(len(left), bool)
-                for i in range(0, len(front), CHUNK):
-                    near |= _near(self.fps[front[i : i + CHUNK]], self.fps[left], self.distance).any(axis=0)
-                front, left = left[near], left[~near]
-                self.roots[front] = self.nodes[root]
-        away = self.roots != self.nodes
-        self.links.append(np.stack([self.nodes[away], self.roots[away]], axis=1))
+        self.roots, left, links = np.arange(len(self.nodes)), np.arange(len(self.nodes)), []
+        while len(left) > 1:
+            root = at = left[0]
+            left = left[1:]
+            best, parent = _apart(self.fps[at : at + 1], self.fps[left])[0], np.full(len(left), at)
+            while len(left) and best[i := int(best.argmin())] <= self.distance:
+                at = left[i]
+                links.append((self.nodes[at], self.nodes[parent[i]]))
+                self.roots[at] = root
+                left, best, parent = (np.delete(x, i) for x in (left, best, parent))
+                now = _apart(self.fps[at : at + 1], self.fps[left])[0]
+                nearer = now < best
+                best[nearer], parent[nearer] = now[nearer], at
+        self.links.append(np.array(links, np.int64).reshape(-1, 2))
 
     def probes(self, nodes, fps) -> None:
+        """Link each with the nearest entry of every group within the distance."""
         if not self.waiting:
             return
         if self.nodes is None:
             self._close()
         for i in range(0, len(nodes), CHUNK):
-            p, t = np.nonzero(_near(fps[i : i + CHUNK], self.fps, self.distance))
+            apart = _apart(fps[i : i + CHUNK], self.fps)
+            p, t = np.nonzero(apart <= self.distance)
             if len(p):
-                self.links.append(np.unique(np.stack([nodes[i : i + CHUNK][p], self.roots[t]], axis=1), axis=0))
+                order = np.lexsort((apart[p, t], self.roots[t], p))
+                p, t = p[order], t[order]
+                first = np.concatenate(([True], (p[1:] != p[:-1]) | (self.roots[t[1:]] != self.roots[t[:-1]])))
+                self.links.append(np.stack([nodes[i : i + CHUNK][p[first]], self.nodes[t[first]]], axis=1))
 
     def close(self) -> np.ndarray:
         if self.waiting and self.nodes is None:
@@ -210,6 +222,33 @@ def fingerprint_links(distinct: DataFrame, plan: Plan) -> DataFrame:
     return rows.repartition("key", "block").sortWithinPartitions("key", "block", "probe").mapInArrow(_link(plan), "u long, v long")
 
 
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles): the distinct hashes of the shingles of each text. texts: node, text."""
+
+    def run(batches):
+        for batch in batches:
+            sets = []
+            for text in batch.column(1).to_pylist():
+                w = (text or "").encode().lower().split()
+                parts = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) > shingle else [b" ".join(w)] * bool(w)
+                sets.append(np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(p, SEED) for p in parts]), ">i8").astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>")
+
+
+def similar_links(links: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links whose texts' shingle sets have this Jaccard similarity or more. nodes: node, text_key; texts: text_key, text."""
+    links = stash(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct().join(nodes, "node").select("node", "text_key")
+    ends = stash(ends, "ends")
+    met = texts.join(F.broadcast(ends) if fits(ends, BROADCAST_ROWS) else ends, "text_key")
+    sets = stash(shingle_sets(met.groupBy("node").agg(F.min("text").alias("text")), shingle), "shingles")
+    u, v = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
+    common = F.size(F.array_intersect("su", "sv"))
+    return links.join(u, "u").join(v, "v").filter(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, plan: Plan | None = None, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Component of every row under the links of a plan, by default those of similarity 0.8 over five-word shingles.
 
@@ -220,10 +259,14 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, shingle: int = 5,
     """
     plan = plan or similar(0.8)
     fp = [f"f{i}" for i in range(plan.words)]
-    marked = stash(fingerprints(docs, shingle, plan.words, id_col, text_col), "fingerprints")
+    text_key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_key")
+    marked = stash(fingerprints(docs, shingle, plan.words, id_col, text_col, text_key), "fingerprints")
     node = F.col("f0") if plan.words == 1 else F.xxhash64(*fp)
-    nodes = stash(marked.groupBy(*fp).agg(F.min(id_col).alias("least")).withColumn("node", node), "nodes")
-    roots = components(fingerprint_links(nodes.select("node", *fp), plan)).withColumnRenamed("node", "linked")
+    nodes = stash(marked.groupBy(*fp).agg(F.min(id_col).alias("least"), F.min("text_key").alias("text_key")).withColumn("node", node), "nodes")
+    links = fingerprint_links(nodes.select("node", *fp), plan)
+    if plan.similarity is not None:
+        links = similar_links(links, nodes, docs.select(text_key, F.col(text_col).cast("string").alias("text")), shingle, plan.similarity)
+    roots = components(links).withColumnRenamed("node", "linked")
     rooted = nodes.join(roots, F.col("node") == F.col("linked"), "left").select(*fp, "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     final = stash(rooted.join(named, "root").select(*fp, "component_id"), "components")
