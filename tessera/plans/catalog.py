@@ -1,6 +1,8 @@
-"""Named queries over the fixture tables, each with its SQL twin."""
+"""All named queries over the fixture tables, and the SQL twins that they are held against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessera.plans import retrieval  # noqa: F401  registers its queries
+from tessera.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
