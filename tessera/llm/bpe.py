@@ -23,7 +23,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import pre_tokenizers
 
 from tessera.llm.common import stash
 
@@ -44,12 +44,12 @@ def byte_alphabet() -> dict[str, int]:
 
 class Codec:
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
         with open(path) as f:
             file = json.load(f)
         split, model = file["pre_tokenizer"], file["model"]
         if split["type"] != "ByteLevel" or not split["use_regex"] or split["add_prefix_space"] or file["normalizer"] or model["type"] != "BPE" or model.get("dropout"):
             raise ValueError("only plain byte-level BPE tokenizers are handled")
+        self.splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.alphabet = byte_alphabet()
         ranks = {bytes(self.alphabet[c] for c in t): i for t, i in model["vocab"].items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -91,7 +91,7 @@ class Codec:
                 if self.plain(block):
                     yield -1, block.encode()
                     continue
-                for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(block):
+                for piece, _ in self.splitter.pre_tokenize_str(block):
                     data = bytes(self.alphabet[c] for c in piece)
                     for i in range(0, len(data), LEAF):
                         yield number, data[i : i + LEAF]

@@ -55,13 +55,22 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+#: Arrow batches of texts are bounded by bytes, not only by rows, so that very long texts do not add up in a Python worker.
+BATCH_BYTES = 4 << 20
+#: Python workers give memory back between batches instead of keeping what their largest one took.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
+    """Let Python workers import this package from where the driver found it, in bounded memory."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     old = env.get("PYTHONPATH", "")
     if root not in old.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, old) if x)
+    for k, v in WORKER_MEMORY.items():
+        env.setdefault(k, v)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_of(col: str = "text"):
