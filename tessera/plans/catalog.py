@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import retrieval  # noqa: F401  registers its queries
+from tessera.plans import analytics, network, retrieval  # noqa: F401  they register their queries
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
