@@ -63,7 +63,30 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_langid, op4_bpe, op5_quality, op6_lm, op7_packing, op8_secrets, op9_sharding, op10_url_filter)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _strength_sql(groups: str) -> str:
+    return f"""(SELECT CASE WHEN count(*) < 2 THEN 10.0::DOUBLE ELSE round(least(1000.0::DOUBLE, greatest(1.0::DOUBLE, CASE WHEN avg((k / n - mean) * (k / n - mean)) > avg(mean * (1 - mean) / n)
+        THEN mean * (1 - mean) / (avg((k / n - mean) * (k / n - mean)) - avg(mean * (1 - mean) / n)) - 1 ELSE 1000 END)), 3) END FROM {groups}, overall WHERE n > 0 GROUP BY mean)"""
+
+
+URL_FILTER_SQL = f"""WITH parts AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+marks AS (SELECT doc_id, min(CASE WHEN coalesce(toxic, 0) = 1 THEN 0 WHEN quality = 1 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+hosts AS (SELECT host, split_part(host, '.', -1) AS suffix, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k FROM parts LEFT JOIN marks ON page_id = doc_id GROUP BY 1),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY 1),
+overall AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS mean FROM suffixes),
+strengths AS (SELECT mean, coalesce({_strength_sql('suffixes')}, 10) AS s0, coalesce({_strength_sql('domains')}, 10) AS s1, coalesce({_strength_sql('hosts')}, 10) AS s2 FROM overall),
+by_suffix AS (SELECT suffix, (k + mean * s0) / (n + s0) AS rate FROM suffixes, strengths),
+by_domain AS (SELECT domain, (k + rate * s1) / (n + s1) AS rate FROM domains JOIN by_suffix USING (suffix), strengths),
+by_host AS (SELECT host, n, s2, (k + rate * s2) / (n + s2) AS rate FROM hosts JOIN by_domain USING (domain), strengths),
+bounded AS (SELECT host, n::BIGINT AS n_labelled, rate, least(1.0::DOUBLE, rate + 1.645::DOUBLE * sqrt(rate * (1 - rate) / (n + s2 + 1))) AS upper FROM by_host),
+ruled AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN upper < 0.5 THEN 'block' ELSE 'allow' END AS verdict, n_labelled, round(rate, 6) AS rate, round(upper, 6) AS upper
+FROM ruled JOIN bounded USING (host)"""
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": URL_FILTER_SQL}
 
 
 def shipped(f):

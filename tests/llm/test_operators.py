@@ -328,3 +328,14 @@ def test_queries_give_the_contracts_columns(spark):
     for name, columns in want.items():
         assert set(columns.split()) <= set(Q.QUERIES[name](spark, SF).columns), name
     assert json.dumps(sorted(Q.QUERIES))
+
+
+def test_url_filter_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = Q.op10_url_filter(spark, SF)
+    want = con.execute(Q.ORACLE_SQL["op10_url_filter"]).fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
