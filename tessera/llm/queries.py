@@ -86,7 +86,24 @@ ruled AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN upper < 0.5 THEN 'block' ELSE 'allow' END AS verdict, n_labelled, round(rate, 6) AS rate, round(upper, 6) AS upper
 FROM ruled JOIN bounded USING (host)"""
-ORACLE_SQL: dict[str, str] = {"op10_url_filter": URL_FILTER_SQL}
+WORD_SQL = r"'[^\x20\x09-\x0D]+'"
+QUALITY_SQL = f"""WITH split AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(t, {WORD_SQL}) AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORD_SQL})) AS lines FROM documents),
+placed AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM split),
+grams AS (SELECT r, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g FROM placed WINDOW o AS (PARTITION BY r ORDER BY i)),
+often AS (SELECT r, i FROM grams WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+repeats AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, i + unnest([0, 1, 2, 3, 4]) AS place FROM often) GROUP BY r),
+lines AS (SELECT r, doc_id, source, t, array_to_string(regexp_extract_all(translate(x, '{url_filter.UPPER}123456789', '{url_filter.LOWER}000000000'), {WORD_SQL}), ' ') AS key, len(regexp_extract_all(x, {WORD_SQL})) AS n
+    FROM (SELECT r, doc_id, source, t, unnest(lines) AS x FROM split)),
+hosts AS (SELECT source, count(DISTINCT t) AS texts FROM split GROUP BY 1),
+counted AS (SELECT source, key, min(doc_id) AS first, count(DISTINCT t) AS texts_with FROM lines GROUP BY ALL),
+shared AS (SELECT counted.* FROM counted JOIN hosts ON counted.source IS NOT DISTINCT FROM hosts.source WHERE texts_with > {quality.MIN_DOCS} AND texts_with > {quality.SHARE}::DOUBLE * texts),
+removed AS (SELECT r, sum(n)::BIGINT AS n FROM lines JOIN shared ON lines.source IS NOT DISTINCT FROM shared.source AND lines.key = shared.key WHERE first IS NULL OR doc_id IS DISTINCT FROM first GROUP BY r),
+measured AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS n_removed_words FROM split LEFT JOIN repeats USING (r) LEFT JOIN removed USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT base_failed AND n_words - n_removed_words >= greatest({quality.LEAST_WORDS}, {quality.LEAST_SHARE}::DOUBLE * n_words) AS kept FROM measured"""
+ORACLE_SQL: dict[str, str] = {"op5_quality": QUALITY_SQL, "op10_url_filter": URL_FILTER_SQL}
 
 
 def shipped(f):
