@@ -103,7 +103,32 @@ measured AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\\
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS n_removed_words FROM split LEFT JOIN repeats USING (r) LEFT JOIN removed USING (r))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     NOT base_failed AND n_words - n_removed_words >= greatest({quality.LEAST_WORDS}, {quality.LEAST_SHARE}::DOUBLE * n_words) AS kept FROM measured"""
-ORACLE_SQL: dict[str, str] = {"op5_quality": QUALITY_SQL, "op10_url_filter": URL_FILTER_SQL}
+
+
+def _crc_step(n: int) -> int:
+    """CRC-32 of half a byte."""
+    for _ in range(4):
+        n = n >> 1 ^ 0xEDB88320 * (n & 1)
+    return n
+
+
+def _round_sql(value: str, key: int) -> str:
+    return f"('0x' || substr(md5({value} || ':{key}'), 1, 12))::BIGINT"
+
+
+#: Checksums go over half bytes, the lower first; rows walk the Feistel network until they are below n.
+SHARDING_SQL = f"""WITH RECURSIVE sized AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+halves AS (SELECT doc_id, octet_length(encode(t)) + 1 AS size, list_transform(list_filter(string_split(regexp_replace(hex(encode(t)), '(.)(.)', '\\2\\1', 'g'), ''), lambda c: c <> ''), lambda c: strpos('0123456789ABCDEF', c) - 1) AS h FROM sized),
+summed AS (SELECT doc_id, size, xor(4294967295::BIGINT, list_reduce(h, lambda crc, x: xor(crc >> 4, {[_crc_step(i) for i in range(16)]}[1 + (xor(crc, x) & 15)]), 4294967295::BIGINT)) AS text_crc32 FROM halves),
+numbered AS (SELECT *, row_number() OVER (ORDER BY {_round_sql("concat_ws(':', doc_id, size, text_crc32)", 0)} % 4096, doc_id NULLS FIRST, size, text_crc32) - 1 AS x FROM summed),
+radix AS (SELECT n, CASE WHEN (isqrt - 1) * (isqrt - 1) >= n THEN isqrt - 1 WHEN isqrt * isqrt >= n THEN isqrt ELSE isqrt + 1 END AS a FROM (SELECT count(*) AS n, greatest(1, ceil(sqrt(count(*))))::BIGINT AS isqrt FROM numbered)),
+bases AS (SELECT n, a, (n + a - 1) // a AS b FROM radix),
+walks AS (SELECT x, x AS p, false AS passed FROM numbered
+    UNION ALL SELECT x, l2 * b + r2, true FROM (SELECT *, (r1 + {_round_sql('l2', 3)}) % b AS r2 FROM (SELECT *, (l1 + {_round_sql('r1', 2)}) % a AS l2 FROM (SELECT *, (r0 + {_round_sql('l1', 1)}) % b AS r1
+        FROM (SELECT *, (p // b + {_round_sql('r0', 0)}) % a AS l1 FROM (SELECT *, p % b AS r0 FROM walks, bases WHERE NOT passed OR p >= n)))))),
+placed AS (SELECT x, p FROM walks, bases WHERE passed AND p < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % 8)::INT AS shard, p // 8 AS slot, NULL::INT AS grown_shard FROM numbered JOIN placed USING (x)"""
+ORACLE_SQL: dict[str, str] = {"op9_sharding": SHARDING_SQL, "op5_quality": QUALITY_SQL, "op10_url_filter": URL_FILTER_SQL}
 
 
 def shipped(f):

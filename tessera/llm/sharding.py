@@ -27,6 +27,12 @@ def _div(x: Column, k: int) -> Column:
     return F.call_function("div", x, F.lit(k).cast("long"))
 
 
+def _hashed(x: Column, key: int) -> Column:
+    """48 bits of an MD5 sum: a hash that other engines have as well."""
+    digits = F.substring(F.md5(F.concat_ws(":", x.cast("string"), F.lit(key).cast("string")).cast("binary")), 1, 12)
+    return F.conv(digits, 16, 10).cast("long")
+
+
 def _network(x: Column, a: int, b: int, seed: int) -> Column:
     """One pass of the Feistel network over pairs (left < a, right < b), numbered left * b + right."""
     right = F.pmod(x, F.lit(b)).cast("long")
@@ -34,9 +40,9 @@ def _network(x: Column, a: int, b: int, seed: int) -> Column:
     for i in range(ROUNDS):
         key = seed * 1_000 + i
         if i % 2 == 0:
-            left = F.pmod(left + F.pmod(F.xxhash64(right, F.lit(key)), F.lit(a)), F.lit(a))
+            left = F.pmod(left + F.pmod(_hashed(right, key), F.lit(a)), F.lit(a))
         else:
-            right = F.pmod(right + F.pmod(F.xxhash64(left, F.lit(key)), F.lit(b)), F.lit(b))
+            right = F.pmod(right + F.pmod(_hashed(left, key), F.lit(b)), F.lit(b))
     return left * F.lit(b) + right
 
 
@@ -62,7 +68,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 0, buckets: in
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     kinds = rows.groupBy(id_col, "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
-    kinds = kinds.withColumn("bucket", F.pmod(F.xxhash64(id_col, "size", "text_crc32"), F.lit(buckets)).cast("int"))
+    kinds = kinds.withColumn("bucket", F.pmod(_hashed(F.concat_ws(":", F.col(id_col).cast("string"), "size", "text_crc32"), seed), F.lit(buckets)).cast("int"))
     # One row per bucket, so this window and the broadcast are bounded by the number of buckets.
     filled = kinds.groupBy("bucket").agg(F.sum("copies").alias("filled"))
     firsts = filled.select("bucket", (F.sum("filled").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("filled")).alias("first"))
