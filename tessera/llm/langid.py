@@ -14,9 +14,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The bounded sample that the dictionaries are made of: of the texts of a language with at most TEXT_BYTES bytes the first
-#: so many by a hash of the text, in that order, as many of them whole as fit into so many bytes.
-TEXT_BYTES, SAMPLE_TEXTS, SAMPLE_BYTES = 4096, 600, 262_144
+#: The bounded sample that the dictionaries are made of. The distinct texts of a language with at most TEXT_BYTES bytes fall
+#: into PARTS parts by a hash; the first SAMPLE_TEXTS / PARTS of each part, in the order of their place there and of the hash, are taken
+#: whole as long as they fit into SAMPLE_BYTES bytes.
+TEXT_BYTES, SAMPLE_TEXTS, PARTS, SAMPLE_BYTES = 4096, 600, 60, 262_144
 LEVEL = 6
 #: Narrower margins are rejected.
 MARGIN = 0.004
@@ -29,14 +30,19 @@ def reduced(text: str) -> bytes:
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str) -> dict[str, bytes]:
-    """Dictionary content by language, from at most SAMPLE_TEXTS texts of each."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    fit = known.filter(F.octet_length("text").between(1, TEXT_BYTES))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    few = fit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_TEXTS)
-    upto = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    """Dictionary content by language, from at most SAMPLE_TEXTS texts of each.
+
+    Hashes are ranked, each part by itself, and only the texts of the chosen ones are fetched: what is broadcast and collected is bounded by
+    the number of languages.
+    """
+    known = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    fit = known.filter(F.octet_length("text").between(1, TEXT_BYTES)).withColumn("hash", F.xxhash64("text"))
+    sizes = fit.groupBy("lang", "hash").agg(F.max(F.octet_length("text") + 1).alias("bytes")).withColumn("part", F.pmod("hash", F.lit(PARTS)))
+    few = sizes.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy("hash"))).filter(F.col("place") <= SAMPLE_TEXTS // PARTS)
+    upto = F.sum("bytes").over(Window.partitionBy("lang").orderBy("place", "hash").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = few.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).select("lang", "hash", "place")
     out: dict[str, list] = {}
-    for r in few.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).orderBy("lang", "rank").collect():
+    for r in fit.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "place", "hash").agg(F.min("text").alias("text")).orderBy("lang", "place", "hash").collect():
         out.setdefault(r.lang, []).append(reduced(r.text))
     return {k: b" ".join(v) for k, v in out.items()}
 
