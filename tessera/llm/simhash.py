@@ -62,13 +62,13 @@ def similar(similarity: float) -> Plan:
     """256-bit fingerprints of shingle sets with this Jaccard similarity or more.
 
     Sets of equal size with Jaccard similarity j have cosine 2j / (1 + j) and differ in arccos(cosine) / pi of the bits;
-    a standard deviation of 256 bits is added (44 bits for 0.8), so that most pairs at the very threshold are looked at.
+    three standard deviations of 256 bits are added (55 bits for 0.8), so that pairs at the very threshold are looked at.
     Twelve 20-bit segments with balls of radius 1 find a pair of similarity 0.8, 0.85, 0.9 or 0.95 with a chance of 0.89,
     0.97, 0.99 or 1.00; a third text of the same group often links what a pair misses.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     spread = math.sqrt(share * (1 - share) / 256)
-    return Plan(4, tuple((w, 20 * i, 20, 1) for w in range(4) for i in range(3)), int(256 * (share + spread)), similarity)
+    return Plan(4, tuple((w, 20 * i, 20, 1) for w in range(4) for i in range(3)), int(256 * (share + 3 * spread)), similarity)
 
 
 def shingle_fingerprint(text: str, shingle: int, words: int = 1) -> tuple[int, ...]:
@@ -219,7 +219,7 @@ def fingerprint_links(distinct: DataFrame, plan: Plan) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.when((b == own) & (F.col("probe") == 0), 0).otherwise(1).alias("probe")))
     )
     rows = dealt.select("key", "node", *fp, F.explode(visits).alias("x")).select("key", "x.block", "x.probe", "node", *fp)
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "probe").mapInArrow(_link(plan), "u long, v long")
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "probe", "node").mapInArrow(_link(plan), "u long, v long")
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
