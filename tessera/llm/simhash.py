@@ -1,6 +1,7 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A text's fingerprint takes, for each bit, the majority over the hashes of its word shingles. A fingerprint has one
+A text's fingerprint takes, for each bit, the majority over the hashes of its word shingles (of the distinct ones where a
+similarity of shingle sets is asked for). A fingerprint has one
 or more 64-bit words, cut into segments; it is entered in one table per segment and looks up the Hamming ball of a small
 radius around each. Whatever meets in a table is held against the complete distance. Of two neighbours inside a ball only the
 one with fewer set bits (or the smaller) looks up the other, which halves each ball.
@@ -9,7 +10,8 @@ With one 64-bit word and two 32-bit segments, balls of radius d // 2 and d - d /
 that exceeds both radii exceeds d. Similarity thresholds need wider fingerprints and many more differing bits, where
 balls of radius 1 over twelve 20-bit segments find pairs with the chances given at SIMILAR.
 
-Texts with equal fingerprints count as one (so a group of copies costs one entry). What meets under one key is linked
+Texts with equal fingerprints count as one (so a group of copies costs one entry); with a similarity threshold only those
+with equal shingle sets do. What meets under one key is linked
 inside the task as a forest, never as all pairs: only connections are needed. Keys with many entries are dealt
 to blocks of bounded size, and whatever looks such a key up visits all its blocks.
 
@@ -71,17 +73,16 @@ def similar(similarity: float) -> Plan:
     return Plan(4, tuple((w, 20 * i, 20, 1) for w in range(4) for i in range(3)), int(256 * (share + 3 * spread)), similarity)
 
 
-def shingle_fingerprint(text: str, shingle: int, words: int = 1) -> tuple[int, ...]:
-    """SimHash over shingles of so many words, as signed longs; zeros for a text without words."""
+def _shingles(text: str, shingle: int):
+    """The shingles of so many words in their order, repeats included; a shorter text is one, a text without words none."""
     w = text.encode().lower().split()
-    if not w:
+    return map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) > shingle else [b" ".join(w)] * bool(w)
+
+
+def _majority(hashes: bytes, words: int) -> tuple[int, ...]:
+    """The majority of each bit over hashes of so many 64-bit words, as signed longs; zeros without hashes."""
+    if not hashes:
         return (0,) * words
-    parts = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) > shingle else [b" ".join(w)]
-    if words == 1:
-        hashes = b"".join([xxhash.xxh64_digest(p, SEED) for p in parts])
-    else:
-        seeds = range(SEED, SEED + words // 2)
-        hashes = b"".join([xxhash.xxh3_128_digest(p, s) for p in parts for s in seeds])
     width = 8 * words
     n = len(hashes) // width
     lanes, offsets, counts = np.frombuffer(hashes, np.uint8).reshape(n, width), np.arange(width) * 256, np.zeros(width * 256, np.int64)
@@ -91,14 +92,30 @@ def shingle_fingerprint(text: str, shingle: int, words: int = 1) -> tuple[int, .
     return tuple(np.packbits(ones).view(">i8").tolist())
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int, id_col: str, text_col: str, text_key) -> DataFrame:
-    """id_col, text_key (a long column) and f0, f1, ... (long) of every row; a null text has zeros, as one without words."""
-    names = [f"f{i}" for i in range(words)]
+def shingle_fingerprint(text: str, shingle: int) -> tuple[int, ...]:
+    """One-word SimHash over the shingles, repeats counted."""
+    return _majority(b"".join([xxhash.xxh64_digest(p, SEED) for p in _shingles(text, shingle)]), 1)
+
+
+def set_fingerprint(text: str, shingle: int, words: int) -> tuple[int, ...]:
+    """A hash of the set of distinct shingles, then its SimHash: texts with equal sets have equal ones, whatever they repeat."""
+    seeds = range(SEED, SEED + words // 2)
+    hashes = sorted(b"".join([xxhash.xxh3_128_digest(p, s) for s in seeds]) for p in set(_shingles(text, shingle)))
+    joined = b"".join(hashes)
+    return (xxhash.xxh3_64_intdigest(joined) - (1 << 63), *_majority(joined, words))
+
+
+def fingerprints(docs: DataFrame, shingle: int, plan: Plan, id_col: str, text_col: str, text_key) -> DataFrame:
+    """id_col, text_key (a long column) and f0, f1, ... (long) of every row, with a similarity set_key before these; a null text is as one without words."""
+    names = [f"f{i}" for i in range(plan.words)]
+    if plan.similarity is not None:
+        names.insert(0, "set_key")
 
     def run(batches):
         for batch in batches:
-            fps = [shingle_fingerprint(t or "", shingle, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([f[i] for f in fps], pa.int64()) for i in range(words))], [id_col, "text_key", *names])
+            texts = batch.column(1).to_pylist()
+            fps = [shingle_fingerprint(t or "", shingle) if plan.similarity is None else set_fingerprint(t or "", shingle, plan.words) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([f[i] for f in fps], pa.int64()) for i in range(len(names)))], [id_col, "text_key", *names])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).cast("string"), text_key).mapInArrow(run, f"`{id_col}` {id_type}, text_key long, {', '.join(f'{n} long' for n in names)}")
@@ -229,9 +246,8 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             sets = []
             for text in batch.column(1).to_pylist():
-                w = (text or "").encode().lower().split()
-                parts = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) > shingle else [b" ".join(w)] * bool(w)
-                sets.append(np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(p, SEED) for p in parts]), ">i8").astype(np.int64)))
+                hashes = b"".join([xxhash.xxh64_digest(p, SEED) for p in _shingles(text or "", shingle)])
+                sets.append(np.unique(np.frombuffer(hashes, ">i8").astype(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     return texts.mapInArrow(run, "node long, shingles array<long>")
@@ -255,24 +271,25 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, shingle: int = 5,
     Returns id_col, f0, f1, ... (the fingerprint), fingerprint (its hex digits), component_id (the smallest id of the
     component; null if all its ids are null). Null and word-free texts have the fingerprint zero and are linked like any
     other; shorter texts are one shingle; repeated rows share fingerprint and component; an empty table gives an empty
-    result; other columns are ignored. Nodes of wide fingerprints are named by a 64-bit hash of them.
+    result; other columns are ignored. Nodes of wide fingerprints are named by a 64-bit hash of them and of the shingle set.
     """
     plan = plan or similar(0.8)
     fp = [f"f{i}" for i in range(plan.words)]
     text_key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_key")
-    marked = stash(fingerprints(docs, shingle, plan.words, id_col, text_col, text_key), "fingerprints")
-    node = F.col("f0") if plan.words == 1 else F.xxhash64(*fp)
-    nodes = stash(marked.groupBy(*fp).agg(F.min(id_col).alias("least"), F.min("text_key").alias("text_key")).withColumn("node", node), "nodes")
+    marked = stash(fingerprints(docs, shingle, plan, id_col, text_col, text_key), "fingerprints")
+    same = fp if plan.similarity is None else ["set_key", *fp]
+    node = F.col("f0") if same == ["f0"] else F.xxhash64(*same)
+    nodes = stash(marked.groupBy(*same).agg(F.min(id_col).alias("least"), F.min("text_key").alias("text_key")).withColumn("node", node), "nodes")
     links = fingerprint_links(nodes.select("node", *fp), plan)
     if plan.similarity is not None:
         links = similar_links(links, nodes, docs.select(text_key, F.col(text_col).cast("string").alias("text")), shingle, plan.similarity)
     roots = components(links).withColumnRenamed("node", "linked")
-    rooted = nodes.join(roots, F.col("node") == F.col("linked"), "left").select(*fp, "least", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(roots, F.col("node") == F.col("linked"), "left").select(*same, "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = stash(rooted.join(named, "root").select(*fp, "component_id"), "components")
+    final = stash(rooted.join(named, "root").select(*same, "component_id"), "components")
     unstash(nodes)
     digits = F.concat(*(F.lpad(F.lower(F.hex(x)), 16, "0") for x in fp))
-    return marked.join(final, fp).select(id_col, *fp, digits.alias("fingerprint"), "component_id")
+    return marked.join(final, same).select(id_col, *fp, digits.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, plan: Plan | None = None, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
