@@ -16,7 +16,8 @@ inside the task as a forest, never as all pairs: only connections are needed. Ke
 to blocks of bounded size, and whatever looks such a key up visits all its blocks.
 
 For a similarity threshold the links are held against the exact Jaccard similarity of the shingle sets at last, so that
-only pairs that reach it connect documents. The forests are those of least distances, the likeliest to pass.
+only pairs that reach it connect documents. The forests are those of least distances, the likeliest to pass; where links
+fail, what the forest joined is compared exactly instead.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from tessera.llm.components import components
 SEED = 42
 #: Entries of a key in one block; probes compared at once.
 BLOCK, CHUNK = 4096, 512
+#: Shingles of a group in one block of the exact comparison.
+BLOCK_SHINGLES = 1 << 18
 #: Tables of keys with several blocks are broadcast up to so many rows; each stands for over BLOCK entries.
 BROADCAST_ROWS = 200_000
 BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # by byte, highest bit first
@@ -253,8 +256,93 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
+class _Block:
+    """Exact links of one block of a group: its texts first, then texts of other blocks that visit it."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.texts, self.index, self.links = similarity, [], None, []
+        self.parent: dict[int, int] = {}
+
+    def _find(self, part: int) -> int:
+        while (up := self.parent.get(part, part)) != part:
+            part = up
+        return part
+
+    def _close(self) -> None:
+        self.nodes = np.array([x[0] for x in self.texts], np.int64)
+        self.parts = np.array([x[1] for x in self.texts], np.int64)
+        self.sizes = np.array([len(x[3]) for x in self.texts], np.int64)
+        hashes = np.concatenate([x[3] for x in self.texts])
+        order = np.argsort(hashes, kind="stable")
+        self.index, self.owners = hashes[order], np.repeat(np.arange(len(self.texts)), self.sizes)[order]
+        for node, part, small, shingles in self.texts:
+            if small:
+                self._look(node, part, shingles)
+        self.texts = []
+
+    def _look(self, node: int, part: int, shingles: np.ndarray) -> None:
+        """Link with one text of each other part that has a text similar enough."""
+        first, end = np.searchsorted(self.index, shingles), np.searchsorted(self.index, shingles, "right")
+        counts = end - first
+        at = np.repeat(first - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum()) if len(shingles) else np.zeros(0, np.int64)
+        common = np.bincount(self.owners[at], minlength=len(self.nodes))
+        like = np.flatnonzero((common > 0) & (common >= self.similarity * (self.sizes + len(shingles) - common)))
+        own = self._find(part)
+        parts, where = np.unique(self.parts[like], return_index=True)
+        for other, i in zip(parts.tolist(), like[where].tolist()):
+            if other != own:
+                self.links.append((node, int(self.nodes[i])))
+                self.parent[other] = own
+                self.parts[self.parts == other] = own
+
+    def add(self, probe: int, node: int, part: int, small: bool, shingles: np.ndarray) -> None:
+        if not probe:
+            self.texts.append((node, part, small, shingles))
+        elif self.texts or self.index is not None:
+            if self.index is None:
+                self._close()
+            self._look(node, part, shingles)
+
+    def close(self) -> list[tuple[int, int]]:
+        if self.texts and self.index is None:
+            self._close()
+        return self.links
+
+
+def _exact(similarity: float):
+    def batch_of(links):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    def run(batches):
+        block, at = _Block(similarity), None
+        for batch in batches:
+            shingles = batch.column(6)
+            names = zip(*(batch.column(i).to_pylist() for i in range(6)))
+            for i, (group, number, probe, node, part, small) in enumerate(names):
+                if at != (group, number):
+                    if links := block.close():
+                        yield batch_of(links)
+                    block, at = _Block(similarity), (group, number)
+                block.add(probe, node, part, small, shingles[i].values.to_numpy(zero_copy_only=False))
+        if links := block.close():
+            yield batch_of(links)
+
+    return run
+
+
+def _rooted(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """nodes with the root of their component under the links."""
+    roots = components(links).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return nodes.join(roots, F.col("node") == F.col("_node"), "left").withColumn(name, F.coalesce("_root", "node")).drop("_node", "_root")
+
+
 def similar_links(links: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links whose texts' shingle sets have this Jaccard similarity or more. nodes: node, text_key; texts: text_key, text."""
+    """Links of this Jaccard similarity or more of the shingle sets. nodes: node, text_key; texts: text_key, text.
+
+    The given links are checked first. Where one fails between texts that no others connect, their group under all the given links
+    may hold similar texts that its forest does not link, so the parts of such a group are compared exactly: every text outside the
+    largest part looks up all of the group, which is dealt to blocks of bounded size. Links that join no further parts are not made.
+    """
     links = stash(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
     ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct().join(nodes, "node").select("node", "text_key")
     ends = stash(ends, "ends")
@@ -262,7 +350,24 @@ def similar_links(links: DataFrame, nodes: DataFrame, texts: DataFrame, shingle:
     sets = stash(shingle_sets(met.groupBy("node").agg(F.min("text").alias("text")), shingle), "shingles")
     u, v = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
     common = F.size(F.array_intersect("su", "sv"))
-    return links.join(u, "u").join(v, "v").filter(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
+    like = common >= similarity * (F.size("su") + F.size("sv") - common)
+    checked = stash(links.join(u, "u").join(v, "v").select("u", "v", like.alias("like")), "checked")
+    passed = checked.filter("like").select("u", "v")
+    if checked.filter("not like").isEmpty():
+        return passed
+    parts = stash(_rooted(_rooted(ends.select("node"), links, "group"), passed, "part"), "parts")
+    split = stash(parts.groupBy("group").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("group"), "split")
+    open_parts = parts.join(F.broadcast(split) if fits(split, BROADCAST_ROWS) else split, "group")
+    members = stash(open_parts.join(sets, "node").select("group", "part", "node", "shingles"), "members")
+    sizes = members.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("shingles"))
+    largest = sizes.groupBy("group").agg(F.ceil(F.sum("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.max(F.struct("n", "part")).alias("largest"))
+    largest = stash(largest.select("group", F.greatest("blocks", F.lit(1)).alias("blocks"), F.col("largest.part").alias("largest")), "largest")
+    dealt = members.join(F.broadcast(largest) if fits(largest, BROADCAST_ROWS) else largest, "group").withColumn("small", F.col("part") != F.col("largest"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    visits = F.when(F.col("small"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    rows = dealt.withColumn("own", own).withColumn("block", F.explode(visits)).select("group", "block", (F.col("block") != F.col("own")).cast("int").alias("probe"), "node", "part", "small", "shingles")
+    found = rows.repartition("group", "block").sortWithinPartitions("group", "block", "probe", "node").mapInArrow(_exact(similarity), "u long, v long")
+    return passed.unionByName(found)
 
 
 def near_duplicates(docs: DataFrame, plan: Plan | None = None, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,3 +36,33 @@ def test_texts_of_one_fingerprint_pass_the_exact_check_too(spark, monkeypatch):
     made = simhash.fingerprints
     monkeypatch.setattr(simhash, "fingerprints", lambda *a: made(*a).withColumns({f"f{i}": F.lit(7).cast("long") for i in range(4)}))
     assert kept_by_similarity(spark, [" ".join(words(300, seed)) for seed in (1, 2, 1)]) == [0, 1]
+
+
+def test_groups_whose_forest_fails_are_compared_exactly(spark, monkeypatch):
+    """Edited copies of one template with similarities around the threshold, against all pairs."""
+    rng, base, texts = random.Random(3), words(200, 9), []
+    for _ in range(150):
+        own = list(base)
+        for i in rng.sample(range(200), rng.randint(2, 5)):
+            own[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want, left = [], set(range(len(texts)))
+    while left:
+        group = [min(left)]
+        want.append(group[0])
+        left.discard(group[0])
+        while group:
+            a = sets[group.pop()]
+            near = {j for j in left if len(a & sets[j]) >= 0.8 * len(a | sets[j])}
+            left -= near
+            group += near
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 4000)
+    assert len(want) > 5 and kept_by_similarity(spark, texts) == want
+
+
+def test_a_failed_link_is_replaced(spark, monkeypatch):
+    made = simhash.fingerprints
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: made(*a).withColumns({f"f{i}": F.lit(7).cast("long") for i in range(4)}))
+    texts = [" ".join(words(300, seed)) + end for seed in range(6) for end in ("", " end")]
+    assert kept_by_similarity(spark, texts) == [0, 2, 4, 6, 8, 10]
