@@ -89,31 +89,39 @@ def _measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     return stash(docs.mapInArrow(run, f"{shape}, {MEASURES}").withColumn("_row", F.monotonically_increasing_id()), "quality")
 
 
-def _removals(measured: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(_row, key) of the lines to remove."""
+def _removals(measured: DataFrame, min_docs: int, share: float, survive: bool) -> DataFrame:
+    """(_row, removed, keeper): the keys of the lines to remove of each document that has any above limits, and whether it is the one that keeps any.
+
+    To survive, a line is kept by the smallest id of those that pass the base rules, and by all of these if none has an id.
+    """
     sizes = measured.groupBy("_host", "text_key").agg(F.lit(1)).groupBy("_host").agg(F.count(F.lit(1)).alias("texts"))
-    lines = measured.select("_row", "_id", "_host", "text_key", F.explode(F.array_distinct(F.col("lines.key"))).alias("key"))
-    counted = lines.groupBy("_host", "key", "text_key").agg(F.min("_id").alias("first")).groupBy("_host", "key").agg(F.count(F.lit(1)).alias("texts_with"), F.min("first").alias("first"))
+    may = ~F.col("base_failed") if survive else F.lit(True)
+    lines = measured.select("_row", "_id", "_host", "text_key", may.alias("may"), F.explode(F.array_distinct(F.col("lines.key"))).alias("key"))
+    first = F.min(F.when(F.col("may"), F.col("_id"))).alias("first")
+    counted = lines.groupBy("_host", "key", "text_key").agg(first).groupBy("_host", "key").agg(F.count(F.lit(1)).alias("texts_with"), F.min("first").alias("first"))
     null_safe = lambda a, b: a["_host"].eqNullSafe(b["_host"])
     many = counted.filter(F.col("texts_with") > min_docs)
     above = many.join(sizes, null_safe(many, sizes)).filter(F.col("texts_with") > share * F.col("texts")).select(many["_host"], many["key"], "first")
     above = stash(above, "quality-lines")
     if fits(above, BROADCAST_ROWS):
         above = F.broadcast(above)
-    hit = lines.join(above, null_safe(lines, above) & (lines["key"] == above["key"]))
-    return hit.filter(F.col("first").isNull() | ~lines["_id"].eqNullSafe(F.col("first"))).select("_row", lines["key"])
+    keeps = F.col("may") & (lines["_id"].eqNullSafe(F.col("first")) if survive else F.col("first").isNotNull() & lines["_id"].eqNullSafe(F.col("first")))
+    hit = lines.join(above, null_safe(lines, above) & (lines["key"] == above["key"])).select("_row", lines["key"], keeps.alias("keeps"))
+    return hit.groupBy("_row").agg(F.collect_set(F.when(~F.col("keeps"), F.col("key"))).alias("removed"), F.max("keeps").alias("keeper"))
 
 
-def _judged(docs: DataFrame, keep: list[str], min_docs: int, share: float) -> DataFrame:
-    measured = _measure(docs, keep)
-    removed = _removals(measured, min_docs, share).groupBy("_row").agg(F.collect_set("key").alias("removed"))
-    out = measured.join(removed, "_row", "left")
+def _judged(docs: DataFrame, keep: list[str], min_docs: int, share: float, survive: bool = False) -> DataFrame:
+    measured = _measure(docs, keep).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    out = measured.join(_removals(measured, min_docs, share, survive), "_row", "left")
     gone = F.coalesce(F.aggregate(F.filter("lines", lambda x: F.array_contains("removed", x["key"])), F.lit(0), lambda a, x: a + x["words"]), F.lit(0)).cast("long")
     out = out.withColumn("n_removed_words", F.when(F.col("removed").isNull(), F.lit(0).cast("long")).otherwise(gone))
-    out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (left < LEAST_WORDS) | (left < LEAST_SHARE * F.col("n_words"))
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    out = out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    if not survive:
+        return out
+    whole = ~F.col("base_failed") & ~F.col("kept") & F.coalesce("keeper", F.lit(False))
+    return out.withColumns({"removed": F.when(~whole, F.col("removed")), "n_removed_words": F.when(whole, 0).otherwise(F.col("n_removed_words")), "kept": F.col("kept") | whole})
 
 
 def quality_report(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -130,10 +138,12 @@ def quality_report(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
 def apply_quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that pass, without the lines above limits; all columns of docs, in their order.
 
-    Nulls, ties and repeated rows as in quality_report.
+    Every line of a document that passes the base rules is left in one document of its host at least: unlike in quality_report the first
+    document is the first that passes them, and one that keeps a line and would be depleted stays whole instead. A line of which
+    no passing document has an id stays in all of these. Ties and repeated rows as in quality_report.
     """
     packed = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.col(text_col).cast("string").alias("_text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_rest"))
-    passed = _judged(packed, ["_text"], min_docs, share).filter("kept")
+    passed = _judged(packed, ["_text"], min_docs, share, survive=True).filter("kept")
 
     def strip(batches):
         for batch in batches:

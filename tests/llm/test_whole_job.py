@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import quality, simhash
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -66,3 +66,15 @@ def test_a_failed_link_is_replaced(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda *a: made(*a).withColumns({f"f{i}": F.lit(7).cast("long") for i in range(4)}))
     texts = [" ".join(words(300, seed)) + end for seed in range(6) for end in ("", " end")]
     assert kept_by_similarity(spark, texts) == [0, 2, 4, 6, 8, 10]
+
+
+def test_lines_survive_where_their_first_document_fails(spark):
+    """The first copy fails the base rules; of the others one stays. A keeper that would be depleted stays whole."""
+    lines = [" ".join(words(12, seed)) for seed in range(20)]
+    lines = [x.translate(str.maketrans("0123456789", "abcdefghij")) for x in lines]  # digits are all alike in lines
+    copies = [(0, "\n".join(lines[:4] * 2), "en", "h")] + [(i, "\n".join([*lines[:4], f"copy {chr(96 + i)}"]), "en", "h") for i in range(1, 9)]
+    # 20 keeps line 4 alone, for what else it has is kept by documents before it.
+    mixed = [(i, "\n".join([*lines[:4], lines[4], f"more {chr(77 + i)}"]), "en", "h") for i in range(20, 28)]
+    kept = {r.doc_id: r.text for r in quality.apply_quality_rules(spark.createDataFrame(copies + mixed, DOCS)).collect()}
+    assert set(kept) == {1, 20}
+    assert all(any(x in t for t in kept.values()) for x in lines[:5])
