@@ -14,11 +14,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The bounded sample that the dictionaries are made of. The distinct texts of a language with at most TEXT_BYTES bytes fall
-#: into PARTS parts by a hash; the first SAMPLE_TEXTS / PARTS of each part, in the order of their place there and of the hash, are taken
-#: whole as long as they fit into SAMPLE_BYTES bytes.
+#: The bounded sample that the dictionaries are made of. The distinct texts of a language fall into PARTS parts by a hash; the first
+#: SAMPLE_TEXTS / PARTS of each part, in the order of their place there and of the hash, are taken as long as they fit into SAMPLE_BYTES
+#: bytes. Texts with at most TEXT_BYTES bytes come first and are taken whole; of longer ones the first TEXT_BYTES characters fill what is left.
 TEXT_BYTES, SAMPLE_TEXTS, PARTS, SAMPLE_BYTES = 4096, 600, 60, 262_144
 LEVEL = 6
+#: Longer texts are compressed in blocks of at most so many bytes, for what a dictionary saves does not grow with a text.
+BLOCK_BYTES = 16_384
 #: Narrower margins are rejected.
 MARGIN = 0.004
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -36,13 +38,15 @@ def sample(docs: DataFrame, text_col: str, lang_col: str) -> dict[str, bytes]:
     the number of languages.
     """
     known = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    fit = known.filter(F.octet_length("text").between(1, TEXT_BYTES)).withColumn("hash", F.xxhash64("text"))
-    sizes = fit.groupBy("lang", "hash").agg(F.max(F.octet_length("text") + 1).alias("bytes")).withColumn("part", F.pmod("hash", F.lit(PARTS)))
-    few = sizes.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy("hash"))).filter(F.col("place") <= SAMPLE_TEXTS // PARTS)
-    upto = F.sum("bytes").over(Window.partitionBy("lang").orderBy("place", "hash").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = few.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).select("lang", "hash", "place")
+    fit = known.filter(F.octet_length("text") >= 1).withColumn("hash", F.xxhash64("text")).withColumn("long", F.octet_length("text") > TEXT_BYTES)
+    fit = fit.withColumn("text", F.when(F.col("long"), F.substring("text", 1, TEXT_BYTES)).otherwise(F.col("text")))
+    sizes = fit.groupBy("lang", "long", "hash").agg(F.max(F.octet_length("text") + 1).alias("bytes")).withColumn("part", F.pmod("hash", F.lit(PARTS)))
+    few = sizes.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy("long", "hash"))).filter(F.col("place") <= SAMPLE_TEXTS // PARTS)
+    upto = F.sum("bytes").over(Window.partitionBy("lang").orderBy("long", "place", "hash").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = few.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).select("lang", "long", "hash", "place")
     out: dict[str, list] = {}
-    for r in fit.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "place", "hash").agg(F.min("text").alias("text")).orderBy("lang", "place", "hash").collect():
+    order = ["lang", "long", "place", "hash"]
+    for r in fit.join(F.broadcast(chosen), ["lang", "long", "hash"]).groupBy(*order).agg(F.min("text").alias("text")).orderBy(*order).collect():
         out.setdefault(r.lang, []).append(reduced(r.text))
     return {k: b" ".join(v) for k, v in out.items()}
 
@@ -58,11 +62,16 @@ def _compressors(contents: tuple[tuple[str, bytes], ...]):
 
 
 def classify(text: str, compressors) -> tuple[str, float]:
-    """Language and margin: (second - best) / second of the compressed sizes, 1 with a single language; ties go to the first by name."""
+    """Language and margin: (second - best) / second of the compressed sizes, 1 with a single language; ties go to the first by name.
+
+    The sizes of a long text are sums over blocks of equal length, so that its margin is that of its blocks.
+    """
     if not compressors or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0
     data = reduced(text)
-    sizes = sorted((len(c.compress(data)), lang) for lang, c in compressors)
+    step = -(-len(data) // max(1, -(-len(data) // BLOCK_BYTES))) or 1
+    blocks = [data[i : i + step] for i in range(0, max(1, len(data)), step)]
+    sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in compressors)
     return sizes[0][1], 1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0]
 
 

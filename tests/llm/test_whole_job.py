@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, simhash
+from tessera.llm import langid, quality, simhash
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -78,3 +78,26 @@ def test_lines_survive_where_their_first_document_fails(spark):
     kept = {r.doc_id: r.text for r in quality.apply_quality_rules(spark.createDataFrame(copies + mixed, DOCS)).collect()}
     assert set(kept) == {1, 20}
     assert all(any(x in t for t in kept.values()) for x in lines[:5])
+
+
+LETTERS = {"en": "etaoinshrdlu", "xx": "zqkvwyjxpbmg"}
+
+
+def language_text(lang, seed, n):
+    rng, vocabulary = random.Random(seed), random.Random(lang)
+    known = ["".join(vocabulary.choice(LETTERS[lang]) for _ in range(vocabulary.randint(3, 8))) for _ in range(3000)]
+    return " ".join(rng.choice(known) for _ in range(n))
+
+
+def test_margins_do_not_fall_with_the_length(spark):
+    rows = [(f"{lang}", language_text(lang, i, 300)) for lang in LETTERS for i in range(40)]
+    training = spark.createDataFrame(rows, "lang string, text string")
+    compressors = langid._compressors(tuple(sorted(langid.sample(training, "text", "lang").items())))
+    short, long = (langid.classify(language_text("xx", 99, n), compressors) for n in (2_500, 500_000))
+    assert short[0] == long[0] == "xx" and long[1] > 0.5 * short[1] > langid.MARGIN
+
+
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    rows = [("en", language_text("en", i, 100)) for i in range(20)] + [("xx", language_text("xx", i, 2000)) for i in range(5)]
+    found = langid.sample(spark.createDataFrame(rows, "lang string, text string"), "text", "lang")
+    assert set(found) == {"en", "xx"} and len(found["xx"]) <= 5 * (langid.TEXT_BYTES + 1)
