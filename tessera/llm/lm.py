@@ -1,18 +1,23 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-The most frequent words are dealt to classes of SLOTS words by frequency; all others form the class of rare words. A word's probability
-is that of its class given the history, times that of the word given class and history; inside the rare class words have their
-smoothed share of its training tokens, unseen words together half a count. Both softmaxes sum the weights of hashed features:
-the previous word, the one before it alone (skip), both together, and a bias; for words each jointly with the class.
-
-Weights are trained by distributed gradient updates: each round broadcasts them, every task follows the gradient over
-all its training texts of that round, and the weight changes are averaged row by row over the tasks that made them.
-Each training text is used in one round. Counts cover all training texts; the words in a bounded table of the most
-frequent ones are looked up inside the tasks, all others by a join with the counts.
+Words are factored into nested classes of FAN branches, by their counts in the training texts (frequent words lie near
+the top), and the probability of a word is the product of the softmaxes along its way down. Each softmax starts at the shares
+that the branches have of the training tokens and adds the weights of hashed features, all jointly with the class: the previous
+word, the one before it alone (skip), and both together. Words seen once, and those beyond the table of the most frequent ones,
+share a leaf; inside it each has its smoothed share of the leaf's training tokens, unseen words together half a count. So the
+probabilities of all words add up to one.
+
+Texts are split once: their word ids are written and read again by every later pass. Weights are trained by distributed
+gradient updates: each round broadcasts them, every task follows the gradient over all its training texts of that round, and the
+changes are summed over a tree of tasks. A row that each task saw little of moves by the sum of its changes, one that
+each saw much of by their mean, so that more data moves the weights further. Each training text is used in one round; the rounds
+and the hashed rows grow with the training tokens, up to the memory of a task.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections import Counter
 from itertools import chain
 from typing import NamedTuple
@@ -25,17 +30,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stash
 
-#: Classes, with the rare one; words of a class; bits of a hashed feature; rounds; step; tokens of one update.
-CLASSES, SLOTS, HASH_BITS, ROUNDS, STEP, CHUNK = 32, 32, 14, 2, 0.3, 8192
-LIMIT = 20.0
-#: Most frequent words that every task holds; words longer than this are named by a digest.
+#: Branches of a class; step; tokens of one update; tokens of a portion; limit of a weight.
+FAN, STEP, CHUNK, PORTION, LIMIT = 8, 0.2, 32_768, 1 << 18, 12.0
+#: Hashed rows: a quarter of the training tokens, between these powers of two (the upper one bounds the memory of a task: 20 MB).
+LEAST_BITS, MOST_BITS = 12, 19
+#: What a row's accumulated squared gradient must be for half of the way from sum to mean.
+SETTLED = 0.3
+#: Most frequent words, of those seen twice or more, that every task holds; words longer than this are named by a digest.
 TABLE, LONGEST = 262_144, 64
 #: Distinct words that a task counts before it sends them on.
 FLUSH = 400_000
-#: Neighbouring tasks whose weight changes are added up first.
-FAN_IN = 64
-END = ""
-LN10 = float(np.log(10))
+#: Tasks, or sums of them, whose weight changes are added up in one group; rows of a group.
+FAN_IN, BLOCK = 8, 1 << 14
+LN10 = math.log(10)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -72,252 +79,292 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Ids(dict):
-    """Ids by word; words outside have the number of words as id."""
+    """Ids by word (long words by their digest); words outside have the number of words as id."""
 
     def __missing__(self, word):
-        return len(self)
+        return self.get(name_of(word).encode(), len(self)) if len(word) > LONGEST else len(self)
 
 
 class Lexicon(NamedTuple):
-    """ids: word to id, by falling frequency; counts by id; training tokens and distinct ones, of all and of rare words."""
+    """counts by id, falling; training tokens and distinct words, of all and of the shared leaf."""
 
-    ids: dict
     counts: np.ndarray
     tokens: int
     distinct: int
     rare_tokens: int
     rare_distinct: int
 
-    @property
-    def modelled(self) -> int:
-        """Words outside the rare class: the first so many ids."""
-        return min(len(self.ids), (CLASSES - 1) * SLOTS)
-
     def base(self, c):
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
     def in_rare(self, c):
         return np.log10((c + 0.5) / (self.rare_tokens + 0.5 * (self.rare_distinct + 1)))
 
+    @property
+    def bits(self) -> int:
+        return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(self.tokens + 1)) - 2))
 
-def make_lexicon(counts: DataFrame) -> Lexicon:
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(TABLE).toArrow()
-    c = top.column("c").to_numpy().astype(np.int64)
-    modelled = min(len(c), (CLASSES - 1) * SLOTS)
-    return Lexicon(Ids((w.encode(), i) for i, w in enumerate(top.column("word").to_pylist())), c, int(total.n), int(total.v), int(total.n - c[:modelled].sum()), int(total.v - modelled))
-
-
-class Model(NamedTuple):
-    of_class: np.ndarray  # feature row, class
-    of_word: np.ndarray  # feature row, slot
-
-    @staticmethod
-    def empty() -> Model:
-        return Model(np.zeros((1 << HASH_BITS, CLASSES), np.float32), np.zeros((1 << HASH_BITS, SLOTS), np.float32))
+    @property
+    def rounds(self) -> int:
+        """Two up to ten million training tokens, one more for each power of ten beyond."""
+        return max(2, math.ceil(math.log10(self.tokens + 1)) - 5)
 
 
-def _hashed(kind: int, *parts: np.ndarray) -> np.ndarray:
-    x = np.uint64(kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    for p in parts:
-        x = (p.view(np.uint64) ^ x) * np.uint64(0xC2B2AE3D27D4EB4F)
-        x ^= x >> np.uint64(29)
-    x *= np.uint64(0x165667B19E3779F9)
-    x >>= np.uint64(64 - HASH_BITS)
-    return x.astype(np.uint16)
+def make_lexicon(counts: DataFrame) -> tuple[Ids, Lexicon]:
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    top = counts.filter("c > 1").orderBy(F.desc("c"), "word").limit(TABLE).toArrow()
+    c = top.column("c").to_numpy().astype(np.int64)
+    return Ids((w.encode(), i) for i, w in enumerate(top.column("word").to_pylist())), Lexicon(c, int(total.n), int(total.v), int(total.n - c.sum()), int(total.v - len(c)))
+
+
+class Classes(NamedTuple):
+    """The nested classes. The way of leaf i are the classes and branches at first[i] to first[i + 1], from the leaf up."""
+
+    first: np.ndarray
+    nodes: np.ndarray
+    branches: np.ndarray
+    base: np.ndarray  # class, branch: log of its share; empty branches are out of reach
+    mixed: np.ndarray  # hash of each class
+
+
+def nested_classes(counts: np.ndarray) -> Classes:
+    """Joins the FAN least frequent leaves or classes into one, again and again; the first class may have fewer branches."""
+    leaves = len(counts)
+    inner = -(-(leaves - 1) // (FAN - 1))
+    order, weight = np.argsort(counts, kind="stable").tolist(), counts.tolist()
+    parent, branch = np.full(leaves + inner, -1, np.int32), np.zeros(leaves + inner, np.int8)
+    joined, i, j = [], 0, 0
+    for k in range(inner):
+        total = 0.0
+        for b in range(FAN if k else leaves - (inner - 1) * (FAN - 1)):
+            if j >= len(joined) or i < leaves and weight[order[i]] <= joined[j]:
+                x, i = order[i], i + 1
+                total += weight[x]
+            else:
+                x, j = leaves + j, j + 1
+                total += joined[x - leaves]
+            parent[x], branch[x] = k, b
+        joined.append(total)
+    base, below = np.full((inner, FAN), -1e9, np.float32), np.flatnonzero(parent >= 0)
+    base[parent[below], branch[below]] = np.log(np.concatenate([counts, joined])[below] / np.array(joined)[parent[below]])
+    ways, leaf, at = [], np.arange(leaves), np.arange(leaves)
+    while len(leaf := leaf[parent[at] >= 0]):
+        at = at[parent[at] >= 0]
+        ways.append((leaf, parent[at], branch[at]))
+        at = parent[at] + leaves
+    first = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate([w[0] for w in ways]), minlength=leaves))]) if ways else np.zeros(leaves + 1, np.int64)
+    nodes, branches = np.empty(first[-1], np.int32), np.empty(first[-1], np.int8)
+    for level, (leaf, node, taken) in enumerate(ways):
+        nodes[first[leaf] + level], branches[first[leaf] + level] = node, taken
+    return Classes(first, nodes, branches, base, _mixed(np.arange(1, inner + 1, dtype=np.uint64)))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(31)
+
+
+@functools.lru_cache(maxsize=2)
+def _classes(counts: bytes, rare: float) -> Classes:
+    return nested_classes(np.concatenate([np.frombuffer(counts, np.int64).astype(float), [rare]]))
+
+
+def classes_of(lexicon: Lexicon) -> Classes:
+    """One leaf for each word of the table, then the shared one."""
+    return _classes(lexicon.counts.tobytes(), max(lexicon.rare_tokens, 0.5))
 
 
 class Tokens(NamedTuple):
-    """Ids of the words of several texts in a row, and for each the features and targets of both softmaxes."""
+    """Leaves of the words of several texts in a row, and what stands before each: unknown words and text starts have ids of their own."""
 
     ids: np.ndarray
-    lengths: np.ndarray
-    class_rows: list[np.ndarray]
-    classes: np.ndarray
-    word_rows: list[np.ndarray]
-    slots: np.ndarray
-    modelled: np.ndarray  # places of the words outside the rare class
-
-
-def prepare(texts: list[list[bytes]], lexicon: Lexicon) -> Tokens:
-    unknown = len(lexicon.ids)
-    lengths = np.array([len(t) for t in texts])
-    ids = np.fromiter(map(lexicon.ids.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
-    starts = np.cumsum(lengths) - lengths
-    one, two = np.roll(ids, 1), np.roll(ids, 2)
-    one[starts] = two[starts] = unknown + 1
-    two[starts[lengths > 1] + 1] = unknown + 1
-    classes = np.where(ids < lexicon.modelled, ids // SLOTS + 1, 0)
-    at = np.flatnonzero(classes)
-    c = classes[at]
-    zeros = np.zeros(len(ids), np.int64)
-    return Tokens(
-        ids, lengths, [_hashed(0, zeros), _hashed(1, one), _hashed(2, two), _hashed(3, one, two)], classes,
-        [_hashed(4, c), _hashed(5, c, one[at]), _hashed(6, c, two[at])], ids[at] % SLOTS, at,
-    )
+    one: np.ndarray
+    two: np.ndarray
 
 
-def _log_softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Weights are within LIMIT, so that the exponentials of up to four of them fit single precision as they are."""
-    logits = weights.take(rows[0], axis=0)
-    for r in rows[1:]:
+def prepare(ids: np.ndarray, lengths: np.ndarray, leaves: int) -> Tokens:
+    starts = np.cumsum(lengths) - lengths
+    one, two = np.roll(ids, 1), np.roll(ids, 2)
+    one[starts] = two[starts] = leaves
+    two[starts[lengths > 1] + 1] = leaves
+    return Tokens(ids, one, two)
+
+
+def decisions(t: Tokens, at: slice, tree: Classes, bits: int):
+    """Of the tokens at this slice: how many classes each passes, these, the branches taken, and the rows of the three features."""
+    begin = tree.first[t.ids[at]]
+    passed = tree.first[t.ids[at] + 1] - begin
+    token = np.repeat(np.arange(len(passed)), passed)
+    place = np.arange(len(token)) + (begin - np.cumsum(passed) + passed)[token]
+    nodes = tree.nodes[place]
+    one, two = _mixed(t.one[at].astype(np.uint64) + np.uint64(1)), _mixed(t.two[at].astype(np.uint64) + np.uint64(1 << 40))
+    by_class = tree.mixed[nodes]
+    rows = [((x[token] ^ by_class) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)).astype(np.int64) for x in (one, two, _mixed(one ^ two * np.uint64(0x165667B19E3779F9)))]
+    return passed, nodes, tree.branches[place], rows
+
+
+def log_softmax(weights: np.ndarray, tree: Classes, nodes: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Shares and weights are bounded, so that exponentials fit single precision as they are."""
+    logits = tree.base.take(nodes, axis=0)
+    for r in rows:
         logits += weights.take(r, axis=0)
-    logits -= np.log(np.exp(logits) @ np.ones(logits.shape[1], np.float32))[:, None]
+    logits -= np.log(np.exp(logits) @ np.ones(FAN, np.float32))[:, None]
     return logits
 
 
-def _summed(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that occur, and the sums of g over each: those that occur once first."""
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    sizes = np.diff(np.append(first, len(rows)))
-    once, more = first[sizes == 1], np.flatnonzero(np.repeat(sizes > 1, sizes))
-    if not len(more):
-        return ordered[once], g[order[once]]
-    starts = np.cumsum(sizes[sizes > 1]) - sizes[sizes > 1]
-    return np.concatenate([ordered[once], ordered[more[starts]]]), np.concatenate([g[order[once]], np.add.reduceat(g[order[more]], starts, axis=0)])
-
-
-def _mask(log_p: np.ndarray, rows_class: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-    """Take the empty slots of the last class, if any, out of the distribution."""
-    last, used = (lexicon.modelled - 1) // SLOTS + 1, (lexicon.modelled - 1) % SLOTS + 1
-    if used == SLOTS:
-        return log_p
-    hit = np.flatnonzero(rows_class == last)
-    if len(hit):
-        part = log_p[hit]
-        part[:, used:] = -np.inf
-        log_p[hit] = part - np.log(np.exp(part).sum(1, keepdims=True))
-    return log_p
-
-
-def train_on(t: Tokens, model: Model, squares: Model, lexicon: Lexicon) -> None:
+def _summed(g: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that occur, ascending, and the sums of g over each: sorted with their places in one integer, then added column by column."""
+    shift = max(1, len(g) - 1).bit_length()
+    keys = np.concatenate([r << shift | np.arange(len(g)) for r in rows])
+    keys.sort()
+    row, place = keys >> shift, keys & (1 << shift) - 1
+    new = np.concatenate(([True], row[1:] != row[:-1]))
+    number, columns = np.cumsum(new) - 1, np.ascontiguousarray(g.T)
+    return row[new], np.stack([np.bincount(number, c.take(place)) for c in columns], axis=1).astype(np.float32)
+
+
+def train_on(t: Tokens, tree: Classes, weights: np.ndarray, past: np.ndarray, bits: int) -> None:
     """Follow the gradient over the tokens in updates of CHUNK, each row with a step that shrinks with its past gradients."""
-    for weights, past, rows, target, masked in ((model.of_class, squares.of_class, t.class_rows, t.classes, None), (model.of_word, squares.of_word, t.word_rows, t.slots, t.classes[t.modelled])):
-        for i in range(0, len(target), CHUNK):
-            some = [r[i : i + CHUNK] for r in rows]
-            log_p = _log_softmax(weights, some)
-            if masked is not None:
-                log_p = _mask(log_p, masked[i : i + CHUNK], lexicon)
-            g = np.exp(log_p)
-            g[np.arange(len(g)), target[i : i + CHUNK]] -= 1
-            for r in some:
-                which, sums = _summed(g, r)
-                past[which, 0] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
-                weights[which] = np.clip(weights[which] - STEP * sums / np.sqrt(past[which, 0] + 1.0)[:, None], -LIMIT, LIMIT)
-
-
-def log10_probabilities(t: Tokens, model: Model, lexicon: Lexicon) -> np.ndarray:
-    """Of each token; of rare words the rare class alone."""
-    out = np.empty(len(t.ids))
     for i in range(0, len(t.ids), CHUNK):
-        log_p = _log_softmax(model.of_class, [r[i : i + CHUNK] for r in t.class_rows])
-        out[i : i + CHUNK] = log_p[np.arange(len(log_p)), t.classes[i : i + CHUNK]]
-    c = t.classes[t.modelled]
-    for i in range(0, len(t.slots), CHUNK):
-        log_p = _mask(_log_softmax(model.of_word, [r[i : i + CHUNK] for r in t.word_rows]), c[i : i + CHUNK], lexicon)
-        out[t.modelled[i : i + CHUNK]] += log_p[np.arange(len(log_p)), t.slots[i : i + CHUNK]]
+        _, nodes, branches, rows = decisions(t, slice(i, i + CHUNK), tree, bits)
+        if not len(nodes):
+            continue
+        g = np.exp(log_softmax(weights, tree, nodes, rows))
+        g[np.arange(len(g)), branches] -= 1
+        which, sums = _summed(g, rows)
+        past[which] += np.einsum("ij,ij->i", sums, sums) / FAN
+        weights[which] = np.clip(weights.take(which, axis=0) - sums * (STEP / np.sqrt(past[which] + 1))[:, None], -LIMIT, LIMIT)
+
+
+def log10_probabilities(t: Tokens, tree: Classes, weights: np.ndarray, bits: int) -> np.ndarray:
+    """Of the leaf of each token."""
+    out = np.zeros(len(t.ids))
+    for i in range(0, len(t.ids), CHUNK):
+        passed, nodes, branches, rows = decisions(t, slice(i, i + CHUNK), tree, bits)
+        log_p = log_softmax(weights, tree, nodes, rows)[np.arange(len(nodes)), branches]
+        upto, ends = np.concatenate([[0.0], np.cumsum(log_p, dtype=np.float64)]), np.cumsum(passed)
+        out[i : i + CHUNK] = upto[ends] - upto[ends - passed]
     return out / LN10
 
 
-def portions(batch: pa.RecordBatch, column: int, most: int = 1 << 17):
-    """(first row, words of the texts) of parts of a batch with about so many words at most."""
+def portions(batch: pa.RecordBatch, column: int, most: int = PORTION):
+    """(first row, ids, lengths) of parts of a batch with about so many tokens at most; a longer text is a part."""
     texts, start, size = [], 0, 0
-    for i, t in enumerate(batch.column(column).to_pylist()):
-        texts.append(words_of(t or ""))
+    for i, t in enumerate(batch.column(column)):
+        texts.append(np.frombuffer(t.as_buffer(), np.int32))
         size += len(texts[-1])
-        if size >= most:
-            yield start, texts
+        if size >= most or i + 1 == batch.num_rows:
+            yield start, np.concatenate(texts).astype(np.int64), np.array(list(map(len, texts)))
             texts, start, size = [], i + 1, 0
-    if texts:
-        yield start, texts
 
 
-def train(texts: DataFrame, lexicon, round_of: Column) -> Model:
-    """texts: one string column `text`; lexicon: broadcast; round_of: 0 to ROUNDS - 1 for each text."""
-    spark, model = texts.sparkSession, Model.empty()
-    for k in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(model)
+def encode(named: DataFrame, ids, id_col: str) -> DataFrame:
+    """Word ids of all texts, four bytes each, and the words outside the table with their numbers. named: id_col, text, training, part; ids: broadcast."""
+    others_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+
+    def run(batches):
+        known = ids.value
+        unknown = len(known)
+        for batch in batches:
+            coded, others = [], []
+            for text in batch.column(1).to_pylist():
+                words = words_of(text or "")
+                own = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+                coded.append(own.tobytes())
+                others.append([{"word": name_of(w), "n": n} for w, n in Counter(words[i] for i in np.flatnonzero(own == unknown).tolist()).items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(coded, pa.binary()), pa.array(others, others_type)], [id_col, "training", "part", "ids", "others"])
+
+    shape = f"`{id_col}` {named.schema[0].dataType.simpleString()}, training boolean, part int, ids binary, others array<struct<word string, n long>>"
+    return named.mapInArrow(run, shape).withColumn("_row", F.monotonically_increasing_id())
+
+
+def _packed(change: np.ndarray, root: np.ndarray, tasks: np.ndarray) -> list[bytes]:
+    return [change.astype(np.float16).tobytes(), root.astype(np.float16).tobytes(), tasks.astype(np.int32).tobytes()]
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Sums of one block over the tasks of a group: changes, squared gradients (kept as roots), and how many tasks changed a row."""
+    change, past, tasks = 0.0, 0.0, 0
+    for c, r, n in zip(*(table.column(x).to_pylist() for x in ("change", "root", "tasks"))):
+        change = change + np.frombuffer(c, np.float16).astype(np.float32)
+        past = past + np.frombuffer(r, np.float16).astype(np.float32) ** 2
+        tasks = tasks + np.frombuffer(n, np.int32)
+    return pa.table({"near": table.column("near")[:1].combine_chunks(), "block": table.column("block")[:1].combine_chunks(), **dict(zip(("change", "root", "tasks"), ([x] for x in _packed(change, np.sqrt(past), tasks))))})
+
+
+def train(encoded: DataFrame, lexicon, rounds: int, bits: int) -> np.ndarray:
+    """encoded: ids and part (a number below 2 ** 16); lexicon: broadcast. Returns the weights, by row and branch."""
+    spark, weights = encoded.sparkSession, np.zeros((1 << bits, FAN), np.float32)
+    block = min(BLOCK, 1 << bits)
+    tasks = encoded.rdd.getNumPartitions()
+    for k in range(rounds):
+        shared = spark.sparkContext.broadcast(weights)
 
         def run(batches):
-            start = shared.value
-            now, past = Model(*(x.copy() for x in start)), Model.empty()
+            start, past, tree = shared.value, np.zeros(1 << bits, np.float32), classes_of(lexicon.value)
+            now = start.copy()
             for batch in batches:
-                for _, words in portions(batch, 0):
-                    train_on(prepare(words, lexicon.value), now, past, lexicon.value)
-            for kind, (a, b, p) in enumerate(zip(now, start, past)):
-                rows = np.flatnonzero(p[:, 0])
-                change = (a[rows] - b[rows]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32) + (kind << HASH_BITS)), pa.array([x.tobytes() for x in change], pa.binary())], ["row", "change"])
-
-        def added(table: pa.Table) -> pa.Table:
-            rows = table.column("row").to_numpy()
-            changes = np.frombuffer(b"".join(table.column("change").to_pylist()), np.float32).reshape(len(rows), -1)
-            each, where = np.unique(rows, return_inverse=True)
-            total, tasks = np.zeros((len(each), changes.shape[1])), np.zeros(len(each), np.int64)
-            np.add.at(total, where, changes)
-            np.add.at(tasks, where, table.column("tasks").to_numpy())
-            return pa.table({"row": pa.array(each, pa.int32()), "change": pa.array([x.tobytes() for x in total.astype(np.float32)], pa.binary()), "tasks": tasks})
-
-        shape, part = "row int, change binary, tasks long", (F.col("row") % 256).alias("part")
-        changed = texts.filter(round_of == k).select("text").mapInArrow(run, "row int, change binary").withColumn("tasks", F.lit(1).cast("long"))
-        # A first sum takes FAN_IN tasks at most, so that no group holds the changes of all of them.
-        near = changed.withColumn("near", F.floor(F.spark_partition_id() / FAN_IN)).groupBy("near", part).applyInArrow(added, shape)
-        # 2 ** HASH_BITS rows a softmax at most, however large the corpus.
-        sums = near.groupBy(part).applyInArrow(added, shape).toArrow()
-        model = Model(*(x.copy() for x in model))
-        for row, change, tasks in zip(*(sums.column(c).to_pylist() for c in ("row", "change", "tasks"))):
-            (model.of_class, model.of_word)[row >> HASH_BITS][row & (1 << HASH_BITS) - 1] += np.frombuffer(change, np.float32) / tasks
+                for _, ids, lengths in portions(batch, 0):
+                    train_on(prepare(ids, lengths, len(lexicon.value.counts) + 1), tree, now, past, bits)
+            for i in range(0, len(past) if past.any() else 0, block):
+                p = past[i : i + block]
+                packed = _packed((now[i : i + block] - start[i : i + block]).ravel(), np.sqrt(p), p > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([i // block], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["block", "change", "root", "tasks"])
+
+        own = encoded.filter((F.col("part") % rounds) == k).select("ids").mapInArrow(run, "block int, change binary, root binary, tasks binary")
+        sums, left = own.withColumn("near", F.spark_partition_id().cast("long")), tasks
+        while left > 1:  # FAN_IN to one, so that no group grows with the number of tasks
+            left = -(-left // FAN_IN)
+            sums = sums.withColumn("near", F.floor(F.col("near") / FAN_IN)).groupBy("near", "block").applyInArrow(_added, "near long, block int, change binary, root binary, tasks binary")
+        weights = weights.copy()
+        for row in sums.select("block", "change", "root", "tasks").toArrow().to_pylist():  # all weights once
+            change, root, n = (np.frombuffer(row[x], t).astype(np.float32) for x, t in (("change", np.float16), ("root", np.float16), ("tasks", np.int32)))
+            n = np.maximum(n, 1)
+            settled = root**2 / n
+            by = 1 + (n - 1) * settled / (settled + SETTLED)
+            at = slice(row["block"] * block, (row["block"] + 1) * block)
+            weights[at] = np.clip(weights[at] + change.reshape(-1, FAN) / by[:, None], -LIMIT, LIMIT)
         shared.unpersist()
-    return model
+    return weights
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """log10 probabilities of all texts under a model learned from those where training holds.
 
     Returns id_col, training, n_tokens, n_known (seen in training), train_tokens, base_score (smoothed unigrams), score (the
-    model). A null text is an end alone, in training too; rows with a null id, and repeated rows, are counted and scored
-    each; without training rows every word is unseen; an empty table gives an empty result; other columns are ignored.
+    model; at most 0). A null text is an end alone, in training too; rows with a null id, and repeated rows, are counted and scored
+    each, and equal texts score alike; without training rows every word is unseen; an empty table gives an empty result; other
+    columns are ignored. A very long text is split in one task, then trained on and scored in chunks.
+    Words of equal count are ordered by themselves.
     """
     spark = docs.sparkSession
-    named = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    taught = named.filter("training").select("text")
-    counts = stash(count_words(taught), "words")
-    lexicon = spark.sparkContext.broadcast(make_lexicon(counts))
-    model = spark.sparkContext.broadcast(train(taught, lexicon, F.pmod(F.xxhash64("text"), F.lit(ROUNDS))))
-    id_type = docs.schema[id_col].dataType.simpleString()
+    part = F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(1 << 16)).cast("int").alias("part")
+    named = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"), part)
+    counts = stash(count_words(named.filter("training").select("text")), "words")
+    table, lex = make_lexicon(counts)
+    ids, lexicon = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(lex)
+    encoded = stash(encode(named, ids, id_col), "ids")
+    bits, unknown = lex.bits, len(lex.counts)
+    model = spark.sparkContext.broadcast(train(encoded.filter("training"), lexicon, lex.rounds, bits))
 
     def run(batches):
-        lex, m = lexicon.value, model.value
+        lex, tree = lexicon.value, classes_of(lexicon.value)
+        base = np.append(lex.base(lex.counts), 0.0)
         for batch in batches:
-            for start, texts in portions(batch, 1):
-                t = prepare(texts, lex)
-                p, ends = log10_probabilities(t, m, lex), np.cumsum(t.lengths)
-                inside = t.ids < len(lex.ids)
-                c = np.zeros(len(t.ids), np.int64)
-                c[inside] = lex.counts[t.ids[inside]]
-                base = np.where(inside, lex.base(c), 0.0)
-                p += np.where(inside & (t.classes == 0), lex.in_rare(c), 0.0)
-                starts = ends - t.lengths
-                others = [[] for _ in texts]
-                outside = np.flatnonzero(~inside)
-                for d, i in zip(np.searchsorted(ends, outside, "right").tolist(), outside.tolist()):
-                    others[d].append(texts[d][i - starts[d]])
-                others = [[{"word": name_of(w), "n": n} for w, n in Counter(o).items()] for o in others]
-                add = lambda x: np.add.reduceat(x, starts)
-                yield pa.RecordBatch.from_arrays([
-                    *(x.slice(start, len(texts)) for x in (batch.column(0), batch.column(2))), pa.array(t.lengths, pa.int64()), pa.array(add(inside.astype(np.int64))),
-                    pa.array(add(base)), pa.array(add(p)), pa.array(others, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))),
-                ], [id_col, "training", "n_tokens", "n_known", "base_score", "score", "others"])
-
-    shape = f"`{id_col}` {id_type}, training boolean, n_tokens long, n_known long, base_score double, score double, others array<struct<word string, n long>>"
-    first = stash(named.mapInArrow(run, shape).withColumn("_row", F.monotonically_increasing_id()), "scores")
-    lex = lexicon.value
-    rest = first.select("_row", F.explode("others").alias("o")).select("_row", "o.word", "o.n").join(counts, "word", "left")
+            for start, ids, lengths in portions(batch, 2):
+                p = log10_probabilities(prepare(ids, lengths, unknown + 1), tree, model.value, bits)
+                add = lambda x: np.add.reduceat(x, np.cumsum(lengths) - lengths)  # noqa: E731, B023
+                same = [c.slice(start, len(lengths)) for c in (batch.column(0), batch.column(1), batch.column(3))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(lengths, pa.int64()), pa.array(add((ids < unknown).astype(np.int64))), pa.array(add(base[ids])), pa.array(add(p))], [id_col, "training", "_row", "n_tokens", "n_known", "base_score", "score"])
+
+    shape = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, training boolean, _row long, n_tokens long, n_known long, base_score double, score double"
+    scored = encoded.select(F.col(f"`{id_col}`"), "training", "ids", "_row").mapInArrow(run, shape)
+    rest = encoded.select("_row", F.explode("others").alias("o")).select("_row", "o.word", "o.n").join(counts, "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.5)
     of = lambda n, v: F.sum(F.col("n") * F.log10(c / F.lit(n + 0.5 * (v + 1))))
     rest = rest.groupBy("_row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("known"), of(lex.tokens, lex.distinct).alias("base"), of(lex.rare_tokens, lex.rare_distinct).alias("more"))
-    out = first.drop("others").join(rest, "_row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return out.select(id_col, "training", "n_tokens", plus("n_known", "known").alias("n_known"), F.lit(lex.tokens).cast("long").alias("train_tokens"), plus("base_score", "base").alias("base_score"), plus("score", "more").alias("score"))
+    return scored.join(rest, "_row", "left").select(
+        F.col(f"`{id_col}`"), "training", "n_tokens", plus("n_known", "known").alias("n_known"), F.lit(lex.tokens).cast("long").alias("train_tokens"),
+        plus("base_score", "base").alias("base_score"), plus("score", "more").alias("score"),
+    )
