@@ -1,10 +1,14 @@
 """Approximate nearest neighbours by largest inner product, over balanced posting lists.
 
-Inner products become distances by one more coordinate, sqrt(M * M - |v| * |v|) with M the largest norm (0 for queries): the
-nearest point then has the largest product. Centroids come from a balanced k-means over a bounded sample,
-and every vector is entered in the list of its nearest centroid, boundary vectors in several. Centroids are searched
-through an in-memory neighbour graph. A query reads the lists whose centroids are within a ratio of the nearest distance,
-and the vectors of a list are held against its queries as one matrix product in double precision.
+Vectors fall into bands by the power of two next to their norm, each with lists of its own, so that no long vector distorts the
+lists of others. In a band inner products become distances by one more coordinate, sqrt(M * M - |v| * |v|) with M its largest norm
+(0 for queries), all divided by M and queries by their norm: the nearest point then has the largest product. Centroids come
+from a balanced k-means over a bounded sample, their number is twice the square root of the band's size, and
+every vector is entered in the list of its nearest centroid, boundary vectors in several that lie on different sides. Centroids are
+searched through an in-memory neighbour graph. A query reads the nearest lists whose centroids are within a ratio of the nearest
+distance; ratio and number are the least with which queries from the sample find TARGET of their neighbours in it, so that
+clustered vectors are read sparingly and vectors without structure as widely as they need. The vectors of a list are held against its queries
+as one matrix product in double precision.
 
 Equal vectors are one class, which keeps its k + 1 smallest ids (no query needs more), so that no group of copies, however
 large, makes long lists or repeated searches. Long lists and lists with many queries are dealt to blocks.
@@ -12,8 +16,8 @@ large, makes long lists or repeated searches. Long lists and lists with many que
 
 from __future__ import annotations
 
-import functools
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +26,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stash
 
-#: Vectors that the centroids are fitted on, the first by a hash; classes that a list should hold; centroids at most.
-SAMPLE, LIST, MOST_LISTS = 20_000, 96, 2_500
+#: Vectors that the centroids are fitted on, the first by a hash; of these for each centroid at least; queries among them that fix the ratio.
+SAMPLE, EACH, TRIALS = 20_000, 8, 512
 ROUNDS, PENALTY, NEIGHBOURS, LINKS = 10, 0.02, 16, 4
 #: Lists that a vector is entered in, and how much farther than the nearest they may be.
-COPIES, COPY_RATIO = 4, 1.10
-#: Lists that a query reads at most (this many, or this share of all lists if more), and how much farther than the nearest
-#: they may be. On vectors without any structure the share decides on recall: 0.95 and more with these values.
-PROBES, PROBE_SHARE, PROBE_RATIO = 96, 0.16, 1.35
+COPIES, COPY_RATIO = 4, 1.15
+#: Share of the neighbours of sampled queries that the lists read must hold; lists that a search looks for at first.
+TARGET, WIDTH = 0.92, 32
 #: Classes, and queries, that meet in one block.
 BLOCK = 4096
 
@@ -108,30 +111,81 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def _lifted(x: np.ndarray, norm: float | None) -> np.ndarray:
-    rest = np.zeros(len(x)) if norm is None else np.sqrt(np.maximum(norm * norm - (x * x).sum(1), 0))
-    return np.concatenate([x, rest[:, None]], 1)
-
-
-def _entered(graph: CentroidGraph, x: np.ndarray) -> list[list[int]]:
-    """Lists of each vector: the nearest, and others almost as near."""
-    found, d = graph.search(x, 4 * COPIES)
-    return [row[:COPIES][dist[:COPIES] <= COPY_RATIO * dist[0]].tolist() for row, dist in zip(found, d)]
-
-
-def _read(graph: CentroidGraph, x: np.ndarray, sizes: np.ndarray, least: int) -> list[list[int]]:
-    """Lists that each query reads: those within the ratio, and further ones until they hold so many entries."""
-    most = max(PROBES, math.ceil(PROBE_SHARE * len(sizes)))
-    found, d = graph.search(x, most)
-    out = []
-    for q, row, dist in zip(x, found, d):
-        take = (dist <= PROBE_RATIO * dist[0]) & (np.arange(len(row)) < most)
-        enough = int(np.searchsorted(np.cumsum(sizes[row]), least)) + 1
-        take[:enough] = True
-        if enough > len(row):
-            row = np.argsort(_apart(q[None].astype(np.float32), graph.centroids)[0])
-            take = np.arange(len(row)) <= np.searchsorted(np.cumsum(sizes[row]), least)
-        out.append([int(c) for c in row[take]])
+def _lifted(x: np.ndarray, norm: float) -> np.ndarray:
+    """Vectors of norms up to this one as points on the unit sphere."""
+    x = x / norm
+    return np.concatenate([x, np.sqrt(np.maximum(1 - (x * x).sum(1, keepdims=True), 0))], 1)
+
+
+def _directions(x: np.ndarray) -> np.ndarray:
+    """Queries as points on the unit sphere."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return np.concatenate([x / np.sqrt((x * x).sum(1, keepdims=True)), np.zeros((len(x), 1))], 1)
+
+
+class Band(NamedTuple):
+    """Largest norm, number of the first list, the centroids, and how many lists a query reads and how much farther than the nearest they may be."""
+
+    norm: float
+    first: int
+    graph: CentroidGraph
+    ratio: float
+    probes: int
+
+    def entered(self, x: np.ndarray) -> list[list[int]]:
+        """Lists of each vector: the nearest, and others almost as near, unless a chosen one is nearer to them than the vector is."""
+        found, d = self.graph.search(_lifted(x, self.norm), 4 * COPIES)
+        out = []
+        for row, dist in zip(found, d):
+            chosen = [0]
+            for j in range(1, int((dist <= COPY_RATIO * dist[0]).sum())):
+                if len(chosen) < COPIES and all(((self.graph.centroids[row[j]] - self.graph.centroids[row[i]]) ** 2).sum() > dist[j] ** 2 for i in chosen):
+                    chosen.append(j)
+            out.append([self.first + int(row[j]) for j in chosen])
+        return out
+
+    def read(self, x: np.ndarray, sizes: np.ndarray, least: int) -> list[list[int]]:
+        """Lists that each query (a direction) reads: those within the ratio, and further ones until they hold so many entries."""
+        n, width, out, todo = len(self.graph.centroids), WIDTH, [[] for _ in x], np.arange(len(x))
+        while len(todo):
+            found, d = self.graph.search(x[todo], width)
+            held = np.cumsum(sizes[self.first + found], axis=1)
+            place = np.arange(found.shape[1])[None, :]
+            within = (d <= self.ratio * d[:, :1]) & (place < self.probes) | (place <= (held < least).sum(1)[:, None])
+            done = ~within[:, -1] | (width >= n)
+            for q, row, take in zip(todo[done], found[done], within[done]):
+                out[q] = (self.first + row[take]).tolist()
+            todo, width = todo[~done], 2 * width
+        return out
+
+
+def fitted(band: Band, x: np.ndarray, k: float) -> Band:
+    """The band with the least ratio, and number of lists, with which the first vectors of a sample find TARGET of their k nearest in it, one at least."""
+    trials, k = x[:TRIALS], min(max(1, math.ceil(k)), len(x) - 1)
+    lifted, asked, lists = _lifted(x, band.norm), _directions(trials), band.entered(x)
+    products = asked @ lifted.T
+    products[np.arange(len(trials)), np.arange(len(trials))] = -np.inf
+    d = np.sqrt(_apart(asked.astype(np.float32), band.graph.centroids))
+    place, ratio = d.argsort(1).argsort(1), d / np.maximum(d.min(1, keepdims=True), 1e-6)
+    best = [(q, min((place[q, i - band.first], ratio[q, i - band.first]) for i in lists[v])) for q in range(len(trials)) for v in np.argpartition(-products[q], k - 1)[:k]]
+    share = (1 + TARGET) / 2  # each of the two may lose half of what may be lost
+    return band._replace(ratio=float(np.quantile([r for _, (_, r) in best], share)) * (1 + 1e-6), probes=int(np.quantile([p for _, (p, _) in best], share)) + 1)
+
+
+def fit_bands(sample: dict[int, np.ndarray], about: dict[int, tuple[int, float]], dim: int, k: int) -> dict[int, Band]:
+    """about: number of classes and largest norm of every band. A band of which too little is in the sample has one list.
+
+    Of the k nearest of all vectors a sample holds as many as its share of them, and these are its nearest.
+    """
+    out, first = {}, 0
+    for band, (n, norm) in sorted(about.items()):
+        x = sample.get(band, np.zeros((0, dim)))
+        count = max(1, min(math.ceil(2 * math.sqrt(n)), len(x) // EACH))
+        centres = balanced_centroids(_lifted(x, norm), count) if count > 1 else np.ones((1, dim + 1))
+        centres /= np.maximum(np.sqrt((centres * centres).sum(1, keepdims=True)), 1e-9)  # on the sphere, as the points are
+        made = Band(norm, first, CentroidGraph(centres), 1.0, 1)
+        out[band] = fitted(made, x, k * len(x) / n) if count > 1 else made
+        first += count
     return out
 
 
@@ -149,41 +203,60 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
 
     Returns query_id, rank (from 1), vec_id, score (inner product, double), ties to the smaller id; fewer than k where
     fewer others exist. Rows with null id, and vectors null, empty, zero or with null or non-finite components, take no
-    part; shorter vectors count as ending in zeros; repeated rows count once; other columns are ignored.
+    part; shorter vectors count as ending in zeros; repeated rows count once; an empty table gives an empty result; other columns are ignored.
+    The number of lists is bounded by the sample (SAMPLE / EACH): far beyond its square, lists grow longer and are dealt to blocks.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     first = Window.partitionBy("key").orderBy("id")
     firsts = rows.distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
-    classes = stash(firsts.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("vec").alias("vec")), "classes")
-    about = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2")).first()
-    if not about.n:
+    most = F.array_max(F.transform("vec", lambda x: F.abs(x)))
+    norm = most * F.sqrt(F.aggregate(F.transform("vec", lambda x: x / most), F.lit(0.0), lambda a, x: a + x * x))
+    classes = firsts.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("vec").alias("vec")).withColumn("norm", norm)
+    classes = stash(classes.withColumn("band", F.floor(F.log2("norm") + 0.5).cast("int")), "classes")
+    # One row for each power of two among the norms, of which doubles have about two thousand.
+    found = classes.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm"), F.max(F.size("vec")).alias("dim")).collect()
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, norm = about.dim, math.sqrt(about.norm2)
-    drawn = classes.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks()
-    sample = _lifted(_matrix(drawn, dim), norm)
-    count = max(1, min(MOST_LISTS, math.ceil(about.n / LIST), len(sample) // 8))
-    shared = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(sample, count)))
+    dim = max(r.dim for r in found)
+    drawn = classes.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("band", "vec").toArrow()
+    of_band, sample = drawn.column("band").to_numpy(), _matrix(drawn.column("vec").combine_chunks(), dim)
+    bands = fit_bands({r.band: sample[of_band == r.band] for r in found}, {r.band: (r.n, r.norm) for r in found}, dim, k)
+    shared = spark.sparkContext.broadcast(bands)
 
-    def lists_of(choose, lifted):
+    def lists_of(choose):
         def run(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
-                    chosen = choose(shared.value, _lifted(_matrix(part.column("vec"), dim), lifted)) if part.num_rows else []
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(chosen, pa.list_(pa.int32()))], [*part.schema.names, "lists"])
+                    chosen = choose(shared.value, _matrix(part.column("vec"), dim), part.column("band").to_numpy())
+                    kept = [n for n in part.schema.names if n != "band"]
+                    yield pa.RecordBatch.from_arrays([*map(part.column, kept), pa.array(chosen, pa.list_(pa.int32()))], [*kept, "lists"])
 
         return run
 
-    entered = stash(classes.mapInArrow(lists_of(_entered, norm), "key string, ids array<long>, vec array<double>, lists array<int>"), "entered")
+    def enter(known, x, of_band):
+        out = [[] for _ in x]
+        for band in np.unique(of_band).tolist():
+            at = np.flatnonzero(of_band == band)
+            for i, lists in zip(at.tolist(), known[band].entered(x[at])):
+                out[i] = lists
+        return out
+
+    entered = stash(classes.select("key", "ids", "vec", "band").mapInArrow(lists_of(enter), "key string, ids array<long>, vec array<double>, lists array<int>"), "entered")
     asking = rows.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "key").distinct()
-    asked = classes.join(asking.select("key").distinct(), "key", "left_semi").select("key", "vec")
-    lengths = np.zeros(len(shared.value.centroids), np.int64)
+    asked = classes.join(asking.select("key").distinct(), "key", "left_semi").select("key", "vec", "band")
+    lengths = np.zeros(sum(len(b.graph.centroids) for b in bands.values()), np.int64)
     for r in entered.select(F.explode("lists").alias("list")).groupBy("list").count().collect():  # one row per list
         lengths[r["list"]] = r["count"]
-    asked = stash(asked.mapInArrow(lists_of(functools.partial(_read, sizes=lengths, least=4 * COPIES * (k + 1)), None), "key string, vec array<double>, lists array<int>"), "asked")
+
+    def read(known, x, _):
+        lists = [band.read(_directions(x), lengths, COPIES * (k + 1)) for band in known.values()]
+        return [[i for of in each for i in of] for each in zip(*lists)]
+
+    asked = stash(asked.mapInArrow(lists_of(read), "key string, vec array<double>, lists array<int>"), "asked")
     entries, reads = entered.withColumn("list", F.explode("lists")), asked.withColumn("list", F.explode("lists"))
-    # One row per list, so bounded by MOST_LISTS.
+    # One row per list, so bounded by the sample.
     sizes = entries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(reads.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("turns")), "list")
     sizes = F.broadcast(stash(sizes, "lists"))
     deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")

@@ -136,6 +136,47 @@ def test_ann_recall_and_exact_scores(spark):
     assert found / (20 * len(got)) >= 0.9
 
 
+def read_and_found(vectors, asked, k=20):
+    """Share of the entries that queries read, their recall, and lists per list read, of an index over these vectors."""
+    norms = np.linalg.norm(vectors, axis=1)
+    of_band = np.floor(np.log2(norms) + 0.5).astype(int)
+    about = {int(b): (int((of_band == b).sum()), float(norms[of_band == b].max())) for b in np.unique(of_band)}
+    drawn = np.random.default_rng(0).permutation(len(vectors))[: ann.SAMPLE]
+    bands = ann.fit_bands({b: vectors[drawn[of_band[drawn] == b]] for b in about}, about, vectors.shape[1], k)
+    entries = {}
+    for b, band in bands.items():
+        at = np.flatnonzero(of_band == b)
+        for i in range(0, len(at), 512):
+            for v, lists in zip(at[i : i + 512].tolist(), band.entered(vectors[at[i : i + 512]])):
+                for x in lists:
+                    entries.setdefault(x, []).append(v)
+    sizes = np.array([len(entries.get(i, ())) for i in range(sum(len(b.graph.centroids) for b in bands.values()))])
+    read = found = lists_read = 0
+    for q in asked:
+        lists = [x for band in bands.values() for x in band.read(ann._directions(vectors[[q]]), sizes, 84)[0]]
+        seen = np.unique([v for x in lists for v in entries.get(x, ())])
+        scores = vectors @ vectors[q]
+        best = [v for v in np.argsort(-scores, kind="stable")[: k + 1].tolist() if v != q][:k]
+        read, found, lists_read = read + sizes[lists].sum(), found + np.isin(best, seen).sum(), lists_read + len(lists)
+    return read / len(asked) / sizes.sum(), found / len(asked) / k, len(sizes) * len(asked) / lists_read
+
+
+def test_ann_reads_few_of_many_lists():
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(300, 32))[rng.integers(0, 300, 40_000)] + 0.25 * rng.normal(size=(40_000, 32))
+    vectors *= rng.lognormal(0, 0.1, (40_000, 1))
+    share, recall, times = read_and_found(vectors, range(0, 40_000, 400))
+    assert recall >= 0.9 and share < 0.2 and times >= 10
+
+
+def test_ann_one_long_vector_leaves_the_lists_of_others_alone():
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(60, 32))[rng.integers(0, 60, 8000)] + 0.2 * rng.normal(size=(8000, 32))
+    vectors[77] *= 10_000
+    share, recall, _ = read_and_found(vectors, range(0, 8000, 100))
+    assert recall >= 0.9 and share < 0.3
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held_out = Q.fold(F.col("doc_id"), 5) == 0
