@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding of whole texts, with tree concatenation for long unsplit text.
 
-The tokenizer file (a parameter; it must exist on every executor) gives vocabulary, merges and special tokens. Ordinary
-texts are encoded where they are read. A text with a stretch that the split pattern leaves whole for LONG characters or
-more, or a very long text, is cut up: ordinary stretches at places where the pattern always splits, unsplit
-stretches into leaves of LEAF bytes. The parts are encoded in parallel and the leaves of a stretch concatenated
-as a tree: around each join a window of tokens is encoded again and grown until its first and last token are those
+The tokenizer file (a parameter; it must exist on every executor) gives vocabulary, merges and special tokens. A text is
+encoded where it is read. A stretch that the split pattern leaves whole for LONG characters or more is cut into leaves, whose encodings are
+concatenated as a tree: around each join a window of tokens is encoded again and grown until its first and last token are those
 that the halves have there. A BPE encoding is right exactly if each two neighbouring tokens are the encoding of their
-joint bytes, so such a join is the encoding of the whole.
+joint bytes, so such a join is the encoding of the whole. Texts of more than FAR characters are cut up first, ordinary stretches
+at places where the pattern always splits, and all their parts become rows: encoded in parallel, the leaves of a stretch joined level by level by
+tasks that take FAN_IN of them each, and in the end put together, which only copies bytes.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,12 @@ from tessera.llm.common import stash
 
 #: The split pattern of byte-level BPE tokenizers of this kind (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters that an unsplit stretch, and that a whole text, may have to be encoded in one go; bytes of a leaf; tokens of the first window.
-LONG, WHOLE, LEAF, WINDOW = 1024, 262_144, 512, 8
+#: Characters that an unsplit stretch may have to be encoded in one go; bytes of a leaf; tokens of the first window.
+LONG, LEAF, WINDOW = 32, 16, 8
+#: Characters of a text that is encoded in one task; of a part of a longer one, about; bytes of a leaf there; leaves that one task joins.
+FAR, PART, FAR_LEAF, FAN_IN = 262_144, 65_536, 4096, 64
+#: Bytes of parts that are sent on at once.
+SEND = 4 << 20
 SPACE_RUN = re.compile(rf"\s{{{LONG},}}")
 #: Before a space that follows something else the pattern always splits, and nothing before it looks further.
 SAFE = re.compile(r"(?<=\S)(?= \w)")
@@ -63,9 +68,7 @@ class Codec:
         self.decimal = {i: str(i) for i in self.bytes_of}
 
     def plain(self, text: str) -> bool:
-        """Whether the text can be encoded in one go."""
-        if len(text) > WHOLE:
-            return False
+        """Whether no stretch of the text is too long to be encoded in one go."""
         words = text.split()
         if not words:
             return len(text) < LONG
@@ -80,7 +83,20 @@ class Codec:
             return self.encoding.encode_ordinary(text)
         return [i for p in parts if p for i in ([self.special[p]] if p in self.special else self.encoding.encode_ordinary(p))]
 
-    def parts(self, text: str) -> Iterator[tuple[int, bytes]]:
+    def encode(self, text: str) -> list[int]:
+        """Of a text that is encoded in one task."""
+        if self.plain(text):
+            return self.encode_plain(text)
+        out = []
+        for stretch, leaves in groupby(self.parts(text, LEAF), lambda p: p[0]):
+            leaves = [data for _, data in leaves]
+            out += self.concatenate([self.encoding._encode_single_piece(x) for x in leaves]) if stretch >= 0 else [i for x in leaves for i in self.encode_part(stretch, x)]
+        return out
+
+    def encode_part(self, stretch: int, data: bytes) -> list[int]:
+        return self.encode_plain(data.decode()) if stretch == -1 else [self.special[data.decode()]] if stretch == -2 else self.encoding._encode_single_piece(data)
+
+    def parts(self, text: str, leaf: int) -> Iterator[tuple[int, bytes]]:
         """Cut a text up: (-1, stretch to encode as a text), (-2, special token), or (number, leaf of that unsplit stretch)."""
         number = 0
         for p in self.special_split.split(text) if self.special_split else [text]:
@@ -93,14 +109,14 @@ class Codec:
                     continue
                 for piece, _ in self.splitter.pre_tokenize_str(block):
                     data = bytes(self.alphabet[c] for c in piece)
-                    for i in range(0, len(data), LEAF):
-                        yield number, data[i : i + LEAF]
+                    for i in range(0, len(data), leaf):
+                        yield number, data[i : i + leaf]
                     number += 1
 
     def _blocks(self, text: str) -> Iterator[str]:
         start = 0
         while start < len(text):
-            cut = SAFE.search(text, start + WHOLE // 4)
+            cut = SAFE.search(text, start + PART)
             end = cut.start() if cut else len(text)
             yield text[start:end]
             start = end
@@ -160,47 +176,74 @@ def encode_decode(docs: DataFrame, path: str, outputs=("ids",), id_col: str = "d
 
     outputs: of `count` (n_tokens), `ids`, `text` (decoded) and `digests` (n_tokens, SHA-256 of the comma-joined ids and of the decoded text).
     Strings of special tokens inside a text become those tokens, as in the tokenizers library. A null text counts as
-    empty (no ids, empty decoded text); ids that are null or repeated give one result a row; other columns are ignored.
+    empty (no ids, empty decoded text); ids that are null or repeated give one result a row; an empty table gives an empty
+    result; other columns are ignored. Very long texts are spread over tasks; a result row holds all that was asked for of its text.
     """
     outputs = [k for k in OUTPUTS if k in outputs]
     id_type = docs.schema[id_col].dataType.simpleString()
     shape = ", ".join(OUTPUTS[k] for k in outputs)
+    names = [x.split()[0] for x in shape.split(", ")]
+    cut_names = ["_row", "part", "stretch", "leaf", "data"]
+    cut_types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+    def rows_of(c: Codec, key: pa.Array, text: str):
+        """The parts of a text as batches of bounded size."""
+        name, rows, size, last, leaf = uuid.uuid4().hex, [], 0, -1, 0
+
+        def batch():
+            nothing = _columns(c, outputs, [None] * len(rows))
+            return pa.RecordBatch.from_arrays([key.take(pa.array([0] * len(rows))), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(cut_types)), *nothing], [id_col, *cut_names, *names])
+
+        for part, (stretch, data) in enumerate(c.parts(text, FAR_LEAF)):
+            leaf = leaf + 1 if stretch == last >= 0 else 0
+            last = stretch
+            rows.append((name, part, stretch, leaf, data))
+            size += len(data) + 64
+            if size > SEND:
+                yield batch()
+                rows, size = [], 0
+        if rows:
+            yield batch()
 
     def read(batches):
         c = codec(path)
         for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            easy = [c.plain(t) for t in texts]
-            rows = [c.encode_plain(t) if e else None for t, e in zip(texts, easy)]
-            cut = [None if e else [{"part": i, "stretch": n, "data": d} for i, (n, d) in enumerate(c.parts(t))] for t, e in zip(texts, easy)]
-            names = [None if e else uuid.uuid4().hex for e in easy]
-            kind = pa.list_(pa.struct([("part", pa.int32()), ("stretch", pa.int32()), ("data", pa.binary())]))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(names, pa.string()), pa.array(cut, kind), *_columns(c, outputs, rows)], [id_col, "_row", "_parts", *(x.split()[0] for x in shape.split(", "))])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            near = [i for i, t in enumerate(texts) if len(t) <= FAR]
+            nothing = [pa.nulls(len(near), t) for t in cut_types]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(near, pa.int64())), *nothing, *_columns(c, outputs, [c.encode(texts[i]) for i in near])], [id_col, *cut_names, *names])
+            for i, t in enumerate(texts):
+                if len(t) > FAR:
+                    yield from rows_of(c, batch.column(0).slice(i, 1), t)
 
     def encode_parts(batches):
         c = codec(path)
         for batch in batches:
-            s, d = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ids = [c.encode_plain(x.decode()) if n == -1 else [c.special[x.decode()]] if n == -2 else c.encoding._encode_single_piece(x) for n, x in zip(s, d)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([np.asarray(x, np.uint32).tobytes() for x in ids], pa.binary())], ["_row", "part", "stretch", "ids"])
+            ids = [np.asarray(c.encode_part(n, x), np.uint32).tobytes() for n, x in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.binary())], ["_row", "part", "stretch", "leaf", "ids"])
 
-    def merge(table: pa.Table) -> pa.Table:
-        c = codec(path)
+    def joined(table: pa.Table) -> pa.Table:
+        """Neighbouring parts of one stretch as one."""
+        table = table.sort_by("part")
+        ids = codec(path).concatenate([np.frombuffer(x, np.uint32).tolist() for x in table.column("ids").to_pylist()])
+        return table.slice(0, 1).select(["_row", "part", "stretch", "leaf"]).append_column("ids", pa.array([np.asarray(ids, np.uint32).tobytes()], pa.binary()))
+
+    def whole(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
-        stretches, kept, out = table.column("stretch").to_pylist(), table.column("ids").to_pylist(), []
-        i = 0
-        while i < len(kept):
-            j = i + 1
-            while stretches[i] >= 0 and j < len(kept) and stretches[j] == stretches[i]:
-                j += 1
-            out += c.concatenate([np.frombuffer(x, np.uint32).tolist() for x in kept[i:j]])
-            i = j
-        return pa.Table.from_arrays([table.column("_row").combine_chunks()[:1], *_columns(c, outputs, [out])], names=["_row", *(x.split()[0] for x in shape.split(", "))])
-
-    named = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    first = stash(named.mapInArrow(read, f"{id_col} {id_type}, _row string, _parts array<struct<part int, stretch int, data binary>>, {shape}"), "bpe")
-    done = first.filter("_row is null").drop("_row", "_parts")
-    cut = first.filter("_row is not null")
-    encoded = cut.select("_row", F.explode("_parts").alias("p")).select("_row", "p.*").repartition("_row", "part").mapInArrow(encode_parts, "_row string, part int, stretch int, ids binary")
-    merged = encoded.groupBy("_row").applyInArrow(merge, f"_row string, {shape}")
-    return done.unionByName(cut.select(id_col, "_row").join(merged, "_row").drop("_row"))
+        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.uint32).tolist()
+        return pa.Table.from_arrays([table.column("_row").combine_chunks()[:1], *_columns(codec(path), outputs, [ids])], names=["_row", *names])
+
+    named = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
+    first = stash(named.mapInArrow(read, f"`{id_col}` {id_type}, _row string, part int, stretch int, leaf int, data binary, {shape}"), "bpe")
+    done, cut = first.filter("_row is null").select(F.col(f"`{id_col}`"), *names), first.filter("_row is not null")
+    most = cut.agg(F.max("leaf").alias("leaf")).first().leaf
+    if most is None:
+        return done
+    part_shape = "_row string, part int, stretch int, leaf int, ids binary"
+    encoded = stash(cut.select(*cut_names).repartition("_row", "part").mapInArrow(encode_parts, part_shape), "bpe-parts")
+    trees = encoded.filter("stretch >= 0")
+    while most:
+        near = trees.withColumn("leaf", F.floor(F.col("leaf") / FAN_IN).cast("int"))
+        trees, most = near.groupBy("_row", "stretch", "leaf").applyInArrow(joined, part_shape), most // FAN_IN
+    merged = encoded.filter("stretch < 0").unionByName(trees).groupBy("_row").applyInArrow(whole, f"_row string, {shape}")
+    return done.unionByName(cut.filter("part = 0").select(F.col(f"`{id_col}`"), "_row").join(merged, "_row").drop("_row"))
