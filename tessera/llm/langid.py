@@ -14,10 +14,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The bounded sample that the dictionaries are made of. The distinct texts of a language fall into PARTS parts by a hash; the first
-#: SAMPLE_TEXTS / PARTS of each part, in the order of their place there and of the hash, are taken as long as they fit into SAMPLE_BYTES
-#: bytes. Texts with at most TEXT_BYTES bytes come first and are taken whole; of longer ones the first TEXT_BYTES characters fill what is left.
-TEXT_BYTES, SAMPLE_TEXTS, PARTS, SAMPLE_BYTES = 4096, 600, 60, 262_144
+#: The bounded sample that the dictionaries are made of. The texts of a language fall into SAMPLE_TEXTS parts by a hash, and the one with the least hash of each
+#: part gives an excerpt of at most TEXT_BYTES characters, from a place that its hash names; these are taken in the order of their hashes as long as they fit into
+#: SAMPLE_BYTES bytes. Of more than LANGUAGES languages those with the most texts are learned.
+TEXT_BYTES, SAMPLE_TEXTS, SAMPLE_BYTES, LANGUAGES = 4096, 600, 262_144, 256
 LEVEL = 6
 #: Longer texts are compressed in blocks of at most so many bytes, for what a dictionary saves does not grow with a text.
 BLOCK_BYTES = 16_384
@@ -34,19 +34,18 @@ def reduced(text: str) -> bytes:
 def sample(docs: DataFrame, text_col: str, lang_col: str) -> dict[str, bytes]:
     """Dictionary content by language, from at most SAMPLE_TEXTS texts of each.
 
-    Hashes are ranked, each part by itself, and only the texts of the chosen ones are fetched: what is broadcast and collected is bounded by
-    the number of languages.
+    The parts' least hashes are aggregated, and only the texts of these are fetched: what is broadcast and collected is bounded by the parameters above.
     """
     known = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    fit = known.filter(F.octet_length("text") >= 1).withColumn("hash", F.xxhash64("text")).withColumn("long", F.octet_length("text") > TEXT_BYTES)
-    fit = fit.withColumn("text", F.when(F.col("long"), F.substring("text", 1, TEXT_BYTES)).otherwise(F.col("text")))
-    sizes = fit.groupBy("lang", "long", "hash").agg(F.max(F.octet_length("text") + 1).alias("bytes")).withColumn("part", F.pmod("hash", F.lit(PARTS)))
-    few = sizes.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy("long", "hash"))).filter(F.col("place") <= SAMPLE_TEXTS // PARTS)
-    upto = F.sum("bytes").over(Window.partitionBy("lang").orderBy("long", "place", "hash").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = few.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).select("lang", "long", "hash", "place")
+    fit = known.filter(F.octet_length("text") >= 1).withColumn("hash", F.xxhash64("text"))
+    least = fit.groupBy("lang", F.pmod("hash", F.lit(SAMPLE_TEXTS)).alias("part")).agg(F.min("hash").alias("hash"), F.count(F.lit(1)).alias("n"))
+    most = least.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    chosen = F.broadcast(least.join(F.broadcast(most.select("lang")), "lang").select("lang", "hash"))
+    at = (F.pmod("hash", F.greatest(F.lit(1), F.length("text") - TEXT_BYTES).cast("long")) + 1).cast("int")
+    excerpts = fit.join(chosen, ["lang", "hash"]).groupBy("lang", "hash").agg(F.min(F.substring("text", at, F.lit(TEXT_BYTES))).alias("text"))
+    upto = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("hash").rowsBetween(Window.unboundedPreceding, 0))
     out: dict[str, list] = {}
-    order = ["lang", "long", "place", "hash"]
-    for r in fit.join(F.broadcast(chosen), ["lang", "long", "hash"]).groupBy(*order).agg(F.min("text").alias("text")).orderBy(*order).collect():
+    for r in excerpts.withColumn("upto", upto).filter((F.col("upto") <= SAMPLE_BYTES) | (F.col("upto") == F.octet_length("text") + 1)).orderBy("lang", "hash").collect():
         out.setdefault(r.lang, []).append(reduced(r.text))
     return {k: b" ".join(v) for k, v in out.items()}
 
@@ -80,7 +79,8 @@ def identify(docs: DataFrame, training: DataFrame, margin: float = MARGIN, id_co
 
     Returns id_col, lang_pred, score (the margin, 0 to 1), rejected (narrow margin, or no language), then the columns in keep.
     A null text, one without letters, and every text where nothing was learned gets `und`, score 0. Rows of training
-    without text or language teach nothing; repeated rows are judged alike; other columns are ignored.
+    without text or language teach nothing; ties go to the first language by name; repeated rows are judged alike; an empty table gives an empty
+    result; other columns are ignored. A very long text is compressed whole, in blocks, in one task.
     """
     contents = tuple(sorted(sample(training, text_col, lang_col).items()))
     known = docs.sparkSession.sparkContext.broadcast(contents)
