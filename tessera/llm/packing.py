@@ -25,6 +25,8 @@ LENGTHS = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 32
 #: Pieces that are packed together.
 GROUP = 20_000
+#: Copies of a row that one task makes at once.
+RANGE = 65_536
 
 
 class _Left:
@@ -87,14 +89,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, lengths=LENGTHS, overhe
     """Places of all documents in sequences; a document takes its tokens and one end token.
 
     Returns id_col, copy (number among rows of equal id and length), n_tokens (with the end), piece, start (in the document),
-    length, sequence (long), offset (in the sequence), capacity. A null text is an end token alone; null ids and repeated
-    rows are packed like any others; an empty table gives an empty result; other columns are ignored.
+    length, sequence (long), offset (in the sequence), capacity. A null or empty text is an end token alone; null ids and repeated
+    rows are packed like any others; a very long text becomes many pieces, dealt to any groups; pieces of equal length are taken by
+    id, copy and piece; an empty table gives an empty result; other columns are ignored.
     """
     longest = max(lengths)
     counts = stash(bpe.encode_decode(docs, tokenizer_path, ("count",), id_col, text_col).select(id_col, (F.col("n_tokens") + 1).alias("n_tokens")), "lengths")
     kinds = counts.groupBy(id_col, "n_tokens").agg(F.count(F.lit(1)).alias("copies"))
     groups = max(1, math.ceil(counts.select(F.coalesce(F.sum(F.ceil(F.col("n_tokens") / longest)), F.lit(0)).alias("n")).first().n / group))
-    rows = kinds.select(id_col, "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    # A row that is repeated very often becomes ranges of copies first, dealt out, so that no task makes all of its rows.
+    ranges = kinds.select(id_col, "n_tokens", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RANGE).cast("long"))).alias("from")).repartition(id_col, "from")
+    rows = ranges.select(id_col, "n_tokens", F.explode(F.sequence("from", F.least(F.col("from") + RANGE, F.col("copies")) - 1)).alias("copy"))
     pieces = rows.select(id_col, "copy", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("n_tokens") - 1, F.lit(longest).cast("long")))).alias("piece"))
     pieces = pieces.withColumn("start", F.col("piece") * longest).withColumn("length", F.least(F.lit(longest).cast("long"), F.col("n_tokens") - F.col("start")))
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64(id_col, "copy", "piece"), F.lit(groups)))

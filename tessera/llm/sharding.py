@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 ROUNDS = 4
 #: Walks that the expression tries beyond the first pass; the chance that a row needs more is under n ** -(WALKS / 2).
 WALKS = 40
+#: Numbers of a repeated row that one task makes at once.
+RANGE = 65_536
 
 
 def _div(x: Column, k: int) -> Column:
@@ -62,8 +64,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 0, buckets: in
     """Deal all rows into shards under the law `rows`: shard counts are at most one apart and slots have no gaps.
 
     Returns id_col, size (UTF-8 bytes of the text plus 1), text_crc32, row_number, position, law, shard, slot,
-    grown_shard (null under this law). A null text has size 1 and checksum 0, as the empty one; a null id is dealt like
-    any other; repeated rows each get a place; an empty table gives an empty result; other columns are ignored.
+    grown_shard (null under this law). A null text has size 1 and checksum 0, as the empty one; very long texts are measured where they
+    are read; a null id is dealt like any other; rows of equal id, size and checksum are told apart by nothing else, so their places are theirs in any order; repeated rows each get a place; an empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -78,7 +80,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 0, buckets: in
         kinds.withColumn("upto", F.sum("copies").over(order))
         .join(F.broadcast(firsts), "bucket")
         .withColumn("start", F.col("first") + F.col("upto") - F.col("copies"))
-        .select(id_col, "size", "text_crc32", F.explode(F.expr("sequence(start, start + copies - 1)")).alias("row_number"))
+        # A row that is repeated very often becomes ranges of numbers first, dealt out, so that no task makes all of its rows.
+        .select(id_col, "size", "text_crc32", (F.col("start") + F.col("copies")).alias("end"), F.explode(F.expr(f"sequence(start, start + copies - 1, {RANGE}L)")).alias("from"))
+        .repartition("from")
+        .select(id_col, "size", "text_crc32", F.explode(F.expr(f"sequence(from, least(from + {RANGE}, end) - 1)")).alias("row_number"))
     )
     placed = numbered.withColumn("position", permute(F.col("row_number"), n, seed))
     return placed.select(
