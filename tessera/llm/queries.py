@@ -65,22 +65,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_langid, op4_bpe, op5_quality, op6_lm, op7_packing, op8_secrets, op9_sharding, op10_url_filter)}
 
 
-def _strength_sql(groups: str) -> str:
-    return f"""(SELECT CASE WHEN count(*) < 2 THEN 10.0::DOUBLE ELSE round(least(1000.0::DOUBLE, greatest(1.0::DOUBLE, CASE WHEN avg((k / n - mean) * (k / n - mean)) > avg(mean * (1 - mean) / n)
-        THEN mean * (1 - mean) / (avg((k / n - mean) * (k / n - mean)) - avg(mean * (1 - mean) / n)) - 1 ELSE 1000 END)), 3) END FROM {groups}, overall WHERE n > 0 GROUP BY mean)"""
+def _strength_sql(groups: str, mean: str) -> str:
+    return f"""(SELECT CASE WHEN count(*) < 2 OR NOT coalesce(sum({mean} * (1 - {mean}) * (1 - 1 / n)) > 0, false) THEN 10.0::DOUBLE
+        WHEN sum((k / n - {mean}) * (k / n - {mean}) - {mean} * (1 - {mean}) / n) <= 0 THEN 1000
+        ELSE round(least(1000.0::DOUBLE, greatest(1.0::DOUBLE, sum({mean} * (1 - {mean}) * (1 - 1 / n)) / sum((k / n - {mean}) * (k / n - {mean}) - {mean} * (1 - {mean}) / n) - 1)), 3) END FROM {groups} WHERE n > 0)"""
 
 
 URL_FILTER_SQL = f"""WITH parts AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 marks AS (SELECT doc_id, min(CASE WHEN coalesce(toxic, 0) = 1 THEN 0 WHEN quality = 1 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
-hosts AS (SELECT host, split_part(host, '.', -1) AS suffix, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k FROM parts LEFT JOIN marks ON page_id = doc_id GROUP BY 1),
+named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name, regexp_extract(name, '([^.]*[.])?[^.]*$') AS two, two IN {url_filter.LONG_SUFFIXES} AS long FROM parts),
+hosts AS (SELECT host, CASE WHEN long THEN two ELSE split_part(name, '.', -1) END AS suffix, CASE WHEN long THEN regexp_extract(name, '([^.]*[.])?[^.]*[.][^.]*$') ELSE two END AS domain,
+    count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k FROM named LEFT JOIN marks ON page_id = doc_id GROUP BY ALL),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2),
-suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY 1),
-overall AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS mean FROM suffixes),
-strengths AS (SELECT mean, coalesce({_strength_sql('suffixes')}, 10) AS s0, coalesce({_strength_sql('domains')}, 10) AS s1, coalesce({_strength_sql('hosts')}, 10) AS s2 FROM overall),
-by_suffix AS (SELECT suffix, (k + mean * s0) / (n + s0) AS rate FROM suffixes, strengths),
-by_domain AS (SELECT domain, (k + rate * s1) / (n + s1) AS rate FROM domains JOIN by_suffix USING (suffix), strengths),
-by_host AS (SELECT host, n, s2, (k + rate * s2) / (n + s2) AS rate FROM hosts JOIN by_domain USING (domain), strengths),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM domains) AS mean FROM domains GROUP BY 1),
+s0 AS ({_strength_sql('suffixes', 'mean')[1:-1]} ), by_suffix AS (SELECT suffix, (k + mean * s) / (n + s) AS above FROM suffixes, s0 t(s)),
+under_suffix AS (SELECT domains.*, above FROM domains JOIN by_suffix USING (suffix)),
+s1 AS ({_strength_sql('under_suffix', 'above')[1:-1]} ), by_domain AS (SELECT domain, (k + above * s) / (n + s) AS above FROM under_suffix, s1 t(s)),
+under_domain AS (SELECT hosts.*, above FROM hosts JOIN by_domain USING (domain)),
+s2 AS ({_strength_sql('under_domain', 'above')[1:-1]} ), by_host AS (SELECT host, n, s AS s2, (k + above * s) / (n + s) AS rate FROM under_domain, s2 t(s)),
 bounded AS (SELECT host, n::BIGINT AS n_labelled, rate, least(1.0::DOUBLE, rate + 1.645::DOUBLE * sqrt(rate * (1 - rate) / (n + s2 + 1))) AS upper FROM by_host),
 ruled AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts)
@@ -93,12 +96,13 @@ placed AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM
 grams AS (SELECT r, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g FROM placed WINDOW o AS (PARTITION BY r ORDER BY i)),
 often AS (SELECT r, i FROM grams WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 repeats AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, i + unnest([0, 1, 2, 3, 4]) AS place FROM often) GROUP BY r),
-lines AS (SELECT r, doc_id, source, t, array_to_string(regexp_extract_all(translate(x, '{url_filter.UPPER}123456789', '{url_filter.LOWER}000000000'), {WORD_SQL}), ' ') AS key, len(regexp_extract_all(x, {WORD_SQL})) AS n
-    FROM (SELECT r, doc_id, source, t, unnest(lines) AS x FROM split)),
-hosts AS (SELECT source, count(DISTINCT t) AS texts FROM split GROUP BY 1),
-counted AS (SELECT source, key, min(doc_id) AS first, count(DISTINCT t) AS texts_with FROM lines GROUP BY ALL),
-shared AS (SELECT counted.* FROM counted JOIN hosts ON counted.source IS NOT DISTINCT FROM hosts.source WHERE texts_with > {quality.MIN_DOCS} AND texts_with > {quality.SHARE}::DOUBLE * texts),
-removed AS (SELECT r, sum(n)::BIGINT AS n FROM lines JOIN shared ON lines.source IS NOT DISTINCT FROM shared.source AND lines.key = shared.key WHERE first IS NULL OR doc_id IS DISTINCT FROM first GROUP BY r),
+lines AS (SELECT r, doc_id, source, array_to_string(regexp_extract_all(translate(x, '{url_filter.UPPER}123456789', '{url_filter.LOWER}000000000'), {WORD_SQL}), ' ') AS key, len(regexp_extract_all(x, {WORD_SQL})) AS n
+    FROM (SELECT r, doc_id, source, unnest(lines) AS x FROM split)),
+hosts AS (SELECT source, count(DISTINCT doc_id) + count(*) FILTER (WHERE doc_id IS NULL) AS docs FROM split GROUP BY 1),
+held AS (SELECT DISTINCT r, doc_id, source, key FROM lines),
+counted AS (SELECT source, key, count(DISTINCT doc_id) + count(*) FILTER (WHERE doc_id IS NULL) AS docs_with FROM held GROUP BY ALL),
+shared AS (SELECT counted.* FROM counted JOIN hosts ON counted.source IS NOT DISTINCT FROM hosts.source WHERE docs_with > {quality.MIN_DOCS} AND (docs_with > {quality.SHARE}::DOUBLE * docs OR docs_with > {quality.MANY})),
+removed AS (SELECT r, sum(n)::BIGINT AS n FROM lines JOIN shared ON lines.source IS NOT DISTINCT FROM shared.source AND lines.key = shared.key GROUP BY r),
 measured AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS n_removed_words FROM split LEFT JOIN repeats USING (r) LEFT JOIN removed USING (r))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
