@@ -38,7 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 1: one document of each group linked by five-word shingles with similarity 0.8 or more."""
     ship_code(spark)
-    return _documents(simhash.keep_one(docs, simhash.similar(0.8), shingle=5))
+    return _documents(simhash.keep_one(docs, shingle=5))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

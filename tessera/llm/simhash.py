@@ -8,7 +8,9 @@ one with fewer set bits (or the smaller) looks up the other, which halves each b
 
 With one 64-bit word and two 32-bit segments, balls of radius d // 2 and d - d // 2 - 1 find every pair within d bits: a pair
 that exceeds both radii exceeds d. Similarity thresholds need wider fingerprints and many more differing bits, where
-balls of radius 1 over twelve 20-bit segments find pairs with the chances given at SIMILAR.
+balls of radius 1 over many segments find pairs with the chance RECALL; segments grow with the logarithm of the number of texts, so
+that buckets do not grow, and their number follows. These tables are dealt by the leading bits of a segment: only flips of these
+travel, the rest of a ball is looked up inside the task.
 
 Texts with equal fingerprints count as one (so a group of copies costs one entry); with a similarity threshold only those
 with equal shingle sets do. What meets under one key is linked
@@ -42,18 +44,27 @@ BLOCK, CHUNK = 4096, 512
 BLOCK_SHINGLES = 1 << 18
 #: Tables of keys with several blocks are broadcast up to so many rows; each stands for over BLOCK entries.
 BROADCAST_ROWS = 200_000
+#: Chance with which a pair at a similarity threshold is found; entries of one group of a wide table; entries of one key up to which all pairs are compared at once.
+RECALL, GROUP, FEW = 0.99, 65_536, 32
+#: Words of a wide fingerprint that distances are measured on.
+MEASURED = 4
 BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # by byte, highest bit first
 
 
 
 
 class Plan(NamedTuple):
-    """words of a fingerprint; its segments (word, first bit, bits, ball radius); the distance up to which it links; the similarity that links must have."""
+    """words of a fingerprint; its segments (word, first bit, bits, ball radius); the distance up to which it links, over its first words; the similarity that links must have; leading bits that deal a segment's table out."""
 
     words: int
     segments: tuple[tuple[int, int, int, int], ...]
     distance: int
     similarity: float | None = None
+    leading: int = 0
+
+    @property
+    def measured(self) -> int:
+        return min(self.words, MEASURED)
 
 
 def within(distance: int) -> Plan:
@@ -63,17 +74,23 @@ def within(distance: int) -> Plan:
     return Plan(1, ((0, 32, 32, distance // 2), (0, 0, 32, distance - distance // 2 - 1)), distance)
 
 
-def similar(similarity: float) -> Plan:
-    """256-bit fingerprints of shingle sets with this Jaccard similarity or more.
+def similar(similarity: float, texts: int = 1 << 20) -> Plan:
+    """Fingerprints of shingle sets with this Jaccard similarity or more, for about so many texts.
 
     Sets of equal size with Jaccard similarity j have cosine 2j / (1 + j) and differ in arccos(cosine) / pi of the bits;
-    three standard deviations of 256 bits are added (55 bits for 0.8), so that pairs at the very threshold are looked at.
-    Twelve 20-bit segments with balls of radius 1 find a pair of similarity 0.8, 0.85, 0.9 or 0.95 with a chance of 0.89,
-    0.97, 0.99 or 1.00; a third text of the same group often links what a pair misses.
+    three standard deviations of 256 bits are added to the distance (55 bits for 0.8), so that pairs at the very threshold are looked at.
+    A segment has as many bits as the number of texts and 20 at least, a ball radius 1, and there are so many of them that a pair at the threshold meets with the
+    chance RECALL: 25 of 20 bits for 0.8, with which pairs of 0.85 and 0.9 are found with chances of 0.999 and 0.99999. A third text of the same group often links what a pair misses.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     spread = math.sqrt(share * (1 - share) / 256)
-    return Plan(4, tuple((w, 20 * i, 20, 1) for w in range(4) for i in range(3)), int(256 * (share + 3 * spread)), similarity)
+    bits = min(32, max(20, math.ceil(math.log2(max(2, texts)))))
+    meet = (1 - share) ** bits + bits * share * (1 - share) ** (bits - 1)
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - meet)) if meet < 1 else 1
+    each = 64 // bits
+    words = max(MEASURED, -(-tables // each))
+    leading = min(bits - 8, max(3, math.ceil(math.log2(max(2, texts) / GROUP))))
+    return Plan(words, tuple((i // each, bits * (i % each), bits, 1) for i in range(tables)), int(256 * (share + 3 * spread)), similarity, leading)
 
 
 def _shingles(text: str, shingle: int):
@@ -101,11 +118,18 @@ def shingle_fingerprint(text: str, shingle: int) -> tuple[int, ...]:
 
 
 def set_fingerprint(text: str, shingle: int, words: int) -> tuple[int, ...]:
-    """A hash of the set of distinct shingles, then its SimHash: texts with equal sets have equal ones, whatever they repeat."""
-    seeds = range(SEED, SEED + words // 2)
-    hashes = sorted(b"".join([xxhash.xxh3_128_digest(p, s) for s in seeds]) for p in set(_shingles(text, shingle)))
-    joined = b"".join(hashes)
-    return (xxhash.xxh3_64_intdigest(joined) - (1 << 63), *_majority(joined, words))
+    """A hash of the set of distinct shingles, then its SimHash: texts with equal sets have equal ones, whatever they repeat.
+
+    A shingle's further words are mixed from the two of its 128-bit hash.
+    """
+    joined = b"".join(sorted({xxhash.xxh3_128_digest(p, SEED) for p in _shingles(text, shingle)}))
+    two = np.frombuffer(joined, ">u8").astype(np.uint64).reshape(-1, 2)
+    lanes = np.empty((len(two), words), np.uint64)
+    for i in range(words):
+        x = two[:, 0] + np.uint64(i) * (two[:, 1] | np.uint64(1))
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        lanes[:, i] = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return (xxhash.xxh3_64_intdigest(joined) - (1 << 63), *_majority((lanes ^ lanes >> np.uint64(31)).astype(">u8").tobytes(), words))
 
 
 def fingerprints(docs: DataFrame, shingle: int, plan: Plan, id_col: str, text_col: str, text_key) -> DataFrame:
@@ -158,6 +182,8 @@ class _Bucket:
     def _close(self) -> None:
         """Link the entries by forests of least distances: each group grows by the entry nearest to any of its own."""
         self.nodes, self.fps = (np.concatenate(x) for x in zip(*self.waiting))
+        if len(self.nodes) > BLOCK:
+            return self._close_by_stars()
         self.roots, left, links = np.arange(len(self.nodes)), np.arange(len(self.nodes)), []
         while len(left) > 1:
             root = at = left[0]
@@ -173,6 +199,20 @@ class _Bucket:
                 best[nearer], parent[nearer] = now[nearer], at
         self.links.append(np.array(links, np.int64).reshape(-1, 2))
 
+    def _close_by_stars(self) -> None:
+        """Of very many entries, those within the distance of a first one are its star, and so on with the rest; stars are linked where any of their entries meet."""
+        self.roots, left, links = np.zeros(len(self.nodes), np.int64), np.arange(len(self.nodes)), []
+        while len(left):
+            near = np.concatenate([_apart(self.fps[left[:1]], self.fps[left[i : i + CHUNK * BLOCK]])[0] for i in range(0, len(left), CHUNK * BLOCK)]) <= self.distance
+            self.roots[left[near]] = left[0]
+            links.append(np.stack([self.nodes[left[near][1:]], np.full(near.sum() - 1, self.nodes[left[0]])], axis=1))
+            left = left[~near]
+        self.links += links
+        if len(links) > 1:
+            largest = np.bincount(self.roots).argmax()
+            others = np.flatnonzero(self.roots != largest)
+            self.probes(self.nodes[others], self.fps[others])
+
     def probes(self, nodes, fps) -> None:
         """Link each with the nearest entry of every group within the distance."""
         if not self.waiting:
@@ -226,6 +266,124 @@ def _link(plan: Plan):
     return run
 
 
+class _Group:
+    """Links of one group of a wide table: entries of one leading part, and others that look up one value here each."""
+
+    def __init__(self, plan: Plan):
+        self.plan, self.bits, self.rows = plan, plan.segments[0][2] - plan.leading, []
+
+    def add(self, probe, value, node, fp) -> None:
+        self.rows.append((probe, value, node, fp))
+
+    def close(self) -> np.ndarray:
+        """Forests of least distances, of crowded keys and of all others together."""
+        probe, value, node, fp = (np.concatenate(x) for x in zip(*self.rows))
+        order = np.lexsort((node, value, probe))
+        probe, value, node, fp = probe[order], value[order], node[order], fp[order]
+        n = int(np.searchsorted(probe, 1))
+        keys, first, sizes = np.unique(value[:n], return_index=True, return_counts=True)
+        if not n:
+            return np.zeros((0, 2), np.int64)
+        asks, wants = [np.arange(n), np.arange(n, len(value))], [value[:n], value[n:]]
+        ones = np.bitwise_count(value[:n])
+        for b in range(self.bits):
+            other = value[:n] ^ (1 << b)
+            up = np.flatnonzero(np.bitwise_count(other) > ones)
+            asks.append(up)
+            wants.append(other[up])
+        ask, want = np.concatenate(asks), np.concatenate(wants)
+        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        hit = (keys[at] == want) & ((ask != first[at]) | (sizes[at] > 1))
+        ask, at = ask[hit], at[hit]
+        few = sizes[at] <= FEW
+        found = self._few(ask[few], first[at[few]], sizes[at[few]], fp, value, n)
+        links = [np.zeros((0, 2), np.int64)]
+        crowd, key = ask[~few], at[~few]
+        order = np.argsort(key, kind="stable")
+        crowd, key = crowd[order], key[order]
+        for k in np.unique(key).tolist():
+            bucket, own = _Bucket(self.plan.distance), slice(first[k], first[k] + sizes[k])
+            bucket.entries(node[own], fp[own])
+            asked = crowd[np.searchsorted(key, k) : np.searchsorted(key, k, "right")]
+            asked = asked[(asked < own.start) | (asked >= own.stop)]
+            bucket.probes(node[asked], fp[asked])
+            links.append(bucket.close())
+        return np.concatenate([self._forest(found, node), *links])
+
+    def _few(self, ask, first, sizes, fp, value, n) -> np.ndarray:
+        """(distance, asking, found) of pairs within the distance."""
+        out = [np.zeros((0, 3), np.int64)]
+        step = max(1, CHUNK * CHUNK // FEW)
+        for i in range(0, len(ask), step):
+            s = sizes[i : i + step]
+            a = np.repeat(ask[i : i + step], s)
+            b = np.arange(len(a)) + np.repeat(first[i : i + step] - np.cumsum(s) + s, s)
+            keep = (a < b) | (a >= n) | (value[a] != value[b])  # equal entries ask each other
+            a, b = a[keep], b[keep]
+            d = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64)
+            near = d <= self.plan.distance
+            out.append(np.stack([d[near], a[near], b[near]], axis=1))
+        return np.concatenate(out)
+
+    @staticmethod
+    def _forest(pairs: np.ndarray, node: np.ndarray) -> np.ndarray:
+        root, out = {}, []
+
+        def find(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        for _, a, b in pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))].tolist():
+            x, y = find(a), find(b)
+            if x != y:
+                root[x] = y
+                out.append((node[a], node[b]))
+        return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _wide_lookups(plan: Plan) -> str:
+    """SQL array of (key, probe, value) structs of a fingerprint: its entry of each table, and what it looks up under other leading bits."""
+    out, low = [], plan.segments[0][2] - plan.leading
+    for number, (word, first, bits, _) in enumerate(plan.segments):
+        value = f"(shiftrightunsigned(f{word}, {first}) & {(1 << bits) - 1}L)"
+        struct = lambda v, probe: f"named_struct('key', {number << 40}L | shiftright({v}, {low}), 'probe', {probe}, 'value', {v} & {(1 << low) - 1}L)"
+        masks = "array(" + ", ".join(f"{1 << b}L" for b in range(low, bits)) + ")"
+        out += [f"array({struct(value, 0)})", f"transform(filter({masks}, m -> ({value} & m) = 0), m -> {struct(f'({value} | m)', 1)})"]
+    return f"concat({', '.join(out)})"
+
+
+def _wide_link(plan: Plan):
+    def run(batches):
+        group, at = None, None
+        for batch in batches:
+            key, probe, value, node, *fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4 + plan.measured))
+            fp = np.stack(fp, axis=1).view(np.uint64)
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else []
+            for s, e in zip(starts, np.append(starts[1:], len(key))):
+                if at != key[s]:
+                    if group:
+                        yield _batch_of(group.close())
+                    group, at = _Group(plan), key[s]
+                group.add(probe[s:e], value[s:e], node[s:e], fp[s:e])
+        if group:
+            yield _batch_of(group.close())
+
+    return run
+
+
+def _batch_of(links: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["u", "v"])
+
+
+def wide_links(distinct: DataFrame, plan: Plan) -> DataFrame:
+    """As fingerprint_links, for plans with a similarity. A group holds the entries of one leading part of one table, about GROUP of them."""
+    fp = [f"f{i}" for i in range(plan.measured)]
+    rows = distinct.select("node", *fp, F.explode(F.expr(_wide_lookups(plan))).alias("x")).select("x.key", "x.probe", "x.value", "node", *fp)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_link(plan), "u long, v long")
+
+
 def fingerprint_links(distinct: DataFrame, plan: Plan) -> DataFrame:
     """Links (u, v) between nodes (columns node, f0, f1, ...; distinct) that connect what the plan links: a forest of each key's."""
     fp = [f"f{i}" for i in range(plan.words)]
@@ -375,18 +533,21 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, shingle: int = 5,
 
     Returns id_col, f0, f1, ... (the fingerprint), fingerprint (its hex digits), component_id (the smallest id of the
     component; null if all its ids are null). Null and word-free texts have the fingerprint zero and are linked like any
-    other; shorter texts are one shingle; repeated rows share fingerprint and component; an empty table gives an empty
+    other; shorter texts are one shingle; a very long text is hashed whole in one task; repeated rows share fingerprint and component; an empty table gives an empty
     result; other columns are ignored. Nodes of wide fingerprints are named by a 64-bit hash of them and of the shingle set.
     """
-    plan = plan or similar(0.8)
+    plan = plan or similar(0.8, docs.count())
     fp = [f"f{i}" for i in range(plan.words)]
     text_key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_key")
     marked = stash(fingerprints(docs, shingle, plan, id_col, text_col, text_key), "fingerprints")
-    same = fp if plan.similarity is None else ["set_key", *fp]
+    same = fp if plan.similarity is None else ["set_key", "f0", "f1"]
     node = F.col("f0") if same == ["f0"] else F.xxhash64(*same)
-    nodes = stash(marked.groupBy(*same).agg(F.min(id_col).alias("least"), F.min("text_key").alias("text_key")).withColumn("node", node), "nodes")
-    links = fingerprint_links(nodes.select("node", *fp), plan)
-    if plan.similarity is not None:
+    rest = [F.first(x).alias(x) for x in fp if x not in same]
+    nodes = stash(marked.groupBy(*same).agg(F.min(id_col).alias("least"), F.min("text_key").alias("text_key"), *rest).withColumn("node", node), "nodes")
+    if plan.similarity is None:
+        links = fingerprint_links(nodes.select("node", *fp), plan)
+    else:
+        links = wide_links(nodes.select("node", *fp), plan)
         links = similar_links(links, nodes, docs.select(text_key, F.col(text_col).cast("string").alias("text")), shingle, plan.similarity)
     roots = components(links).withColumnRenamed("node", "linked")
     rooted = nodes.join(roots, F.col("node") == F.col("linked"), "left").select(*same, "least", F.coalesce("root", "node").alias("root"))
