@@ -3,7 +3,7 @@
 Words are factored into nested classes of FAN branches, by their counts in the training texts (frequent words lie near
 the top), and the probability of a word is the product of the softmaxes along its way down. Each softmax starts at the shares
 that the branches have of the training tokens and adds the weights of hashed features, all jointly with the class: the previous
-word, the one before it alone (skip), and both together. Words seen once, and those beyond the table of the most frequent ones,
+word, the one before it alone (skip), and both together; classes with few training tokens keep their shares. Words seen once, and those beyond the table of the most frequent ones,
 share a leaf; inside it each has its smoothed share of the leaf's training tokens, unseen words together half a count. So the
 probabilities of all words add up to one.
 
@@ -34,6 +34,10 @@ from tessera.llm.common import stash
 FAN, STEP, CHUNK, PORTION, LIMIT = 8, 0.2, 32_768, 1 << 18, 12.0
 #: Hashed rows: a quarter of the training tokens, between these powers of two (the upper one bounds the memory of a task: 20 MB).
 LEAST_BITS, MOST_BITS = 12, 19
+#: A class has features if it holds more than this share of the training tokens.
+FEATURED = 2.0**-12
+#: Training tokens of a task in a round, so that what is exchanged follows the tokens and not the partitions.
+TASK_TOKENS = 1 << 21
 #: What a row's accumulated squared gradient must be for half of the way from sum to mean.
 SETTLED = 0.3
 #: Most frequent words, of those seen twice or more, that every task holds; words longer than this are named by a digest.
@@ -106,8 +110,8 @@ class Lexicon(NamedTuple):
 
     @property
     def rounds(self) -> int:
-        """Two up to ten million training tokens, one more for each power of ten beyond."""
-        return max(2, math.ceil(math.log10(self.tokens + 1)) - 5)
+        """Two up to a hundred million training tokens, one more for each power of ten beyond."""
+        return max(2, math.ceil(math.log10(self.tokens + 1)) - 6)
 
 
 def make_lexicon(counts: DataFrame) -> tuple[Ids, Lexicon]:
@@ -118,8 +122,9 @@ def make_lexicon(counts: DataFrame) -> tuple[Ids, Lexicon]:
 
 
 class Classes(NamedTuple):
-    """The nested classes. The way of leaf i are the classes and branches at first[i] to first[i + 1], from the leaf up."""
+    """The nested classes. The way of leaf i are the classes with features and their branches at first[i] to first[i + 1], upwards, below them classes of one log share together."""
 
+    share: np.ndarray
     first: np.ndarray
     nodes: np.ndarray
     branches: np.ndarray
@@ -145,18 +150,24 @@ def nested_classes(counts: np.ndarray) -> Classes:
                 total += joined[x - leaves]
             parent[x], branch[x] = k, b
         joined.append(total)
-    base, below = np.full((inner, FAN), -1e9, np.float32), np.flatnonzero(parent >= 0)
-    base[parent[below], branch[below]] = np.log(np.concatenate([counts, joined])[below] / np.array(joined)[parent[below]])
-    ways, leaf, at = [], np.arange(leaves), np.arange(leaves)
+    base, below, joined = np.full((inner, FAN), -1e9, np.float32), np.flatnonzero(parent >= 0), np.array(joined)
+    base[parent[below], branch[below]] = np.log(np.concatenate([counts, joined])[below] / joined[parent[below]])
+    featured = joined > FEATURED * counts.sum()
+    share, ways, leaf, at = np.zeros(leaves), [], np.arange(leaves), np.arange(leaves)
     while len(leaf := leaf[parent[at] >= 0]):
         at = at[parent[at] >= 0]
-        ways.append((leaf, parent[at], branch[at]))
-        at = parent[at] + leaves
-    first = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate([w[0] for w in ways]), minlength=leaves))]) if ways else np.zeros(leaves + 1, np.int64)
+        up, taken = parent[at], branch[at]
+        own = featured[up]
+        share[leaf[~own]] += base[up[~own], taken[~own]]
+        ways.append((leaf[own], up[own], taken[own]))
+        at = up + leaves
+    passed = np.bincount(np.concatenate([np.zeros(0, np.int64), *(w[0] for w in ways)]), minlength=leaves)
+    first, place = np.concatenate([[0], np.cumsum(passed)]), np.zeros(leaves, np.int64)
     nodes, branches = np.empty(first[-1], np.int32), np.empty(first[-1], np.int8)
-    for level, (leaf, node, taken) in enumerate(ways):
-        nodes[first[leaf] + level], branches[first[leaf] + level] = node, taken
-    return Classes(first, nodes, branches, base, _mixed(np.arange(1, inner + 1, dtype=np.uint64)))
+    for leaf, node, taken in ways:
+        nodes[first[leaf] + place[leaf]], branches[first[leaf] + place[leaf]] = node, taken
+        place[leaf] += 1
+    return Classes(share, first, nodes, branches, base, _mixed(np.arange(1, inner + 1, dtype=np.uint64)))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -244,7 +255,7 @@ def log10_probabilities(t: Tokens, tree: Classes, weights: np.ndarray, bits: int
         log_p = log_softmax(weights, tree, nodes, rows)[np.arange(len(nodes)), branches]
         upto, ends = np.concatenate([[0.0], np.cumsum(log_p, dtype=np.float64)]), np.cumsum(passed)
         out[i : i + CHUNK] = upto[ends] - upto[ends - passed]
-    return out / LN10
+    return (out + tree.share[t.ids]) / LN10
 
 
 def portions(batch: pa.RecordBatch, column: int, most: int = PORTION):
@@ -278,25 +289,35 @@ def encode(named: DataFrame, ids, id_col: str) -> DataFrame:
     return named.mapInArrow(run, shape).withColumn("_row", F.monotonically_increasing_id())
 
 
-def _packed(change: np.ndarray, root: np.ndarray, tasks: np.ndarray) -> list[bytes]:
-    return [change.astype(np.float16).tobytes(), root.astype(np.float16).tobytes(), tasks.astype(np.int32).tobytes()]
+MESSAGE = ("change", "scale", "root", "tasks")
+
+
+def _packed(change: np.ndarray, past: np.ndarray, tasks: np.ndarray) -> list[bytes]:
+    """Changes of a block's rows as bytes with a scale for each row, roots of the squared gradients, and how many tasks changed a row."""
+    scale = (np.abs(change).max(1) / 127).astype(np.float16).astype(np.float32)
+    steps = np.rint(change / np.where(scale > 0, scale, 1)[:, None]).clip(-127, 127)
+    return [np.where(scale[:, None] > 0, steps, 0).astype(np.int8).tobytes(), scale.astype(np.float16).tobytes(), np.minimum(np.sqrt(past), 6e4).astype(np.float16).tobytes(), tasks.astype(np.int32).tobytes()]
+
+
+def _unpacked(change: bytes, scale: bytes, root: bytes, tasks: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(change, np.int8).reshape(-1, FAN) * np.frombuffer(scale, np.float16).astype(np.float32)[:, None], np.frombuffer(root, np.float16).astype(np.float32) ** 2, np.frombuffer(tasks, np.int32)
 
 
 def _added(table: pa.Table) -> pa.Table:
-    """Sums of one block over the tasks of a group: changes, squared gradients (kept as roots), and how many tasks changed a row."""
-    change, past, tasks = 0.0, 0.0, 0
-    for c, r, n in zip(*(table.column(x).to_pylist() for x in ("change", "root", "tasks"))):
-        change = change + np.frombuffer(c, np.float16).astype(np.float32)
-        past = past + np.frombuffer(r, np.float16).astype(np.float32) ** 2
-        tasks = tasks + np.frombuffer(n, np.int32)
-    return pa.table({"near": table.column("near")[:1].combine_chunks(), "block": table.column("block")[:1].combine_chunks(), **dict(zip(("change", "root", "tasks"), ([x] for x in _packed(change, np.sqrt(past), tasks))))})
+    """Sums of one block over the tasks of a group."""
+    total = None
+    for row in zip(*(table.column(x).to_pylist() for x in MESSAGE)):
+        one = _unpacked(*row)
+        total = one if total is None else tuple(a + b for a, b in zip(total, one))
+    return pa.table({"near": table.column("near")[:1].combine_chunks(), "block": table.column("block")[:1].combine_chunks(), **{k: pa.array([x], pa.binary()) for k, x in zip(MESSAGE, _packed(*total))}})
 
 
 def train(encoded: DataFrame, lexicon, rounds: int, bits: int) -> np.ndarray:
     """encoded: ids and part (a number below 2 ** 16); lexicon: broadcast. Returns the weights, by row and branch."""
     spark, weights = encoded.sparkSession, np.zeros((1 << bits, FAN), np.float32)
     block = min(BLOCK, 1 << bits)
-    tasks = encoded.rdd.getNumPartitions()
+    tasks = max(1, math.ceil(lexicon.value.tokens / rounds / TASK_TOKENS))
+    fields = "block int, change binary, scale binary, root binary, tasks binary"
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
 
@@ -308,22 +329,21 @@ def train(encoded: DataFrame, lexicon, rounds: int, bits: int) -> np.ndarray:
                     train_on(prepare(ids, lengths, len(lexicon.value.counts) + 1), tree, now, past, bits)
             for i in range(0, len(past) if past.any() else 0, block):
                 p = past[i : i + block]
-                packed = _packed((now[i : i + block] - start[i : i + block]).ravel(), np.sqrt(p), p > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([i // block], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["block", "change", "root", "tasks"])
+                packed = _packed(now[i : i + block] - start[i : i + block], p, p > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([i // block], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["block", *MESSAGE])
 
-        own = encoded.filter((F.col("part") % rounds) == k).select("ids").mapInArrow(run, "block int, change binary, root binary, tasks binary")
+        own = encoded.filter((F.col("part") % rounds) == k).select("ids").coalesce(tasks).mapInArrow(run, fields)
         sums, left = own.withColumn("near", F.spark_partition_id().cast("long")), tasks
         while left > 1:  # FAN_IN to one, so that no group grows with the number of tasks
             left = -(-left // FAN_IN)
-            sums = sums.withColumn("near", F.floor(F.col("near") / FAN_IN)).groupBy("near", "block").applyInArrow(_added, "near long, block int, change binary, root binary, tasks binary")
+            sums = sums.withColumn("near", F.floor(F.col("near") / FAN_IN)).groupBy("near", "block").applyInArrow(_added, f"near long, {fields}")
         weights = weights.copy()
-        for row in sums.select("block", "change", "root", "tasks").toArrow().to_pylist():  # all weights once
-            change, root, n = (np.frombuffer(row[x], t).astype(np.float32) for x, t in (("change", np.float16), ("root", np.float16), ("tasks", np.int32)))
+        for row in sums.select("block", *MESSAGE).toArrow().to_pylist():  # all weights once
+            change, past, n = _unpacked(*(row[x] for x in MESSAGE))
             n = np.maximum(n, 1)
-            settled = root**2 / n
-            by = 1 + (n - 1) * settled / (settled + SETTLED)
+            settled = past / n
             at = slice(row["block"] * block, (row["block"] + 1) * block)
-            weights[at] = np.clip(weights[at] + change.reshape(-1, FAN) / by[:, None], -LIMIT, LIMIT)
+            weights[at] = np.clip(weights[at] + change / (1 + (n - 1) * settled / (settled + SETTLED))[:, None], -LIMIT, LIMIT)
         shared.unpersist()
     return weights
 
