@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The clock of all checked queries.
 ASOF = "2024-02-01 00:00:00"
+PERSONAL = ("fixed", "fluid", "contextual", *[None] * 10)
+EVOLUTIONS = (*[None] * 4, "tension", "hypothesis", "aspiration", "pattern", "catalyst", *[None] * 10)
 TYPES = ("rule", "decision", "concept", "task", "context", "lesson", "mechanism", "project")
 
 
@@ -50,6 +52,10 @@ class Memory:
             F.when(d % 7 == 0, F.lit(None).cast("double")).otherwise(0.1 + (d % 10).cast("double") / 10).alias("confidence"),
             (1 + d % 4).cast("double").alias("stability"),
             (asof() - F.make_dt_interval(hours=(d % 1440).cast("int"))).alias("created_at"),
+            F.element_at(F.array(*(F.lit(x) for x in PERSONAL)), (d % 13 + 1).cast("int")).alias("personal"),
+            F.element_at(F.array(*(F.lit(x) for x in EVOLUTIONS)), (d % 19 + 1).cast("int")).alias("evolution"),
+            F.when(d % 8 == 3, asof() - F.make_dt_interval(hours=(d % 1440).cast("int")) + F.make_dt_interval(days=(d % 40).cast("int"))).alias("due_at"),
+            F.when(d % 6 == 1, asof() - F.make_dt_interval(hours=(d % 700).cast("int"))).alias("validated_at"),
         )
 
     @cached_property
@@ -79,6 +85,10 @@ CTE = {
         substring(text, 1, 60) AS title, text AS content, source AS project, doc_id % 5 = 0 AS locked, doc_id % 17 = 3 AS archived, doc_id % 97 = 0 AS critical,
         CAST(doc_id % 11 AS DOUBLE) / 10 AS emotion, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 0.1::DOUBLE + CAST(doc_id % 10 AS DOUBLE) / 10 END AS confidence,
         CAST(1 + doc_id % 4 AS DOUBLE) AS stability, TIMESTAMP '2024-02-01 00:00:00' - to_hours(CAST(doc_id % 1440 AS INTEGER)) AS created_at,
+        CASE doc_id % 13 WHEN 0 THEN 'fixed' WHEN 1 THEN 'fluid' WHEN 2 THEN 'contextual' END AS personal,
+        CASE doc_id % 19 WHEN 4 THEN 'tension' WHEN 5 THEN 'hypothesis' WHEN 6 THEN 'aspiration' WHEN 7 THEN 'pattern' WHEN 8 THEN 'catalyst' END AS evolution,
+        CASE WHEN doc_id % 8 = 3 THEN TIMESTAMP '2024-02-01 00:00:00' - to_hours(CAST(doc_id % 1440 AS INTEGER)) + to_days(CAST(doc_id % 40 AS INTEGER)) END AS due_at,
+        CASE WHEN doc_id % 6 = 1 THEN TIMESTAMP '2024-02-01 00:00:00' - to_hours(CAST(doc_id % 700 AS INTEGER)) END AS validated_at,
         coalesce(access_count, 0) AS access_count, last_accessed
         FROM documents LEFT JOIN usage ON usage.id = doc_id)""",
     "sessions": "sessions AS (SELECT DISTINCT user_id, day, node_id FROM accesses)",
