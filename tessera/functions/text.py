@@ -28,10 +28,11 @@ def summary(content: Column) -> Column:
     )
 
 
-def intent(query: Column) -> Column:
-    """Name of the first intent whose pattern occurs, else `general`."""
+def intent(query: Column, operator: str | None = None) -> Column:
+    """Name of the first intent whose pattern occurs, else `general`. Questions may also name the operator of the store."""
     out = F.when(F.lit(False), "")
     for name, pattern, _ in K.INTENTS:
+        pattern = pattern.replace("(?:we|i)", f"(?:we|i|{operator.lower()})") if operator else pattern
         out = out.when(F.lower(query).rlike(pattern), name)
     return out.otherwise("general")
 
@@ -54,7 +55,7 @@ def family_count(text: Column, family: str) -> Column:
 def opener(text: Column) -> Column:
     """First word in lower case without punctuation."""
     first = F.element_at(F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " "), 1)
-    return F.regexp_replace(first, r"[,.:;!?-]", "")
+    return F.regexp_replace(first, r"[,.:;!?—–-]", "")
 
 
 def identifier_parts(name: Column) -> Column:

@@ -261,34 +261,38 @@ def listed(words) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
-OPENER = r"regexp_replace(split_part(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ', 1), '[,.:;!?-]', '', 'g')"
-SIGNALS = f"""said AS (SELECT conv_id, turn, text, {', '.join(f'{found_sql(p)} AS {n}' for n, p in K.FEEDBACK.items())},
+OPENER = r"regexp_replace(split_part(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ', 1), '[,.:;!?—–-]', '', 'g')"
+SIGNALS = f"""replied AS (SELECT *, CASE WHEN lag(role) OVER w = 'assistant' THEN len(list_filter(regexp_split_to_array(lag(text) OVER w, '\\s+'), lambda x: x <> '')) END AS resp_words FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    said AS (SELECT conv_id, turn, text, resp_words, {', '.join(f'{found_sql(p)} AS {n}' for n, p in K.FEEDBACK.items())},
     CASE WHEN {OPENER} IN {listed(K.OPENS_POSITIVE)} THEN 'positive' WHEN {OPENER} IN {listed(K.OPENS_NEGATIVE)} THEN 'negative' WHEN {OPENER} IN {listed(K.OPENS_TRANSITION)} THEN 'transition' ELSE 'none' END AS opens
-    FROM conversations WHERE role = 'user')"""
-FLAGS = {
-    "affirm_strong": "affirm_strong > 0", "extension": "extension > 0", "opens_positive": "opens = 'positive'", "redirect_strong": "redirect_strong > 0", "redirect_mild": "redirect_mild > 0 AND redirect_strong = 0",
-    "complaint": "complaint > 0", "opens_negative": "opens = 'negative'", "polite_dismiss": "opens = 'transition' AND redirect_strong + redirect_mild > 0",
-    "no_signal": "affirm_strong + extension + redirect_strong + redirect_mild + complaint = 0 AND opens NOT IN ('positive', 'negative')", "opens_transition": "opens = 'transition'",
-    "neutral": "opens = 'transition' AND extension + affirm_strong = 0 AND NOT contains(text, '?')",
-}
+    FROM replied WHERE role = 'user')"""
 
 
-def weights_sql(weights) -> str:
-    return " + ".join(f"CASE WHEN {FLAGS[k]} THEN {w}::DOUBLE ELSE 0 END" for k, w in weights.items())
+def followups(m: Memory):
+    """User messages with the number of words of the response before them."""
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    words = F.size(F.filter(F.split(F.lag("text").over(before), r"\s+"), lambda w: w != "")).cast("long")
+    turns = m.turns.withColumn("resp_words", F.when(F.lag("role").over(before) == "assistant", words))
+    return feedback.signals(turns.filter("role = 'user'").select("conv_id", "turn", "text", "resp_words"))
 
 
-@query(f"WITH {SIGNALS} SELECT * EXCLUDE (text) FROM said")
+@query(f"WITH {SIGNALS} SELECT * EXCLUDE (text, resp_words) FROM said")
 def q_followup_signals(m):
-    return feedback.signals(m.turns.filter("role = 'user'").select("conv_id", "turn", "text")).drop("text")
+    return followups(m).drop("text", "resp_words")
 
 
-@query(f"""WITH {SIGNALS}, sums AS (SELECT conv_id, turn, {weights_sql(feedback.POSITIVE)} AS pos, {weights_sql(feedback.NEGATIVE)} AS neg, {weights_sql(feedback.UNCERTAIN)} AS unc, {weights_sql(dict.fromkeys(FLAGS, 1))} AS n FROM said),
-    e AS (SELECT *, (pos - neg) / (pos + neg + unc + 0.01::DOUBLE) AS evidence, least(1.0::DOUBLE, abs(pos - neg) / (pos + neg + 0.01::DOUBLE) * least(n / 3.0::DOUBLE, 1.0::DOUBLE)) AS confidence FROM sums)
+@query(f"""WITH {SIGNALS}, said2 AS (SELECT *, affirm_strong + affirm_moderate + affirm_building + extension > 0 OR opens = 'positive' AS liked, redirect_strong + redirect_mild + complaint > 0 OR opens = 'negative' AS disliked FROM said),
+    sums AS (SELECT conv_id, turn,
+        [0.25::DOUBLE * (affirm_strong > 0)::INT, 0.1::DOUBLE * (affirm_moderate > 0)::INT, 0.15::DOUBLE * (affirm_building > 0)::INT, 0.2::DOUBLE * (extension > 0)::INT, 0.12::DOUBLE * (opens = 'positive')::INT] AS pos,
+        [0.3::DOUBLE * (redirect_strong > 0)::INT, 0.12::DOUBLE * (redirect_mild > 0 AND redirect_strong = 0)::INT, 0.25::DOUBLE * (complaint > 0)::INT, 0.12::DOUBLE * (opens = 'negative')::INT,
+         0.1::DOUBLE * (opens = 'transition' AND redirect_strong + redirect_mild > 0)::INT, 0.08::DOUBLE * (NOT liked AND NOT disliked)::INT, 0.3::DOUBLE * coalesce(resp_words < 5, false)::INT] AS neg,
+        [0.05::DOUBLE * (opens = 'transition')::INT, 0.25::DOUBLE * (opens = 'transition' AND affirm_building + extension + affirm_strong = 0 AND NOT contains(text, '?'))::INT] AS unc FROM said2),
+    t AS (SELECT conv_id, turn, list_sum(pos) AS pos, list_sum(neg) AS neg, list_sum(unc) AS unc, len(list_filter(pos || neg || unc, lambda x: x > 0)) AS n FROM sums),
+    e AS (SELECT *, (pos - neg) / (pos + neg + unc + 0.01::DOUBLE) AS evidence, least(1.0::DOUBLE, abs(pos - neg) / (pos + neg + 0.01::DOUBLE) * least(n / 3.0::DOUBLE, 1.0::DOUBLE)) AS confidence FROM t)
     SELECT conv_id, turn, {round_sql('evidence')} AS evidence, {round_sql('confidence')} AS confidence, {round_sql('CASE WHEN confidence >= 0.15::DOUBLE THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, (evidence + 1) / 2)) END')} AS precision,
     CASE WHEN confidence < 0.15::DOUBLE THEN 'ask_operator' WHEN evidence > 0.1::DOUBLE THEN 'positive' WHEN evidence < -0.1::DOUBLE THEN 'negative' ELSE 'neutral' END AS label FROM e""")
 def q_evidence(m):
-    scored = feedback.evidence(feedback.signals(m.turns.filter("role = 'user'").select("conv_id", "turn", "text")))
-    return scored.select("conv_id", "turn", r6("evidence"), r6("confidence"), r6("precision"), "label")
+    return feedback.evidence(followups(m)).select("conv_id", "turn", r6("evidence"), r6("confidence"), r6("precision"), "label")
 
 
 @query("""WITH x AS (SELECT conv_id, turn, role, min(CASE WHEN role = 'assistant' THEN turn END) OVER w AS a, min(CASE WHEN role = 'user' THEN turn END) OVER w AS u FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
