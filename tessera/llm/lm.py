@@ -19,7 +19,7 @@ from __future__ import annotations
 import functools
 import math
 from collections import Counter
-from itertools import chain
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -82,13 +82,6 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Ids(dict):
-    """Ids by word (long words by their digest); words outside have the number of words as id."""
-
-    def __missing__(self, word):
-        return self.get(name_of(word).encode(), len(self)) if len(word) > LONGEST else len(self)
-
-
 class Lexicon(NamedTuple):
     """counts by id, falling; training tokens and distinct words, of all and of the shared leaf."""
 
@@ -114,11 +107,12 @@ class Lexicon(NamedTuple):
         return max(2, math.ceil(math.log10(self.tokens + 1)) - 6)
 
 
-def make_lexicon(counts: DataFrame) -> tuple[Ids, Lexicon]:
+def make_lexicon(counts: DataFrame) -> tuple[dict[bytes, int], Lexicon]:
+    """Ids by word (long words by their digest), and the lexicon."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = counts.filter("c > 1").orderBy(F.desc("c"), "word").limit(TABLE).toArrow()
     c = top.column("c").to_numpy().astype(np.int64)
-    return Ids((w.encode(), i) for i, w in enumerate(top.column("word").to_pylist())), Lexicon(c, int(total.n), int(total.v), int(total.n - c.sum()), int(total.v - len(c)))
+    return {w.encode(): i for i, w in enumerate(top.column("word").to_pylist())}, Lexicon(c, int(total.n), int(total.v), int(total.n - c.sum()), int(total.v - len(c)))
 
 
 class Classes(NamedTuple):
@@ -214,37 +208,47 @@ def decisions(t: Tokens, at: slice, tree: Classes, bits: int):
     return passed, nodes, tree.branches[place], rows
 
 
-def log_softmax(weights: np.ndarray, tree: Classes, nodes: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+def logits_of(weights: np.ndarray, tree: Classes, nodes: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     """Shares and weights are bounded, so that exponentials fit single precision as they are."""
     logits = tree.base.take(nodes, axis=0)
     for r in rows:
         logits += weights.take(r, axis=0)
-    logits -= np.log(np.exp(logits) @ np.ones(FAN, np.float32))[:, None]
     return logits
 
 
+ONES = np.ones(FAN, np.float32)
+
+
 def _summed(g: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that occur, ascending, and the sums of g over each: sorted with their places in one integer, then added column by column."""
+    """Rows that occur, ascending, and the sums of g over each: sorted with their places in one integer, then added two columns at a time (as complex numbers)."""
     shift = max(1, len(g) - 1).bit_length()
     keys = np.concatenate([r << shift | np.arange(len(g)) for r in rows])
     keys.sort()
     row, place = keys >> shift, keys & (1 << shift) - 1
-    new = np.concatenate(([True], row[1:] != row[:-1]))
-    number, columns = np.cumsum(new) - 1, np.ascontiguousarray(g.T)
-    return row[new], np.stack([np.bincount(number, c.take(place)) for c in columns], axis=1).astype(np.float32)
+    starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    out = np.empty((len(starts), FAN // 2), np.complex64)
+    for i, pair in enumerate(np.ascontiguousarray(g.view(np.complex64).T)):
+        out[:, i] = np.add.reduceat(pair.take(place), starts)
+    return row[starts], out.view(np.float32)
 
 
 def train_on(t: Tokens, tree: Classes, weights: np.ndarray, past: np.ndarray, bits: int) -> None:
     """Follow the gradient over the tokens in updates of CHUNK, each row with a step that shrinks with its past gradients."""
+    row_type = f"V{4 * FAN}"
+    whole = weights.view(row_type).ravel()  # rows as one item each
     for i in range(0, len(t.ids), CHUNK):
         _, nodes, branches, rows = decisions(t, slice(i, i + CHUNK), tree, bits)
         if not len(nodes):
             continue
-        g = np.exp(log_softmax(weights, tree, nodes, rows))
+        g = logits_of(weights, tree, nodes, rows)
+        np.exp(g, out=g)
+        g /= (g @ ONES)[:, None]
         g[np.arange(len(g)), branches] -= 1
         which, sums = _summed(g, rows)
-        past[which] += np.einsum("ij,ij->i", sums, sums) / FAN
-        weights[which] = np.clip(weights.take(which, axis=0) - sums * (STEP / np.sqrt(past[which] + 1))[:, None], -LIMIT, LIMIT)
+        grown = past.take(which) + (sums * sums) @ ONES / FAN
+        past[which] = grown
+        sums *= (STEP / np.sqrt(grown + 1))[:, None]
+        whole[which] = np.clip(weights.take(which, axis=0) - sums, -LIMIT, LIMIT).view(row_type).ravel()
 
 
 def log10_probabilities(t: Tokens, tree: Classes, weights: np.ndarray, bits: int) -> np.ndarray:
@@ -252,7 +256,8 @@ def log10_probabilities(t: Tokens, tree: Classes, weights: np.ndarray, bits: int
     out = np.zeros(len(t.ids))
     for i in range(0, len(t.ids), CHUNK):
         passed, nodes, branches, rows = decisions(t, slice(i, i + CHUNK), tree, bits)
-        log_p = log_softmax(weights, tree, nodes, rows)[np.arange(len(nodes)), branches]
+        logits = logits_of(weights, tree, nodes, rows)
+        log_p = logits[np.arange(len(nodes)), branches] - np.log(np.exp(logits) @ ONES)
         upto, ends = np.concatenate([[0.0], np.cumsum(log_p, dtype=np.float64)]), np.cumsum(passed)
         out[i : i + CHUNK] = upto[ends] - upto[ends - passed]
     return (out + tree.share[t.ids]) / LN10
@@ -280,9 +285,16 @@ def encode(named: DataFrame, ids, id_col: str) -> DataFrame:
             coded, others = [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text or "")
-                own = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+                own = np.fromiter(map(known.get, words, repeat(unknown)), np.int32, len(words))
+                rest: Counter = Counter()
+                for i in np.flatnonzero(own == unknown).tolist():
+                    name = name_of(words[i])
+                    if len(words[i]) > LONGEST:
+                        own[i] = known.get(name.encode(), unknown)
+                    if own[i] == unknown:
+                        rest[name] += 1
                 coded.append(own.tobytes())
-                others.append([{"word": name_of(w), "n": n} for w, n in Counter(words[i] for i in np.flatnonzero(own == unknown).tolist()).items()])
+                others.append([{"word": w, "n": n} for w, n in rest.items()])
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(coded, pa.binary()), pa.array(others, others_type)], [id_col, "training", "part", "ids", "others"])
 
     shape = f"`{id_col}` {named.schema[0].dataType.simpleString()}, training boolean, part int, ids binary, others array<struct<word string, n long>>"

@@ -253,6 +253,32 @@ def test_language_model_base_and_gain(spark):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+def test_language_model_probabilities(spark, hard):
+    """Held against a dense evaluation, word by word; long frequent words are found; all words of a history add up to one."""
+    rows = [(f"{'verylongword' * 6} and {'another' * 12} again " * 5,) for _ in range(30)]
+    docs = hard.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "text string").select(F.lit(77).cast("long").alias("doc_id"), "text"))
+    scored = lm.score(docs, F.lit(True)).collect()
+    assert len(scored) == docs.count() and all(r.score <= 0 and r.base_score <= 0 and r.n_known == r.n_tokens for r in scored)
+    rng = np.random.default_rng(4)
+    counts = np.sort(rng.integers(2, 900, 300))[::-1]
+    lexicon = lm.Lexicon(counts, int(counts.sum()) + 40, 330, 40, 30)
+    tree, bits = lm.nested_classes(np.append(counts, 40.0)), 12
+    weights = rng.normal(size=(1 << bits, lm.FAN)).astype(np.float32)
+    leaves = np.arange(301)
+    t = lm.Tokens(leaves, np.full(301, 7), np.full(301, 301))
+    got = lm.log10_probabilities(t, tree, weights, bits)
+    assert math.isclose((10**got).sum(), 1, abs_tol=1e-5)
+    for leaf in (0, 5, 150, 300):
+        _, nodes, branches, rows = lm.decisions(lm.Tokens(*(x[leaf : leaf + 1] for x in t)), slice(0, 1), tree, bits)
+        dense = tree.share[leaf] / math.log(10)
+        for i, (node, branch) in enumerate(zip(nodes, branches)):
+            logits = tree.base[node].astype(float) + sum(weights[r[i]].astype(float) for r in rows)
+            dense += math.log10(np.exp(logits[branch]) / np.exp(logits).sum())
+        assert math.isclose(got[leaf], dense, abs_tol=1e-4)
+    words = [lexicon.in_rare(c) for c in [1] * 10 + [2] * 15 + [0] * 5]
+    assert all(w < 0 for w in words)
+
+
 def test_packing_places_every_token_once(hard, empty):
     rows = packing.pack_documents(hard, JSON).collect()
     tokens = {(r.doc_id, r.n_tokens + 1): 0 for r in bpe.encode_decode(hard, JSON, ("count",)).collect()}
