@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from tessera.functions import constants as K
 
 
-def co_access(sessions: DataFrame, keys=("user_id", "day")) -> DataFrame:
+def co_access(sessions: DataFrame, keys=("user_id", "day"), most: int = 15) -> DataFrame:
     """source_id < target_id, n, weight of the pairs of nodes used in the same session: .3 at first, .02 more each time, at most 1.
 
-    The pairs of a session are its own; a session's nodes are distinct, so its size is bounded by what one user touches in a day.
+    Of a session the first nodes by id take part, so many at most: an operator of the model, which bounds a session's pairs.
     """
-    a = sessions.withColumnRenamed("node_id", "source_id")
-    b = sessions.withColumnRenamed("node_id", "target_id")
+    order = Window.partitionBy(*keys).orderBy("node_id")
+    some = sessions.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
+    a = some.withColumnRenamed("node_id", "source_id")
+    b = some.withColumnRenamed("node_id", "target_id")
     pairs = a.join(b, list(keys)).filter("source_id < target_id").groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"))
     return pairs.withColumn("weight", F.least(F.lit(1.0), K.FIRST_CO_ACCESS + K.CO_ACCESS_STEP * (F.col("n") - 1)))
 
@@ -47,12 +49,12 @@ def spread(seeds: DataFrame, edges: DataFrame, hops: int = K.MAX_HOPS) -> DataFr
     return now
 
 
-def bridges(edges: DataFrame, at_least: int = 2, k: int = 5, min_weight: float = 0.1) -> DataFrame:
-    """Pairs without an edge that share at_least neighbours; each node's k best by shared count."""
-    e = edges.filter(F.col("weight") >= min_weight)
+def bridges(edges: DataFrame, at_least: int = 2, k: int = 5, min_weight: float = 0.1, strongest_of: int = K.MAX_NEIGHBOURS) -> DataFrame:
+    """Pairs without an edge that share at_least neighbours, each through its strongest edges; each node's k best by shared count."""
+    e = strongest(edges.filter(F.col("weight") >= min_weight), strongest_of)
     a = e.select(F.col("source_id").alias("mid"), F.col("target_id").alias("a"))
     b = e.select(F.col("source_id").alias("mid"), F.col("target_id").alias("b"))
-    shared = a.join(b, "mid").filter("a <> b").groupBy("a", "b").agg(F.count_distinct("mid").alias("shared")).filter(F.col("shared") >= at_least)
+    shared = a.join(b, "mid").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= at_least)
     apart = shared.join(edges, (F.col("a") == F.col("source_id")) & (F.col("b") == F.col("target_id")), "left_anti")
     order = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
     return apart.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

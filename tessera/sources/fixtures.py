@@ -29,10 +29,11 @@ class Memory:
 
     @cached_property
     def accesses(self) -> DataFrame:
-        """node_id, user_id, day, ts of every access (events, mapped to documents by a fixed rule)."""
+        """node_id, user_id, day, ts of every access: events, mapped to all documents by a hash with a heavy tail (low ids are used most)."""
         k = F.get_json_object("props", "$.k").cast("long")
         events = self.table("events").select("event_id", "user_id", "event_type", "ts", k.alias("k"))
-        node = F.pmod((F.col("k") * F.col("k")) % 61 + (F.col("user_id") % 5) * 61, F.lit(max(1, self.table("documents").count())))
+        u = F.conv(F.substring(F.md5(F.concat_ws(":", "event_id", "user_id").cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+        node = F.floor(F.lit(self.table("documents").count()) * u * u * u)
         return events.select("event_id", node.alias("node_id"), "user_id", F.to_date("ts").alias("day"), "ts", "k")
 
     @cached_property
@@ -78,8 +79,8 @@ class Memory:
 
 #: The same model as SQL common table expressions.
 CTE = {
-    "accesses": """accesses AS (SELECT event_id, ((k*k) % 61 + (user_id % 5) * 61) % n_docs AS node_id, user_id, CAST(ts AS DATE) AS day, ts, k
-        FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), (SELECT count(*) AS n_docs FROM documents))""",
+    "accesses": """accesses AS (SELECT event_id, CAST(floor(n_docs * u * u * u) AS BIGINT) AS node_id, user_id, CAST(ts AS DATE) AS day, ts, k
+        FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(('0x' || substr(md5(event_id || ':' || user_id), 1, 8))::BIGINT AS DOUBLE) / 4294967296 AS u FROM events), (SELECT count(*) AS n_docs FROM documents))""",
     "usage": "usage AS (SELECT node_id AS id, count(*) AS access_count, max(ts) AS last_accessed FROM accesses GROUP BY 1)",
     "nodes": """nodes AS (SELECT doc_id AS id, (['rule','decision','concept','task','context','lesson','mechanism','project'])[doc_id % 8 + 1] AS type,
         substring(text, 1, 60) AS title, text AS content, source AS project, doc_id % 5 = 0 AS locked, doc_id % 17 = 3 AS archived, doc_id % 97 = 0 AS critical,
@@ -92,8 +93,9 @@ CTE = {
         coalesce(access_count, 0) AS access_count, last_accessed
         FROM documents LEFT JOIN usage ON usage.id = doc_id)""",
     "sessions": "sessions AS (SELECT DISTINCT user_id, day, node_id FROM accesses)",
-    "coaccess": """coaccess AS (SELECT a.node_id AS source_id, b.node_id AS target_id, count(*) AS n, least(1.0::DOUBLE, 0.3::DOUBLE + 0.02::DOUBLE * (count(*) - 1)) AS weight
-        FROM sessions a JOIN sessions b ON a.user_id = b.user_id AND a.day = b.day AND a.node_id < b.node_id GROUP BY 1, 2)""",
+    "coaccess": """some_of AS (SELECT * FROM sessions QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY node_id) <= 15),
+        coaccess AS (SELECT a.node_id AS source_id, b.node_id AS target_id, count(*) AS n, least(1.0::DOUBLE, 0.3::DOUBLE + 0.02::DOUBLE * (count(*) - 1)) AS weight
+        FROM some_of a JOIN some_of b ON a.user_id = b.user_id AND a.day = b.day AND a.node_id < b.node_id GROUP BY 1, 2)""",
     "edges": "edges AS (SELECT source_id, target_id, weight FROM coaccess UNION ALL SELECT target_id, source_id, weight FROM coaccess)",
     "vectors": "vectors AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS embedding, label FROM embeddings)",
 }
