@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from tessera.functions import constants as K
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case terms of three or more of a-z0-9 without stop words; camel case, hyphens and dots split; repeats stay."""
+def words(text: Column) -> Column:
+    """Lower-case words of a-z0-9; camel case, hyphens and dots split; empty ones, short ones and repeats stay."""
     x = F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")
     x = F.regexp_replace(x, "([A-Z]+)([A-Z][a-z])", "$1 $2")
     x = F.regexp_replace(F.lower(x), r"[^a-z0-9\s.-]", " ")
-    stop = F.array(*(F.lit(w) for w in K.STOP_WORDS))
-    return F.filter(F.split(F.coalesce(x, F.lit("")), r"[\s.-]+"), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    return F.split(F.coalesce(x, F.lit("")), r"[\s.-]+")
+
+
+def is_term(word: Column) -> Column:
+    """Whether a word has three characters or more and is no stop word."""
+    return (F.length(word) > 2) & ~word.isin(*K.STOP_WORDS)
+
+
+def tokens(text: Column) -> Column:
+    """The terms of a text, repeats included. Where each becomes a row, explode words() and filter by is_term() instead: that is compiled."""
+    return F.filter(words(text), is_term)
 
 
 def summary(content: Column) -> Column:

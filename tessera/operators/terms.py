@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import is_term, tokens, words
 
 
 def term_counts(nodes: DataFrame, text: Column) -> DataFrame:
     """id, term, c."""
-    return nodes.select("id", F.explode(tokens(text)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("c"))
+    return nodes.select("id", F.explode(words(text)).alias("term")).filter(is_term(F.col("term"))).groupBy("id", "term").agg(F.count(F.lit(1)).alias("c"))
 
 
 def term_frequency(counts: DataFrame) -> DataFrame:
     """id, term, tf = .5 + .5 * c / max c of the document."""
     top = F.max("c").over(Window.partitionBy("id"))
-    return counts.withColumn("tf", 0.5 + 0.5 * F.col("c") / top).select("id", "term", "tf")
+    return counts.withColumn("tf", 0.5 + 0.5 * F.col("c") / top).select("id", "term", "c", "tf")
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -27,17 +27,19 @@ def inverse_frequency(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("idf", F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
-def tfidf_scores(queries: DataFrame, tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """query_id, id, score: cosine over matched terms. queries: query_id, term, weight (tf / max tf of the query).
+def batch_scores(queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
+    """query_id, id, match, score of all nodes with a term of a query. queries: query_id, term, weight; index: id, term, tf; n: number of nodes.
 
-    The document's norm covers matched terms only. Terms join terms: the query batch is the small side, and adaptive
-    execution broadcasts or splits it.
+    match is the share of the query's terms that the node has; score the TF-IDF cosine, the document's norm over matched terms only. Both
+    come from one join with the index and one aggregation; frequencies are counted for the batch's terms alone. The query batch is the small side, and
+    adaptive execution broadcasts it or splits what is skewed.
     """
-    q = queries.join(idf.select("term", "idf"), "term").withColumn("w", F.col("weight") * F.col("idf"))
-    norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
-    hit = q.join(tf, "term").withColumn("d", F.col("tf") * F.col("idf"))
-    dots = hit.groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("d")).alias("dot"), F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("d_norm"))
-    return dots.join(norm, "query_id").select("query_id", "id", (F.col("dot") / (F.col("q_norm") * F.col("d_norm"))).alias("score"))
+    frequencies = document_frequency(index.join(queries.select("term").distinct(), "term", "left_semi"))
+    q = queries.join(inverse_frequency(frequencies, n).select("term", "idf"), "term", "left").withColumn("w", F.col("weight") * F.col("idf"))
+    about = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"), F.count(F.lit(1)).alias("terms"))
+    hit = q.filter("idf is not null").select("query_id", "term", "w", "idf").join(index.select("id", "term", "tf"), "term").withColumn("d", F.col("tf") * F.col("idf"))
+    sums = hit.groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("d")).alias("dot"), F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("d_norm"), F.count(F.lit(1)).alias("matched"))
+    return sums.join(about, "query_id").select("query_id", "id", (F.col("matched") / F.col("terms")).alias("match"), (F.col("dot") / (F.col("q_norm") * F.col("d_norm"))).alias("score"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -49,11 +51,3 @@ def ranked(scores: DataFrame, k: int, score: str = "score", digits: int = 9) ->
     """The k best of each query, by rounded score, ties to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round(score, digits)), "id")
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def direct_match(queries: DataFrame, counts: DataFrame) -> DataFrame:
-    """query_id, id, share of the query's terms that the node has; nodes with at least one."""
-    q = query_terms(queries)
-    size = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
-    hit = q.join(counts.select("id", "term"), "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("matched"))
-    return hit.join(size, "query_id").select("query_id", "id", (F.col("matched") / F.col("terms")).alias("match"))

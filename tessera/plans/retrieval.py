@@ -57,10 +57,9 @@ def asked(m: Memory):
     return m.bare_nodes.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("text"))
 
 
-def tfidf(m: Memory):
-    c = counts_of(m)
-    idf = terms.inverse_frequency(terms.document_frequency(c), m.table("documents").count())
-    return terms.tfidf_scores(terms.query_terms(asked(m)), terms.term_frequency(c), idf)
+def matched(m: Memory):
+    """query_id, id, match, score of the batch."""
+    return terms.batch_scores(terms.query_terms(asked(m)), m.index, m.table("documents").count())
 
 
 def near(m: Memory, k: int):
@@ -93,7 +92,7 @@ def q_doc_freq(m):
 
 @query(f"WITH {COUNTS}, {TF} SELECT id, term, {round_sql('tf')} AS tf FROM tf")
 def q_tf(m):
-    return terms.term_frequency(counts_of(m)).select("id", "term", r6("tf"))
+    return m.index.select("id", "term", r6("tf"))
 
 
 @query(f"WITH {COUNTS}, {IDF} SELECT term, df, {round_sql('idf')} AS idf FROM idf")
@@ -104,12 +103,12 @@ def q_idf(m):
 @query(f"""WITH {COUNTS}, {TF}, {IDF}, {ASKED}, {TFIDF} SELECT query_id, rank, id, {round_sql('score')} AS score FROM
     (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM tfidf) WHERE rank <= 10""")
 def q_tfidf_topk(m):
-    return terms.ranked(tfidf(m), 10).select("query_id", whole("rank"), "id", r6("score"))
+    return terms.ranked(matched(m), 10).select("query_id", whole("rank"), "id", r6("score"))
 
 
 @query(f"WITH {COUNTS}, {ASKED}, {MATCH} SELECT query_id, id, {round_sql('matched')} AS matched FROM direct WHERE matched >= 0.5")
 def q_direct_match(m):
-    return terms.direct_match(terms.query_terms(asked(m)).groupBy("query_id").agg(F.concat_ws(" ", F.collect_list("term")).alias("text")), counts_of(m)).filter("match >= 0.5").select("query_id", "id", r6("match", "matched"))
+    return matched(m).filter("match >= 0.5").select("query_id", "id", r6("match", "matched"))
 
 
 @query("""SELECT query_id, rank, id FROM (SELECT word AS query_id, doc_id AS id, row_number() OVER (PARTITION BY word ORDER BY doc_id) AS rank
@@ -180,23 +179,29 @@ def q_confidence_mult(m):
     return m.nodes.select("id", r6(scoring.confidence_multiplier(F.col("confidence")), "multiplier"))
 
 
-KEYWORD = f"""{COUNTS}, {TF}, {IDF}, {ASKED}, {TFIDF}, {MATCH},
+INTENT_SQL = "CASE " + " ".join("WHEN regexp_matches(lower(substring(text, 1, 60)), '{}') THEN '{}'".format(p.replace("'", "''"), n) for n, p, _ in K.INTENTS) + " ELSE 'general' END"
+BOOST_SQL = "CASE " + " ".join(f"WHEN intent = '{n}' AND type = '{t}' THEN {x}::DOUBLE" for n, _, boosts in K.INTENTS for t, x in boosts.items()) + " ELSE 1.0::DOUBLE END"
+#: Neighbours from which on a node counts as a hub (as the fixture's graph needs).
+HUB = 28
+KEYWORD = f"""{COUNTS}, {TF}, {IDF}, {ASKED}, {TFIDF}, {MATCH}, degrees AS (SELECT source_id AS id, count(*) AS degree FROM edges GROUP BY 1),
+meant AS (SELECT doc_id AS query_id, {INTENT_SQL} AS intent FROM documents WHERE doc_id % 50 = 0),
 found AS (SELECT query_id, id, 0.6::DOUBLE * matched + 0.4::DOUBLE * score AS relevance FROM direct JOIN tfidf USING (query_id, id)),
-keyword AS (SELECT query_id, f.id, ({combined_sql('relevance')}) * ({RETENTION}) * CASE WHEN critical THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS score
-    FROM found f JOIN nodes n ON f.id = n.id WHERE NOT archived)"""
+keyword AS (SELECT query_id, f.id, ({combined_sql('relevance')}) * ({RETENTION}) * CASE WHEN critical THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END * ({BOOST_SQL}) * CASE WHEN degree > {HUB} THEN {HUB}.0::DOUBLE / degree ELSE 1.0::DOUBLE END AS score
+    FROM found f JOIN nodes n ON f.id = n.id JOIN meant USING (query_id) LEFT JOIN degrees d ON d.id = n.id WHERE NOT archived)"""
 
 
 def keyword_scores(m: Memory):
-    """query_id, id, score of the keyword path: direct match and TF-IDF, then recency, frequency, emotion, retention, critical boost."""
-    match = terms.direct_match(terms.query_terms(asked(m)).groupBy("query_id").agg(F.concat_ws(" ", F.collect_list("term")).alias("text")), counts_of(m))
-    found = match.join(tfidf(m), ["query_id", "id"]).select("query_id", "id", (0.6 * F.col("match") + 0.4 * F.col("score")).alias("relevance"))
-    nodes = m.nodes.filter(~F.col("archived")).drop("content")
-    boost = F.when(F.col("critical"), 3.0).otherwise(1.0)
-    return found.join(nodes, "id").select("query_id", "id", (combined(F.col("relevance")) * retained() * boost).alias("score"))
+    """query_id, id, score of the keyword path: direct match and TF-IDF, then recency, frequency, emotion, retention, critical and intent boosts, hub damping."""
+    found = matched(m).select("query_id", "id", (0.6 * F.col("match") + 0.4 * F.col("score")).alias("relevance"))
+    meant = asked(m).select("query_id", text.intent(F.col("text")).alias("intent"))
+    degrees = graph.degrees(graph.undirected(graph.co_access(m.sessions))).select("id", "degree")
+    nodes = m.nodes.filter(~F.col("archived")).drop("content", "title").join(degrees, "id", "left")
+    boost = F.when(F.col("critical"), 3.0).otherwise(1.0) * text.type_boost(F.col("intent"), F.col("type")) * scoring.hub_damping(F.coalesce("degree", F.lit(0)), HUB)
+    return found.join(nodes, "id").join(meant, "query_id").select("query_id", "id", (combined(F.col("relevance")) * retained() * boost).alias("score"))
 
 
 @query(f"""WITH {KEYWORD} SELECT query_id, rank, id, {round_sql('score')} AS score FROM
-    (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM keyword) WHERE rank <= 10""", "nodes")
+    (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM keyword) WHERE rank <= 10""", "nodes", "edges")
 def q_keyword_recall(m):
     return terms.ranked(keyword_scores(m), 10).select("query_id", whole("rank"), "id", r6("score"))
 
@@ -222,14 +227,14 @@ def hybrid(m: Memory, k: int):
     return terms.ranked(kept, k)
 
 
-@query(f"WITH {HYBRID} SELECT query_id, rank, id, type, {round_sql('score')} AS score FROM best WHERE rank <= 8", "nodes", "vectors")
+@query(f"WITH {HYBRID} SELECT query_id, rank, id, type, {round_sql('score')} AS score FROM best WHERE rank <= 8", "nodes", "vectors", "edges")
 def q_hybrid_recall(m):
     """Flagship: hybrid recall for a batch of queries."""
     return hybrid(m, 8).select("query_id", whole("rank"), "id", "type", r6("score"))
 
 
 @query(f"""WITH {HYBRID} SELECT query_id, rank, id, CASE WHEN rank <= 3 THEN content WHEN length(content) > 200 THEN substring(content, 1, 197) || '...' ELSE content END AS shown,
-    CASE WHEN rank <= 3 THEN 'full' ELSE 'brief' END AS tier FROM best WHERE rank <= 8""", "nodes", "vectors")
+    CASE WHEN rank <= 3 THEN 'full' ELSE 'brief' END AS tier FROM best WHERE rank <= 8""", "nodes", "vectors", "edges")
 def q_tiered(m):
     """The first three results in full, the others cut to 200 characters."""
     brief = F.when(F.length("content") > 200, F.concat(F.substring("content", 1, 197), F.lit("..."))).otherwise(F.col("content"))

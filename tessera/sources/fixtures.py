@@ -72,6 +72,13 @@ class Memory:
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
+    @cached_property
+    def index(self) -> DataFrame:
+        """id, term, c, tf of the contents, kept for the several branches of a plan (where queries come often, it is a table)."""
+        from tessera.operators import terms
+
+        return terms.term_frequency(terms.term_counts(self.bare_nodes, F.col("content"))).persist()
+
     @cached_property
     def turns(self) -> DataFrame:
         return self.table("conversations")
