@@ -108,3 +108,36 @@ def synthesis(turns: DataFrame) -> DataFrame:
     """conv_id, turns, asked, flow (roles in order), last (text)."""
     roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
     return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.array_join(roles, ",").alias("flow"), F.max_by("text", "turn").alias("last"))
+
+
+def session_health(nodes: DataFrame, key: str) -> DataFrame:
+    """key, n, gaps (names, joined), overall of each session: what its new nodes (with evolution, links, access_count, validated_at) leave out."""
+    c, kind = F.count_if, F.col("evolution")
+    is_ = lambda *names: F.coalesce(kind.isin(*names), F.lit(False))
+    has = lambda x: F.bool_or(x).cast("int")
+    dims = has(kind.isNull() & F.col("type").isin("rule", "lesson", "mechanism")) + has(is_("pattern")) + has((F.col("type") == "decision") | is_("hypothesis")) + has(is_("tension", "aspiration"))
+    open_ = is_("tension", "hypothesis", "aspiration")
+    s = nodes.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), dims.alias("dims"), c(is_("tension")).alias("corrections"), F.count("validated_at").alias("validations"), c(F.col("emotion") > 0.8).alias("quotes"),
+        c(F.col("type") == "decision").alias("decisions"), F.count("confidence").alias("reasons"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"),
+        c(open_ & (F.col("access_count") == 0)).alias("open_ones"), c(open_ & (F.col("access_count") > 0)).alias("acted"), F.avg(F.length("content")).alias("size"),
+    )
+    x = F.col
+    found = {
+        "encoding_diversity": x("dims") <= 2, "correction_honesty": (x("n") >= 8) & (x("corrections") == 0), "validation": (x("n") >= 5) & (x("validations") == 0), "operator_voice": (x("n") >= 5) & (x("quotes") == 0),
+        "reasoning_preservation": (x("decisions") >= 2) & (x("reasons") == 0), "integration": (x("n") >= 5) & (x("links") < 2), "follow_through": (x("open_ones") >= 3) & (x("acted") == 0), "depth": (x("n") >= 5) & (x("size") < 80),
+    }
+    gaps = F.array_compact(F.array(*(F.when(v, k) for k, v in found.items())))
+    overall = F.when(F.size(gaps) == 0, "healthy").when(F.size(gaps) <= 2, "some_gaps").otherwise("concerning")
+    return s.select(key, "n", F.array_join(gaps, ",").alias("gaps"), overall.alias("overall"))
+
+
+def maturity(counts: DataFrame) -> DataFrame:
+    """score and stage of a store from one row of its counts: volume, depth, connectivity, self-awareness, reflection, partnership, diversity."""
+    x, up = F.col, lambda v: F.least(F.lit(1.0), v)
+    score = (
+        up(x("n") / 500.0) * 0.10 + up(x("size") / 800) * 0.20 + up(x("edges") / F.greatest(F.lit(1.0), x("n") * 4.0)) * 0.10 + up(x("self") / F.greatest(F.lit(1.0), x("n") * 0.1)) * 0.20
+        + up((x("corrections") + x("syntheses") + x("models")) / 20.0) * 0.20 + up((x("validations") + x("corrections")) / 15.0) * 0.15 + up(x("types") / 15.0) * 0.05
+    )
+    stage = F.when(x("n") < 10, "NEWBORN").when(score < 0.25, "COLLECTING").when(score < 0.5, "REFLECTING").when(score < 0.75, "PARTNERING").otherwise("INTEGRATED")
+    return counts.select(score.alias("score"), stage.alias("stage"))

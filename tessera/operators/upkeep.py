@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import constants as K
 from tessera.functions import scoring
 from tessera.functions.text import tokens
 
@@ -104,3 +105,32 @@ def recent_before(accesses: DataFrame, hours: float, k: int) -> DataFrame:
     near = F.filter("last", lambda x: (x["ts"] < F.col("ts")) & (F.timestamp_diff("MICROSECOND", x["ts"], F.col("ts")) <= int(hours * 3.6e9)))
     best = F.slice(F.reverse(F.array_sort(near)), 1, k)
     return accesses.withColumn("last", last).select("event_id", F.col("node_id").alias("source_id"), F.explode(best).alias("x")).select("event_id", "source_id", F.col("x.node_id").alias("target_id"))
+
+
+def recalibrated(nodes: DataFrame, age_days: Column, default: float = 0.7) -> DataFrame:
+    """nodes with confidence after three passes: what was strongly felt cools, claims about the outside world decay by half in thirty days, well used nodes gain."""
+    x, free = F.col, ~F.col("locked")
+    felt = free & (x("emotion") > 0.6) & (age_days > 3)
+    cooled = F.when(felt, F.greatest(F.lit(default * 0.7), x("confidence") * (1 - (0.05 + 0.1 * (x("emotion") - 0.6) / 0.4)))).otherwise(x("confidence"))
+    claims = sum((F.contains(F.lower("content"), F.lit(w)).cast("int") for w in K.EXTERNAL_CLAIMS), F.lit(0))
+    outside = free & (x("confidence") > 0.2) & (age_days > 7) & (claims >= 2)
+    decayed = F.when(outside, F.least(x("confidence"), F.greatest(F.lit(max(0.2, default * 0.3)), default * F.pow(F.lit(0.5), age_days / 30)))).otherwise(x("confidence"))
+    used = (x("access_count") >= 5) & (x("confidence") < 0.95) & F.coalesce(x("evolution") != "tension", F.lit(True))
+    raised = F.when(used, F.greatest(x("confidence"), F.least(F.lit(min(0.95, default + 0.15)), x("confidence") + 0.03))).otherwise(x("confidence"))
+    return nodes.withColumn("confidence", cooled).withColumn("confidence", decayed).withColumn("confidence", raised)
+
+
+def suggest_score(activation: Column, kind: Column, locked: Column, neighbour: Column, text: Column, file_terms: list[str]) -> Column:
+    """(activation, 0.5 where unknown, plus up to 0.15 by the file's terms that the text has) by type, lock and whether it came as a neighbour."""
+    share = sum((F.contains(F.lower(text), F.lit(t)).cast("int") for t in file_terms), F.lit(0)) / float(max(1, len(file_terms)))
+    boost = F.when(kind == "rule", 1.3).when(kind == "decision", 1.2).otherwise(1.0) * F.when(locked, 1.5).otherwise(1.0) * F.when(neighbour, 0.85).otherwise(1.0)
+    return (F.coalesce(activation, F.lit(0.5)) + 0.15 * share) * boost
+
+
+def ingested(raw: DataFrame, now: Column, title: str = "title", content: str = "content") -> DataFrame:
+    """New nodes with what is derived from them: default confidence by type, summary, lock of rules and decisions, keywords' number, and times."""
+    from tessera.functions import text as T
+
+    kind = F.col("type")
+    default = F.when(kind.isin("rule", "decision", "lesson"), 0.9).when(kind == "context", 0.5).otherwise(0.7)
+    return raw.select("id", "type", title, content, F.coalesce("confidence", default).alias("confidence"), kind.isin("rule", "decision").alias("locked"), T.summary(F.col(content)).alias("summary"), F.size(F.array_distinct(tokens(F.col(content)))).cast("long").alias("terms"), now.alias("created_at"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
 from tessera.functions import scoring
-from tessera.operators import activity, feedback
+from tessera.operators import activity, feedback, graph, insight
 from tessera.plans.network import NOW, ago
 from tessera.plans.registry import query, r6, whole
 from tessera.plans.retrieval import CONFIDENT, NEAR, near, round_sql
@@ -130,25 +130,43 @@ def q_validated(m):
     return m.nodes.filter("not archived and confidence >= 0.8D").filter(F.col("last_accessed") > ago(7)).orderBy(F.desc("last_accessed"), "id").limit(3).select("id", "title", "last_accessed")
 
 
-HEALTH = """SELECT user_id, day, count(*) AS events, count(DISTINCT node_id) AS nodes, max(k) AS top FROM accesses GROUP BY 1, 2"""
+HEALTH_SQL = f"""WITH e AS (SELECT source_id AS id, count(*) AS links FROM coaccess GROUP BY 1), s AS (SELECT CAST(created_at AS DATE) AS day, count(*) AS n,
+    (bool_or(evolution IS NULL AND type IN ('rule', 'lesson', 'mechanism')))::INT + (bool_or(coalesce(evolution = 'pattern', false)))::INT + (bool_or(type = 'decision' OR coalesce(evolution = 'hypothesis', false)))::INT + (bool_or(coalesce(evolution IN ('tension', 'aspiration'), false)))::INT AS dims,
+    count(*) FILTER (WHERE evolution = 'tension') AS corrections, count(validated_at) AS validations, count(*) FILTER (WHERE emotion > 0.8) AS quotes, count(*) FILTER (WHERE type = 'decision') AS decisions, count(confidence) AS reasons, sum(coalesce(links, 0))::BIGINT AS links,
+    count(*) FILTER (WHERE evolution IN ('tension', 'hypothesis', 'aspiration') AND access_count = 0) AS open_ones, count(*) FILTER (WHERE evolution IN ('tension', 'hypothesis', 'aspiration') AND access_count > 0) AS acted, avg(length(content)) AS size
+    FROM nodes LEFT JOIN e USING (id) WHERE NOT archived GROUP BY 1 HAVING count(*) >= 3),
+    g AS (SELECT day, n, [CASE WHEN dims <= 2 THEN 'encoding_diversity' END, CASE WHEN n >= 8 AND corrections = 0 THEN 'correction_honesty' END, CASE WHEN n >= 5 AND validations = 0 THEN 'validation' END, CASE WHEN n >= 5 AND quotes = 0 THEN 'operator_voice' END,
+        CASE WHEN decisions >= 2 AND reasons = 0 THEN 'reasoning_preservation' END, CASE WHEN n >= 5 AND links < 2 THEN 'integration' END, CASE WHEN open_ones >= 3 AND acted = 0 THEN 'follow_through' END, CASE WHEN n >= 5 AND size < 80 THEN 'depth' END] AS found FROM s),
+    h AS (SELECT day, n, list_filter(found, lambda x: x IS NOT NULL) AS gaps FROM g)
+    SELECT day, n, array_to_string(gaps, ',') AS gaps, CASE WHEN len(gaps) = 0 THEN 'healthy' WHEN len(gaps) <= 2 THEN 'some_gaps' ELSE 'concerning' END AS overall FROM h"""
 
 
-@query(f"WITH h AS ({HEALTH}) SELECT user_id, day, events, nodes, events < 3 AS quiet, nodes < 2 AS narrow, {round_sql('(CASE WHEN events >= 3 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN nodes >= 2 THEN 0.5::DOUBLE ELSE 0 END)')} AS health FROM h", "accesses")
+@query(HEALTH_SQL, "nodes", "coaccess")
 def q_session_health(m):
-    h = m.accesses.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("node_id").alias("nodes"))
-    quiet, narrow = F.col("events") < 3, F.col("nodes") < 2
-    return h.select("user_id", "day", "events", "nodes", quiet.alias("quiet"), narrow.alias("narrow"), r6(F.when(quiet, 0.0).otherwise(0.5) + F.when(narrow, 0.0).otherwise(0.5), "health"))
+    """Eight dimensions of what each day encoded, and what is missing."""
+    links = graph.co_access(m.sessions).groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("links"))
+    return insight.session_health(m.nodes.filter("not archived").join(links, "id", "left").withColumn("day", F.to_date("created_at")), "day").filter("n >= 3")
 
 
-MATURITY = "0.3::DOUBLE * least(1.0::DOUBLE, count(*) / 500.0::DOUBLE) + 0.3::DOUBLE * count(*) FILTER (WHERE locked) / greatest(1, count(*)) + 0.2::DOUBLE * count(*) FILTER (WHERE access_count > 0) / greatest(1, count(*)) + 0.2::DOUBLE * least(1.0::DOUBLE, count(DISTINCT type) / 8.0::DOUBLE)"
+MATURITY_SQL = f"""WITH n AS (SELECT count(*) AS n, avg(length(content)) AS size, count(*) FILTER (WHERE project = 'src0') AS self, count(*) FILTER (WHERE type = 'concept') AS models, count(validated_at) AS validations, count(DISTINCT type) AS types FROM nodes WHERE NOT archived),
+    o AS (SELECT (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM events WHERE event_type = 'error' AND ts > {NOW} - INTERVAL 2 DAY) AS corrections, (SELECT count(DISTINCT conv_id) FROM conversations) AS syntheses),
+    s AS (SELECT n, least(1.0::DOUBLE, n / 500.0::DOUBLE) * 0.10::DOUBLE + least(1.0::DOUBLE, size / 800) * 0.20::DOUBLE + least(1.0::DOUBLE, edges / greatest(1.0::DOUBLE, n * 4.0::DOUBLE)) * 0.10::DOUBLE + least(1.0::DOUBLE, self / greatest(1.0::DOUBLE, n * 0.1::DOUBLE)) * 0.20::DOUBLE
+        + least(1.0::DOUBLE, (corrections + syntheses + models) / 20.0::DOUBLE) * 0.20::DOUBLE + least(1.0::DOUBLE, (validations + corrections) / 15.0::DOUBLE) * 0.15::DOUBLE + least(1.0::DOUBLE, types / 15.0::DOUBLE) * 0.05::DOUBLE AS score FROM n, o)
+    SELECT {round_sql('score')} AS score, CASE WHEN n < 10 THEN 'NEWBORN' WHEN score < 0.25 THEN 'COLLECTING' WHEN score < 0.5 THEN 'REFLECTING' WHEN score < 0.75 THEN 'PARTNERING' ELSE 'INTEGRATED' END AS stage FROM s"""
 
 
-@query(f"WITH x AS (SELECT {MATURITY} AS score FROM nodes) SELECT {round_sql('score')} AS score, CASE WHEN score < 0.2 THEN 'newborn' WHEN score < 0.4 THEN 'infant' WHEN score < 0.6 THEN 'child' WHEN score < 0.8 THEN 'adolescent' ELSE 'adult' END AS stage FROM x", "nodes")
+@query(MATURITY_SQL, "nodes", "edges")
 def q_maturity(m):
-    n = F.count(F.lit(1))
-    score = 0.3 * F.least(F.lit(1.0), n / 500.0) + 0.3 * F.count_if("locked") / F.greatest(F.lit(1), n) + 0.2 * F.count_if(F.col("access_count") > 0) / F.greatest(F.lit(1), n) + 0.2 * F.least(F.lit(1.0), F.count_distinct("type") / 8.0)
-    stage = F.when(F.col("score") < 0.2, "newborn").when(F.col("score") < 0.4, "infant").when(F.col("score") < 0.6, "child").when(F.col("score") < 0.8, "adolescent").otherwise("adult")
-    return m.nodes.agg(score.alias("score")).select(r6("score"), stage.alias("stage"))
+    """Seven dimensions of the store's growth, weighted, and its stage."""
+    number = F.count(F.lit(1))
+    kept = m.bare_nodes.filter("not archived").agg(number.alias("n"), F.avg(F.length("content")).alias("size"), F.count_if(F.col("project") == "src0").alias("self"), F.count_if(F.col("type") == "concept").alias("models"), F.count("validated_at").alias("validations"), F.count_distinct("type").alias("types"))
+    links = graph.undirected(graph.co_access(m.sessions)).agg(number.alias("edges"))
+    wrong = m.table("events").agg(F.count_if((F.col("event_type") == "error") & (F.col("ts") > ago(2))).alias("corrections"))
+    talks = m.turns.agg(F.count_distinct("conv_id").alias("syntheses"))
+    one = kept
+    for other in (links, wrong, talks):  # one row each
+        one = one.join(F.broadcast(other), F.lit(True))
+    return insight.maturity(one).select(r6("score"), "stage")
 
 
 @query(f"SELECT project, count(*) AS n, sum(length(content))::BIGINT AS chars, {round_sql('avg(length(content))')} AS mean FROM nodes GROUP BY 1", "nodes")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import constants as K
 from tessera.functions import scoring
 from tessera.operators import graph, upkeep, vectors
 from tessera.plans.registry import query, r6, whole
@@ -123,11 +124,16 @@ def q_consolidate_stability(m):
     return m.bare_nodes.join(used, F.col("id") == F.col("node_id")).select("id", F.least(F.lit(10.0), F.col("stability") * 1.5).alias("stability"))
 
 
-@query(f"SELECT id, {round_sql(f'emotion * power(0.5::DOUBLE, (epoch_us({NOW}) - epoch_us(created_at)) / 8.64e10::DOUBLE / 30)')} AS emotion FROM nodes WHERE NOT locked AND emotion > 0", "nodes")
+DAYS = f"(epoch_us({NOW}) - epoch_us(created_at)) / 8.64e10::DOUBLE"
+CLAIMS = " + ".join(f"contains(lower(content), '{w}')::INT" for w in K.EXTERNAL_CLAIMS)
+
+
+@query(f"""WITH a AS (SELECT *, CASE WHEN NOT locked AND emotion > 0.6 AND {DAYS} > 3 THEN greatest(0.7::DOUBLE * 0.7::DOUBLE, confidence * (1 - (0.05::DOUBLE + 0.1::DOUBLE * (emotion - 0.6::DOUBLE) / 0.4::DOUBLE))) ELSE confidence END AS cooled FROM nodes WHERE NOT archived AND confidence IS NOT NULL),
+    b AS (SELECT *, CASE WHEN NOT locked AND cooled > 0.2 AND {DAYS} > 7 AND {CLAIMS} >= 2 THEN least(cooled, greatest(0.21::DOUBLE, 0.7::DOUBLE * power(0.5::DOUBLE, {DAYS} / 30))) ELSE cooled END AS decayed FROM a)
+    SELECT id, {round_sql("CASE WHEN access_count >= 5 AND decayed < 0.95 AND coalesce(evolution <> 'tension', true) THEN greatest(decayed, least(0.85::DOUBLE, decayed + 0.03::DOUBLE)) ELSE decayed END")} AS confidence FROM b""", "nodes")
 def q_recalibrate(m):
-    """Feelings cool with a half-life of thirty days, but for locked nodes."""
-    days = scoring.hours_between(F.col("created_at"), asof()) / 24
-    return m.bare_nodes.filter("not locked and emotion > 0").select("id", r6(F.col("emotion") * F.pow(F.lit(0.5), days / 30), "emotion"))
+    """Confidence after three passes in order: feelings cool, claims about the outside decay, silent use validates."""
+    return upkeep.recalibrated(m.nodes.filter("not archived and confidence is not null"), scoring.hours_between(F.col("created_at"), asof()) / 24).select("id", r6("confidence"))
 
 
 @query(f"SELECT id, {round_sql('least(1.0::DOUBLE, greatest(0.1::DOUBLE, coalesce(confidence, 0.5::DOUBLE) + (CAST(id % 5 AS DOUBLE) / 4 - coalesce(confidence, 0.5::DOUBLE)) * 0.05::DOUBLE))')} AS confidence FROM nodes", "nodes")

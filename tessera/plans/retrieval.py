@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
 from tessera.functions import scoring, text
-from tessera.operators import graph, terms, vectors
+from tessera.operators import graph, terms, upkeep, vectors
 from tessera.plans.registry import query, r6, whole
 from tessera.sources.fixtures import Memory, asof
 
@@ -258,12 +258,26 @@ def q_boot_tiers(m):
     return live.withColumn("position", F.row_number().over(order)).filter("position <= 15").select("id", "tier", whole("position"))
 
 
-@query(f"""SELECT id, title, {round_sql("(coalesce(access_count, 0) / 20.0::DOUBLE + 0.5::DOUBLE) * CASE type WHEN 'rule' THEN 1.5::DOUBLE WHEN 'decision' THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN locked THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END")} AS score
-    FROM nodes WHERE NOT archived AND project = 'src1'""", "nodes")
+@query(f"""WITH near_hot AS (SELECT DISTINCT target_id AS id FROM edges JOIN nodes ON source_id = id WHERE critical),
+    s AS (SELECT n.id, title, (coalesce(CASE WHEN access_count > 0 THEN least(1.0::DOUBLE, access_count / 20.0::DOUBLE) END, 0.5::DOUBLE) + 0.15::DOUBLE * (contains(lower(title), 'license')::INT + contains(lower(title), 'the')::INT) / 2.0::DOUBLE)
+        * CASE type WHEN 'rule' THEN 1.3::DOUBLE WHEN 'decision' THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN locked THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN h.id IS NOT NULL THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS score FROM nodes n LEFT JOIN near_hot h ON n.id = h.id WHERE NOT archived)
+    SELECT id, title, {round_sql('score')} AS score FROM s""", "nodes", "edges")
 def q_suggest(m):
-    """Suggestion scores of a project's nodes by use, type and lock."""
-    score = (F.col("access_count") / F.lit(20.0) + 0.5) * F.when(F.col("type") == "rule", 1.5).when(F.col("type") == "decision", 1.3).otherwise(1.0) * F.when(F.col("locked"), 1.2).otherwise(1.0)
-    return m.nodes.filter(~F.col("archived") & (F.col("project") == "src1")).select("id", "title", r6(score, "score"))
+    """Suggestion scores of all live nodes for a file, by use, type, lock, the file's terms and nearness to critical nodes."""
+    links = graph.undirected(graph.co_access(m.sessions))
+    hot = links.join(m.bare_nodes.filter("critical").select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.col("target_id").alias("id"), F.lit(True).alias("near")).distinct()
+    live = m.nodes.filter("not archived").join(hot, "id", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    activation = F.when(F.col("access_count") > 0, F.least(F.lit(1.0), F.col("access_count") / 20.0))
+    return live.select("id", "title", r6(upkeep.suggest_score(activation, F.col("type"), F.col("locked"), F.col("near"), F.col("title"), ["license", "the"]), "score"))
+
+
+@query(f"""SELECT item_id AS id, CASE item_id % 3 WHEN 0 THEN 'rule' WHEN 1 THEN 'context' ELSE 'concept' END AS type, substring(text, 1, 60) AS title, CASE item_id % 3 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END AS confidence, item_id % 3 = 0 AS locked,
+    CASE WHEN length(text) < 30 THEN NULL WHEN strpos(text, '. ') > 1 AND strpos(text, '. ') <= 200 THEN substring(text, 1, strpos(text, '. ')) WHEN length(text) > 200 THEN substring(text, 1, 197) || '...' ELSE text END AS summary, len(list_distinct({tokens_sql('text')})) AS terms FROM benchmark""")
+def q_ingest(m):
+    """A batch of items as new nodes."""
+    kind = F.when(F.col("item_id") % 3 == 0, "rule").when(F.col("item_id") % 3 == 1, "context").otherwise("concept")
+    raw = m.table("benchmark").select(F.col("item_id").alias("id"), kind.alias("type"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"), F.lit(None).cast("double").alias("confidence"))
+    return upkeep.ingested(raw, asof()).select("id", "type", "title", "confidence", "locked", "summary", "terms")
 
 
 @query()
