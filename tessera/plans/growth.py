@@ -34,11 +34,12 @@ def q_vocab_targets(m):
 STRATEGIES = {"camel": r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b", "snake": r"\b[a-z]+(?:_[a-z0-9]+)+\b", "acronym": r"\b[A-Z]{3,6}\b", "quoted": r'"[^"\n]{3,40}"', "called": r"\bcalled [A-Za-z]+\b", "key": r"\b[A-Za-z_]+=[A-Za-z0-9]+\b", "mail": r"\b[a-z.]+@[a-z.]+[a-z]\b"}
 
 
-@query("SELECT DISTINCT strategy, lower(term) AS term FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS strategy, unnest(regexp_extract_all(text, '{p}')) AS term FROM documents" for k, p in STRATEGIES.items()) + ")")
+@query("SELECT DISTINCT strategy, lower(term) AS term FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS strategy, unnest(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '{p}')) AS term FROM documents" for k, p in STRATEGIES.items()) + ")")
 def q_vocab_candidates(m):
     """Candidates of vocabulary by seven strategies, each with where it came from."""
+    plain = F.regexp_replace("content", r"[^\x00-\x7F]", " ")  # as word bounds of other letters differ between engines
     named = lambda k: lambda t: F.struct(F.lit(k).alias("strategy"), F.lower(t).alias("term"))
-    found = F.concat(*(F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(0)), named(k)) for k, p in STRATEGIES.items()))
+    found = F.concat(*(F.transform(F.regexp_extract_all(plain, F.lit(p), F.lit(0)), named(k)) for k, p in STRATEGIES.items()))
     return m.bare_nodes.select(F.explode(found).alias("x")).select("x.*").distinct()
 
 
