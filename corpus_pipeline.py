@@ -4,6 +4,11 @@ Each stage reads the documents that its predecessor kept, and its decisions take
 documents go; texts without a clear language go and `lang` becomes the predicted one; one document of each near-duplicate
 group stays; secrets are replaced by a mark; the last stage gives the places of the documents in training sequences.
 `n_chars` follows the text.
+
+All stages take any columns that documents may have besides these and leave them out. Null and empty texts fail the quality rules, so that the later
+stages meet none in run(); alone, they reject them as without language, link them as equal, leave them, and pack an end token. Rows of one id
+are judged alike, and one of them stays among near-duplicates; rows without id are kept apart. Ties go to the smallest id, or the first language by name. Very long texts are handled whole. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -55,6 +55,13 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 #: Arrow batches of texts are bounded by bytes, not only by rows, so that very long texts do not add up in a Python worker.
 BATCH_BYTES = 4 << 20
 #: Python workers give memory back between batches instead of keeping what their largest one took.

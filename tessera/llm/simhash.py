@@ -34,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fits, stash, unstash
+from tessera.llm.common import fits, free_name, stash, unstash
 from tessera.llm.components import components
 
 SEED = 42
 #: Entries of a key in one block; probes compared at once.
-BLOCK, CHUNK = 4096, 512
+BLOCK, CHUNK = 4096, 512  # places in a block have twelve bits
 #: Shingles of a group in one block of the exact comparison.
 BLOCK_SHINGLES = 1 << 18
 #: Tables of keys with several blocks are broadcast up to so many rows; each stands for over BLOCK entries.
@@ -171,7 +171,7 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Bucket:
-    """Links of one block of one key: entries first, then what looks them up, in any number of portions."""
+    """Links of one block of one key: entries first, by node, then what looks them up, in any number of portions."""
 
     def __init__(self, distance: int):
         self.distance, self.waiting, self.nodes, self.links = distance, [], None, []
@@ -188,17 +188,20 @@ class _Bucket:
         while len(left) > 1:
             root = at = left[0]
             left = left[1:]
-            best, parent = _apart(self.fps[at : at + 1], self.fps[left])[0], np.full(len(left), at)
-            while len(left) and best[i := int(best.argmin())] <= self.distance:
+            best = self._from(at, left)
+            while len(left) and best[i := int(best.argmin())] >> 24 <= self.distance:
+                low, high = int(best[i]) >> 12 & 4095, int(best[i]) & 4095
                 at = left[i]
-                links.append((self.nodes[at], self.nodes[parent[i]]))
+                links.append((self.nodes[low], self.nodes[high]))
                 self.roots[at] = root
-                left, best, parent = (np.delete(x, i) for x in (left, best, parent))
-                now = _apart(self.fps[at : at + 1], self.fps[left])[0]
-                nearer = now < best
-                best[nearer], parent[nearer] = now[nearer], at
+                left, best = np.delete(left, i), np.delete(best, i)
+                best = np.minimum(best, self._from(at, left))
         self.links.append(np.array(links, np.int64).reshape(-1, 2))
 
+    def _from(self, at: int, left: np.ndarray) -> np.ndarray:
+        """Distance, lower and higher place of the pairs of one entry, as one number: one order of all pairs, so that different tables choose the same links."""
+        return _apart(self.fps[at : at + 1], self.fps[left])[0].astype(np.int64) << 24 | np.minimum(at, left) << 12 | np.maximum(at, left)
+
     def _close_by_stars(self) -> None:
         """Of very many entries, those within the distance of a first one are its star, and so on with the rest; stars are linked where any of their entries meet."""
         self.roots, left, links = np.zeros(len(self.nodes), np.int64), np.arange(len(self.nodes)), []
@@ -335,7 +338,8 @@ class _Group:
                 x = up
             return x
 
-        for _, a, b in pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))].tolist():
+        ends = np.sort(node[pairs[:, 1:]], axis=1)  # one order of all pairs, so that different tables choose the same links
+        for _, a, b in pairs[np.lexsort((ends[:, 1], ends[:, 0], pairs[:, 0]))].tolist():
             x, y = find(a), find(b)
             if x != y:
                 root[x] = y
@@ -564,11 +568,12 @@ def keep_one(docs: DataFrame, plan: Plan | None = None, shingle: int = 5, id_col
     A document without id cannot be named as a copy and stays; of rows that share the smallest id one stays.
     """
     marked = near_duplicates(docs, plan, shingle, id_col, text_col)
-    copies = marked.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_copy")).distinct()
-    kept = docs.join(copies, F.col(id_col) == F.col("_copy"), "left_anti")
-    repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_repeated")).count().filter("count > 1").select("_repeated")
+    copy, repeat = free_name(docs, "_copy"), free_name(docs, "_repeated")
+    copies = marked.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(copy)).distinct()
+    kept = docs.join(copies, F.col(id_col) == F.col(copy), "left_anti")
+    repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(repeat)).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(repeat)
     repeated = stash(repeated, "repeated")
     if repeated.isEmpty():
         return kept
-    again = F.col(id_col) == F.col("_repeated")
+    again = F.col(id_col) == F.col(repeat)
     return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([id_col]))

@@ -185,6 +185,25 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_language_prediction_equals_plain_compression(spark, hard):
+    """Sizes by zstandard alone, with the dictionaries of the sample, over texts of one block."""
+    import zstandard
+
+    docs = documents(spark)
+    contents = langid.sample(docs, "text", "lang")
+    plain = {lang: zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False) for lang, c in contents.items()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    seen = 0
+    for r in langid.identify(docs, docs).collect():
+        data = langid.reduced(texts[r.doc_id])
+        if r.lang_pred != "und" and len(data) <= langid.BLOCK_BYTES:
+            sizes = sorted((len(c.compress(data)), lang) for lang, c in plain.items())
+            assert r.lang_pred == sizes[0][1] and math.isclose(r.score, (sizes[1][0] - sizes[0][0]) / sizes[1][0])
+            assert r.rejected == (r.score < langid.MARGIN)
+            seen += 1
+    assert seen > 100
+
+
 def test_language_of_hard_texts(hard, empty):
     got = {r.doc_id: r for r in langid.identify(hard, hard).collect()}
     assert all(got[i].lang_pred == "und" and got[i].rejected for i in (0, 1, 2))
@@ -306,6 +325,31 @@ def test_packing_leaves_little_room():
     assert sum(pieces) / sum(dict(zip(bins, capacity)).values()) > 0.97
 
 
+def test_packing_costs_no_more_than_plain_best_fit():
+    """Longest first into the fullest bin of the longest length that has room, cut down in the end."""
+    rng = random.Random(6)
+    pieces = [rng.choice([rng.randint(1, 400), rng.randint(1, 3000), rng.randint(1, 8192)]) for _ in range(4000)]
+    rooms = []
+    for size in sorted(pieces, reverse=True):
+        fit = min((r for r in rooms if r >= size), default=None)
+        if fit is None:
+            rooms.append(8192 - size)
+        else:
+            rooms[rooms.index(fit)] -= size
+    plain = sum(min(n for n in packing.LENGTHS if n >= 8192 - r) + packing.OVERHEAD for r in rooms)
+    bins, _, capacity = packing.pack(pieces)
+    assert sum(c + packing.OVERHEAD for c in dict(zip(bins, capacity)).values()) <= plain
+
+
+def test_rows_repeated_very_often_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE", 7)
+    monkeypatch.setattr(sharding, "RANGE", 7)
+    docs = spark.createDataFrame([(1, "the same text", "x")] * 50 + [(2, None, "y")], "doc_id long, text string, `from` string")
+    packed = packing.pack_documents(docs, JSON).collect()
+    assert sorted(r.copy for r in packed if r.doc_id == 1) == list(range(50))
+    assert sorted(r.row_number for r in sharding.shard_documents(docs, 4).collect()) == list(range(51))
+
+
 def test_secret_spans_equal_plain_patterns(hard):
     patterns = (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+"))
     for r in secrets.find_secrets(hard, RANKS).join(hard.select("doc_id", "text").distinct(), "doc_id").collect():
@@ -324,6 +368,18 @@ def test_random_strings_are_secrets_and_names_are_not():
         assert not secrets.random_spans(f"x {harmless} y", [], e)
 
 
+def test_short_and_plain_random_runs(spark):
+    e, rng = secrets.vocabulary(RANKS), random.Random(9)
+    mixed, small = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])), "abcdefghijklmnopqrstuvwxyz"
+    for alphabet, n, share in ((mixed, 12, 0.95), (mixed, 16, 0.97), (mixed, 24, 0.98), (small, 32, 0.95)):
+        assert sum(secrets.is_random("".join(rng.choice(alphabet) for _ in range(n)), e) for _ in range(300)) >= share * 300
+    words = {w for r in documents(spark).select("text").collect() for w in re.findall(r"[A-Za-z]{12,}", r.text or "")}
+    assert sum(secrets.is_random(w, e) for w in words) <= 0.005 * len(words)
+    many = " ".join("0f" * 14 + " Zq3xV9tR7bK1mN5pW8sL2dF6" for _ in range(20_000))
+    base = secrets.base_spans(many)
+    assert len(base) == len(secrets.random_spans(many, base, e)) == 20_000
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 100, 1001])
 def test_permutation_is_a_bijection(spark, n):
     assert sorted(r[0] for r in spark.range(n).select(sharding.permute(F.col("id"), n, 3)).collect()) == list(range(n))
@@ -363,6 +419,22 @@ def test_url_rules_and_reputation(spark):
     assert url_filter.judge_urls(pages.limit(0), labels.limit(0)).count() == 0
 
 
+def test_priors_follow_the_rate_above(spark):
+    """Forty domains of rate 0 or 1 with five like hosts each: hosts lean on their domain, so that one odd page hardly moves a host."""
+    rows = [(f"h{j}.d{i}.com", int(i % 2)) for i in range(40) for j in range(5) for _ in range(4)] + [("new.d1.com", 0), ("new.d0.com", 1), ("a.co.uk:80", 1)]
+    got = {r.host: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, good int")).collect()}
+    assert got["new.d1.com"].rate > 0.8 and got["new.d0.com"].rate < 0.2
+    domain, suffix = url_filter.registered_domain(F.lit("x.a.co.uk:80"))
+    assert spark.range(1).select(domain, suffix).first()[:] == ("a.co.uk", "co.uk")
+
+
+def test_documents_are_counted_and_none_spared(spark):
+    line = "all of these words stand in one long line of every copy of this text"
+    docs = spark.createDataFrame([(i, line, "en", "h", 0) for i in range(6)] + [(6, line, "en", "g", 0)], ",".join(SCHEMA.split(",")[:5]))
+    kept = {r.doc_id for r in quality.quality_report(docs).filter("kept").collect()}
+    assert kept == {6} and {r.doc_id for r in quality.quality_report(docs, survive=True).filter("kept").collect()} == {0, 6}
+
+
 def test_empty_tables(spark, empty):
     for made in (
         simhash.near_duplicates(empty, simhash.within(2), 3), simhash.keep_one(empty), langid.identify(empty, empty), bpe.encode_decode(empty, JSON, ("digests",)),

@@ -101,3 +101,23 @@ def test_a_language_of_long_texts_alone_is_learned(spark):
     rows = [("en", language_text("en", i, 100)) for i in range(20)] + [("xx", language_text("xx", i, 2000)) for i in range(5)]
     found = langid.sample(spark.createDataFrame(rows, "lang string, text string"), "text", "lang")
     assert set(found) == {"en", "xx"} and len(found["xx"]) <= 5 * (langid.TEXT_BYTES + 1)
+
+
+def test_names_that_clash_do_no_harm(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", "a", "b"), (2, "one two three four five six", "c", "d"), (2, "another text of its own here", "e", "f")], "doc_id long, text string, `_copy` string, `_repeated` string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2][: kept.count()]
+
+
+def test_components_of_dense_groups(spark, monkeypatch):
+    """Pairs are thinned in several tasks, and the roots are those of all pairs."""
+    from tessera.llm import components
+
+    monkeypatch.setattr(components, "LOCAL", 500)
+    rng = random.Random(4)
+    pairs = [(g * 1000 + rng.randrange(60), g * 1000 + rng.randrange(60)) for g in range(5) for _ in range(800)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    roots = {}
+    for x in sorted({x for p in pairs for x in p}):
+        roots.setdefault(x // 1000, x)
+    assert got == {x: roots[x // 1000] for p in pairs for x in p if x != roots[x // 1000]}
