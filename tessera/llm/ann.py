@@ -162,7 +162,8 @@ class Band(NamedTuple):
 def fitted(band: Band, x: np.ndarray, k: float) -> Band:
     """The band with the least ratio, and number of lists, with which the first vectors of a sample find TARGET of their k nearest in it, one at least."""
     trials, k = x[:TRIALS], min(max(1, math.ceil(k)), len(x) - 1)
-    lifted, asked, lists = _lifted(x, band.norm), _directions(trials), band.entered(x)
+    lifted, asked = _lifted(x, band.norm), _directions(trials)
+    lists = [of for i in range(0, len(x), 512) for of in band.entered(x[i : i + 512])]  # in parts, as a search measures many centroids at once
     products = asked @ lifted.T
     products[np.arange(len(trials)), np.arange(len(trials))] = -np.inf
     d = np.sqrt(_apart(asked.astype(np.float32), band.graph.centroids))
