@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import ann, bpe, langid, lm, packing, quality, secrets, sharding, simhash, url_filter
+from tessera.llm import ann, annulus, audit, bpe, langid, lm, packing, pieces, quality, secrets, sharding, simhash, url_filter
 from tessera.llm.common import ship_code, table
 
 
@@ -62,7 +62,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", F.round("rate", 6).alias("rate"), F.round("upper", 6).alias("upper"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_langid, op4_bpe, op5_quality, op6_lm, op7_packing, op8_secrets, op9_sharding, op10_url_filter)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), outputs=("digests",))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_ann, op3_langid, op4_bpe, op5_quality, op6_lm, op7_packing, op8_secrets, op9_sharding, op10_url_filter, op11_filter_audit, op12_clustering, op13_sentencepiece)
+}
 
 
 def _strength_sql(groups: str, mean: str) -> str:
@@ -132,7 +147,35 @@ walks AS (SELECT x, x AS p, false AS passed FROM numbered
         FROM (SELECT *, (p // b + {_round_sql('r0', 0)}) % a AS l1 FROM (SELECT *, p % b AS r0 FROM walks, bases WHERE NOT passed OR p >= n)))))),
 placed AS (SELECT x, p FROM walks, bases WHERE passed AND p < n)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (p % 8)::INT AS shard, p // 8 AS slot, NULL::INT AS grown_shard FROM numbered JOIN placed USING (x)"""
-ORACLE_SQL: dict[str, str] = {"op9_sharding": SHARDING_SQL, "op5_quality": QUALITY_SQL, "op10_url_filter": URL_FILTER_SQL}
+AUDIT_SQL = f"""WITH RECURSIVE marks AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY 1),
+read AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(t, {WORD_SQL}) AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+failing AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS f FROM read LEFT JOIN marks USING (doc_id)),
+counted AS (SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter), orders AS (SELECT '' AS o UNION ALL SELECT o || letter FROM orders, letters WHERE NOT contains(o, letter)),
+steps AS (SELECT o AS filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders WHERE length(o) = 5),
+masks AS (SELECT filter_order, step, list_sum(list_transform(string_split(left(filter_order, step - 1), ''), lambda c: CASE WHEN c = '' THEN 0 ELSE 1 << (ascii(c) - 65) END))::INT AS before, 1 << (ascii(filter_order[step]) - 65) AS own FROM steps),
+found AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE f & (before | own) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE f & before = 0 AND f & own > 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE f & before > 0 AND f & own > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE f = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n_good) FILTER (WHERE f & before = 0 AND f & own > 0), 0)::BIGINT AS good_lost, coalesce(sum(n_toxic) FILTER (WHERE f & before = 0 AND f & own > 0), 0)::BIGINT AS toxic_lost FROM counted, masks GROUP BY ALL)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM found"""
+
+
+def _clustering_sql(rounds: int) -> str:
+    """Assignments and means, one after another; distances are exact in double precision."""
+    parts = ["""kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(embedding) = 64)""",
+        """c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM kept QUALIFY c < 16)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(kept.v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d
+            FROM (SELECT kept.*, c, list_inner_product(kept.v, kept.v) - 2 * list_inner_product(kept.v, c{i}.v) + list_inner_product(c{i}.v, c{i}.v) AS d FROM kept, c{i}) kept GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (SELECT c, list(x ORDER BY pos) AS v FROM
+                (SELECT c, pos, floor(sum(x) / count(*)) AS x FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY c, pos) GROUP BY c) m USING (c))""")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+        sha256(array_to_string(list_transform(c{rounds}.v, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_filter_audit": AUDIT_SQL, "op12_clustering": _clustering_sql(3), "op9_sharding": SHARDING_SQL, "op5_quality": QUALITY_SQL, "op10_url_filter": URL_FILTER_SQL}
 
 
 def shipped(f):
