@@ -462,7 +462,8 @@ def test_queries_give_the_contracts_columns(spark):
     want = {
         "op1_simhash": "doc_id fingerprint component_id", "op2_ann": "query_id rank vec_id score", "op3_langid": "doc_id held_out lang_pred score", "op4_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
         "op5_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op6_lm": "doc_id held_out n_tokens n_known train_tokens base_score score", "op8_secrets": "doc_id n_assign n_access n_hex base_sha256 spans",
-        "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard", "op10_url_filter": "page_id host path rule verdict",
+        "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard", "op10_url_filter": "page_id host path rule verdict", "op11_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+        "op12_clustering": "vec_id cluster distance cluster_inertia inertia centroid_sha256", "op13_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256",
     }
     for name, columns in want.items():
         assert set(columns.split()) <= set(Q.QUERIES[name](spark, SF).columns), name
@@ -477,10 +478,10 @@ def test_queries_equal_their_sql(spark, hard, tmp_path, name, where):
     if where == "hard":
         where = str(tmp_path)
         hard.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{where}/documents.parquet")
-        for t in ("pages", "labels"):
+        for t in ("pages", "labels", "embeddings"):
             spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{where}/{t}.parquet")
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         path = f"{where}/{t}.parquet" if where == SF else f"{where}/{t}.parquet/*.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}'")
     got, want = Q.QUERIES[name](spark, where), con.execute(Q.ORACLE_SQL[name])
