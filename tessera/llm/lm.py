@@ -3,7 +3,7 @@
 Words are factored into nested classes of FAN branches, by their counts in the training texts (frequent words lie near
 the top), and the probability of a word is the product of the softmaxes along its way down. Each softmax starts at the shares
 that the branches have of the training tokens and adds the weights of hashed features, all jointly with the class: the previous
-word, the one before it alone (skip), and both together; classes with few training tokens keep their shares. Words seen once, and those beyond the table of the most frequent ones,
+word, the one before it alone (skip), and both together. Words seen once, and those beyond the table of the most frequent ones,
 share a leaf; inside it each has its smoothed share of the leaf's training tokens, unseen words together half a count. So the
 probabilities of all words add up to one.
 
@@ -34,8 +34,6 @@ from tessera.llm.common import stash
 FAN, STEP, CHUNK, PORTION, LIMIT = 8, 0.2, 32_768, 1 << 18, 12.0
 #: Hashed rows: a quarter of the training tokens, between these powers of two (the upper one bounds the memory of a task: 20 MB).
 LEAST_BITS, MOST_BITS = 12, 19
-#: A class has features if it holds more than this share of the training tokens.
-FEATURED = 2.0**-12
 #: Training tokens of a task in a round, so that what is exchanged follows the tokens and not the partitions.
 TASK_TOKENS = 1 << 21
 #: What a row's accumulated squared gradient must be for half of the way from sum to mean.
@@ -116,9 +114,8 @@ def make_lexicon(counts: DataFrame) -> tuple[dict[bytes, int], Lexicon]:
 
 
 class Classes(NamedTuple):
-    """The nested classes. The way of leaf i are the classes with features and their branches at first[i] to first[i + 1], upwards, below them classes of one log share together."""
+    """The nested classes. The way of leaf i are the classes and their branches at first[i] to first[i + 1], upwards."""
 
-    share: np.ndarray
     first: np.ndarray
     nodes: np.ndarray
     branches: np.ndarray
@@ -146,14 +143,11 @@ def nested_classes(counts: np.ndarray) -> Classes:
         joined.append(total)
     base, below, joined = np.full((inner, FAN), -1e9, np.float32), np.flatnonzero(parent >= 0), np.array(joined)
     base[parent[below], branch[below]] = np.log(np.concatenate([counts, joined])[below] / joined[parent[below]])
-    featured = joined > FEATURED * counts.sum()
-    share, ways, leaf, at = np.zeros(leaves), [], np.arange(leaves), np.arange(leaves)
+    ways, leaf, at = [], np.arange(leaves), np.arange(leaves)
     while len(leaf := leaf[parent[at] >= 0]):
         at = at[parent[at] >= 0]
-        up, taken = parent[at], branch[at]
-        own = featured[up]
-        share[leaf[~own]] += base[up[~own], taken[~own]]
-        ways.append((leaf[own], up[own], taken[own]))
+        up = parent[at]
+        ways.append((leaf, up, branch[at]))
         at = up + leaves
     passed = np.bincount(np.concatenate([np.zeros(0, np.int64), *(w[0] for w in ways)]), minlength=leaves)
     first, place = np.concatenate([[0], np.cumsum(passed)]), np.zeros(leaves, np.int64)
@@ -161,7 +155,7 @@ def nested_classes(counts: np.ndarray) -> Classes:
     for leaf, node, taken in ways:
         nodes[first[leaf] + place[leaf]], branches[first[leaf] + place[leaf]] = node, taken
         place[leaf] += 1
-    return Classes(share, first, nodes, branches, base, _mixed(np.arange(1, inner + 1, dtype=np.uint64)))
+    return Classes(first, nodes, branches, base, _mixed(np.arange(1, inner + 1, dtype=np.uint64)))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -260,7 +254,7 @@ def log10_probabilities(t: Tokens, tree: Classes, weights: np.ndarray, bits: int
         log_p = logits[np.arange(len(nodes)), branches] - np.log(np.exp(logits) @ ONES)
         upto, ends = np.concatenate([[0.0], np.cumsum(log_p, dtype=np.float64)]), np.cumsum(passed)
         out[i : i + CHUNK] = upto[ends] - upto[ends - passed]
-    return (out + tree.share[t.ids]) / LN10
+    return out / LN10
 
 
 def portions(batch: pa.RecordBatch, column: int, most: int = PORTION):

@@ -73,16 +73,14 @@ def is_random(run: str, encoding: tiktoken.Encoding, ratios=RATIOS) -> bool:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding: tiktoken.Encoding, ratios=RATIOS) -> list[tuple[int, int, int]]:
-    """Random runs outside the taken spans. taken: by start; both lists are walked once."""
-    out, i, end = [], 0, 0
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        while i < len(taken) and taken[i][0] < e:
-            end = max(end, taken[i][2])
-            i += 1
-        if end <= s and is_random(m[0], encoding, ratios):
-            out.append((s, 3, e))
-    return out
+    """Random runs in what the taken spans leave of the text; of a run that they cut, each rest is judged by itself. taken: by start."""
+    if taken:
+        left, at = [], 0
+        for s, _, e in taken:
+            left += [text[at:s], " " * (e - max(at, s))]
+            at = max(at, e)
+        text = "".join(left) + text[at:]
+    return [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if is_random(m[0], encoding, ratios)]
 
 
 def render(spans) -> str:
@@ -94,7 +92,7 @@ def find_secrets(docs: DataFrame, vocabulary_path: str, ratios=RATIOS, id_col: s
 
     Returns id_col, n_assign, n_access, n_hex, n_random, base_sha256 (of the base spans joined as kind:start:end by
     start, then kind), spans (all, joined likewise) and, if asked for, redacted (the text with each span, overlapping ones together,
-    as `[SECRET]`). Spans of one start are in the order of their kinds; a random run that touches a base span is no span of its own.
+    as `[SECRET]`). Spans of one start are in the order of their kinds; what base spans leave of a run of key characters is judged like a run of its own, if it has as many characters.
     A null text counts as empty; repeated rows and null ids each give their row; other columns are ignored. A very long
     text is scanned whole in one task, in time that grows with its length and its spans.
     """
