@@ -7,8 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import ship_code, written
+
 #: Vectors, and query vectors, of one block; two blocks meet as one matrix product.
 BLOCK = 4096
+#: Vectors for which a join draws a pivot, and the most pivots.
+CELL, PIVOTS = 2048, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,6 +36,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = T
     The stated query set goes against all vectors in blocks: each block of queries meets each block of vectors in one task, which gives every
     query its own k best by a matrix product, and a window over these merges them. Only k rows a query and block are shuffled after that.
     """
+    ship_code(vectors.sparkSession)
     asked, turns = _blocks(queries.select("query_id", "vector"), "query_id")
     stored, blocks = _blocks(vectors.select("id", "embedding"), "id")
     asked = asked.withColumnRenamed("_block", "_turn").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -58,35 +63,82 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = T
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def _cells(rows: DataFrame, threshold: float) -> DataFrame:
+    """_group, id, embedding, home, visits: the nearest pivot of each vector, and the smaller numbers of cells that may hold a vector that is like it.
+
+    Vectors over the threshold are within a distance that follows from it and the greatest norm; a vector visits the cells whose border (halfway to their
+    pivot) is no farther. Pivots are a seeded sample, as many as CELL asks for and PIVOTS at most.
+    """
+    about = rows.agg(F.count(F.lit(1)).alias("n"), F.max(dot(F.col("embedding"), F.col("embedding"))).alias("square")).first()
+    k = min(PIVOTS, -(-about.n // CELL))
+    drawn = rows.select("embedding").orderBy(F.xxhash64("id"), "id").limit(k).collect() if k > 1 else []
+    pivots = np.array([r.embedding for r in drawn], np.float64)
+    reach = max(0.0, 2 * (about.square or 0.0) - 2 * threshold) ** 0.5
+
+    def place(batches):
+        squares = (pivots * pivots).sum(1)
+        gaps = np.sqrt(np.maximum(0, squares[:, None] + squares[None] - 2 * pivots @ pivots.T))
+        for batch in batches:
+            x = _matrix(batch.column("embedding"))
+            d = squares[None] - 2 * x @ pivots.T  # squared distances but for a term of the row's own
+            home = d.argmin(1)
+            border = (d - d[np.arange(len(x)), home][:, None]) <= 2 * gaps[home] * (reach + 1e-6) + 1e-6
+            visits = [np.flatnonzero(b[:h]).tolist() for b, h in zip(border, home)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], [*batch.schema.names, "home", "visits"])
+
+    if not drawn:
+        return rows.withColumn("home", F.lit(0)).withColumn("visits", F.array().cast("array<int>"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(place, ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", home int, visits array<int>")
+
+
+def meetings(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The two sides of an exact join of vectors (_group, id, embedding) over a threshold, with the tasks (_task) in which they meet.
+
+    A cell's own vectors meet one another, and those that visit it, in blocks of BLOCK.
+    """
+    placed = written(_cells(rows, threshold), "cells")
+    at = placed.select("_group", F.col("home").alias("cell"), F.lit(1).alias("own")).unionByName(placed.select("_group", F.explode("visits").alias("cell"), F.lit(0).alias("own")))
+    sizes = at.groupBy("_group", "cell").agg(F.sum("own").alias("h"), F.count_if(F.col("own") == 0).alias("v"))
+    blocks = sizes.select("_group", "cell", F.ceil(F.col("h") / BLOCK).cast("int").alias("s"), F.ceil(F.col("v") / BLOCK).cast("int").alias("w"))
+    part = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), n).cast("int")
+    own = placed.select("_group", F.col("home").alias("cell"), "id", "embedding").join(blocks, ["_group", "cell"]).withColumn("p", part(F.col("s")))
+    guests = placed.select("_group", F.explode("visits").alias("cell"), "id", "embedding").join(blocks.filter("s > 0"), ["_group", "cell"]).withColumn("p", F.col("s") + part(F.col("w")))
+    task = lambda a, b: F.struct("_group", "cell", a.alias("a"), b.alias("b")).alias("_task")
+    left = own.withColumn("q", F.explode(F.sequence(F.col("p"), F.col("s") + F.col("w") - 1))).select(task(F.col("p"), F.col("q")), "id", "embedding")
+    right = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("p")))).unionByName(guests.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("s") - 1))))
+    return left, right.select(task(F.col("q"), F.col("p")), "id", "embedding")
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, group: str | None = None) -> DataFrame:
-    """a_id < b_id, similarity of all pairs of vectors (id, embedding) whose cosine is over the threshold, of one group if asked for.
+    """a_id < b_id, similarity of all pairs of vectors (id, embedding) whose inner product is over the threshold, of one group if asked for.
 
-    Exact: every two blocks meet in one task as a matrix product, and only pairs over the threshold leave it.
+    Exact: vectors are dealt to the cells of pivots, and each meets only its own cell and those whose border is near enough for a vector over the threshold;
+    where vectors are clustered and the threshold is high, these are few. Without structure all blocks meet all. Within a task a
+    matrix product finds the pairs, and only those over the threshold leave it.
     """
-    rows = vectors.withColumn("_group", F.col(group).cast("string") if group else F.lit(""))
-    rows, n = _blocks(rows.select("_group", "id", "embedding"), "id")
-    left = rows.withColumnRenamed("_block", "_i").withColumn("_j", F.explode(F.sequence(F.col("_i"), F.lit(n - 1))))
-    other = rows.select(*[F.col(c).alias(f"{c}_2") for c in rows.columns])  # columns of their own, as both sides come from one table
-    right = other.withColumnRenamed("_block_2", "_j_2").withColumn("_i_2", F.explode(F.sequence(F.lit(0), F.col("_j_2"))))
+    ship_code(vectors.sparkSession)
+    rows = vectors.select((F.col(group).cast("string") if group else F.lit("")).alias("_group"), "id", "embedding")
+    left, right = meetings(rows, threshold)
+    right = right.select(F.col("_task").alias("_task_2"), F.col("id").alias("id_2"), F.col("embedding").alias("embedding_2"))  # columns of their own, as both sides come from one table
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         out = pa.schema([("a_id", pa.int64()), ("b_id", pa.int64()), ("similarity", pa.float64())])
         if not a.num_rows or not b.num_rows:
             return out.empty_table()
         found, x, y, ids, others = [out.empty_table()], _matrix(a.column("embedding")), _matrix(b.column("embedding_2")), a.column("id").to_numpy(), b.column("id_2").to_numpy()
-        same = a.column("_i")[0].as_py() == a.column("_j")[0].as_py()
+        task = a.column("_task")[0].as_py()
         for at in range(0, len(x), 512):
             products = x[at : at + 512] @ y.T
             keep = products > threshold
-            if same:
+            if task["a"] == task["b"]:
                 keep &= ids[at : at + 512, None] < others[None, :]
             r, c = np.nonzero(keep)
             p, q = ids[at + r], others[c]
             found.append(pa.Table.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(products[r, c])], schema=out))
         return pa.concat_tables(found)
 
-    on = ("_group", "_i", "_j")
-    return left.groupBy(*on).cogroup(right.groupBy(*(f"{c}_2" for c in on))).applyInArrow(compare, "a_id long, b_id long, similarity double")
+    return left.groupBy("_task").cogroup(right.groupBy("_task_2")).applyInArrow(compare, "a_id long, b_id long, similarity double")
 
 
 def centroids(vectors: DataFrame, group: str) -> DataFrame:

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
 from tessera.functions import scoring
-from tessera.operators import graph, upkeep, vectors
+from tessera.operators import graph, resolve, upkeep, vectors
 from tessera.plans.registry import query, r6, whole
-from tessera.plans.retrieval import round_sql, tokens_sql
-from tessera.functions.text import tokens
+from tessera.plans.retrieval import round_sql
 from tessera.sources.fixtures import ASOF, Memory, asof
 
 NOW = f"TIMESTAMP '{ASOF}'"
@@ -157,17 +156,51 @@ def q_retention_prune(m):
     return m.table("events").groupBy(log.alias("log")).agg(F.count(F.lit(1)).alias("total"), F.count_if(old).alias("pruned"))
 
 
-@query(f"""WITH s AS (SELECT item_id, unnest(list_distinct({tokens_sql('text')})) AS w FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct({tokens_sql('substring(text, 1, 60)')})) AS w FROM documents),
-    o AS (SELECT item_id, doc_id, count(*) AS overlap FROM s JOIN d USING (w) GROUP BY 1, 2 HAVING count(*) >= 3),
-    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS r FROM o) WHERE r = 1)
-    SELECT b.item_id, CASE WHEN doc_id IS NULL THEN 'new' ELSE 'fuzzy' END AS class, doc_id AS matched, overlap FROM benchmark b LEFT JOIN best USING (item_id)""")
+def fold_sql(turns: str, likes: str) -> str:
+    """alive (k) of a fold: turns (id, k from 1) in order, a turn giving way to any live one that likes (later, earlier) names."""
+    return f"""before AS (SELECT later AS k, list(earlier) AS before FROM {likes} GROUP BY 1),
+    fold AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS alive UNION ALL SELECT fold.k + 1, CASE WHEN list_has_any(alive, coalesce(before, []::BIGINT[])) THEN alive ELSE list_append(alive, fold.k + 1) END
+        FROM fold LEFT JOIN before ON before.k = fold.k + 1 WHERE fold.k < (SELECT count(*) FROM {turns})),
+    alive AS (SELECT unnest(alive) AS k FROM fold WHERE k = (SELECT count(*) FROM {turns}))"""
+
+
+TITLE_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(title), '[\\s\\x0B]+'), lambda w: w <> ''))"
+ABSORB = f"""WITH RECURSIVE store AS (SELECT title, max(id) AS dest, min(id) AS place FROM nodes WHERE id % 2 = 0 AND title IS NOT NULL GROUP BY 1),
+    items AS (SELECT id, title, locked, row_number() OVER (ORDER BY NOT locked, access_count DESC, id) AS turn FROM nodes WHERE id % 2 = 1 AND title IS NOT NULL),
+    store_words AS (SELECT place, dest, unnest({TITLE_WORDS}) AS w FROM store), item_words AS (SELECT id, turn, unnest({TITLE_WORDS}) AS w FROM items),
+    near AS (SELECT id, place, any_value(dest) AS dest, count(*) AS overlap FROM item_words JOIN store_words USING (w) GROUP BY 1, 2 HAVING count(*) >= 3),
+    best AS (SELECT id, arg_min(dest, (-overlap, place)) AS dest, max(overlap) AS overlap FROM near GROUP BY 1),
+    free AS (SELECT id, title, row_number() OVER (ORDER BY turn) AS k FROM items WHERE locked AND id NOT IN (SELECT id FROM best) AND title NOT IN (SELECT title FROM store)),
+    shared AS (SELECT x.id AS a, y.id AS b, count(*) AS overlap FROM item_words x JOIN item_words y ON x.w = y.w AND y.turn < x.turn GROUP BY 1, 2 HAVING count(*) >= 3),
+    likes AS (SELECT l.k AS later, e.k AS earlier FROM shared JOIN free l ON a = l.id JOIN free e ON b = e.id UNION SELECT l.k, e.k FROM free l JOIN free e ON l.title = e.title AND e.k < l.k),
+    {fold_sql("free", "likes")},
+    made AS (SELECT free.id, free.title, turn FROM free JOIN alive USING (k) JOIN items USING (id)),
+    same AS (SELECT items.id, coalesce(min(dest), min(made.id)) AS same FROM items LEFT JOIN store ON items.title = store.title LEFT JOIN made ON items.title = made.title AND made.turn < items.turn GROUP BY 1),
+    newer AS (SELECT a AS id, arg_min(made.id, (-overlap, turn)) AS dest, max(overlap) AS overlap FROM shared JOIN made ON b = made.id GROUP BY 1),
+    judged AS (SELECT items.id, same, best.dest AS d1, best.overlap AS o1, newer.dest AS d2, newer.overlap AS o2, made.id IS NOT NULL AS is_new FROM items JOIN same USING (id) LEFT JOIN best USING (id) LEFT JOIN newer USING (id) LEFT JOIN made USING (id)),
+    classes AS (SELECT id, CASE WHEN is_new THEN 'absorbed' WHEN same IS NOT NULL THEN 'exact' WHEN d1 IS NOT NULL OR d2 IS NOT NULL THEN 'fuzzy' ELSE 'policy' END AS class,
+        CASE WHEN is_new THEN NULL WHEN same IS NOT NULL THEN same WHEN d1 IS NULL OR o2 > o1 THEN d2 ELSE d1 END AS matched, CASE WHEN NOT is_new AND same IS NULL THEN CASE WHEN d1 IS NULL OR o2 > o1 THEN o2 ELSE o1 END END AS overlap FROM judged)"""
+
+
+def absorbed(m: Memory):
+    """The odd nodes as another store on its way into that of the even ones, locked and well used nodes first."""
+    n = m.nodes.select("id", "title", "locked", "access_count")
+    return resolve.absorbed(n.filter("id % 2 = 0"), n.filter("id % 2 = 1"), ~F.col("locked"), -F.col("access_count"))
+
+
+@query(f"{ABSORB} SELECT id, class, matched, overlap FROM classes", "nodes")
 def q_absorb_classes(m):
-    """Incoming items by whether a node's title shares three or more terms with them; the best match each."""
-    words = lambda df, key, col: df.select(key, F.explode(F.array_distinct(tokens(F.col(col)))).alias("w"))
-    items = m.table("benchmark")
-    overlap = words(items, "item_id", "text").join(words(m.bare_nodes.withColumnRenamed("id", "doc_id"), "doc_id", "title"), "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap"))
-    best = overlap.filter("overlap >= 3").withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("overlap"), "doc_id"))).filter("r = 1")
-    return items.select("item_id").join(best, "item_id", "left").select("item_id", F.when(F.col("doc_id").isNull(), "new").otherwise("fuzzy").alias("class"), F.col("doc_id").alias("matched"), "overlap")
+    """What becomes of each node of another store: known, like a known one, absorbed and known from then on, or left by policy."""
+    return absorbed(m)
+
+
+@query(f"""{ABSORB}, placed AS (SELECT id AS old, coalesce(matched, id) AS new FROM classes WHERE class <> 'policy'),
+    moved AS (SELECT s.new AS source_id, t.new AS target_id, max(weight) AS w FROM edges JOIN placed s ON source_id = s.old JOIN placed t ON target_id = t.old GROUP BY 1, 2)
+    SELECT source_id, target_id, {round_sql('w')} AS weight FROM moved ANTI JOIN (SELECT * FROM edges WHERE source_id % 2 = 0 AND target_id % 2 = 0) e USING (source_id, target_id) WHERE source_id <> target_id""", "nodes", "edges")
+def q_absorb_edges(m):
+    """Edges that come with the nodes of the other store, at the places that these were given."""
+    e = edges(m)
+    return resolve.absorbed_edges(e, absorbed(m), e.filter("source_id % 2 = 0 and target_id % 2 = 0")).select("source_id", "target_id", r6("weight"))
 
 
 MINED_SQL = "mined AS (SELECT n.id, project, created_at, v.embedding FROM nodes n JOIN vectors v ON n.id = v.id WHERE locked AND NOT archived)"
@@ -202,19 +235,40 @@ def q_temporal_contradictions(m):
     return both.filter(F.abs(scoring.hours_between(F.col("a_made"), F.col("b_made"))) >= 168).select("a_id", "b_id", r6("similarity"))
 
 
-@query(f"WITH {PAIRS_SQL} SELECT b_id AS dropped, min(a_id) AS kept FROM mates WHERE similarity > 0.3 GROUP BY 1", "nodes", "vectors")
+MERGE = f"""WITH RECURSIVE {PAIRS_SQL}, turns AS (SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS k FROM mined),
+    likes AS (SELECT greatest(x.k, y.k) AS later, least(x.k, y.k) AS earlier FROM mates JOIN turns x ON a_id = x.id JOIN turns y ON b_id = y.id WHERE similarity > 0.3),
+    {fold_sql("turns", "likes")},
+    ids AS (SELECT t.id AS dropped, arg_min(s.id, s.k) AS kept FROM likes JOIN turns t ON later = t.k JOIN turns s ON earlier = s.k WHERE later NOT IN (SELECT k FROM alive) AND earlier IN (SELECT k FROM alive) GROUP BY 1)"""
+
+
+def age():
+    return F.timestamp_diff("MICROSECOND", F.col("created_at"), asof())
+
+
+def merges(m: Memory):
+    return resolve.merged(mined(m), 0.3, age())
+
+
+@query(f"{MERGE} SELECT dropped, kept FROM ids", "nodes", "vectors")
 def q_near_dup_merge(m):
-    """Nodes that an earlier like one takes in (threshold as the fixture's vectors need)."""
-    return vectors.similar_pairs(mined(m), 0.3).groupBy(F.col("b_id").alias("dropped")).agg(F.min("a_id").alias("kept"))
+    """Nodes that give way to the newest surviving one that they are like (threshold as the fixture's vectors need)."""
+    return merges(m)
+
+
+@query(f"""{MERGE}, groups AS (SELECT coalesce(kept, id) AS kept, n.*, k FROM mined JOIN nodes n USING (id) JOIN turns USING (id) LEFT JOIN ids ON id = dropped)
+    SELECT kept AS id, count(*) AS members, sum(access_count)::BIGINT AS access_count, max(validated_at) AS validated_at, arg_min(personal, (id <> kept, k)) FILTER (WHERE personal IS NOT NULL) AS personal, arg_min(due_at, (id <> kept, k)) FILTER (WHERE due_at IS NOT NULL) AS due_at
+    FROM groups GROUP BY 1""", "nodes", "vectors")
+def q_merge_nodes(m):
+    """Survivors with what they take over: accesses together, the latest validation, and where they have none their members' first personal mark and due date."""
+    own = m.nodes.join(mined(m).select("id"), "id", "left_semi").withColumn("age", age())
+    return resolve.merged_nodes(own, merges(m), ["access_count"], ["validated_at"], {"personal": F.col("age"), "due_at": F.col("age")})
 
 
-@query(f"""WITH {PAIRS_SQL}, ids AS (SELECT b_id AS old, min(a_id) AS new FROM mates WHERE similarity > 0.3 GROUP BY 1),
-    moved AS (SELECT coalesce(s.new, source_id) AS s, coalesce(t.new, target_id) AS t, max(weight) AS w FROM edges LEFT JOIN ids s ON source_id = s.old LEFT JOIN ids t ON target_id = t.old GROUP BY 1, 2)
-    SELECT s AS source_id, t AS target_id, {round_sql('w')} AS weight FROM moved WHERE s <> t AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source_id = s AND e.target_id = t)""", "nodes", "vectors", "edges")
+@query(f"""{MERGE}, moved AS (SELECT coalesce(s.kept, source_id) AS source_id, coalesce(t.kept, target_id) AS target_id, weight, s.kept IS NULL AND t.kept IS NULL AS was FROM edges LEFT JOIN ids s ON source_id = s.dropped LEFT JOIN ids t ON target_id = t.dropped)
+    SELECT source_id, target_id, {round_sql("arg_max(weight, (was, weight))")} AS weight, NOT max(was) AS moved FROM moved WHERE source_id <> target_id GROUP BY 1, 2""", "nodes", "vectors", "edges")
 def q_merge_rewire(m):
-    """Edges that merged nodes pass on to those that took them in."""
-    ids = vectors.similar_pairs(mined(m), 0.3).groupBy(F.col("b_id").alias("old")).agg(F.min("a_id").alias("new"))
-    return upkeep.rewired(edges(m), ids, edges(m)).select("source_id", "target_id", r6("weight"))
+    """All edges after the merge, none of which ends on a merged node."""
+    return resolve.merged_edges(edges(m), merges(m)).select("source_id", "target_id", r6("weight"), "moved")
 
 
 #: Calibration looks at the pairs of a sample of so many nodes.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.fixtures import Memory, with_model
+from tessera.sources.shared import ship_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -18,6 +19,7 @@ def query(sql: str | None = None, *model: str):
 
     def add(f: Callable[[Memory], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_code(spark)
             return f(Memory(spark, sf_dir))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__

@@ -155,15 +155,6 @@ def q_rule_contradictions(m):
     return best.filter("score > 0.2").select(F.col("query_id").alias("recent_id"), F.col("id").alias("rule_id"), r6("score", "similarity"))
 
 
-@query(f"""WITH moved AS (SELECT source_id - source_id % 3 AS s, target_id - target_id % 3 AS t, max(weight) AS w FROM edges GROUP BY 1, 2)
-    SELECT s AS source_id, t AS target_id, {round_sql('w')} AS weight FROM moved WHERE s <> t AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source_id = s AND e.target_id = t)""", "edges")
-def q_absorb_edges(m):
-    """Edges moved to the nodes that absorbed theirs: no loops, none that exist already."""
-    e = edges(m)
-    ids = e.select(F.col("source_id").alias("old")).distinct().withColumn("new", F.col("old") - F.col("old") % 3)
-    return upkeep.rewired(e, ids, e).select("source_id", "target_id", r6("weight"))
-
-
 @query("""SELECT s.id, t.id AS neighbour FROM edges e JOIN nodes s ON e.source_id = s.id JOIN nodes t ON e.target_id = t.id WHERE s.critical AND t.locked AND NOT t.archived""", "nodes", "edges")
 def q_locked_neighbours(m):
     """Locked neighbours of critical nodes."""

@@ -123,4 +123,7 @@ def with_model(sql: str, *names: str) -> str:
         add(n)
     body = sql.strip()
     ctes = ",\n".join(CTE[n] for n in order)
-    return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{ctes}, {body[len(start):]}"
+    return f"WITH {ctes} {body}"
