@@ -9,11 +9,9 @@ from tessera.functions import constants as K
 
 
 def words(text: Column) -> Column:
-    """Lower-case words of a-z0-9; camel case, hyphens and dots split; empty ones, short ones and repeats stay."""
-    x = F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")
-    x = F.regexp_replace(x, "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    x = F.regexp_replace(F.lower(x), r"[^a-z0-9\s.-]", " ")
-    return F.split(F.coalesce(x, F.lit("")), r"[\s.-]+")
+    """Lower-case words of a-z0-9; camel case splits, and so does all else; empty ones, short ones and repeats stay."""
+    x = F.lower(F.regexp_replace(text, "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " "))
+    return F.split(F.coalesce(F.regexp_replace(x, "[^a-z0-9]+", " "), F.lit("")), " ")
 
 
 def is_term(word: Column) -> Column:

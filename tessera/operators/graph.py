@@ -35,15 +35,20 @@ def strongest(edges: DataFrame, k: int = K.MAX_NEIGHBOURS) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def roads(edges: DataFrame) -> DataFrame:
+    """The edges that activation takes: each node's strongest over the least weight."""
+    return strongest(edges.filter(F.col("weight") > K.MIN_EDGE)).select("source_id", "target_id", "weight")
+
+
 def spread(seeds: DataFrame, edges: DataFrame, hops: int = K.MAX_HOPS) -> DataFrame:
     """query_id, id, activation: seeds start at 1 and push activation * weight * .5 ** (hop + 1) along their strongest edges.
 
     Synchronous: a hop pushes what was active (over .01) at its start. A fixed number of joins, no driver loop over data.
     """
-    roads = strongest(edges.filter(F.col("weight") > K.MIN_EDGE)).select("source_id", "target_id", "weight")
+    ways = roads(edges)
     now = seeds.select("query_id", "id", F.lit(1.0).alias("activation"))
     for hop in range(hops):
-        push = now.filter(F.col("activation") > K.MIN_ACTIVATION).join(roads, F.col("id") == F.col("source_id"))
+        push = now.filter(F.col("activation") > K.MIN_ACTIVATION).join(ways, F.col("id") == F.col("source_id"))
         sent = push.select("query_id", F.col("target_id").alias("id"), (F.col("activation") * F.col("weight") * K.SPREAD_DECAY ** (hop + 1)).alias("activation"))
         now = now.unionByName(sent).groupBy("query_id", "id").agg(F.sum("activation").alias("activation"))
     return now
@@ -78,11 +83,11 @@ def random_walks(starts: DataFrame, edges: DataFrame, steps: int = 5, width: int
 
     Draws are hashes of walk, step and edge (Efraimidis-Spirakis keys), so walks are the same in every run.
     """
-    roads = strongest(edges, width).select("source_id", "target_id", "weight")
+    ways = strongest(edges, width).select("source_id", "target_id", "weight")
     now = starts.select(F.col("id").alias("walk_id"), F.array("id").alias("path"), F.col("id").alias("at"))
     for step in range(steps):
         u = (F.pmod(F.xxhash64("walk_id", "target_id", F.lit(step), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-        drawn = now.join(roads, F.col("at") == F.col("source_id"), "left").withColumn("key", F.when(F.col("target_id").isNotNull(), F.log(u) / F.col("weight")))
+        drawn = now.join(ways, F.col("at") == F.col("source_id"), "left").withColumn("key", F.when(F.col("target_id").isNotNull(), F.log(u) / F.col("weight")))
         best = drawn.groupBy("walk_id", "path", "at").agg(F.max_by("target_id", F.struct("key", -F.col("target_id"))).alias("next"))
         fresh = F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))
         now = best.select("walk_id", F.when(fresh, F.array_append("path", F.col("next"))).otherwise(F.col("path")).alias("path"), F.when(fresh, F.col("next")).otherwise(F.col("at")).alias("at"))

@@ -19,6 +19,11 @@ def term_frequency(counts: DataFrame) -> DataFrame:
     return counts.withColumn("tf", 0.5 + 0.5 * F.col("c") / top).select("id", "term", "c", "tf")
 
 
+def postings(nodes: DataFrame, text: Column, wanted: DataFrame) -> DataFrame:
+    """id, term, c, tf of the wanted terms (term) alone; what is wanted is the small side."""
+    return term_frequency(term_counts(nodes, text)).join(wanted, "term", "left_semi")
+
+
 def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 

@@ -317,28 +317,12 @@ def q_title_queries(m):
     return m.bare_nodes.filter("locked").select("id", F.array_join(F.slice(T.tokens(F.col("title")), 1, 6), " ").alias("query"))
 
 
-@query(f"""WITH {COUNTS}, {IDF}, {ASKED} SELECT query_id, term FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS r FROM asked JOIN idf USING (term) WHERE df <= 0.05::DOUBLE * (SELECT count(*) FROM documents)) WHERE r <= 3""")
-def q_expand_query(m):
-    """The three rarest vocabulary terms of each query; generic ones do not expand."""
-    n = m.table("documents").count()
-    known = terms.document_frequency(counts_of(m)).filter(F.col("df") <= 0.05 * n)
-    return first(terms.query_terms(asked(m)).join(known, "term"), ["query_id"], ["df", "term"], 3).select("query_id", "term")
-
-
 @query("SELECT id, CASE type WHEN 'lesson' THEN 'Lesson: ' WHEN 'rule' THEN 'Rule: ' WHEN 'mechanism' THEN 'Mechanism: ' ELSE upper(substring(type, 1, 1)) || substring(type, 2) || ': ' END || title AS title, CASE WHEN length(content) > 80 THEN substring(content, 1, 77) || '...' ELSE content END AS content FROM nodes WHERE NOT archived", "nodes")
 def q_templates(m):
     """Typed nodes as their templates write them."""
     return insight.templated(m.bare_nodes.filter("not archived")).select("id", "title", "content")
 
 
-@query(f"""SELECT phrase, CAST(low AS TIMESTAMP) AS low, CAST(high AS TIMESTAMP) AS high FROM (VALUES ('today', date_trunc('day', {NOW}), {NOW}), ('yesterday', date_trunc('day', {NOW}) - INTERVAL 1 DAY, date_trunc('day', {NOW})),
-    ('this week', date_trunc('week', {NOW}), {NOW}), ('last week', date_trunc('week', {NOW}) - INTERVAL 7 DAY, date_trunc('week', {NOW})), ('this month', date_trunc('month', {NOW}), {NOW}), ('last month', date_trunc('month', {NOW}) - INTERVAL 1 MONTH, date_trunc('month', {NOW})),
-    ('recently', {NOW} - INTERVAL 3 DAY, {NOW})) t(phrase, low, high)""")
-def q_temporal_phrases(m):
-    """Ranges that phrases of time name."""
-    return insight.temporal_ranges(m.spark, asof())
-
-
 @query(r"""SELECT doc_id AS id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[a-z][a-z0-9]*_[a-z0-9_]+') || regexp_extract_all(text, '[a-z]+(?:\.[a-z]+)+') || regexp_extract_all(text, '\$?\d+(?:\.\d+)?%?(?:px|ms|kb|mb|gb|s|d)?'), lambda x: lower(x))))[1:50] AS keywords FROM documents""")
 def q_keywords(m):
     """Numbers with units, snake-case and dotted terms of each text, in order, fifty at most."""

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
 from tessera.functions import scoring, text
-from tessera.operators import graph, terms, upkeep, vectors
+from tessera.operators import graph, recall, terms, upkeep, vectors, vocabulary
 from tessera.plans.registry import query, r6, whole
 from tessera.sources.fixtures import Memory, asof
+from tessera.sources.shared import written
 
 STOP = "[" + ", ".join(f"'{w}'" for w in K.STOP_WORDS) + "]"
 
@@ -59,7 +60,8 @@ def asked(m: Memory):
 
 def matched(m: Memory):
     """query_id, id, match, score of the batch."""
-    return terms.batch_scores(terms.query_terms(asked(m)), m.index, m.table("documents").count())
+    own = written(terms.query_terms(asked(m)), "terms")
+    return terms.batch_scores(own, written(terms.postings(m.bare_nodes, F.col("content"), own.select("term").distinct()), "postings"), m.table("documents").count())
 
 
 def near(m: Memory, k: int):
@@ -183,48 +185,145 @@ INTENT_SQL = "CASE " + " ".join("WHEN regexp_matches(lower(substring(text, 1, 60
 BOOST_SQL = "CASE " + " ".join(f"WHEN intent = '{n}' AND type = '{t}' THEN {x}::DOUBLE" for n, _, boosts in K.INTENTS for t, x in boosts.items()) + " ELSE 1.0::DOUBLE END"
 #: Neighbours from which on a node counts as a hub (as the fixture's graph needs).
 HUB = 28
-KEYWORD = f"""{COUNTS}, {TF}, {IDF}, {ASKED}, {TFIDF}, {MATCH}, degrees AS (SELECT source_id AS id, count(*) AS degree FROM edges GROUP BY 1),
-meant AS (SELECT doc_id AS query_id, {INTENT_SQL} AS intent FROM documents WHERE doc_id % 50 = 0),
-found AS (SELECT query_id, id, 0.6::DOUBLE * matched + 0.4::DOUBLE * score AS relevance FROM direct JOIN tfidf USING (query_id, id)),
-keyword AS (SELECT query_id, f.id, ({combined_sql('relevance')}) * ({RETENTION}) * CASE WHEN critical THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END * ({BOOST_SQL}) * CASE WHEN degree > {HUB} THEN {HUB}.0::DOUBLE / degree ELSE 1.0::DOUBLE END AS score
-    FROM found f JOIN nodes n ON f.id = n.id JOIN meant USING (query_id) LEFT JOIN degrees d ON d.id = n.id WHERE NOT archived)"""
+#: What askers add to some queries, by the query's number modulo 400: phrases of time.
+DATED = {50: "last 20 days", 150: "last month", 250: "recently", 350: "this month"}
+DATED_SQL = "CASE doc_id % 400 " + " ".join(f"WHEN {i} THEN ' {p}'" for i, p in DATED.items()) + " ELSE '' END"
+CLOCK = "TIMESTAMP '2024-02-01 00:00:00'"
+SPANS = {
+    "today": ("date_trunc('day', {0})", "{0}"), "yesterday": ("date_trunc('day', {0}) - INTERVAL 1 DAY", "date_trunc('day', {0})"), "this week": ("date_trunc('week', {0})", "{0}"),
+    "last week": ("date_trunc('week', {0}) - INTERVAL 7 DAY", "date_trunc('week', {0})"), "this month": ("date_trunc('month', {0})", "{0}"), "last month": ("date_trunc('month', {0}) - INTERVAL 1 MONTH", "date_trunc('month', {0})"),
+    "last days": ("{0} - to_days(TRY_CAST(regexp_extract(lower({1}), '" + K.DAYS_BACK + "', 1) AS INTEGER))", "{0}"), "recently": ("{0} - INTERVAL 3 DAY", "{0}"), "last session": ("{0} - INTERVAL 6 HOUR", "{0}"),
+}
+
+
+def span_sql(x: str, end: int) -> str:
+    """The start (0) or end (1) of the range that the first phrase of time in x names."""
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({x}), '{p}') THEN CAST({SPANS[n][end].format(CLOCK, x)} AS TIMESTAMP)" for n, p in K.TIME_PHRASES) + " END"
+
+
+TITLE = "substring(text, 1, 60)"
+VOCABULARY = f"""titled AS (SELECT doc_id AS node_id, {tokens_sql(TITLE)} AS w FROM documents WHERE doc_id % 5 = 2),
+entries AS (SELECT node_id, unnest([w[1], w[2], w[3], w[1] || ' ' || w[2]]) AS term, w[4:5] AS maps_to FROM titled WHERE len(w) >= 5),
+vocabulary AS (SELECT entries.* FROM entries LEFT JOIN idf USING (term) WHERE contains(term, ' ') OR coalesce(df, 0) <= 0.05::DOUBLE * (SELECT count(*) FROM documents)),
+known AS (SELECT term, count(DISTINCT node_id) AS meanings, min(maps_to) AS maps_to FROM vocabulary GROUP BY 1)"""
+RECALLED = f"""questions AS (SELECT doc_id AS query_id, {TITLE} || {DATED_SQL} AS said FROM documents WHERE doc_id % 50 = 0)"""
+LOOKED_UP = f"""ordered AS (SELECT query_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM (SELECT query_id, {tokens_sql('said')} AS w FROM questions)),
+coupled AS (SELECT a.query_id, a.word || ' ' || b.word AS term, a.place FROM ordered a JOIN ordered b ON a.query_id = b.query_id AND b.place = a.place + 1),
+met AS (SELECT query_id, term, place, meanings, maps_to FROM coupled JOIN known USING (term)),
+covered AS (SELECT DISTINCT query_id, unnest(string_split(term, ' ')) AS word FROM met),
+lookups AS (SELECT query_id, term, min(place) AS place, any_value(meanings) AS meanings, any_value(maps_to) AS maps_to FROM (SELECT * FROM met UNION ALL
+    SELECT query_id, word, place + 1048576, meanings, maps_to FROM (SELECT * FROM ordered ANTI JOIN covered USING (query_id, word)) JOIN known ON word = term) GROUP BY 1, 2),
+added AS (SELECT query_id, term, min((place, spot)) AS first FROM (SELECT query_id, place, unnest(maps_to) AS term, generate_subscripts(maps_to, 1) - 1 AS spot FROM lookups WHERE meanings = 1) ANTI JOIN (SELECT query_id, word AS term FROM ordered) USING (query_id, term) GROUP BY 1, 2),
+expansions AS (SELECT query_id, term FROM added QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY first, term) <= {K.EXPANSIONS})"""
+BEST = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {} DESC, id) <= {}"
+
+
+def beam_sql(hops: int) -> str:
+    parts = [f"a0 AS (SELECT DISTINCT query_id, id, 1.0::DOUBLE AS activation FROM (SELECT query_id, id FROM held {BEST.format('n', recall.BY_MATCH)} UNION ALL SELECT query_id, id FROM (SELECT t.* FROM tfidf t JOIN nodes USING (id) WHERE NOT archived) {BEST.format('round(score, 9)', recall.BY_TERMS)}))"]
+    for h in range(hops):
+        parts.append(f"""a{h + 1} AS MATERIALIZED (SELECT query_id, id, sum(activation) AS activation FROM (SELECT * FROM a{h} UNION ALL SELECT query_id, target_id, activation * weight * {0.5 ** (h + 1)}::DOUBLE
+            FROM (SELECT * FROM a{h} WHERE activation > {K.MIN_ACTIVATION}::DOUBLE {BEST.format('round(activation, 9)', recall.BEAM)}) JOIN roads ON id = source_id) GROUP BY 1, 2)""")
+    return ", ".join(parts)
+
+
+INTENT_OF = "CASE " + " ".join("WHEN regexp_matches(lower(said), '{}') THEN '{}'".format(p.replace("'", "''"), n) for n, p, _ in K.INTENTS) + " ELSE 'general' END"
+SLOWER = "(CASE WHEN personal = 'fluid' THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN beside.id IS NOT NULL THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END)"
+KEPT = RETENTION.replace("stability *", f"stability * {SLOWER} *").replace("WHEN locked OR", "WHEN locked OR coalesce(personal = 'fixed', false) OR")
+RELEVANCE = f"((0.1::DOUBLE * least(1.0::DOUBLE, share + 0.5::DOUBLE * coalesce(matched, 0)) + 0.9::DOUBLE * coalesce(tfidf.score, 0)) * CASE WHEN degree > {HUB} THEN {HUB}.0::DOUBLE / degree ELSE 1.0::DOUBLE END * (CASE WHEN type IN ('project', 'person') THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * ({BOOST_SQL}) * CASE WHEN critical THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END))"
+KEYWORD = f"""{COUNTS}, {TF}, {IDF}, {RECALLED}, asked AS (SELECT DISTINCT query_id, unnest({tokens_sql('said')}) AS term FROM questions), {TFIDF}, {MATCH}, {VOCABULARY}, {LOOKED_UP},
+held AS (SELECT query_id, id, count(*) AS n FROM (SELECT * FROM asked UNION SELECT * FROM expansions) JOIN counts USING (term) JOIN nodes USING (id) WHERE NOT archived GROUP BY 1, 2),
+roads AS (SELECT source_id, target_id, weight FROM edges WHERE weight > {K.MIN_EDGE}::DOUBLE QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY weight DESC, target_id) <= {K.MAX_NEIGHBOURS}), {beam_sql(3)},
+active AS (SELECT a.query_id, a.id, a.activation / max(a.activation) OVER (PARTITION BY a.query_id) AS share FROM a3 a JOIN nodes USING (id) WHERE NOT archived),
+degrees AS (SELECT source_id AS id, count(*) AS degree FROM edges GROUP BY 1),
+beside AS (SELECT DISTINCT target_id AS id FROM edges JOIN nodes ON source_id = id WHERE evolution IN ('tension', 'hypothesis', 'aspiration') AND NOT archived),
+meant AS (SELECT query_id, {INTENT_OF} AS intent, {span_sql('said', 0)} AS low, {span_sql('said', 1)} AS high FROM questions),
+keyword AS (SELECT query_id, id, intent, ({combined_sql(RELEVANCE)}) * ({KEPT}) AS score FROM active JOIN nodes n USING (id) JOIN meant USING (query_id) LEFT JOIN direct USING (query_id, id) LEFT JOIN tfidf USING (query_id, id)
+    LEFT JOIN degrees USING (id) LEFT JOIN beside USING (id) WHERE low IS NULL OR created_at BETWEEN low AND high)"""
+
+
+def questions(m: Memory):
+    """The stated query batch: the titles of every fiftieth document, some with a phrase of time."""
+    phrase = F.lit("")
+    for i, p in DATED.items():
+        phrase = F.when(F.col("query_id") % 400 == i, F.lit(f" {p}")).otherwise(phrase)
+    return asked(m).select("query_id", F.concat("text", phrase).alias("text"))
+
+
+def vocabulary_of(m: Memory):
+    """The admitted entries."""
+    entries = m.entries
+    words = entries.select("term").distinct()
+    return vocabulary.admitted(entries, terms.document_frequency(terms.postings(m.bare_nodes, F.col("content"), words)), m.table("documents").count())
+
+
+@query(f"WITH {COUNTS}, {IDF}, {RECALLED}, {VOCABULARY}, {LOOKED_UP} SELECT query_id, term, meanings FROM lookups")
+def q_vocab_lookup(m):
+    """Terms of each query that the vocabulary knows, and whether they have one meaning or several."""
+    return vocabulary.looked_up(questions(m), vocabulary_of(m)).select("query_id", "term", "meanings")
+
+
+@query(f"WITH {COUNTS}, {IDF}, {RECALLED}, {VOCABULARY}, {LOOKED_UP} SELECT query_id, term FROM expansions")
+def q_expand_query(m):
+    """What each query gains from the vocabulary; ambiguous terms expand nothing."""
+    return vocabulary.expansions(questions(m), vocabulary_of(m))
+
+
+@query(f"""WITH {COUNTS}, {IDF}, {VOCABULARY} SELECT term, count(*) AS n FROM (SELECT DISTINCT conv_id, turn, unnest({tokens_sql('text')}) AS term FROM conversations WHERE role = 'user')
+    ANTI JOIN (SELECT unnest(string_split(term, ' ')) AS term FROM vocabulary UNION ALL SELECT unnest({tokens_sql('text')}) FROM benchmark) USING (term) GROUP BY 1""")
+def q_vocab_gaps(m):
+    """Words of users' messages that the vocabulary does not cover; those of benchmark items count as learned."""
+    said = m.turns.filter("role = 'user'").select(F.struct("conv_id", "turn").alias("query_id"), "text")
+    learned = m.table("benchmark").select(F.explode(text.tokens(F.col("text"))).alias("term"))
+    return vocabulary.gaps(said, vocabulary_of(m), learned)
+
+
+@query(f"""WITH {COUNTS}, {IDF}, {VOCABULARY}, titles AS (SELECT DISTINCT doc_id AS id, unnest({tokens_sql(TITLE)}) AS word FROM documents),
+    maps AS (SELECT DISTINCT node_id, id FROM (SELECT DISTINCT node_id, unnest(maps_to) AS word FROM vocabulary) JOIN titles USING (word) WHERE id <> node_id QUALIFY row_number() OVER (PARTITION BY node_id, word ORDER BY id) <= 5),
+    own AS (SELECT DISTINCT node_id, id FROM (SELECT DISTINCT node_id, term FROM vocabulary WHERE NOT contains(term, ' ')) JOIN titles ON term = word WHERE id <> node_id QUALIFY row_number() OVER (PARTITION BY node_id, word ORDER BY id) <= 3)
+    SELECT node_id AS source_id, id AS target_id, 'maps_to' AS relation, 0.8::DOUBLE AS weight FROM maps UNION ALL SELECT node_id, id, 'refers_to', 0.6::DOUBLE FROM own ANTI JOIN maps USING (node_id, id)""")
+def q_vocab_edges(m):
+    """Edges of vocabulary nodes to what they name."""
+    return vocabulary.connections(vocabulary_of(m), m.bare_nodes.select("id", "title"))
+
+
+@query(f"SELECT conv_id, turn, {span_sql('said', 0)} AS low, {span_sql('said', 1)} AS high FROM (SELECT conv_id, turn, text || CASE turn % 9 " + " ".join(f"WHEN {i} THEN ' {p}'" for i, p in enumerate(("today", "yesterday", "this week", "last week", "last 12 days", "recently", "last session"))) + " ELSE '' END AS said FROM conversations)")
+def q_temporal_phrases(m):
+    """Ranges of time that messages name, some of which got a phrase here."""
+    said = F.lit("")
+    for i, p in enumerate(("today", "yesterday", "this week", "last week", "last 12 days", "recently", "last session")):
+        said = F.when(F.col("turn") % 9 == i, F.lit(f" {p}")).otherwise(said)
+    span = recall.phrase_range(F.concat("text", said), asof())
+    return m.turns.select("conv_id", "turn", span.alias("span")).select("conv_id", "turn", "span.low", "span.high")
 
 
 def keyword_scores(m: Memory):
-    """query_id, id, score of the keyword path: direct match and TF-IDF, then recency, frequency, emotion, retention, critical and intent boosts, hub damping."""
-    found = matched(m).select("query_id", "id", (0.6 * F.col("match") + 0.4 * F.col("score")).alias("relevance"))
-    meant = asked(m).select("query_id", text.intent(F.col("text")).alias("intent"))
-    degrees = graph.degrees(graph.undirected(graph.co_access(m.sessions))).select("id", "degree")
-    nodes = m.nodes.filter(~F.col("archived")).drop("content", "title").join(degrees, "id", "left")
-    boost = F.when(F.col("critical"), 3.0).otherwise(1.0) * text.type_boost(F.col("intent"), F.col("type")) * scoring.hub_damping(F.coalesce("degree", F.lit(0)), HUB)
-    return found.join(nodes, "id").join(meant, "query_id").select("query_id", "id", (combined(F.col("relevance")) * retained() * boost).alias("score"))
+    links = graph.undirected(graph.co_access(m.sessions))
+    return recall.keyword_scores(questions(m), m.nodes, m.bare_nodes.select("id", "content"), links, vocabulary_of(m), asof(), HUB)
 
 
 @query(f"""WITH {KEYWORD} SELECT query_id, rank, id, {round_sql('score')} AS score FROM
     (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM keyword) WHERE rank <= 10""", "nodes", "edges")
 def q_keyword_recall(m):
+    """Recall by terms, vocabulary and spread over the graph, within the time that the query names."""
     return terms.ranked(keyword_scores(m), 10).select("query_id", whole("rank"), "id", r6("score"))
 
 
 HYBRID = f"""{KEYWORD}, {NEAR},
-mixed AS (SELECT query_id, id, CASE WHEN s.score IS NOT NULL AND k.score IS NOT NULL THEN 0.9::DOUBLE * s.score + 0.1::DOUBLE * k.score WHEN s.score IS NOT NULL THEN s.score ELSE 0.1::DOUBLE * k.score END AS blend
-    FROM (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM near) WHERE rank <= 50) s
-    FULL OUTER JOIN (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM keyword) WHERE rank <= 30) k USING (query_id, id)),
-hybrid AS (SELECT query_id, n.id, type, title, content, critical, blend * ({CONFIDENT}) * CASE WHEN critical THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS score
-    FROM mixed JOIN nodes n ON mixed.id = n.id WHERE NOT archived),
+mixed AS (SELECT query_id, id, intent, CASE WHEN s.score IS NOT NULL AND k.score IS NOT NULL THEN 0.9::DOUBLE * s.score + 0.1::DOUBLE * k.score WHEN s.score IS NOT NULL THEN s.score ELSE 0.1::DOUBLE * k.score END AS blend
+    FROM (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM near) WHERE rank <= 50 AND score > 0) s
+    FULL OUTER JOIN (SELECT query_id, id, intent, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM keyword) WHERE rank <= 30) k USING (query_id, id)),
+hybrid AS (SELECT query_id, n.id, type, title, content, critical, strange AS mismatch, blend * ({CONFIDENT}) * CASE WHEN critical THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN intent IS NULL THEN 1.0::DOUBLE ELSE {BOOST_SQL} END * CASE WHEN strange THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS score
+    FROM (SELECT mixed.*, n.*, coalesce(personal = 'contextual' AND len(context) > 0 AND NOT list_has_any(context, string_split_regex(lower(said), '\\s+')), false) AS strange
+        FROM mixed JOIN (SELECT *, ({tokens_sql('title')})[1:3] AS context FROM nodes) n ON mixed.id = n.id JOIN questions USING (query_id) WHERE NOT archived) n),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM hybrid
     WHERE score >= CASE WHEN critical THEN 0.20::DOUBLE ELSE 0.05::DOUBLE END)"""
 
 
 def hybrid(m: Memory, k: int):
-    """The k best of both paths, blended, weighted by confidence and critical boost, over the thresholds."""
-    semantic = near(m, 50).select("query_id", "id", F.col("score").alias("s"))
-    keyword = terms.ranked(keyword_scores(m), 30).select("query_id", "id", F.col("score").alias("k"))
-    mixed = semantic.join(keyword, ["query_id", "id"], "full_outer").select("query_id", "id", scoring.blend(F.col("s"), F.col("k")).alias("blend"))
-    hit = mixed.join(m.bare_nodes.filter(~F.col("archived")), "id")
-    score = F.col("blend") * scoring.confidence_multiplier(F.col("confidence")) * F.when(F.col("critical"), 3.0).otherwise(1.0)
-    kept = hit.withColumn("score", score).filter(F.col("score") >= F.when(F.col("critical"), 0.20).otherwise(0.05))
-    return terms.ranked(kept, k)
+    """The k best of both paths, blended."""
+    best = terms.ranked(keyword_scores(m), 30).drop("rank")
+    nodes = m.bare_nodes.withColumn("context", F.slice(text.tokens(F.col("title")), 1, 3)).drop("content")
+    return terms.ranked(recall.hybrid(near(m, 50).select("query_id", "id", "score"), best, questions(m), nodes), k)
 
 
 @query(f"WITH {HYBRID} SELECT query_id, rank, id, type, {round_sql('score')} AS score FROM best WHERE rank <= 8", "nodes", "vectors", "edges")
@@ -239,7 +338,7 @@ def q_tiered(m):
     """The first three results in full, the others cut to 200 characters."""
     brief = F.when(F.length("content") > 200, F.concat(F.substring("content", 1, 197), F.lit("..."))).otherwise(F.col("content"))
     shown = F.when(F.col("rank") <= 3, F.col("content")).otherwise(brief)
-    return hybrid(m, 8).select("query_id", whole("rank"), "id", shown.alias("shown"), F.when(F.col("rank") <= 3, "full").otherwise("brief").alias("tier"))
+    return hybrid(m, 8).join(m.bare_nodes.select("id", "content"), "id").select("query_id", whole("rank"), "id", shown.alias("shown"), F.when(F.col("rank") <= 3, "full").otherwise("brief").alias("tier"))
 
 
 @query("SELECT id, type, title, last_accessed FROM nodes WHERE NOT archived AND last_accessed IS NOT NULL ORDER BY last_accessed DESC, id LIMIT 20", "nodes")

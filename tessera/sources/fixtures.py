@@ -74,10 +74,19 @@ class Memory:
 
     @cached_property
     def index(self) -> DataFrame:
-        """id, term, c, tf of the contents, kept for the several branches of a plan (where queries come often, it is a table)."""
+        """id, term, c, tf of the contents."""
         from tessera.operators import terms
 
-        return terms.term_frequency(terms.term_counts(self.bare_nodes, F.col("content"))).persist()
+        return terms.term_frequency(terms.term_counts(self.bare_nodes, F.col("content")))
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        """node_id, term, maps_to: words of some titles, and pairs of them, with what they stand for."""
+        from tessera.functions.text import tokens
+
+        w = self.bare_nodes.filter("id % 5 = 2").select(F.col("id").alias("node_id"), tokens(F.col("title")).alias("w")).filter(F.size("w") >= 5)
+        at = lambda i: F.try_element_at("w", F.lit(i))
+        return w.select("node_id", F.explode(F.array(at(1), at(2), at(3), F.concat_ws(" ", at(1), at(2)))).alias("term"), F.slice("w", 4, 2).alias("maps_to"))
 
     @cached_property
     def turns(self) -> DataFrame:
