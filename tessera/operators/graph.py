@@ -11,9 +11,9 @@ from tessera.functions import constants as K
 def co_access(sessions: DataFrame, keys=("user_id", "day"), most: int = 15) -> DataFrame:
     """source_id < target_id, n, weight of the pairs of nodes used in the same session: .3 at first, .02 more each time, at most 1.
 
-    Of a session the first nodes by id take part, so many at most: an operator of the model, which bounds a session's pairs.
+    Of a session the nodes that were used most in it (uses, where there is such a column; then by id) take part, so many at most: an operator of the model, which bounds a session's pairs.
     """
-    order = Window.partitionBy(*keys).orderBy("node_id")
+    order = Window.partitionBy(*keys).orderBy(*([F.desc("uses")] if "uses" in sessions.columns else []), "node_id")
     some = sessions.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
     a = some.withColumnRenamed("node_id", "source_id")
     b = some.withColumnRenamed("node_id", "target_id")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring
+from tessera.sources.shared import written
 
 
 def drained(rows: DataFrame, key: str, mark, n: int) -> DataFrame:
@@ -86,10 +87,21 @@ def keywords(text: Column, most: int = 50) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.transform(F.concat(*found), F.lower))), 1, most)
 
 
-def within_budget(rows: DataFrame, order: list, size: Column, budget: int, exempt: Column) -> DataFrame:
-    """Rows of a short list whose running size, in order, is within the budget, and exempt ones; filled: the size up to there."""
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("filled", F.sum(size).over(upto)).filter(exempt | (F.col("filled") <= budget))
+def running(rows: DataFrame, order: list[Column], size: str, name: str = "filled") -> DataFrame:
+    """rows with the sum of size up to each in a total order: summed within ranges of the order, to which what ranges before them hold is added.
+
+    Only one row a range meets in one place.
+    """
+    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = F.sum(size).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    before = ranged.groupBy("_range").agg(F.sum(size).alias("_own"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_own").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_own")
+    return ranged.withColumn("_inside", inside).join(before, "_range").withColumn(name, F.col("_inside") + F.col("_before")).drop("_range", "_inside", "_before")
+
+
+def within_budget(rows: DataFrame, order: list[Column], size: str, budget: int, exempt: Column) -> DataFrame:
+    """Rows whose running size, in a total order, is within the budget, and exempt ones; filled: the size up to there."""
+    return running(rows, order, size).filter(exempt | (F.col("filled") <= budget))
 
 
 def synthesis(turns: DataFrame) -> DataFrame:

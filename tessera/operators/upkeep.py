@@ -47,21 +47,24 @@ def wildcard(column: Column, triggers) -> Column:
     return column.rlike("|".join(".*".join(part.replace(".", r"\.") for part in t.split("*")) for t in triggers))
 
 
-def not_contained(items: DataFrame, id_col: str, text_col: str, texts: DataFrame, content: str, run: int = 3) -> DataFrame:
-    """Items whose text, whatever its case, is a substring of none of the texts.
+def not_contained(items: DataFrame, id_col: str, text_col: str, texts: DataFrame, key: str, content: str, run: int = 3) -> DataFrame:
+    """Items whose text, whatever its case, is a substring of none of the texts (key, content).
 
     The inner words of an item keep their bounds inside any text that contains it, so a containing text shares their first run: an
-    equi-join finds the candidates, and a substring test decides. Items with too few inner words are tested by all their word runs of one.
+    equi-join of hashes alone finds the candidates, whose texts are then fetched, each once, for the substring test. Items with too few inner words for a run
+    are looked for in every text, as a small side that Spark broadcasts only within its limit.
     """
-    asked = items.select(id_col, F.lower(text_col).alias("_item")).withColumn("_inner", F.slice(F.split("_item", r"\s+"), 2, run)).withColumn("_long", F.size(F.split("_item", r"\s+")) >= run + 2)
-    low = texts.select(F.lower(content).alias("_low"))
-    words = low.withColumn("_w", F.split("_low", r"\s+")).withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - run + 1))))
-    runs = words.select("_low", F.xxhash64(F.slice("_w", F.col("_i"), F.lit(run))).alias("_run"))
-    long = asked.filter("_long").withColumn("_run", F.xxhash64("_inner"))
-    hit = runs.join(long.select(id_col, "_item", "_run"), "_run").filter(F.contains("_low", "_item")).select(id_col)
-    short = asked.filter("not _long and _item is not null").select(id_col, "_item")
-    met = low.join(short, F.contains("_low", "_item")).select(id_col)
-    return items.join(hit.unionByName(met).distinct(), id_col, "left_anti")
+    asked = items.select(id_col, F.lower(text_col).alias("_item")).withColumn("_w", F.split("_item", r"\s+"))
+    long = asked.filter(F.size("_w") >= run + 2).select(id_col, "_item", F.xxhash64(F.slice("_w", 2, run)).alias("_run"))
+    split = texts.select(F.col(key).alias("_key"), F.split(F.lower(content), r"\s+").alias("_w"))
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - run + 1)), lambda i: F.xxhash64(F.slice("_w", i, run)))
+    runs = split.select("_key", F.explode(F.array_distinct(hashes)).alias("_run"))
+    met = runs.join(long.select(id_col, "_run"), "_run").select("_key", id_col).distinct()
+    low = texts.select(F.col(key).alias("_key"), F.lower(content).alias("_low"))
+    hit = met.join(low, "_key").join(long.select(id_col, "_item"), id_col).filter(F.contains("_low", "_item")).select(id_col)
+    short = asked.filter((F.size("_w") < run + 2) & F.col("_item").isNotNull()).select(id_col, "_item")
+    found = low.join(short, F.contains("_low", "_item")).select(id_col)
+    return items.join(hit.unionByName(found).distinct(), id_col, "left_anti")
 
 
 def rewired(edges: DataFrame, ids: DataFrame, existing: DataFrame) -> DataFrame:
@@ -98,13 +101,19 @@ def evolution_states(nodes: DataFrame, age_days: Column) -> DataFrame:
 def recent_before(accesses: DataFrame, hours: float, k: int) -> DataFrame:
     """event_id, source_id (its node), target_id: the k accesses of the same user before each access, within so many hours.
 
-    A window of the last accesses in order of time, so no join of a user's accesses with themselves.
+    Of each moment of a user the last k accesses count, and of all moments before one the last k that had any, so a window over moments
+    gives the answer whatever number of accesses share a time, without a join of a user's accesses with themselves.
     """
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    last = F.collect_list(F.struct("ts", "event_id", "node_id")).over(order.rowsBetween(-16 * k, -1))
-    near = F.filter("last", lambda x: (x["ts"] < F.col("ts")) & (F.timestamp_diff("MICROSECOND", x["ts"], F.col("ts")) <= int(hours * 3.6e9)))
-    best = F.slice(F.reverse(F.array_sort(near)), 1, k)
-    return accesses.withColumn("last", last).select("event_id", F.col("node_id").alias("source_id"), F.explode(best).alias("x")).select("event_id", "source_id", F.col("x.node_id").alias("target_id"))
+    one = F.struct("ts", "event_id", "node_id")
+    order = Window.partitionBy("user_id").orderBy("ts")
+    within = Window.partitionBy("user_id", "ts").orderBy(F.desc("event_id"))
+    few = accesses.withColumn("_r", F.row_number().over(within)).filter(F.col("_r") <= k)
+    moments = few.groupBy("user_id", "ts").agg(F.array_sort(F.collect_list(one)).alias("now"))
+    before = F.flatten(F.collect_list("now").over(order.rowsBetween(-k, -1)))
+    near = F.filter(before, lambda x: F.timestamp_diff("MICROSECOND", x["ts"], F.col("ts")) <= int(hours * 3.6e9))
+    best = moments.select("user_id", "ts", F.slice(F.reverse(near), 1, k).alias("best"))
+    met = accesses.join(best, ["user_id", "ts"])
+    return met.select("event_id", F.col("node_id").alias("source_id"), F.explode("best").alias("x")).select("event_id", "source_id", F.col("x.node_id").alias("target_id"))
 
 
 def recalibrated(nodes: DataFrame, age_days: Column, default: float = 0.7) -> DataFrame:

@@ -194,10 +194,10 @@ def q_error_count(m):
     return errors(m).agg(F.count_if(F.col("ts") > ago(2)).alias("n"), F.max("ts").alias("latest"))
 
 
-@query(f"SELECT count(*) * 2800 AS filled FROM conversations WHERE role = 'user' AND conv_id % 10 = 0")
+@query(f"SELECT conv_id, count(*) FILTER (WHERE role = 'user') * 2800 + sum(length(text))::BIGINT AS filled FROM conversations GROUP BY 1")
 def q_context_fill(m):
-    """Estimate of what the recalls of some conversations fill."""
-    return m.turns.filter("role = 'user' and conv_id % 10 = 0").agg((number() * 2800).alias("filled"))
+    """Estimate of what each conversation fills: its own words, and a recall for each question."""
+    return m.turns.groupBy("conv_id").agg((F.count_if(F.col("role") == "user") * 2800 + F.sum(F.length("text"))).alias("filled"))
 
 
 @query("SELECT event_type AS signal, value > 50 AS answer, count(*) AS n FROM events GROUP BY 1, 2")
@@ -370,11 +370,11 @@ def q_unevaluated(m):
     return both.filter("role = 'assistant' and r = 1 and next is null").select("conv_id", "turn")
 
 
-@query("WITH o AS (SELECT id, length(title) AS size, critical, row_number() OVER (ORDER BY critical DESC, access_count DESC, id) AS r FROM nodes WHERE NOT archived QUALIFY r <= 200), s AS (SELECT *, sum(size) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING)::BIGINT AS filled FROM o) SELECT id, filled FROM s WHERE critical OR filled <= 2000", "nodes")
+@query("WITH s AS (SELECT id, critical, sum(length(title)) OVER (ORDER BY critical DESC, access_count DESC, id ROWS UNBOUNDED PRECEDING)::BIGINT AS filled FROM nodes WHERE NOT archived) SELECT id, filled FROM s WHERE critical OR filled <= 2000", "nodes")
 def q_budgeted(m):
     """Titles in order of priority within a budget of characters; critical ones always."""
-    top = m.nodes.filter("not archived").orderBy(F.desc("critical"), F.desc("access_count"), "id").limit(200)
-    return insight.within_budget(top, [F.desc("critical"), F.desc("access_count"), "id"], F.length("title"), 2000, F.col("critical")).select("id", "filled")
+    live = m.nodes.filter("not archived").select("id", "critical", "access_count", F.length("title").alias("size"))
+    return insight.within_budget(live, [F.desc("critical"), F.desc("access_count"), F.col("id")], "size", 2000, F.col("critical")).select("id", "filled")
 
 
 @query(f"SELECT CASE WHEN contains(lower(title), 'license') THEN 2.0::DOUBLE WHEN contains(lower(title), 'token') THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS factor, count(*) AS n FROM nodes GROUP BY 1", "nodes")
@@ -399,17 +399,20 @@ def q_snapshot_diff(m):
     return half(F.col("ts") < cut, "was").join(half(F.col("ts") >= cut, "now"), "key", "full_outer").filter(~F.col("was").eqNullSafe(F.col("now")))
 
 
-@query("SELECT a.doc_id AS id, md5(a.text) <> md5(substring(a.text, 1, 2000)) AS changed FROM documents a")
+@query("SELECT id, md5(content) AS hash, lag(md5(content)) OVER v AS recorded, md5(content) IS DISTINCT FROM lag(md5(content)) OVER v AS changed FROM nodes WINDOW v AS (PARTITION BY title ORDER BY id)", "nodes")
 def q_inventory(m):
-    """Files whose hash differs from the one on record (of their first 2,000 characters)."""
-    h = lambda c: F.md5(c.cast("binary"))
-    return m.bare_nodes.select("id", (h(F.col("content")) != h(F.substring("content", 1, 2000))).alias("changed"))
+    """Each text as a version of the file that its title names: its hash, that on record from the version before, and whether it changed."""
+    before = F.lag("hash").over(Window.partitionBy("title").orderBy("id"))
+    hashed = m.bare_nodes.select("id", "title", F.md5(F.col("content").cast("binary")).alias("hash")).withColumn("recorded", before)
+    return hashed.select("id", "hash", "recorded", (~F.col("hash").eqNullSafe(F.col("recorded"))).alias("changed"))
 
 
-@query("SELECT id, type, n.title, quality, toxic FROM nodes n LEFT JOIN labels ON doc_id = n.id WHERE id = 42", "nodes")
+@query("SELECT id, type, n.title, quality, toxic, to_json({'label': label, 'asked': asked}) AS sidecar FROM (SELECT DISTINCT item_id AS id, item_id % 7 AS asked FROM benchmark) JOIN nodes n USING (id) LEFT JOIN labels ON doc_id = n.id LEFT JOIN vectors USING (id)", "nodes", "vectors")
 def q_lookup(m):
-    """One node with its sidecar."""
-    return m.bare_nodes.filter("id = 42").join(m.table("labels").withColumnRenamed("doc_id", "id"), "id", "left").select("id", "type", "title", "quality", "toxic")
+    """Nodes asked for by id, with their labels and a sidecar in JSON."""
+    asked = m.table("benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") % 7).alias("asked")).distinct()
+    found = asked.join(m.bare_nodes, "id").join(m.table("labels").withColumnRenamed("doc_id", "id"), "id", "left").join(m.vectors.select("id", "label"), "id", "left")
+    return found.select("id", "type", "title", "quality", "toxic", F.to_json(F.struct("label", "asked"), {"ignoreNullFields": "false"}).alias("sidecar"))
 
 
 @query(f"WITH x AS (SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS asked, array_to_string(list(role ORDER BY turn), ',') AS flow, max_by(text, turn) AS last FROM conversations GROUP BY 1) SELECT * FROM x")

@@ -11,7 +11,7 @@ from tessera.operators import graph, upkeep, vectors
 from tessera.plans.analytics import ERRORS, errors
 from tessera.plans.network import NOW, ago, edges, pairs
 from tessera.plans.registry import query, r6, whole
-from tessera.plans.retrieval import round_sql, tokens_sql
+from tessera.plans.retrieval import HYBRID, hybrid, round_sql, tokens_sql
 from tessera.sources.fixtures import Memory, asof
 
 AGE = f"(epoch_us({NOW}) - epoch_us(created_at)) / 8.64e10::DOUBLE"
@@ -66,15 +66,13 @@ def q_personal(m):
     return m.bare_nodes.filter("personal is not null and not archived").select("id", "personal", (F.col("locked") | (F.col("personal") == "fixed")).alias("locked"))
 
 
-@query(f"""WITH asked AS (SELECT conv_id, turn, list_distinct({tokens_sql('text')}) AS said FROM conversations WHERE role = 'user'),
-    ctx AS (SELECT id, list_distinct({tokens_sql('title')}) AS words FROM nodes WHERE personal = 'contextual' AND NOT archived AND critical),
-    met AS (SELECT conv_id, turn, id, len(list_intersect(said, words)) > 0 AS fits FROM asked, ctx) SELECT conv_id, turn, id, CASE WHEN fits THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS factor FROM met WHERE fits""", "nodes")
+@query(f"""WITH {HYBRID} SELECT query_id, id, mismatch, CASE WHEN mismatch THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS factor, {round_sql("coalesce(confidence, CASE WHEN locked THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END) * CASE WHEN mismatch THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END")} AS confidence
+    FROM best JOIN nodes USING (id) WHERE rank <= 20 AND personal = 'contextual'""", "nodes", "vectors", "edges")
 def q_context_fit(m):
-    """Contextual nodes whose context shares a word with a message: all others are damped to 0.7."""
-    words = lambda df, key, col: df.select(*key, F.explode(F.array_distinct(tokens(F.col(col)))).alias("w"))
-    said = words(m.turns.filter("role = 'user'"), ["conv_id", "turn"], "text")
-    context = words(m.bare_nodes.filter("personal = 'contextual' and not archived and critical"), ["id"], "title")
-    return said.join(context, "w").select("conv_id", "turn", "id").distinct().withColumn("factor", F.lit(1.0))
+    """Contextual nodes among the twenty best of each query: where the query has no word of their context, score and confidence are damped."""
+    found = hybrid(m, 20).select("query_id", "id", "mismatch").join(m.bare_nodes.filter("personal = 'contextual'").select("id", "confidence", "locked"), "id")
+    sure = F.coalesce("confidence", F.when(F.col("locked"), 1.0).otherwise(0.7)) * F.when(F.col("mismatch"), 0.6).otherwise(1.0)
+    return found.select("query_id", "id", "mismatch", F.when(F.col("mismatch"), 0.7).otherwise(1.0).alias("factor"), r6(sure, "confidence"))
 
 
 RISK = " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in upkeep.DESTRUCTIVE)
@@ -124,7 +122,7 @@ def q_backfill_queue(m):
 @query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(b.text)))")
 def q_uncharted(m):
     """Items that no document contains: candidates meet on a run of inner words, then the whole text is looked for."""
-    return upkeep.not_contained(m.table("benchmark"), "item_id", "text", m.bare_nodes, "content").select("item_id")
+    return upkeep.not_contained(m.table("benchmark"), "item_id", "text", m.bare_nodes, "id", "content").select("item_id")
 
 
 @query(f"""WITH {ERRORS}, fixed AS (SELECT DISTINCT user_id % 50 AS id FROM errors WHERE ts > {NOW} - INTERVAL 14 DAY)

@@ -65,8 +65,8 @@ class Memory:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        """Distinct nodes of each session (a user's day)."""
-        return self.accesses.select("user_id", "day", "node_id").distinct()
+        """Nodes of each session (a user's day), and how often they were used in it."""
+        return self.accesses.groupBy("user_id", "day", "node_id").agg(F.count(F.lit(1)).alias("uses"))
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -108,8 +108,8 @@ CTE = {
         CASE WHEN doc_id % 6 = 1 THEN TIMESTAMP '2024-02-01 00:00:00' - to_hours(CAST(doc_id % 700 AS INTEGER)) END AS validated_at,
         coalesce(access_count, 0) AS access_count, last_accessed
         FROM documents LEFT JOIN usage ON usage.id = doc_id)""",
-    "sessions": "sessions AS (SELECT DISTINCT user_id, day, node_id FROM accesses)",
-    "coaccess": """some_of AS (SELECT * FROM sessions QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY node_id) <= 15),
+    "sessions": "sessions AS (SELECT user_id, day, node_id, count(*) AS uses FROM accesses GROUP BY ALL)",
+    "coaccess": """some_of AS (SELECT * FROM sessions QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY uses DESC, node_id) <= 15),
         coaccess AS (SELECT a.node_id AS source_id, b.node_id AS target_id, count(*) AS n, least(1.0::DOUBLE, 0.3::DOUBLE + 0.02::DOUBLE * (count(*) - 1)) AS weight
         FROM some_of a JOIN some_of b ON a.user_id = b.user_id AND a.day = b.day AND a.node_id < b.node_id GROUP BY 1, 2)""",
     "edges": "edges AS (SELECT source_id, target_id, weight FROM coaccess UNION ALL SELECT target_id, source_id, weight FROM coaccess)",
