@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
 from tessera.functions import scoring
-from tessera.operators import activity, feedback, graph, insight
+from tessera.operators import activity, embedding, feedback, graph, insight, terms
 from tessera.plans.network import NOW, ago
 from tessera.plans.registry import query, r6, whole
-from tessera.plans.retrieval import CONFIDENT, NEAR, near, round_sql
+from tessera.plans.retrieval import CONFIDENT, COUNTS, IDF, NEAR, TF, TFIDF, near, round_sql, sentences_sql, tokens_sql
 from tessera.sources.fixtures import Memory
+from tessera.sources.shared import written
 
 ERRORS = "errors AS (SELECT event_id, user_id, ts, k % 10 AS pattern FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_type = 'error')"
 
@@ -280,37 +281,85 @@ def listed(words) -> str:
 
 
 OPENER = r"regexp_replace(split_part(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ', 1), '[,.:;!?—–-]', '', 'g')"
-SIGNALS = f"""replied AS (SELECT *, CASE WHEN lag(role) OVER w = 'assistant' THEN len(list_filter(regexp_split_to_array(lag(text) OVER w, '\\s+'), lambda x: x <> '')) END AS resp_words FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-    said AS (SELECT conv_id, turn, text, resp_words, {', '.join(f'{found_sql(p)} AS {n}' for n, p in K.FEEDBACK.items())},
+SIGNALS = f"""said AS (SELECT conv_id, turn, text, {', '.join(f'{found_sql(p)} AS {n}' for n, p in K.FEEDBACK.items())},
     CASE WHEN {OPENER} IN {listed(K.OPENS_POSITIVE)} THEN 'positive' WHEN {OPENER} IN {listed(K.OPENS_NEGATIVE)} THEN 'negative' WHEN {OPENER} IN {listed(K.OPENS_TRANSITION)} THEN 'transition' ELSE 'none' END AS opens
-    FROM replied WHERE role = 'user')"""
+    FROM conversations WHERE role = 'user')"""
 
 
 def followups(m: Memory):
-    """User messages with the number of words of the response before them."""
-    before = Window.partitionBy("conv_id").orderBy("turn")
-    words = F.size(F.filter(F.split(F.lag("text").over(before), r"\s+"), lambda w: w != "")).cast("long")
-    turns = m.turns.withColumn("resp_words", F.when(F.lag("role").over(before) == "assistant", words))
-    return feedback.signals(turns.filter("role = 'user'").select("conv_id", "turn", "text", "resp_words"))
+    return feedback.signals(m.turns.filter("role = 'user'").select("conv_id", "turn", "text"))
 
 
-@query(f"WITH {SIGNALS} SELECT * EXCLUDE (text, resp_words) FROM said")
+@query(f"WITH {SIGNALS} SELECT * EXCLUDE (text) FROM said")
 def q_followup_signals(m):
-    return followups(m).drop("text", "resp_words")
-
-
-@query(f"""WITH {SIGNALS}, said2 AS (SELECT *, affirm_strong + affirm_moderate + affirm_building + extension > 0 OR opens = 'positive' AS liked, redirect_strong + redirect_mild + complaint > 0 OR opens = 'negative' AS disliked FROM said),
+    return followups(m).drop("text")
+
+
+SIGN = " , ".join(f"1.0::DOUBLE - 2 * (((strpos('0123456789abcdef', substr(digest, {i // 4 + 1}, 1)) - 1) >> {i % 4}) & 1)" for i in range(embedding.DIMS))
+LONG_SENTENCES = f"list_filter(coalesce({sentences_sql('{0}')}, []), lambda s: length(trim(s)) > {embedding.SENTENCE})"
+
+
+def embedded_sql(rows: str, name: str) -> str:
+    """name (id, v): hashed TF-IDF of the texts in rows (id, text), under the frequencies in idf."""
+    return f"""{name}_c AS (SELECT id, term, count(*) AS c FROM (SELECT id, unnest({tokens_sql('text')}) AS term FROM {rows}) GROUP BY 1, 2),
+    {name}_w AS (SELECT id, term, (0.5::DOUBLE + 0.5::DOUBLE * c / max(c) OVER (PARTITION BY id)) * (ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (coalesce(df, 0) + 1.0::DOUBLE)) + 1) AS w FROM {name}_c LEFT JOIN idf USING (term)),
+    {name}_s AS (SELECT term, [{SIGN}] AS s FROM (SELECT DISTINCT term, md5(term || ':0') AS digest FROM {name}_w)),
+    {name}_x AS (SELECT id, list(x ORDER BY i) AS x FROM (SELECT id, i, sum(w * s[i]) AS x FROM {name}_w JOIN {name}_s USING (term), range(1, {embedding.DIMS + 1}) r(i) GROUP BY 1, 2) GROUP BY 1),
+    {name} AS (SELECT id, list_transform(x, lambda v: v / sqrt(list_inner_product(x, x))) AS v FROM {name}_x WHERE list_inner_product(x, x) > 0)"""
+
+
+MEASURED = f"""{COUNTS}, {TF}, {IDF}, turned AS (SELECT conv_id, turn, text, role, lead(role, 1) OVER w AS r1, lead(text, 1) OVER w AS response, lead(role, 2) OVER w AS r2, lead(text, 2) OVER w AS followup, lead(turn, 2) OVER w AS fup_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    asking AS (SELECT conv_id * 100000 + turn AS key, conv_id, turn, fup_turn, text, response, followup FROM turned WHERE role = 'user' AND r1 = 'assistant' AND r2 = 'user'),
+    asked AS (SELECT DISTINCT key AS query_id, unnest({tokens_sql('text')}) AS term FROM asking), {TFIDF},
+    recalled AS (SELECT query_id AS key, id AS node, substring(d.text, 1, 200) AS text FROM (SELECT * FROM tfidf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 3) JOIN documents d ON doc_id = id),
+    memory AS (SELECT key, string_agg(text, ' ' ORDER BY node) AS text, sum(length(text)) AS size FROM recalled GROUP BY 1),
+    parts AS (SELECT key, 'response' AS kind, 0 AS spot, response AS text FROM asking UNION ALL SELECT key, 'followup', 0, followup FROM asking UNION ALL SELECT key, 'memory', 0, text FROM memory UNION ALL SELECT key, 'node', node, text FROM recalled
+        UNION ALL SELECT key, 'resp_on', unnest(range(len(s))), unnest(s) FROM (SELECT key, {LONG_SENTENCES.format('response')} AS s FROM asking) UNION ALL SELECT key, 'fup_on', unnest(range(len(s))), unnest(s) FROM (SELECT key, {LONG_SENTENCES.format('followup')} AS s FROM asking)),
+    named AS (SELECT {{'key': key, 'kind': kind, 'spot': spot}} AS id, text FROM parts), {embedded_sql('named', 'made')},
+    vectored AS (SELECT id.key AS key, id.kind AS kind, id.spot AS spot, v FROM made),
+    largest AS (SELECT a.key, max(list_inner_product(a.v, b.v)) FILTER (WHERE a.kind = 'response') AS resp_sim, max(list_inner_product(a.v, b.v)) FILTER (WHERE a.kind = 'followup') AS fup_sim FROM vectored a JOIN vectored b ON a.key = b.key AND b.kind = 'node' WHERE a.kind IN ('response', 'followup') GROUP BY 1),
+    topical AS (SELECT a.key, count(*) FILTER (WHERE a.kind = 'resp_on') AS resp_on, count(*) FILTER (WHERE a.kind = 'fup_on') AS fup_on FROM vectored a JOIN vectored b ON a.key = b.key AND b.kind = 'memory' WHERE a.kind IN ('resp_on', 'fup_on') AND list_inner_product(a.v, b.v) > {embedding.ON_TOPIC}::DOUBLE GROUP BY 1),
+    measured AS (SELECT key, conv_id, turn, fup_turn, len(list_filter(regexp_split_to_array(response, '\\s+'), lambda x: x <> '')) AS resp_words, length(response) / greatest(coalesce(size, 0), 1)::DOUBLE AS depth_ratio, coalesce(resp_sim, 0) AS resp_sim, coalesce(fup_sim, 0) AS fup_sim,
+        coalesce(resp_on, 0) / greatest(len({LONG_SENTENCES.format('response')}), 1)::DOUBLE AS resp_on_topic, coalesce(fup_on, 0) / greatest(len({LONG_SENTENCES.format('followup')}), 1)::DOUBLE AS fup_on_topic, len({LONG_SENTENCES.format('followup')}) AS fup_sentences
+        FROM asking LEFT JOIN largest USING (key) LEFT JOIN topical USING (key) LEFT JOIN memory USING (key))"""
+
+
+def measured(m: Memory):
+    """key, conv_id, fup_turn and the measures of each response between two messages of a user, against what the first message recalls: the three best texts by TF-IDF."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    lead = lambda c, k: F.lead(c, k).over(order)
+    turned = m.turns.select("conv_id", "turn", "text", "role", lead("role", 1).alias("r1"), lead("text", 1).alias("response"), lead("role", 2).alias("r2"), lead("text", 2).alias("followup"), lead("turn", 2).alias("fup_turn"))
+    asking = written(turned.filter("role = 'user' and r1 = 'assistant' and r2 = 'user'").withColumn("key", F.col("conv_id") * 100000 + F.col("turn")), "asking")
+    own, n, index = terms.query_terms(asking.select(F.col("key").alias("query_id"), "text")), m.table("documents").count(), written(m.index, "index")
+    best = terms.ranked(terms.batch_scores(own, index, n), 3).select(F.col("query_id").alias("key"), F.col("id").alias("node"))
+    recalled = written(best.join(m.bare_nodes.select(F.col("id").alias("node"), F.substring("content", 1, 200).alias("text")), "node"), "recalled")
+    return embedding.measures(asking.select("key", "response", "followup"), recalled, terms.document_frequency(index), n).join(asking.select("key", "conv_id", "turn", "fup_turn"), "key")
+
+
+@query(f"WITH {MEASURED} SELECT conv_id, turn, resp_words, {', '.join(f'{round_sql(x)} AS {x}' for x in ('depth_ratio', 'resp_sim', 'fup_sim', 'resp_on_topic', 'fup_on_topic'))}, fup_sentences FROM measured")
+def q_response_measures(m):
+    """How deep, how like and how much on topic each response and its follow-up are, against what was recalled."""
+    return measured(m).select("conv_id", "turn", "resp_words", *map(r6, ("depth_ratio", "resp_sim", "fup_sim", "resp_on_topic", "fup_on_topic")), "fup_sentences")
+
+
+@query(f"""WITH {MEASURED}, {SIGNALS}, said2 AS (SELECT s.*, m.* EXCLUDE (conv_id, turn), fup_sim - resp_sim AS change, affirm_strong + affirm_moderate + affirm_building + extension > 0 OR opens = 'positive' AS liked, redirect_strong + redirect_mild + complaint > 0 OR opens = 'negative' AS disliked
+        FROM said s LEFT JOIN measured m ON s.conv_id = m.conv_id AND s.turn = m.fup_turn),
     sums AS (SELECT conv_id, turn,
-        [0.25::DOUBLE * (affirm_strong > 0)::INT, 0.1::DOUBLE * (affirm_moderate > 0)::INT, 0.15::DOUBLE * (affirm_building > 0)::INT, 0.2::DOUBLE * (extension > 0)::INT, 0.12::DOUBLE * (opens = 'positive')::INT] AS pos,
+        [0.25::DOUBLE * (affirm_strong > 0)::INT, 0.1::DOUBLE * (affirm_moderate > 0)::INT, 0.15::DOUBLE * (affirm_building > 0)::INT, 0.2::DOUBLE * (extension > 0)::INT, 0.12::DOUBLE * (opens = 'positive')::INT,
+         0.15::DOUBLE * coalesce(depth_ratio > 0.3, false)::INT, 0.08::DOUBLE * coalesce(resp_sim > 0.65, false)::INT, 0.08::DOUBLE * coalesce(change > 0.05, false)::INT, 0.06::DOUBLE * coalesce(resp_on_topic > 0.6, false)::INT] AS pos,
         [0.3::DOUBLE * (redirect_strong > 0)::INT, 0.12::DOUBLE * (redirect_mild > 0 AND redirect_strong = 0)::INT, 0.25::DOUBLE * (complaint > 0)::INT, 0.12::DOUBLE * (opens = 'negative')::INT,
-         0.1::DOUBLE * (opens = 'transition' AND redirect_strong + redirect_mild > 0)::INT, 0.08::DOUBLE * (NOT liked AND NOT disliked)::INT, 0.3::DOUBLE * coalesce(resp_words < 5, false)::INT] AS neg,
+         0.1::DOUBLE * (opens = 'transition' AND redirect_strong + redirect_mild > 0)::INT, 0.08::DOUBLE * (NOT liked AND NOT disliked)::INT, 0.3::DOUBLE * coalesce(resp_words < 5, false)::INT, 0.25::DOUBLE * coalesce(depth_ratio < 0.05, false)::INT,
+         0.08::DOUBLE * coalesce(depth_ratio >= 0.05 AND depth_ratio < 0.15, false)::INT, 0.1::DOUBLE * coalesce(resp_sim < 0.4 AND resp_sim > 0, false)::INT, 0.12::DOUBLE * coalesce(change < -0.2, false)::INT, 0.06::DOUBLE * coalesce(resp_on_topic = 0 AND resp_words > 10, false)::INT,
+         0.15::DOUBLE * coalesce(resp_sim > 0.5 AND fup_sim < 0.4 AND change < -0.1, false)::INT, 0.1::DOUBLE * coalesce(fup_sentences > 3 AND fup_on_topic < 0.3, false)::INT] AS neg,
         [0.05::DOUBLE * (opens = 'transition')::INT, 0.25::DOUBLE * (opens = 'transition' AND affirm_building + extension + affirm_strong = 0 AND NOT contains(text, '?'))::INT] AS unc FROM said2),
     t AS (SELECT conv_id, turn, list_sum(pos) AS pos, list_sum(neg) AS neg, list_sum(unc) AS unc, len(list_filter(pos || neg || unc, lambda x: x > 0)) AS n FROM sums),
     e AS (SELECT *, (pos - neg) / (pos + neg + unc + 0.01::DOUBLE) AS evidence, least(1.0::DOUBLE, abs(pos - neg) / (pos + neg + 0.01::DOUBLE) * least(n / 3.0::DOUBLE, 1.0::DOUBLE)) AS confidence FROM t)
     SELECT conv_id, turn, {round_sql('evidence')} AS evidence, {round_sql('confidence')} AS confidence, {round_sql('CASE WHEN confidence >= 0.15::DOUBLE THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, (evidence + 1) / 2)) END')} AS precision,
     CASE WHEN confidence < 0.15::DOUBLE THEN 'ask_operator' WHEN evidence > 0.1::DOUBLE THEN 'positive' WHEN evidence < -0.1::DOUBLE THEN 'negative' ELSE 'neutral' END AS label FROM e""")
 def q_evidence(m):
-    return feedback.evidence(followups(m)).select("conv_id", "turn", r6("evidence"), r6("confidence"), r6("precision"), "label")
+    """What each follow-up says of the response before it, by all families of signals and measures."""
+    about = measured(m).drop("key", "turn").withColumnRenamed("fup_turn", "turn")
+    return feedback.evidence(followups(m).join(about, ["conv_id", "turn"], "left")).select("conv_id", "turn", r6("evidence"), r6("confidence"), r6("precision"), "label")
 
 
 @query("""WITH x AS (SELECT conv_id, turn, role, min(CASE WHEN role = 'assistant' THEN turn END) OVER w AS a, min(CASE WHEN role = 'user' THEN turn END) OVER w AS u FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),

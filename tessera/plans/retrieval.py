@@ -19,6 +19,12 @@ def tokens_sql(x: str) -> str:
     return f"""list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace(regexp_replace({x}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9\\s.-]', ' ', 'g'), '[\\s.-]+'), lambda w: length(w) > 2 AND NOT list_contains({STOP}, w))"""
 
 
+def sentences_sql(x: str) -> str:
+    """As text.sentences, with a mark at each end of a sentence instead of looks around it."""
+    kept = f"regexp_replace({x}, '\\b(Mr|Mrs|Ms|Dr|Prof|St|vs|etc|e\\.g|i\\.e|No|Fig)\\.', '\\1' || chr(1), 'g')"
+    return f"""list_filter(list_transform(string_split(regexp_replace({kept}, '([.!?])\\s+([A-Z0-9"''(])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda s: trim(translate(s, chr(1), '.'))), lambda s: length(s) > 0)"""
+
+
 COUNTS = f"counts AS (SELECT id, term, count(*) AS c FROM (SELECT doc_id AS id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY 1, 2)"
 TF = "tf AS (SELECT id, term, 0.5::DOUBLE + 0.5::DOUBLE * c / max(c) OVER (PARTITION BY id) AS tf FROM counts)"
 IDF = "idf AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1 AS idf FROM counts GROUP BY 1)"
@@ -385,6 +391,6 @@ def q_identifiers(m):
     return m.bare_nodes.select("id", F.explode(text.domain_terms(F.col("content"))).alias("name")).select("id", "name", text.identifier_parts(F.col("name")).alias("parts"))
 
 
-@query()
+@query(f"SELECT doc_id AS id, unnest(range(len(s)))::INTEGER AS position, unnest(s) AS sentence FROM (SELECT doc_id, {sentences_sql('text')} AS s FROM documents)")
 def q_sentences(m):
     return m.bare_nodes.select("id", F.posexplode(text.sentences(F.col("content"))).alias("position", "sentence"))
