@@ -16,7 +16,7 @@ def test_inner_products_are_those_of_tfidf(spark):
     rng = np.random.default_rng(1)
     words = [f"word{i}" for i in range(60)]
     texts = [" ".join(rng.choice(words, 30)) for _ in range(12)] + ["", None, "of the"]
-    got = vectors_of(spark, texts, 2048)
+    got = vectors_of(spark, texts, 256)
     assert set(got) == set(range(12)) and all(abs(np.linalg.norm(v) - 1) < 1e-9 for v in got.values())
     weight = np.log(101) + 1
     plain = []
@@ -25,11 +25,11 @@ def test_inner_products_are_those_of_tfidf(spark):
         v = np.array([(0.5 + 0.5 * c[w] / max(c.values())) * weight if w in c else 0.0 for w in words])
         plain.append(v / np.linalg.norm(v))
     error = [abs(got[i] @ got[j] - plain[i] @ plain[j]) for i in range(12) for j in range(i)]
-    assert max(error) < 0.1 and np.mean(error) < 0.03
+    assert max(error) < 0.25 and np.mean(error) < 0.08
 
 
 def test_rare_terms_weigh_more(spark):
-    v = vectors_of(spark, ["common worktree", "common", "worktree"], 1024)
+    v = vectors_of(spark, ["common worktree", "common", "worktree"], 256)
     assert v[0] @ v[2] > v[0] @ v[1] > 0
 
 
@@ -42,14 +42,15 @@ def test_measures_and_all_families(spark):
         (2, f"{long}.", "Penguins swim across antarctic waters. Volcanoes erupt beneath glaciers today. Bakeries sell croissants every morning. Violins accompany operas throughout Europe."),  # parroted, then off topic and sprawling
         (3, "Penguins swim across antarctic waters while volcanoes erupt beneath glaciers and bakeries sell croissants", long),  # unlike and off topic, then rising
         (4, None, ""), (7, long, long),  # nothing said; nothing recalled
+        (5, "Penguins worktree antarctic volcanoes glaciers bakeries croissants violins locks", None),  # hardly like
     ], "key long, response string, followup string")
     frequencies = spark.createDataFrame([], "term string, df long")
-    rows = {r.key: r for r in embedding.measures(asked, recalled, frequencies, 100, 1024).collect()}
+    rows = {r.key: r for r in embedding.measures(asked, recalled, frequencies, 100, 256).collect()}
     assert rows[0].resp_sim > 0.9 and rows[0].resp_on_topic == 1.0 and rows[0].depth_ratio > 0.3 and rows[0].fup_sim > 0.8
     assert rows[1].resp_words == 1 and rows[1].depth_ratio < 0.05 and rows[4].resp_words == 0 == rows[4].resp_sim
     assert rows[2].fup_sentences == 4 and rows[2].fup_on_topic == 0 and rows[2].fup_sim < 0.4 and rows[3].resp_on_topic == 0
     assert rows[7].resp_sim == rows[7].resp_on_topic == 0 and rows[7].depth_ratio == len(long)
-    marked = feedback.signals(embedding.measures(asked, recalled, frequencies, 100, 1024).withColumn("text", F.lit("hm")))
+    marked = feedback.signals(embedding.measures(asked, recalled, frequencies, 100, 256).withColumn("text", F.lit("hm")))
     flags = marked.select("key", *[v.alias(k) for k, v in feedback._measured(marked.columns).items()]).collect()
     on = {k for r in flags for k, v in r.asDict().items() if k != "key" and v}
     assert on >= {"deep_response", "like_response", "rising", "on_topic", "empty_response", "short_response", "unlike_response", "falling", "off_topic", "parroting", "sprawl"}
