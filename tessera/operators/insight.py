@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring
+from tessera.functions.text import is_term
 from tessera.sources.shared import written
 
 
@@ -81,10 +82,20 @@ def templated(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("title", F.concat(kind, F.lit(": "), F.col("title"))).withColumn("content", content)
 
 
+# What keywords are made of before words: proper nouns, camel case, snake case, dotted names; numbers with units.
+NAMES = (r"[A-Z][a-zA-Z0-9]+(?:[._-][a-zA-Z0-9]+)*", r"[a-z]+[A-Z][a-zA-Z0-9]*", r"[a-z][a-z0-9]*_[a-z0-9_]+", r"[a-z]+(?:\.[a-z]+)+")
+NUMBERS = r"(?i)\$?\d+(?:\.\d+)?%?(?:px|ms|s|d|kb|mb|gb)?"
+
+
 def keywords(text: Column, most: int = 50) -> Column:
-    """Snake-case and dotted terms, and numbers with units, in lower case and order."""
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (r"[a-z][a-z0-9]*_[a-z0-9_]+", r"[a-z]+(?:\.[a-z]+)+", r"\$?\d+(?:\.\d+)?%?(?:px|ms|kb|mb|gb|s|d)?")]
-    return F.slice(F.array_sort(F.array_distinct(F.transform(F.concat(*found), F.lower))), 1, most)
+    """Names, then numbers with units, then words, each kind in order of its first place in the text, in lower case and with a form without signs; so many at most."""
+    forms = lambda x: F.flatten(F.transform(x, lambda w: F.array(w, F.regexp_replace(w, "[^a-z0-9]", ""))))
+    terms = lambda x: F.filter(x, is_term)
+    names = terms(F.transform(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in NAMES)), F.lower))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)), F.lower)
+    words = terms(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s./-]", " "), r"\s+"))
+    long = lambda x: F.filter(forms(x), lambda w: F.length(w) > 2)
+    return F.slice(F.array_distinct(F.concat(long(names), numbers, long(words))), 1, most)
 
 
 def running(rows: DataFrame, order: list[Column], size: str, name: str = "filled") -> DataFrame:

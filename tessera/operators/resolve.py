@@ -76,6 +76,18 @@ def merged(nodes: DataFrame, threshold: float, *order: Column) -> DataFrame:
     return to.filter("id <> kept").select(F.col("id").alias("dropped"), "kept")
 
 
+def greedy_clusters(sample: DataFrame, threshold: float, at_least: int) -> DataFrame:
+    """group, cluster, id of vectors (group, id, embedding): in order of id the first free node of a group takes all free ones over the threshold; clusters of at_least nodes.
+
+    A node that is taken gives way to the first survivor that it is like, so clusters are what a fold over survivors leaves, and no group is folded in one task.
+    """
+    pairs = vectors.similar_pairs(sample, threshold, "group")
+    taken = survivors(pairs.select(F.col("a_id").alias("earlier"), F.col("b_id").alias("later"), F.col("a_id").alias("earlier_rank"), F.col("b_id").alias("later_rank")))
+    placed = sample.select("group", "id").join(taken, F.col("id") == F.col("dropped"), "left").select("group", F.coalesce("kept", "id").alias("cluster"), "id")
+    large = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= at_least).select("cluster")
+    return placed.join(large, "cluster", "left_semi").select("group", "cluster", "id")
+
+
 def merged_nodes(nodes: DataFrame, ids: DataFrame, summed: list[str], latest: list[str], filled: dict[str, Column]) -> DataFrame:
     """Survivors of a merge (ids: dropped, kept) with what they took over: members, sums, latest values, and of each filled column the survivor's own value or the first of its members', in this order."""
     placed = nodes.join(ids, nodes.id == ids.dropped, "left").withColumn("kept", F.coalesce("kept", "id"))

@@ -19,9 +19,14 @@ def term_frequency(counts: DataFrame) -> DataFrame:
     return counts.withColumn("tf", 0.5 + 0.5 * F.col("c") / top).select("id", "term", "c", "tf")
 
 
-def postings(nodes: DataFrame, text: Column, wanted: DataFrame) -> DataFrame:
-    """id, term, c, tf of the wanted terms (term) alone; what is wanted is the small side."""
-    return term_frequency(term_counts(nodes, text)).join(wanted, "term", "left_semi")
+def indexed(nodes: DataFrame, text: Column) -> DataFrame:
+    """id, term, c, tf. Texts are dealt out by id once, after which counts and frequencies of a text need no exchange, and tokenising is spread however the texts lie in files."""
+    return term_frequency(term_counts(nodes.select("id", text.alias("_text")).repartition("id"), F.col("_text")))
+
+
+def postings(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The index (id, term, c, tf) of the wanted terms (term) alone; what is wanted is the small side."""
+    return index.join(wanted, "term", "left_semi")
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:

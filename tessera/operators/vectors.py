@@ -147,28 +147,6 @@ def centroids(vectors: DataFrame, group: str) -> DataFrame:
     return parts.groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.count(F.lit(1)).alias("size"))
 
 
-def greedy_clusters(sample: DataFrame, threshold: float, at_least: int) -> DataFrame:
-    """group, cluster, id of vectors (group, id, embedding): in order of id the first free node of a group takes all free ones over the threshold.
-
-    Order matters, so each group is folded in one task; groups are dealt out, and the caller bounds the size of one.
-    """
-
-    def fold(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
-        ids, v = t.column("id").to_pylist(), np.array(t.column("embedding").to_pylist(), np.float64)
-        free, out = np.ones(len(ids), bool), []
-        for i in range(len(ids)):
-            if free[i]:
-                members = np.flatnonzero(free & ((v @ v[i]) > threshold))
-                members = np.union1d(members, [i])
-                free[members] = False
-                if len(members) >= at_least:
-                    out += [(t.column("group")[0].as_py(), ids[i], ids[j]) for j in members]
-        return pa.table({"group": pa.array([o[0] for o in out], pa.string()), "cluster": pa.array([o[1] for o in out], pa.int64()), "id": pa.array([o[2] for o in out], pa.int64())})
-
-    return sample.select("group", "id", "embedding").groupBy("group").applyInArrow(fold, "group string, cluster long, id long")
-
-
 def segments(stream: DataFrame, threshold: float = 0.74) -> DataFrame:
     """session, position, segment: a new segment where a vector is less similar than threshold to the mean of the last two of its segment.
 

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tessera.functions import constants as K
 from tessera.functions import scoring
 from tessera.functions import text as T
-from tessera.operators import graph, insight, terms
+from tessera.operators import graph, insight, terms, tunables
 from tessera.plans.analytics import ERRORS, RANKED, errors, quality
 from tessera.plans.network import NOW, ago, edges, pairs, seeds, spread_sql
 from tessera.plans.registry import query, r6, whole
-from tessera.plans.retrieval import ASKED, COUNTS, IDF, MATCH, NEAR, STOP, asked, counts_of, matched, near, round_sql, tokens_sql
+from tessera.plans.retrieval import ASKED, COUNTS, FREQUENCY, MATCH, NEAR, STOP, asked, counts_of, matched, near, round_sql, tokens_sql
 from tessera.plans.upkeep import AGE, age_days, first, number
-from tessera.sources.fixtures import asof
+from tessera.sources.fixtures import Memory, asof
 
 
 def listed(*values) -> str:
@@ -323,12 +323,44 @@ def q_templates(m):
     return insight.templated(m.bare_nodes.filter("not archived")).select("id", "title", "content")
 
 
-@query(r"""SELECT doc_id AS id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[a-z][a-z0-9]*_[a-z0-9_]+') || regexp_extract_all(text, '[a-z]+(?:\.[a-z]+)+') || regexp_extract_all(text, '\$?\d+(?:\.\d+)?%?(?:px|ms|kb|mb|gb|s|d)?'), lambda x: lower(x))))[1:50] AS keywords FROM documents""")
+NAMES_SQL = " || ".join(f"regexp_extract_all(text, '{p}')" for p in insight.NAMES)
+KEYWORDS = f"""named AS (SELECT doc_id AS id, list_transform({NAMES_SQL}, lambda x: lower(x)) AS names, list_transform(regexp_extract_all(text, '{insight.NUMBERS}'), lambda x: lower(x)) AS numbers, regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s./-]', ' ', 'g'), '\\s+') AS words FROM documents),
+    placed AS (SELECT id, 0 AS kind, unnest(names) AS w, generate_subscripts(names, 1) AS spot FROM named UNION ALL SELECT id, 2, unnest(words), generate_subscripts(words, 1) FROM named),
+    formed AS (SELECT id, kind, spot, unnest([w, regexp_replace(w, '[^a-z0-9]', '', 'g')]) AS w, unnest([0, 1]) AS form FROM placed WHERE length(w) > 2 AND NOT list_contains({STOP}, w)),
+    every AS (SELECT id, w, min((kind, spot, form)) AS first FROM (SELECT * FROM formed WHERE length(w) > 2 UNION ALL SELECT id, 1, generate_subscripts(numbers, 1), unnest(numbers), 0 FROM named) GROUP BY 1, 2),
+    few AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY id ORDER BY first) <= 50)"""
+
+
+@query(f"WITH {KEYWORDS} SELECT doc_id AS id, coalesce(k, []) AS keywords FROM documents LEFT JOIN (SELECT id, list(w ORDER BY first) AS k FROM few GROUP BY 1) ON doc_id = id")
 def q_keywords(m):
-    """Numbers with units, snake-case and dotted terms of each text, in order, fifty at most."""
+    """Names, numbers with units and words of each text, in order, fifty at most."""
     return m.bare_nodes.select("id", insight.keywords(F.col("content")).alias("keywords"))
 
 
+TUNED = "tuning AS (SELECT event_type AS key, value / 100 AS value, ts AS moment, event_id AS seq FROM events WHERE event_type IN ('click', 'view'))"
+
+
+def tuning(m: Memory):
+    """Clicks and views as changes of two weights."""
+    return m.table("events").filter("event_type in ('click', 'view')").select(F.col("event_type").alias("key"), (F.col("value") / 100).alias("value"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+
+
+@query(f"WITH {TUNED} SELECT key, lag(value) OVER (PARTITION BY key ORDER BY moment, seq) AS old, value AS new, moment AS at FROM tuning")
+def q_tuning_audit(m):
+    """Every change of a tunable with what it replaced."""
+    return tunables.audit(tuning(m))
+
+
+@query(f"""WITH {TUNED}, last AS (SELECT key, moment, max_by(value, seq) AS value FROM tuning GROUP BY 1, 2), timed AS (SELECT id, access_count, coalesce(last_accessed, TIMESTAMP '2024-01-02') AS moment FROM nodes)
+    SELECT t.id, coalesce(c.value, 0.9::DOUBLE) AS click, coalesce(v.value, 0.1::DOUBLE) AS view, {round_sql("coalesce(c.value, 0.9::DOUBLE) * 0.5::DOUBLE + coalesce(v.value, 0.1::DOUBLE) * (" + FREQUENCY + ")")} AS score
+    FROM timed t ASOF LEFT JOIN (SELECT * FROM last WHERE key = 'click') c ON t.moment >= c.moment ASOF LEFT JOIN (SELECT * FROM last WHERE key = 'view') v ON t.moment >= v.moment""", "nodes")
+def q_tuned_scores(m):
+    """A blend of each node under the weights in force when it was last used."""
+    timed = m.nodes.select("id", "access_count", F.coalesce("last_accessed", F.expr("timestamp_ntz'2024-01-02 00:00:00'")).alias("moment"))
+    held = tunables.as_of(timed, "moment", tuning(m), {"click": 0.9, "view": 0.1})
+    return held.select("id", "click", "view", r6(F.col("click") * 0.5 + F.col("view") * scoring.frequency(F.col("access_count")), "score"))
+
+
 @query(f"SELECT id, to_json({{'type': type, 'locked': locked}}) AS doc, created_at + INTERVAL 90 MINUTE AS matures FROM nodes WHERE critical", "nodes")
 def q_minutes_json(m):
     doc = F.to_json(F.struct("type", "locked"))

@@ -288,10 +288,22 @@ def q_centroids(m):
     return vectors.centroids(m.vectors, "label").select("label", "pos", r6("mean"), "size")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, turns AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM mined),
+    likes AS (SELECT y.k AS later, x.k AS earlier FROM mates JOIN turns x ON a_id = x.id JOIN turns y ON b_id = y.id WHERE similarity > 0.1 AND a_project = b_project), {fold_sql("turns", "likes")},
+    taken AS (SELECT later AS k, min(earlier) AS cluster FROM likes WHERE later NOT IN (SELECT k FROM alive) AND earlier IN (SELECT k FROM alive) GROUP BY 1),
+    placed AS (SELECT project AS "group", c.id AS cluster, m.id FROM mined m JOIN turns t USING (id) LEFT JOIN taken USING (k) JOIN turns c ON c.k = coalesce(taken.cluster, t.k))
+    SELECT * FROM placed WHERE cluster IN (SELECT cluster FROM placed GROUP BY 1 HAVING count(*) >= 2)""", "nodes", "vectors")
 def q_greedy_clusters(m):
     """Clusters of each project's locked nodes (threshold as the fixture's vectors need)."""
-    return vectors.greedy_clusters(mined(m).withColumnRenamed("project", "group"), 0.1, 2)
+    return resolve.greedy_clusters(mined(m).withColumnRenamed("project", "group"), 0.1, 2)
+
+
+@query(f"""SELECT n.id, {round_sql('sum(weight)')} AS total_weight, count(*) AS edges, CASE WHEN locked THEN stability ELSE greatest(stability, 3.0::DOUBLE) END AS stability FROM edges JOIN nodes n ON source_id = n.id WHERE weight > 0.3::DOUBLE GROUP BY n.id, locked, stability HAVING count(*) >= 5""", "nodes", "edges")
+def q_well_connected(m):
+    """Nodes with five or more edges over 0.3, and the stability that these give them."""
+    of = graph.degrees(edges(m).filter(F.col("weight") > 0.3)).filter("degree >= 5")
+    stable = F.when(F.col("locked"), F.col("stability")).otherwise(F.greatest("stability", F.lit(3.0)))
+    return of.join(m.bare_nodes.select("id", "locked", "stability"), "id").select("id", r6("total_weight"), F.col("degree").alias("edges"), stable.alias("stability"))
 
 
 @query()

@@ -67,7 +67,7 @@ def asked(m: Memory):
 def matched(m: Memory):
     """query_id, id, match, score of the batch."""
     own = written(terms.query_terms(asked(m)), "terms")
-    return terms.batch_scores(own, written(terms.postings(m.bare_nodes, F.col("content"), own.select("term").distinct()), "postings"), m.table("documents").count())
+    return terms.batch_scores(own, terms.postings(m.index, own.select("term").distinct()), m.table("documents").count())
 
 
 def near(m: Memory, k: int):
@@ -258,8 +258,7 @@ def questions(m: Memory):
 def vocabulary_of(m: Memory):
     """The admitted entries."""
     entries = m.entries
-    words = entries.select("term").distinct()
-    return vocabulary.admitted(entries, terms.document_frequency(terms.postings(m.bare_nodes, F.col("content"), words)), m.table("documents").count())
+    return vocabulary.admitted(entries, terms.document_frequency(terms.postings(m.index, entries.select("term").distinct())), m.table("documents").count())
 
 
 @query(f"WITH {COUNTS}, {IDF}, {RECALLED}, {VOCABULARY}, {LOOKED_UP} SELECT query_id, term, meanings FROM lookups")
@@ -304,7 +303,7 @@ def q_temporal_phrases(m):
 
 def keyword_scores(m: Memory):
     links = graph.undirected(graph.co_access(m.sessions))
-    return recall.keyword_scores(questions(m), m.nodes, m.bare_nodes.select("id", "content"), links, vocabulary_of(m), asof(), HUB)
+    return recall.keyword_scores(questions(m), m.nodes, m.index, links, vocabulary_of(m), asof(), HUB)
 
 
 @query(f"""WITH {KEYWORD} SELECT query_id, rank, id, {round_sql('score')} AS score FROM

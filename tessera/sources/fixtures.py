@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written
+
 #: The clock of all checked queries.
 ASOF = "2024-02-01 00:00:00"
 PERSONAL = ("fixed", "fluid", "contextual", *[None] * 10)
@@ -74,10 +76,10 @@ class Memory:
 
     @cached_property
     def index(self) -> DataFrame:
-        """id, term, c, tf of the contents."""
+        """id, term, c, tf of the contents, as a table of this model: texts are tokenised once, whatever reads it."""
         from tessera.operators import terms
 
-        return terms.term_frequency(terms.term_counts(self.bare_nodes, F.col("content")))
+        return written(terms.indexed(self.bare_nodes, F.col("content")), "index")
 
     @cached_property
     def entries(self) -> DataFrame:

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import recall, vocabulary
+from tessera.operators import recall, terms, vocabulary
 
 NOW = dt.datetime(2024, 2, 1)
 NODES = "id long, type string, title string, content string, locked boolean, archived boolean, critical boolean, emotion double, confidence double, stability double, created_at timestamp_ntz, personal string, evolution string, access_count long, last_accessed timestamp_ntz"
@@ -21,7 +21,7 @@ def scores(spark, nodes, text="worktree locks", edges=(), entries=()):
     both = [(a, b, w) for a, b, w in edges] + [(b, a, w) for a, b, w in edges]
     n = spark.createDataFrame(nodes, NODES)
     found = recall.keyword_scores(
-        spark.createDataFrame([(1, text)], "query_id long, text string"), n, n.select("id", "content"), spark.createDataFrame(both, "source_id long, target_id long, weight double"),
+        spark.createDataFrame([(1, text)], "query_id long, text string"), n, terms.term_frequency(terms.term_counts(n, F.col("content"))), spark.createDataFrame(both, "source_id long, target_id long, weight double"),
         spark.createDataFrame(list(entries), "node_id long, term string, maps_to array<string>"), F.lit(NOW).cast("timestamp_ntz"),
     )
     return {r.id: r.score for r in found.collect()}
