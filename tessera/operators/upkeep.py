@@ -47,20 +47,21 @@ def wildcard(column: Column, triggers) -> Column:
     return column.rlike("|".join(".*".join(part.replace(".", r"\.") for part in t.split("*")) for t in triggers))
 
 
-def not_contained(items: DataFrame, id_col: str, text_col: str, texts: DataFrame, key: str, content: str, run: int = 3) -> DataFrame:
-    """Items whose text, whatever its case, is a substring of none of the texts (key, content).
+def not_contained(items: DataFrame, id_col: str, text_col: str, texts: DataFrame, content: str, run: int = 3, key: str | None = None) -> DataFrame:
+    """Items whose text, whatever its case, is a substring of none of the texts, which a hash names where they have no key.
 
     The inner words of an item keep their bounds inside any text that contains it, so a containing text shares their first run: an
     equi-join of hashes alone finds the candidates, whose texts are then fetched, each once, for the substring test. Items with too few inner words for a run
     are looked for in every text, as a small side that Spark broadcasts only within its limit.
     """
     asked = items.select(id_col, F.lower(text_col).alias("_item")).withColumn("_w", F.split("_item", r"\s+"))
+    name = (F.col(key) if key else F.xxhash64(content)).alias("_key")
     long = asked.filter(F.size("_w") >= run + 2).select(id_col, "_item", F.xxhash64(F.slice("_w", 2, run)).alias("_run"))
-    split = texts.select(F.col(key).alias("_key"), F.split(F.lower(content), r"\s+").alias("_w"))
+    split = texts.select(name, F.split(F.lower(content), r"\s+").alias("_w"))
     hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - run + 1)), lambda i: F.xxhash64(F.slice("_w", i, run)))
     runs = split.select("_key", F.explode(F.array_distinct(hashes)).alias("_run"))
     met = runs.join(long.select(id_col, "_run"), "_run").select("_key", id_col).distinct()
-    low = texts.select(F.col(key).alias("_key"), F.lower(content).alias("_low"))
+    low = texts.select(name, F.lower(content).alias("_low"))
     hit = met.join(low, "_key").join(long.select(id_col, "_item"), id_col).filter(F.contains("_low", "_item")).select(id_col)
     short = asked.filter((F.size("_w") < run + 2) & F.col("_item").isNotNull()).select(id_col, "_item")
     found = low.join(short, F.contains("_low", "_item")).select(id_col)

@@ -122,7 +122,7 @@ def q_backfill_queue(m):
 @query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(b.text)))")
 def q_uncharted(m):
     """Items that no document contains: candidates meet on a run of inner words, then the whole text is looked for."""
-    return upkeep.not_contained(m.table("benchmark"), "item_id", "text", m.bare_nodes, "id", "content").select("item_id")
+    return upkeep.not_contained(m.table("benchmark"), "item_id", "text", m.bare_nodes, "content", key="id").select("item_id")
 
 
 @query(f"""WITH {ERRORS}, fixed AS (SELECT DISTINCT user_id % 50 AS id FROM errors WHERE ts > {NOW} - INTERVAL 14 DAY)

@@ -63,4 +63,4 @@ def test_sessions_keep_their_most_used_nodes(spark):
 def test_items_in_texts(spark):
     items = spark.createDataFrame([(1, "Alpha beta gamma delta epsilon"), (2, "not there at all today"), (3, "gam"), (4, "missing"), (5, None)], "item long, text string")
     texts = spark.createDataFrame([(1, "xx ALPHA beta  gamma delta epsilonic"), (2, "xx alpha beta gamma delta epsilonic")], "id long, content string")
-    assert sorted(r.item for r in upkeep.not_contained(items, "item", "text", texts, "id", "content").collect()) == [2, 4, 5]
+    assert sorted(r.item for r in upkeep.not_contained(items, "item", "text", texts, "content", key="id").collect()) == [2, 4, 5]
