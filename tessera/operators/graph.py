@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
@@ -78,16 +78,31 @@ def upsert_edges(old: DataFrame, new: DataFrame, first: float = 0.5, step: float
     return both.select("source_id", "target_id", weight.alias("weight"), F.col("weight").isNull().alias("is_new"))
 
 
+def unit(*what: Column | str) -> Column:
+    """A number between 0 and 1 drawn by a hash of a name and of columns, the same in every run and engine."""
+    name, *columns = what
+    text = F.concat_ws(":", F.lit(name), *columns).cast("binary")
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def some_neighbours(edges: DataFrame, width: int = 10, seed: int = 7) -> DataFrame:
+    """Each node's edges to so many of its neighbours, drawn with equal chances."""
+    drawn = edges.select("source_id", "target_id", "weight", unit("way", "source_id", "target_id", F.lit(seed)).alias("_u"))
+    order = Window.partitionBy("source_id").orderBy("_u", "target_id")
+    return drawn.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= width).drop("_u", "_r")
+
+
 def random_walks(starts: DataFrame, edges: DataFrame, steps: int = 5, width: int = 10, seed: int = 7) -> DataFrame:
-    """walk_id, path: weight-proportional walks that do not revisit; a step that draws a visited node is spent.
+    """walk_id, path: weight-proportional walks along each node's strongest edges that do not revisit; a step that draws a visited node is spent.
 
-    Draws are hashes of walk, step and edge (Efraimidis-Spirakis keys), so walks are the same in every run.
+    starts: id, and walk_id where walks are not named by their starts. Draws are hashes of walk, step and edge (Efraimidis-Spirakis keys), so walks are the same in every run.
     """
     ways = strongest(edges, width).select("source_id", "target_id", "weight")
-    now = starts.select(F.col("id").alias("walk_id"), F.array("id").alias("path"), F.col("id").alias("at"))
+    name = F.col("walk_id") if "walk_id" in starts.columns else F.col("id").alias("walk_id")
+    now = starts.select(name, F.array("id").alias("path"), F.col("id").alias("at"))
     for step in range(steps):
-        u = (F.pmod(F.xxhash64("walk_id", "target_id", F.lit(step), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-        drawn = now.join(ways, F.col("at") == F.col("source_id"), "left").withColumn("key", F.when(F.col("target_id").isNotNull(), F.log(u) / F.col("weight")))
+        key = F.log(unit("step", "walk_id", "target_id", F.lit(step), F.lit(seed))) / F.col("weight")
+        drawn = now.join(ways, F.col("at") == F.col("source_id"), "left").withColumn("key", F.when(F.col("target_id").isNotNull(), key))
         best = drawn.groupBy("walk_id", "path", "at").agg(F.max_by("target_id", F.struct("key", -F.col("target_id"))).alias("next"))
         fresh = F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))
         now = best.select("walk_id", F.when(fresh, F.array_append("path", F.col("next"))).otherwise(F.col("path")).alias("path"), F.when(fresh, F.col("next")).otherwise(F.col("at")).alias("at"))

@@ -98,6 +98,28 @@ def q_random_walks(m):
     return graph.random_walks(seeds(m).select("id"), edges(m))
 
 
+def unit_sql(name: str, *columns) -> str:
+    return "((('0x' || substr(md5(concat_ws(':', '" + name + "', " + ", ".join(map(str, columns)) + ")), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)"
+
+
+def walks_sql(starts: str, ways: str, steps: int = 5) -> str:
+    """w<steps> (walk_id, path): walks from starts (walk_id, id) along ways, step after step."""
+    parts = [f"w0 AS (SELECT walk_id, [id] AS path, id AS here FROM {starts})"]
+    for s in range(steps):
+        key = f"ln({unit_sql('step', 'walk_id', 'target_id', s, 7)}) / weight"
+        parts.append(f"""d{s} AS (SELECT walk_id, path, here, target_id AS next FROM w{s} LEFT JOIN {ways} ON here = source_id QUALIFY row_number() OVER (PARTITION BY walk_id ORDER BY {key} DESC, target_id) = 1),
+        w{s + 1} AS (SELECT walk_id, CASE WHEN next IS NULL OR list_contains(path, next) THEN path ELSE list_append(path, next) END AS path, CASE WHEN next IS NULL OR list_contains(path, next) THEN here ELSE next END AS here FROM d{s})""")
+    return ", ".join(parts)
+
+
+@query(f"""WITH ways AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY weight DESC, target_id) <= 10), starts AS (SELECT DISTINCT source_id AS walk_id, source_id AS id FROM edges WHERE source_id % 30 = 0),
+    {walks_sql('starts', 'ways')} SELECT walk_id, array_to_string(path, ',') AS path FROM w5""", "edges")
+def q_walk_paths(m):
+    """The walks of q_random_walks, as text."""
+    walks = graph.random_walks(seeds(m).select("id"), edges(m))
+    return walks.select("walk_id", F.concat_ws(",", F.col("path").cast("array<string>")).alias("path"))
+
+
 @query("SELECT source_id, target_id, CASE WHEN n >= 2 THEN least(1.0::DOUBLE, weight + 0.1::DOUBLE) ELSE 0.5::DOUBLE END AS weight, n < 2 AS is_new FROM coaccess", "coaccess")
 def q_edge_upsert(m):
     """Edges known from repeated use, after every pair was connected once more."""
