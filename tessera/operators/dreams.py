@@ -80,13 +80,21 @@ def proposals(candidates: DataFrame, edges: DataFrame, later: DataFrame, now: Co
     """source_id, target_id, night, matures_at, status of bridges proposed by dreams, at now.
 
     candidates: night, dream, source_id, target_id, at; edges: when they were proposed; later: now; both in both directions. Of a night's unjoined pairs the first few are proposed; a
-    pair proposed before is not proposed again. After its minutes a proposal is created, or expired where an edge has come by itself. Nights are to lie these minutes
+    pair proposed before is not proposed again, while one that a night had no place for can be. After its minutes a proposal is created, or expired where an edge has come by itself. Nights are to lie these minutes
     apart or more, so that earlier proposals have matured and a night's few are all that is pending.
     """
     pair = [F.least("source_id", "target_id").alias("_a"), F.greatest("source_id", "target_id").alias("_b")]
     free = candidates.filter("source_id <> target_id").join(edges.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti")
-    once = _first(free.select("*", *pair), 1, ["_a", "_b"], F.col("night"), F.col("dream")).drop("_r")
-    made = _first(once, each, ["night"], F.col("dream")).drop("_r")
+    rows = written(free.select("*", *pair, F.lit(None).cast("boolean").alias("_made")), "proposed")
+    before = lambda *by: Window.partitionBy(*by).orderBy("night", "dream").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda made, *by: F.coalesce(F.sum(made.cast("int")).over(before(*by)), F.lit(0))
+    # A row is decided as soon as the undecided ones before it make no difference; the first undecided one always is, and few rounds decide all.
+    while not rows.filter("_made is null").isEmpty():
+        sure, perhaps = F.coalesce("_made", F.lit(False)), F.coalesce("_made", F.lit(True))
+        no = (earlier(sure, "_a", "_b") > 0) | (earlier(sure, "night") >= each)
+        yes = (earlier(perhaps, "_a", "_b") == 0) & (earlier(perhaps, "night") < each)
+        rows = written(rows.withColumn("_made", F.coalesce("_made", F.when(no, False).when(yes, True))), "proposed")
+    made = rows.filter("_made")
     came = later.select("source_id", "target_id").distinct().withColumn("_came", F.lit(True))
     matures = F.col("at") + F.make_dt_interval(mins=F.lit(minutes))
     status = F.when(matures > now, "pending").when(F.col("_came"), "expired").otherwise("created")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from tessera.plans.network import NOW, edges
 from tessera.plans.registry import query, r6, whole
 from tessera.plans.retrieval import ASKED, COUNTS, CONFIDENT, FREQUENCY, RECENCY, age_hours, asked, round_sql
 from tessera.plans.upkeep import BRIDGED, first, number
+from tessera.sources import transcripts
 from tessera.sources.fixtures import asof
+from tessera.sources.shared import shared_dir
 
 
 @query(f"""WITH q AS (SELECT * FROM vectors WHERE id % 50 = 0), a AS (SELECT v.* FROM vectors v JOIN nodes n ON v.id = n.id WHERE evolution = 'aspiration' AND NOT archived),
@@ -123,3 +127,19 @@ def q_sql_functions(m):
     functions.register(m.spark)
     n = m.nodes.withColumn("hours", age_hours())
     return n.selectExpr("id", "recency_score(hours) AS recency", "round(frequency_score(access_count) + 1e-9D, 6) AS frequency", "round(confidence_factor(confidence) + 1e-9D, 6) AS factor")
+
+
+SAID = f"""said AS (SELECT conv_id, conv_id % 16 AS log, role, {NOW} + to_seconds(conv_id * 1000 + turn) AS ts, CASE WHEN turn = 2 AND conv_id % 3 = 0 THEN 'This is continued from a previous conversation. ' ELSE '' END || text AS text FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL)"""
+
+
+@query(f"""WITH {SAID}, marks AS (SELECT log, max(ts) AS mark FROM said WHERE role = 'user' AND contains(lower(text), '{transcripts.CONTINUED}') GROUP BY 1)
+    SELECT log, role AS kind, ts, md5(text) AS text_md5 FROM said LEFT JOIN marks USING (log) WHERE mark IS NULL OR ts > mark""")
+def q_transcript_tails(m):
+    """All conversations, appended to sixteen logs in the shared folder, and what the ends of the logs hold since each one's last compaction."""
+    mark = F.when((F.col("turn") == 2) & (F.col("conv_id") % 3 == 0), "This is continued from a previous conversation. ").otherwise("")
+    ts = asof() + F.make_dt_interval(secs=F.col("conv_id") * 1000 + F.col("turn"))
+    lines = m.turns.filter("text is not null").select((F.col("conv_id") % 16).alias("log"), F.col("role").alias("type"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.struct(F.concat(mark, "text").alias("content")).alias("message"))
+    path = f"{shared_dir(m.spark)}/logs-{uuid.uuid4().hex}"
+    lines.repartition("log").sortWithinPartitions("log", "timestamp").write.partitionBy("log").json(path)
+    got = transcripts.read_tails(m.spark, path)
+    return got.select(F.regexp_extract("file", r"log=(\d+)", 1).cast("long").alias("log"), "kind", F.col("ts").cast("timestamp_ntz").alias("ts"), F.md5(F.col("texts")[0].cast("binary")).alias("text_md5"))

@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import tail
+
+#: What opens a user's message after a compaction: a fixed value.
+CONTINUED = "continued from a previous conversation"
 BLOCK = "struct<type:string,text:string,name:string,input:struct<file_path:string,command:string,pattern:string,description:string>>"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """kind, ts, texts, tools (name, target) of every line that is a message; malformed lines are left out.
+    """Messages of whole files."""
+    return messages(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")))
+
+
+def read_tails(spark: SparkSession, path: str, most: int = tail.TAIL_BYTES, marker: str = CONTINUED) -> DataFrame:
+    """Messages at the ends of files, each after the newest marker that its own file's end holds in a user's message."""
+    return since_marker(messages(tail.line_tails(spark, path, most)), marker, ("user",))
+
+
+def messages(lines: DataFrame) -> DataFrame:
+    """file, kind, ts, texts, tools (name, target) of every line (file, value) that is a message; malformed lines are left out.
 
     A message's content is a string or an array of blocks; both become arrays.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     kind, stamp, content = (F.get_json_object("value", f"$.{x}") for x in ("type", "timestamp", "message.content"))
     rows = lines.select("file", kind.alias("kind"), F.try_to_timestamp(stamp).alias("ts"), content.alias("content")).filter(F.col("kind").isin("user", "assistant") & F.col("content").isNotNull())
     blocks = F.when(F.substring(F.ltrim("content"), 1, 1) == "[", F.from_json("content", f"array<{BLOCK}>")).otherwise(F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<file_path:string,command:string,pattern:string,description:string>").alias("input"))))
@@ -29,10 +42,11 @@ def tool_target(given: Column) -> Column:
     return F.substring(F.regexp_replace(target, r"\s+", " "), 1, 80)
 
 
-def since_marker(messages: DataFrame, marker: str = "compact") -> DataFrame:
-    """Messages after the newest one that holds the marker; all where none does."""
-    newest = messages.filter(F.exists("texts", lambda t: F.contains(F.lower(t), F.lit(marker)))).agg(F.max("ts").alias("_mark"))
-    return messages.join(F.broadcast(newest), F.lit(True)).filter(F.col("_mark").isNull() | (F.col("ts") > F.col("_mark"))).drop("_mark")
+def since_marker(messages: DataFrame, marker: str = "compact", kinds: tuple[str, ...] = ("user", "assistant")) -> DataFrame:
+    """Messages after the newest one of their own file that holds the marker; all of a file where none does."""
+    held = F.col("kind").isin(*kinds) & F.exists("texts", lambda t: F.contains(F.lower(t), F.lit(marker)))
+    newest = messages.filter(held).groupBy("file").agg(F.max("ts").alias("_mark"))
+    return messages.join(newest, "file", "left").filter(F.col("_mark").isNull() | (F.col("ts") > F.col("_mark"))).drop("_mark").select(*messages.columns)
 
 
 def newest_file(spark: SparkSession, path: str) -> DataFrame:
