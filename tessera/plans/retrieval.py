@@ -10,7 +10,7 @@ from tessera.functions import scoring, text
 from tessera.operators import graph, recall, terms, upkeep, vectors, vocabulary
 from tessera.plans.registry import query, r6, whole
 from tessera.sources.fixtures import Memory, asof
-from tessera.sources.shared import written
+from tessera.sources.shared import together, written
 
 STOP = "[" + ", ".join(f"'{w}'" for w in K.STOP_WORDS) + "]"
 
@@ -302,8 +302,10 @@ def q_temporal_phrases(m):
 
 
 def keyword_scores(m: Memory):
-    links = graph.undirected(graph.co_access(m.sessions))
-    return recall.keyword_scores(questions(m), m.nodes, m.index, links, vocabulary_of(m), asof(), HUB)
+    links = lambda: written(graph.undirected(graph.co_access(m.sessions)), "edges")
+    known = lambda: written(vocabulary_of(m), "vocabulary")  # noqa: E731  it makes the index
+    known, edges, nodes, queries = together(known, links, lambda: written(m.nodes.drop("content", "title"), "nodes"), lambda: written(questions(m), "queries"))
+    return recall.keyword_scores(queries, nodes, m.index, edges, known, asof(), HUB)
 
 
 @query(f"""WITH {KEYWORD} SELECT query_id, rank, id, {round_sql('score')} AS score FROM
@@ -326,9 +328,9 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score
 
 def hybrid(m: Memory, k: int):
     """The k best of both paths, blended."""
-    best = terms.ranked(keyword_scores(m), 30).drop("rank")
+    semantic, best = together(lambda: written(near(m, 50).select("query_id", "id", "score"), "near"), lambda: written(terms.ranked(keyword_scores(m), 30).drop("rank"), "keyword"))
     nodes = m.bare_nodes.withColumn("context", F.slice(text.tokens(F.col("title")), 1, 3)).drop("content")
-    return terms.ranked(recall.hybrid(near(m, 50).select("query_id", "id", "score"), best, questions(m), nodes), k)
+    return terms.ranked(recall.hybrid(semantic, best, questions(m), nodes), k)
 
 
 @query(f"WITH {HYBRID} SELECT query_id, rank, id, type, {round_sql('score')} AS score FROM best WHERE rank <= 8", "nodes", "vectors", "edges")

@@ -6,6 +6,10 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,6 +32,13 @@ def written(df: DataFrame, what: str, *partitions: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(*makers: Callable[[], DataFrame]) -> list[DataFrame]:
+    """What functions give that run jobs which do not need each other: the jobs are given to the cluster at the same time, so that the tail of one does not leave it idle."""
+    with ThreadPoolExecutor(len(makers)) as pool:
+        waiting = [pool.submit(inheritable_thread_target(f)) for f in makers]
+        return [w.result() for w in waiting]
+
+
 def ship_code(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver found it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
