@@ -301,11 +301,16 @@ def q_temporal_phrases(m):
     return m.turns.select("conv_id", "turn", span.alias("span")).select("conv_id", "turn", "span.low", "span.high")
 
 
-def keyword_scores(m: Memory):
+def keyword_scores_of(m: Memory, queries):
+    """Scores of any batch (query_id, text), and the edges that were walked."""
     links = lambda: written(graph.undirected(graph.co_access(m.sessions)), "edges")
     known = lambda: written(vocabulary_of(m), "vocabulary")  # noqa: E731  it makes the index
-    known, edges, nodes, queries = together(known, links, lambda: written(m.nodes.drop("content", "title"), "nodes"), lambda: written(questions(m), "queries"))
-    return recall.keyword_scores(queries, nodes, m.index, edges, known, asof(), HUB)
+    known, edges, nodes, queries = together(m.spark, known, links, lambda: written(m.nodes.drop("content", "title"), "nodes"), lambda: written(queries, "queries"))
+    return recall.keyword_scores(queries, nodes, m.index, edges, known, asof(), HUB), edges
+
+
+def keyword_scores(m: Memory):
+    return keyword_scores_of(m, questions(m))[0]
 
 
 @query(f"""WITH {KEYWORD} SELECT query_id, rank, id, {round_sql('score')} AS score FROM
@@ -328,7 +333,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score
 
 def hybrid(m: Memory, k: int):
     """The k best of both paths, blended."""
-    semantic, best = together(lambda: written(near(m, 50).select("query_id", "id", "score"), "near"), lambda: written(terms.ranked(keyword_scores(m), 30).drop("rank"), "keyword"))
+    semantic, best = together(m.spark, lambda: written(near(m, 50).select("query_id", "id", "score"), "near"), lambda: written(terms.ranked(keyword_scores(m), 30).drop("rank"), "keyword"))
     nodes = m.bare_nodes.withColumn("context", F.slice(text.tokens(F.col("title")), 1, 3)).drop("content")
     return terms.ranked(recall.hybrid(semantic, best, questions(m), nodes), k)
 

@@ -32,10 +32,10 @@ def written(df: DataFrame, what: str, *partitions: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def together(*makers: Callable[[], DataFrame]) -> list[DataFrame]:
+def together(spark: SparkSession, *makers: Callable[[], DataFrame]) -> list[DataFrame]:
     """What functions give that run jobs which do not need each other: the jobs are given to the cluster at the same time, so that the tail of one does not leave it idle."""
     with ThreadPoolExecutor(len(makers)) as pool:
-        waiting = [pool.submit(inheritable_thread_target(f)) for f in makers]
+        waiting = [pool.submit(inheritable_thread_target(spark)(f)) for f in makers]
         return [w.result() for w in waiting]
 
 
