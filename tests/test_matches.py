@@ -69,3 +69,39 @@ def test_index_holds_one_text_at_a_time(spark):
     assert sorted((r.id, r.term, r.c, round(r.tf, 4)) for r in index.collect()) == [(1, "alpha", 3, 1.0), (1, "beta", 1, 0.6667), (1, "delta", 1, 0.6667), (1, "gamma", 1, 0.6667)]
     plan = index._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Window" not in plan and "Sort [" not in plan
+
+
+@pytest.mark.parametrize("earlier", [False, True])
+def test_nearest_word_sets(spark, earlier):
+    from tessera.operators import resolve
+
+    a, b = some(80, 5), some(200, 6)
+    b[1000] = a[1000] = set(b[0])
+    rows = lambda sets, key: spark.createDataFrame([(i, sorted(s, reverse=i % 2)) for i, s in sets.items()], f"{key} long, words array<string>")
+    want = []
+    for i, x in a.items():
+        found = sorted((-len(x & y), j) for j, y in b.items() if len(x & y) >= 3 and (not earlier or j < i))
+        want += [(i, found[0][1], -found[0][0])] if found else []
+    assert sorted(map(tuple, resolve.nearest(rows(a, "a"), rows(b, "b"), 3, earlier).collect())) == sorted(want)
+
+
+def test_a_task_folds_many_sessions(spark):
+    """Segments as one fold after another gives them; sessions of a bucket reach Python together (before: one call for each session)."""
+    import numpy as np
+
+    from tessera.operators import vectors
+
+    rng = np.random.default_rng(1)
+    rows = [(f"s{s}", p, [float(x) for x in rng.normal(1, 1, 8)]) for s in range(60) for p in range(1 + s % 7)] + [("s0", 9, [0.0] * 8), ("s0", 11, [1.0] * 8)]
+    want = []
+    for name in {r[0] for r in rows}:
+        number, recent = 0, []
+        for _, p, x in sorted(r for r in rows if r[0] == name):
+            m = np.mean(recent, axis=0) if recent else None
+            if recent and np.dot(x, m) / max(1e-12, np.linalg.norm(x) * np.linalg.norm(m)) < 0.5:
+                number, recent = number + 1, []
+            recent = [*recent[-1:], x]
+            want.append((name, p, number))
+    got = vectors.segments(spark.createDataFrame(rows, "session string, position long, embedding array<double>"), 0.5)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "_bucket" in got._jdf.queryExecution().analyzed().toString()
