@@ -105,3 +105,16 @@ def test_a_task_folds_many_sessions(spark):
     got = vectors.segments(spark.createDataFrame(rows, "session string, position long, embedding array<double>"), 0.5)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "_bucket" in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_hops_are_dealt_by_their_rows(spark, monkeypatch):
+    """A hop of more rows takes more tasks (before: as many as the setting for shuffles says, at any size)."""
+    from tessera.operators import graph
+
+    monkeypatch.setattr(graph, "SHARE", 50)
+    edges = spark.createDataFrame([(a, b, 0.9) for a in range(30) for b in range(30) if a != b], "source_id long, target_id long, weight double")
+    got = graph.spread(spark.createDataFrame([(q, q) for q in range(30)], "query_id long, id long"), edges, 2)
+    assert "hashpartitioning(query_id" in got._jdf.queryExecution().executedPlan().toString().replace("#", " ").replace("query_id ", "query_id") and got.rdd.getNumPartitions() > 100
+    once, twice = 0.9 * 0.5, 0.9 * 0.25
+    found = {(r.query_id, r.id): r.activation for r in got.collect()}
+    assert len(found) == 900 and abs(found[0, 0] - (1 + 29 * once * twice)) < 1e-9 and abs(found[0, 1] - (once + twice + 28 * once * twice)) < 1e-9
