@@ -44,6 +44,8 @@ TABLE, LONGEST = 262_144, 64
 FLUSH = 400_000
 #: Tasks, or sums of them, whose weight changes are added up in one group; rows of a group.
 FAN_IN, BLOCK = 8, 1 << 14
+#: Tokens, and places of sorted rows, that are worked on at once, so that what is made on the way stays in the cache and is not mapped anew each time.
+PIECE, SPAN = 512, 4096
 LN10 = math.log(10)
 
 
@@ -191,69 +193,94 @@ def prepare(ids: np.ndarray, lengths: np.ndarray, leaves: int) -> Tokens:
 
 def decisions(t: Tokens, at: slice, tree: Classes, bits: int):
     """Of the tokens at this slice: how many classes each passes, these, the branches taken, and the rows of the three features."""
-    begin = tree.first[t.ids[at]]
-    passed = tree.first[t.ids[at] + 1] - begin
+    begin = tree.first.take(t.ids[at])
+    passed = tree.first.take(t.ids[at] + 1) - begin
     token = np.repeat(np.arange(len(passed)), passed)
-    place = np.arange(len(token)) + (begin - np.cumsum(passed) + passed)[token]
-    nodes = tree.nodes[place]
+    place = (begin - np.cumsum(passed) + passed).take(token)
+    place += np.arange(len(token))
+    nodes = tree.nodes.take(place)
     one, two = _mixed(t.one[at].astype(np.uint64) + np.uint64(1)), _mixed(t.two[at].astype(np.uint64) + np.uint64(1 << 40))
-    by_class = tree.mixed[nodes]
-    rows = [((x[token] ^ by_class) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)).astype(np.int64) for x in (one, two, _mixed(one ^ two * np.uint64(0x165667B19E3779F9)))]
-    return passed, nodes, tree.branches[place], rows
-
-
-def logits_of(weights: np.ndarray, tree: Classes, nodes: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Shares and weights are bounded, so that exponentials fit single precision as they are."""
-    logits = tree.base.take(nodes, axis=0)
+    by_class, rows = tree.mixed.take(nodes), []
+    for x in (one, two, _mixed(one ^ two * np.uint64(0x165667B19E3779F9))):
+        r = x.take(token)
+        r ^= by_class
+        r *= np.uint64(0xD6E8FEB86659FD93)
+        r >>= np.uint64(64 - bits)
+        rows.append(r.view(np.int64))
+    return passed, nodes, tree.branches.take(place), rows
+
+
+def logits_of(weights: np.ndarray, tree: Classes, nodes: np.ndarray, rows: list[np.ndarray], out: np.ndarray) -> np.ndarray:
+    """Written to out. Shares and weights are bounded, so that exponentials fit single precision as they are."""
+    tree.base.take(nodes, axis=0, out=out, mode="clip")
     for r in rows:
-        logits += weights.take(r, axis=0)
-    return logits
+        out += weights.take(r, axis=0, mode="clip")
+    return out
 
 
 ONES = np.ones(FAN, np.float32)
 
 
-def _summed(g: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that occur, ascending, and the sums of g over each: sorted with their places in one integer, then added two columns at a time (as complex numbers)."""
-    shift = max(1, len(g) - 1).bit_length()
-    keys = np.concatenate([r << shift | np.arange(len(g)) for r in rows])
-    keys.sort()
+def _summed(g: np.ndarray, keys: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that occur, ascending, and the sums of g over each. keys: row and place in g in one integer, sorted. Most rows occur once or twice; only the others need sums of stretches (as complex numbers, two columns at a time)."""
     row, place = keys >> shift, keys & (1 << shift) - 1
     starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    out = np.empty((len(starts), FAN // 2), np.complex64)
-    for i, pair in enumerate(np.ascontiguousarray(g.view(np.complex64).T)):
-        out[:, i] = np.add.reduceat(pair.take(place), starts)
-    return row[starts], out.view(np.float32)
+    times = np.diff(starts, append=len(keys))
+    out = g.take(place.take(starts), axis=0, mode="clip")
+    twice = np.flatnonzero(times == 2)
+    out[twice] += g.take(place.take(starts.take(twice) + 1), axis=0, mode="clip")
+    often = np.flatnonzero(times > 2)
+    if len(often):
+        of = times.take(often)
+        many = g.take(place[np.repeat(times > 2, times)], axis=0, mode="clip").view(np.complex64)
+        out[often] = np.add.reduceat(many, np.cumsum(of) - of, axis=0).view(np.float32)
+    return row.take(starts), out
 
 
 def train_on(t: Tokens, tree: Classes, weights: np.ndarray, past: np.ndarray, bits: int) -> None:
     """Follow the gradient over the tokens in updates of CHUNK, each row with a step that shrinks with its past gradients."""
     row_type = f"V{4 * FAN}"
     whole = weights.view(row_type).ravel()  # rows as one item each
+    passed = tree.first.take(t.ids + 1) - tree.first.take(t.ids)
+    most = max((int(passed[i : i + CHUNK].sum()) for i in range(0, len(passed), CHUNK)), default=0)
+    gradients, all_keys, shift = np.empty((most, FAN), np.float32), np.empty(3 * most, np.int64), max(1, most - 1).bit_length()
     for i in range(0, len(t.ids), CHUNK):
-        _, nodes, branches, rows = decisions(t, slice(i, i + CHUNK), tree, bits)
-        if not len(nodes):
-            continue
-        g = logits_of(weights, tree, nodes, rows)
-        np.exp(g, out=g)
-        g /= (g @ ONES)[:, None]
-        g[np.arange(len(g)), branches] -= 1
-        which, sums = _summed(g, rows)
-        grown = past.take(which) + (sums * sums) @ ONES / FAN
-        past[which] = grown
-        sums *= (STEP / np.sqrt(grown + 1))[:, None]
-        whole[which] = np.clip(weights.take(which, axis=0) - sums, -LIMIT, LIMIT).view(row_type).ravel()
+        n = 0
+        for j in range(i, min(i + CHUNK, len(t.ids)), PIECE):
+            _, nodes, branches, rows = decisions(t, slice(j, min(j + PIECE, i + CHUNK)), tree, bits)
+            place = np.arange(n, n + len(nodes))
+            g = logits_of(weights, tree, nodes, rows, gradients[n : n + len(nodes)])
+            np.exp(g, out=g)
+            g /= (g @ ONES)[:, None]
+            gradients[place, branches] -= 1
+            for k, r in enumerate(rows):
+                r <<= shift
+                r |= place
+                all_keys[3 * n + k * len(place) :][: len(place)] = r
+            n += len(place)
+        keys = all_keys[: 3 * n]
+        keys.sort()
+        cuts = np.unique(np.append(np.searchsorted(keys, keys[::SPAN] >> shift << shift), len(keys))).tolist()  # all of a row in one span
+        for start, end in zip(cuts, cuts[1:]):
+            which, sums = _summed(gradients, keys[start:end], shift)
+            grown = past.take(which)
+            grown += np.einsum("ij,ij->i", sums, sums) / FAN
+            past[which] = grown
+            sums *= (STEP / np.sqrt(grown + 1))[:, None]
+            np.subtract(weights.take(which, axis=0, mode="clip"), sums, out=sums)
+            whole[which] = np.clip(sums, -LIMIT, LIMIT, out=sums).view(row_type).ravel()
 
 
 def log10_probabilities(t: Tokens, tree: Classes, weights: np.ndarray, bits: int) -> np.ndarray:
     """Of the leaf of each token."""
     out = np.zeros(len(t.ids))
-    for i in range(0, len(t.ids), CHUNK):
-        passed, nodes, branches, rows = decisions(t, slice(i, i + CHUNK), tree, bits)
-        logits = logits_of(weights, tree, nodes, rows)
-        log_p = logits[np.arange(len(nodes)), branches] - np.log(np.exp(logits) @ ONES)
+    for i in range(0, len(t.ids), PIECE):
+        passed, nodes, branches, rows = decisions(t, slice(i, i + PIECE), tree, bits)
+        logits = logits_of(weights, tree, nodes, rows, np.empty((len(nodes), FAN), np.float32))
+        log_p = logits[np.arange(len(nodes)), branches]
+        log_p -= np.log(np.exp(logits, out=logits) @ ONES)
         upto, ends = np.concatenate([[0.0], np.cumsum(log_p, dtype=np.float64)]), np.cumsum(passed)
-        out[i : i + CHUNK] = upto[ends] - upto[ends - passed]
+        out[i : i + PIECE] = upto[ends] - upto[ends - passed]
     return out / LN10
 
 

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -298,6 +299,40 @@ def test_language_model_probabilities(spark, hard):
     assert all(w < 0 for w in words)
 
 
+def test_language_model_updates():
+    """Two updates equal plain sums over each row, however often it occurs; what training and scoring make on the way does not grow with an update's tokens beyond its gradients."""
+    rng = np.random.default_rng(7)
+    counts = np.sort(rng.integers(2, 900, 3000))[::-1]
+    tree, bits = lm.nested_classes(np.append(counts, 40.0)), 16
+    ids = np.minimum(rng.zipf(1.2, 2 * lm.CHUNK - 1000) - 1, 3000)
+    t = lm.prepare(ids, np.array([700, len(ids) - 700]), 3002)
+    weights, past = rng.normal(size=(1 << bits, lm.FAN)).astype(np.float32), np.zeros(1 << bits, np.float32)
+    plain, plain_past = weights.astype(float), np.zeros(1 << bits)
+    occur = set()
+    for i in range(0, len(ids), lm.CHUNK):
+        _, nodes, branches, rows = lm.decisions(t, slice(i, i + lm.CHUNK), tree, bits)
+        e = np.exp(tree.base[nodes].astype(float) + sum(plain[r] for r in rows))
+        g = e / e.sum(1, keepdims=True)
+        g[np.arange(len(g)), branches] -= 1
+        sums, times = np.zeros_like(plain), np.bincount(np.concatenate(rows), minlength=1 << bits)
+        for r in rows:
+            np.add.at(sums, r, g)
+        occur |= set(np.minimum(times, 4).tolist())
+        plain_past += (sums**2).sum(1) / lm.FAN
+        plain -= lm.STEP / np.sqrt(plain_past + 1)[:, None] * sums
+    assert occur == {0, 1, 2, 3, 4}
+    decided = int(np.diff(tree.first)[ids[: lm.CHUNK]].sum())
+    tracemalloc.start()
+    lm.train_on(t, tree, weights, past, bits)
+    trained = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    lm.log10_probabilities(t, tree, weights, bits)
+    scored = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(weights, plain.clip(-lm.LIMIT, lm.LIMIT), atol=1e-3) and np.allclose(past, plain_past, rtol=1e-3, atol=1e-4)
+    assert trained < 100 * decided and scored < 30 * len(ids), (trained / decided, scored / len(ids))
+
+
 def test_packing_places_every_token_once(hard, empty):
     rows = packing.pack_documents(hard, JSON).collect()
     tokens = {(r.doc_id, r.n_tokens + 1): 0 for r in bpe.encode_decode(hard, JSON, ("count",)).collect()}
