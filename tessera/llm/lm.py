@@ -18,12 +18,12 @@ from __future__ import annotations
 
 import functools
 import math
-from collections import Counter
 from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +40,8 @@ TASK_TOKENS = 1 << 21
 SETTLED = 0.3
 #: Most frequent words, of those seen twice or more, that every task holds; words longer than this are named by a digest.
 TABLE, LONGEST = 262_144, 64
-#: Distinct words that a task counts before it sends them on.
-FLUSH = 400_000
+#: Words, distinct in their batch, that a task gathers before it adds them up and sends them on.
+FLUSH = 800_000
 #: Tasks, or sums of them, whose weight changes are added up in one group; rows of a group.
 FAN_IN, BLOCK = 8, 1 << 14
 #: Tokens, and places of sorted rows, that are worked on at once, so that what is made on the way stays in the cache and is not mapped anew each time.
@@ -49,35 +49,41 @@ PIECE, SPAN = 512, 4096
 LN10 = math.log(10)
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words in ASCII lower case, then the end, which is empty."""
-    words = text.encode().lower().split()
-    words.append(b"")
-    return words
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in ASCII lower case, an empty one as the end of each, and their numbers. A null text is an end alone."""
+    texts = pc.ascii_lower(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
+    split = pc.ascii_split_whitespace(pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(texts, " ", "")))  # white space after the last word splits off the end
+    return split.flatten(), split.value_lengths().to_numpy()
 
 
-def name_of(word: bytes) -> str:
-    return word.decode() if len(word) <= LONGEST else "\t" + xxhash.xxh3_128_hexdigest(word)
+def names_of(words: pa.Array) -> pa.Array:
+    """Long words by their digest."""
+    long = pc.greater(pc.binary_length(words), LONGEST)
+    if not pc.any(long).as_py():
+        return words
+    digests = ["\t" + xxhash.xxh3_128_hexdigest(w) for w in words.filter(long).cast(pa.binary()).to_pylist()]
+    return pc.replace_with_mask(words, long, pa.array(digests, words.type))
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c) over all texts (one string column)."""
+    """(word, c) over all texts (one string column); the end is the empty word."""
 
     def run(batches):
-        counts: Counter = Counter()
+        gathered, rows = [], 0
 
         def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(map(name_of, counts), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "c"])
-            counts.clear()
-            return batch
+            total = pa.concat_tables(gathered).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            return total.select(["word", "c_sum"]).rename_columns(["word", "c"]).combine_chunks().to_batches()
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts.update(words_of(t or ""))
-                if len(counts) > FLUSH:
-                    yield out()
-        if counts:
-            yield out()
+            found = words_of(batch.column(0))[0].value_counts()
+            gathered.append(pa.table({"word": names_of(found.field("values")), "c": found.field("counts")}))
+            rows += len(found)
+            if rows > FLUSH:
+                yield from out()
+                gathered, rows = [], 0
+        if gathered:
+            yield from out()
 
     return texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -297,26 +303,23 @@ def portions(batch: pa.RecordBatch, column: int, most: int = PORTION):
 
 def encode(named: DataFrame, ids, id_col: str) -> DataFrame:
     """Word ids of all texts, four bytes each, and the words outside the table with their numbers. named: id_col, text, training, part; ids: broadcast."""
-    others_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches):
         known = ids.value
         unknown = len(known)
         for batch in batches:
-            coded, others = [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text or "")
-                own = np.fromiter(map(known.get, words, repeat(unknown)), np.int32, len(words))
-                rest: Counter = Counter()
-                for i in np.flatnonzero(own == unknown).tolist():
-                    name = name_of(words[i])
-                    if len(words[i]) > LONGEST:
-                        own[i] = known.get(name.encode(), unknown)
-                    if own[i] == unknown:
-                        rest[name] += 1
-                coded.append(own.tobytes())
-                others.append([{"word": w, "n": n} for w, n in rest.items()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(coded, pa.binary()), pa.array(others, others_type)], [id_col, "training", "part", "ids", "others"])
+            words, lengths = words_of(batch.column(1))
+            words = words.dictionary_encode()  # each distinct word is looked up once
+            names, which = names_of(words.dictionary), words.indices.to_numpy()
+            own = np.fromiter(map(known.get, names.cast(pa.binary()).to_numpy(zero_copy_only=False), repeat(unknown)), np.int32, len(names)).take(which)
+            rest = np.flatnonzero(own == unknown)
+            keys, n = np.unique(np.repeat(np.arange(len(lengths)), lengths)[rest] * max(1, len(names)) + which[rest], return_counts=True)
+            of, which = np.divmod(keys, max(1, len(names)))
+            others = pa.StructArray.from_arrays([names.take(pa.array(which)), pa.array(n, pa.int64())], ["word", "n"])
+            ends = np.concatenate([[0], np.cumsum(lengths)]) * own.itemsize
+            coded = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(own)])
+            others = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(lengths) + 1)), pa.int32()), others)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], coded, others], [id_col, "training", "part", "ids", "others"])
 
     shape = f"`{id_col}` {named.schema[0].dataType.simpleString()}, training boolean, part int, ids binary, others array<struct<word string, n long>>"
     return named.mapInArrow(run, shape).withColumn("_row", F.monotonically_increasing_id())

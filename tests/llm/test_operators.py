@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -299,6 +300,25 @@ def test_language_model_probabilities(spark, hard):
     assert all(w < 0 for w in words)
 
 
+def test_language_model_words(spark):
+    """A batch is split like each text by itself, whatever white space there is; counts and ids equal plain ones, for long words too."""
+    rng = random.Random(3)
+    texts = ["", "  ", None, " a", "a ", "\t\x0bA b\r\n\x0c ", "Ä \x1cx\x00 y\x85 É", "x\u2003y \x1f", "W" * 70 + " é " + "w" * 70, "É" * 40]
+    texts += ["".join(rng.choice(" \t\n\x0b\x0c\r\x00aBÉ\x1c😀") for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    plain = [[*(t or "").encode().lower().split(), b""] for t in texts]
+    words, lengths = lm.words_of(pa.array(["zz", *texts]).slice(1))
+    assert lengths.tolist() == list(map(len, plain)) and words.cast(pa.binary()).to_pylist() == [w for t in plain for w in t]
+    name = lambda w: w.decode() if len(w) <= lm.LONGEST else "\t" + xxhash.xxh3_128_hexdigest(w)
+    docs = spark.createDataFrame([(i, t, True, 0) for i, t in enumerate(texts)], "doc_id long, text string, training boolean, part int")
+    counts = Counter(name(w) for t in plain for w in t)
+    assert {r.word: r.c for r in lm.count_words(docs.select("text")).collect()} == counts
+    for known in ({}, {w.encode(): i for i, (w, _) in enumerate(counts.most_common(40))} | {("\t" + xxhash.xxh3_128_hexdigest(b"w" * 70)).encode(): 40}):
+        for r in lm.encode(docs, spark.sparkContext.broadcast(known), "doc_id").collect():
+            ids = [known.get(name(w).encode(), len(known)) for w in plain[r.doc_id]]
+            assert np.frombuffer(bytes(r.ids), np.int32).tolist() == ids
+            assert sorted((o.word, o.n) for o in r.others) == sorted(Counter(name(w) for w, i in zip(plain[r.doc_id], ids) if i == len(known)).items())
+
+
 def test_language_model_updates():
     """Two updates equal plain sums over each row, however often it occurs; what training and scoring make on the way does not grow with an update's tokens beyond its gradients."""
     rng = np.random.default_rng(7)
