@@ -44,8 +44,8 @@ TABLE, LONGEST = 262_144, 64
 FLUSH = 800_000
 #: Tasks, or sums of them, whose weight changes are added up in one group; rows of a group.
 FAN_IN, BLOCK = 8, 1 << 14
-#: Tokens, and places of sorted rows, that are worked on at once, so that what is made on the way stays in the cache and is not mapped anew each time.
-PIECE, SPAN = 512, 4096
+#: Tokens (a part of CHUNK), and places of sorted rows, that are worked on at once, so that what is made on the way stays in the cache and is not mapped anew each time.
+PIECE, SPAN = 2048, 1 << 14
 LN10 = math.log(10)
 
 
@@ -216,49 +216,59 @@ def decisions(t: Tokens, at: slice, tree: Classes, bits: int):
     return passed, nodes, tree.branches.take(place), rows
 
 
-def logits_of(weights: np.ndarray, tree: Classes, nodes: np.ndarray, rows: list[np.ndarray], out: np.ndarray) -> np.ndarray:
-    """Written to out. Shares and weights are bounded, so that exponentials fit single precision as they are."""
+def logits_of(weights: np.ndarray, tree: Classes, nodes: np.ndarray, rows: list[np.ndarray], out: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Written to out; spare is of its shape. Shares and weights are bounded, so that exponentials fit single precision as they are."""
     tree.base.take(nodes, axis=0, out=out, mode="clip")
     for r in rows:
-        out += weights.take(r, axis=0, mode="clip")
+        out += weights.take(r, axis=0, out=spare, mode="clip")
     return out
 
 
-ONES = np.ones(FAN, np.float32)
+#: Products with them are sums of branches, once or for each branch again: faster than broadcasts over so few.
+ONES, EACH = np.ones(FAN, np.float32), np.ones((FAN, FAN), np.float32)
 
 
-def _summed(g: np.ndarray, keys: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that occur, ascending, and the sums of g over each. keys: row and place in g in one integer, sorted. Most rows occur once or twice; only the others need sums of stretches (as complex numbers, two columns at a time)."""
+def _items(x: np.ndarray) -> np.ndarray:
+    """Rows as one item each."""
+    return x.view(f"V{4 * FAN}").ravel()
+
+
+def _summed(g: np.ndarray, keys: np.ndarray, shift: int, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that occur, ascending, and the sums of g over each, written to out. keys: row and place in g in one integer, sorted. Most rows occur once or twice; only the others need sums of stretches (as complex numbers, two columns at a time)."""
     row, place = keys >> shift, keys & (1 << shift) - 1
     starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
     times = np.diff(starts, append=len(keys))
-    out = g.take(place.take(starts), axis=0, mode="clip")
+    out = g.take(place.take(starts), axis=0, out=out[: len(starts)], mode="clip")
     twice = np.flatnonzero(times == 2)
-    out[twice] += g.take(place.take(starts.take(twice) + 1), axis=0, mode="clip")
+    _items(out)[twice] = _items(out.take(twice, axis=0, mode="clip") + g.take(place.take(starts.take(twice) + 1), axis=0, mode="clip"))
     often = np.flatnonzero(times > 2)
     if len(often):
         of = times.take(often)
         many = g.take(place[np.repeat(times > 2, times)], axis=0, mode="clip").view(np.complex64)
-        out[often] = np.add.reduceat(many, np.cumsum(of) - of, axis=0).view(np.float32)
+        _items(out)[often] = _items(np.add.reduceat(many, np.cumsum(of) - of, axis=0).view(np.float32))
     return row.take(starts), out
 
 
+def _most_decisions(t: Tokens, tree: Classes, n: int) -> int:
+    """Of any n tokens that are worked on at once."""
+    passed = tree.first.take(t.ids + 1) - tree.first.take(t.ids)
+    return max((int(passed[i : i + n].sum()) for i in range(0, len(passed), n)), default=0)
+
+
 def train_on(t: Tokens, tree: Classes, weights: np.ndarray, past: np.ndarray, bits: int) -> None:
     """Follow the gradient over the tokens in updates of CHUNK, each row with a step that shrinks with its past gradients."""
-    row_type = f"V{4 * FAN}"
-    whole = weights.view(row_type).ravel()  # rows as one item each
-    passed = tree.first.take(t.ids + 1) - tree.first.take(t.ids)
-    most = max((int(passed[i : i + CHUNK].sum()) for i in range(0, len(passed), CHUNK)), default=0)
+    most = _most_decisions(t, tree, CHUNK)
     gradients, all_keys, shift = np.empty((most, FAN), np.float32), np.empty(3 * most, np.int64), max(1, most - 1).bit_length()
+    spare, all_sums, old = np.empty((_most_decisions(t, tree, PIECE), FAN), np.float32), *np.empty((2, SPAN + 1, FAN), np.float32)
     for i in range(0, len(t.ids), CHUNK):
         n = 0
         for j in range(i, min(i + CHUNK, len(t.ids)), PIECE):
             _, nodes, branches, rows = decisions(t, slice(j, min(j + PIECE, i + CHUNK)), tree, bits)
             place = np.arange(n, n + len(nodes))
-            g = logits_of(weights, tree, nodes, rows, gradients[n : n + len(nodes)])
+            g = logits_of(weights, tree, nodes, rows, gradients[n : n + len(nodes)], spare[: len(nodes)])
             np.exp(g, out=g)
-            g /= (g @ ONES)[:, None]
-            gradients[place, branches] -= 1
+            g /= np.matmul(g, EACH, out=spare[: len(nodes)])
+            gradients.ravel()[place * FAN + branches] -= 1
             for k, r in enumerate(rows):
                 r <<= shift
                 r |= place
@@ -266,24 +276,25 @@ def train_on(t: Tokens, tree: Classes, weights: np.ndarray, past: np.ndarray, bi
             n += len(place)
         keys = all_keys[: 3 * n]
         keys.sort()
-        cuts = np.unique(np.append(np.searchsorted(keys, keys[::SPAN] >> shift << shift), len(keys))).tolist()  # all of a row in one span
+        cuts = np.unique(np.append(np.searchsorted(keys, keys[::SPAN] >> shift << shift), len(keys))).tolist()  # all of a row in one span, so that it has SPAN + 1 rows at most
         for start, end in zip(cuts, cuts[1:]):
-            which, sums = _summed(gradients, keys[start:end], shift)
+            which, sums = _summed(gradients, keys[start:end], shift, all_sums)
             grown = past.take(which)
             grown += np.einsum("ij,ij->i", sums, sums) / FAN
             past[which] = grown
-            sums *= (STEP / np.sqrt(grown + 1))[:, None]
-            np.subtract(weights.take(which, axis=0, mode="clip"), sums, out=sums)
-            whole[which] = np.clip(sums, -LIMIT, LIMIT, out=sums).view(row_type).ravel()
+            now = old[: len(which)]
+            sums *= np.matmul((STEP / np.sqrt(grown + 1))[:, None], ONES[None], out=now)
+            np.subtract(weights.take(which, axis=0, out=now, mode="clip"), sums, out=now)
+            _items(weights)[which] = _items(np.clip(now, -LIMIT, LIMIT, out=now))
 
 
 def log10_probabilities(t: Tokens, tree: Classes, weights: np.ndarray, bits: int) -> np.ndarray:
     """Of the leaf of each token."""
-    out = np.zeros(len(t.ids))
+    out, buffers = np.zeros(len(t.ids)), np.empty((2, _most_decisions(t, tree, PIECE), FAN), np.float32)
     for i in range(0, len(t.ids), PIECE):
         passed, nodes, branches, rows = decisions(t, slice(i, i + PIECE), tree, bits)
-        logits = logits_of(weights, tree, nodes, rows, np.empty((len(nodes), FAN), np.float32))
-        log_p = logits[np.arange(len(nodes)), branches]
+        logits = logits_of(weights, tree, nodes, rows, *buffers[:, : len(nodes)])
+        log_p = logits.ravel().take(np.arange(len(nodes)) * FAN + branches)
         log_p -= np.log(np.exp(logits, out=logits) @ ONES)
         upto, ends = np.concatenate([[0.0], np.cumsum(log_p, dtype=np.float64)]), np.cumsum(passed)
         out[i : i + PIECE] = upto[ends] - upto[ends - passed]
