@@ -64,3 +64,22 @@ def test_items_in_texts(spark):
     items = spark.createDataFrame([(1, "Alpha beta gamma delta epsilon"), (2, "not there at all today"), (3, "gam"), (4, "missing"), (5, None)], "item long, text string")
     texts = spark.createDataFrame([(1, "xx ALPHA beta  gamma delta epsilonic"), (2, "xx alpha beta gamma delta epsilonic")], "id long, content string")
     assert sorted(r.item for r in upkeep.not_contained(items, "item", "text", texts, "content", key="id").collect()) == [2, 4, 5]
+
+
+def test_a_day_of_many_changes_meets_no_row_whole(spark, monkeypatch):
+    """Values as of times equal those of plain Python over several stretches; before, each row of a day was joined with an array of all its changes."""
+    import bisect
+    import random
+
+    monkeypatch.setattr(tunables, "STRETCH", 50)
+    rng = random.Random(3)
+    log = [("a" if rng.random() < 0.6 else "b", None if i % 40 == 7 else float(i), at(rng.randrange(0, 400) / 20), i) for i in range(600)]
+    rows = [(i, at(rng.randrange(-40, 500) / 20) if i % 30 else None) for i in range(300)] + [(1000 + i, at(3)) for i in range(200)]
+    out = tunables.as_of(spark.createDataFrame(rows, "id long, moment timestamp_ntz"), "moment", spark.createDataFrame(log, LOG), {"a": -1.0, "b": -2.0})
+    got = {r.id: (r.a, r.b) for r in out.collect()}
+    for i, moment in rows:
+        for key, default, value in (("a", -1.0, got[i][0]), ("b", -2.0, got[i][1])):
+            changes = sorted((t, seq, v) for k, v, t, seq in log if k == key)
+            n = bisect.bisect(changes, (moment, 10**9, 0)) if moment else 0
+            assert value == (default if not n or changes[n - 1][2] is None else changes[n - 1][2])
+    assert len(got) == len(rows) and "collect_list" not in out._jdf.queryExecution().analyzed().toString()
