@@ -83,3 +83,11 @@ def test_a_day_of_many_changes_meets_no_row_whole(spark, monkeypatch):
             n = bisect.bisect(changes, (moment, 10**9, 0)) if moment else 0
             assert value == (default if not n or changes[n - 1][2] is None else changes[n - 1][2])
     assert len(got) == len(rows) and "collect_list" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_all_nodes_of_a_session_are_linked(spark, monkeypatch):
+    """Without a cap a session of forty nodes has all its pairs, in parts that meet each other (before, only those of the fifteen used most)."""
+    monkeypatch.setattr(graph, "PART", 8)
+    rows = [(1, "d", i, 1) for i in range(40)] + [(2, "d", i, 1) for i in range(5)] + [(3, "d", 7, 1)]
+    got = {(r.source_id, r.target_id): (r.n, r.weight) for r in graph.co_access(spark.createDataFrame(rows, "user_id long, day string, node_id long, uses long"), most=None).collect()}
+    assert got == {(a, b): (2, 0.32) if b < 5 else (1, 0.3) for a in range(40) for b in range(a + 1, 40)}
