@@ -118,3 +118,33 @@ def test_hops_are_dealt_by_their_rows(spark, monkeypatch):
     once, twice = 0.9 * 0.5, 0.9 * 0.25
     found = {(r.query_id, r.id): r.activation for r in got.collect()}
     assert len(found) == 900 and abs(found[0, 0] - (1 + 29 * once * twice)) < 1e-9 and abs(found[0, 1] - (once + twice + 28 * once * twice)) < 1e-9
+
+
+@pytest.mark.parametrize("k,share,weights", [(3, 0.0, True), (7, 0.0, False), (None, 0.6, False)])
+def test_nodes_that_cannot_reach_the_best_are_not_looked_at(monkeypatch, k, share, weights):
+    """Queries with a few rare terms among common ones: the same best as of all pairs, while few of a block's nodes are added up (before, all of them for every query)."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    common, rare, n = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(4000)], 2000
+    sets = {i: {*rng.choice(common, 4), *rng.choice(rare, 12)} for i in range(n)}
+    asked = {i: {*rng.choice(common, 2), *rng.choice(sorted(sets[i * 7] - set(common)), 5)} for i in range(200)}
+    df = {t: sum(t in s for s in sets.values()) for t in {*common, *rare}}
+    idf = {t: float(np.log((n + 1) / (df[t] + 1)) + 1) for t in df}
+    tf = {(i, t): 0.5 + 0.5 * ((i + len(t)) % 5) / 5 for i, s in sets.items() for t in s}
+    flat = [(q, t) for q, s in asked.items() for t in s]
+    x = [idf[t] if weights else None for _, t in flat]
+    left = pa.table({"query_id": [q for q, _ in flat], "term": [t for _, t in flat], "w": pa.array(x, pa.float64()), "idf": pa.array(x, pa.float64()), "id": pa.nulls(len(flat), pa.int64())})
+    right = pa.table({"id": list(sets), "terms": [sorted(s) for s in sets.values()], "tfs": [[tf[i, t] for t in sorted(s)] for i, s in sets.items()]})
+    monkeypatch.setattr(matches, "STEP", None)  # adding up a whole block would fail
+    got = sorted((r["query_id"], r["id"], r["matched"]) for r in matches._comparison(weights, k, 1, share, False)(left, right).to_pylist())
+    want = []
+    for q, s in asked.items():
+        found = []
+        for i, b in sets.items():
+            both = s & b
+            if both and len(both) >= share * len(s) - 1e-9:
+                d = sum((idf[t] * tf[i, t]) ** 2 for t in both)
+                found.append((-round(sum(idf[t] ** 2 * tf[i, t] for t in both) / (d * sum(idf[t] ** 2 for t in s)) ** 0.5, 9) if weights else -len(both), i, len(both)))
+        want += [(q, i, m) for _, i, m in sorted(found)[:k]]
+    assert got == sorted(want)
