@@ -54,3 +54,16 @@ def test_measures_and_all_families(spark):
     flags = marked.select("key", *[v.alias(k) for k, v in feedback._measured(marked.columns).items()]).collect()
     on = {k for r in flags for k, v in r.asDict().items() if k != "key" and v}
     assert on >= {"deep_response", "like_response", "rising", "on_topic", "empty_response", "short_response", "unlike_response", "falling", "off_topic", "parroting", "sprawl"}
+
+
+def test_whole_recalled_texts_count(spark, tmp_path):
+    """A response is measured against all of what was recalled (before, against the first 200 characters); evidence keeps the cut that its SQL has."""
+    from tessera.plans import catalog
+
+    long = "worktree locks keep sessions apart " + "filler words without meaning here " * 12 + "penguins swim across antarctic waters"
+    spark.createDataFrame([(i, t) for i, t in enumerate([long, "billing exports run nightly", "something else entirely"])], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "cast(length(text) as long) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    answer = "penguins swim across antarctic waters filler words without meaning here"
+    spark.createDataFrame([(1, 0, "user", "worktree locks"), (1, 1, "assistant", answer), (1, 2, "user", "filler words")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    r = catalog.QUERIES["q_response_measures"](spark, str(tmp_path)).first()
+    assert abs(r.depth_ratio - len(answer) / len(long)) < 1e-5 and r.resp_sim > 0.8
+    assert "200" not in catalog.ORACLE_SQL["q_response_measures"] and "substring(d.text, 1, 200)" in catalog.ORACLE_SQL["q_evidence"]
