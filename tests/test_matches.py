@@ -148,3 +148,21 @@ def test_nodes_that_cannot_reach_the_best_are_not_looked_at(monkeypatch, k, shar
                 found.append((-round(sum(idf[t] ** 2 * tf[i, t] for t in both) / (d * sum(idf[t] ** 2 for t in s)) ** 0.5, 9) if weights else -len(both), i, len(both)))
         want += [(q, i, m) for _, i, m in sorted(found)[:k]]
     assert got == sorted(want)
+
+
+def test_entries_meet_only_the_first_holders_of_a_word(spark, monkeypatch):
+    """Edges of a vocabulary as plain Python gives them, while a word of all titles gives each entry a few rows (before, a row for each entry and title)."""
+    from tessera.operators import vocabulary
+
+    met, kept = [], vocabulary.written
+    monkeypatch.setattr(vocabulary, "written", lambda df, what: met.append(df.count()) or kept(df, what))
+    titles = {i: f"common {WORDS[20 + i % 7]} {WORDS[20 + i % 11]}" for i in range(200)}
+    entries = [(i, WORDS[20 + i % 7], ["common", WORDS[20 + (i + 3) % 11]]) for i in range(0, 200, 5)]
+    got = vocabulary.connections(spark.createDataFrame(entries, "node_id long, term string, maps_to array<string>"), spark.createDataFrame(list(titles.items()), "id long, title string"))
+    want = set()
+    for node, term, to in entries:
+        first = lambda w, n: [i for i, t in titles.items() if w in t.split() and i != node][:n]  # noqa: E731, B023
+        maps = {i for w in set(to) for i in first(w, 5)}
+        want |= {(node, i, "maps_to", 0.8) for i in maps} | {(node, i, "refers_to", 0.6) for i in first(term, 3) if i not in maps}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert max(met) <= 12 * 6
