@@ -166,3 +166,13 @@ def test_entries_meet_only_the_first_holders_of_a_word(spark, monkeypatch):
         want |= {(node, i, "maps_to", 0.8) for i in maps} | {(node, i, "refers_to", 0.6) for i in first(term, 3) if i not in maps}
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert max(met) <= 12 * 6
+
+
+def test_a_task_lets_out_no_more_than_its_memory_holds(spark, monkeypatch):
+    """Where a share of all pairs is asked for, blocks are cut by what leaves them (before, by the stored sets alone, whatever the batch); sets may come in lists."""
+    monkeypatch.setattr(matches, "PAIRS", 2000)
+    queries, store = some(60, 7), some(300, 8)
+    lists = spark.createDataFrame([(i, sorted(s)) for i, s in store.items()], "id long, terms array<string>")
+    got = matches.matches(flat(spark, queries, "query_id"), lists, len(store), share=0.5)
+    assert sorted((r.query_id, r.id, r.matched) for r in got.collect()) == sorted((q, i, len(a & b)) for q, a in queries.items() for i, b in store.items() if 2 * len(a & b) >= len(a))
+    assert "sequence(0, 8" in got._jdf.queryExecution().analyzed().toString() and 60 * 300 / 9 <= 2000
